@@ -4,6 +4,7 @@ import importlib
 
 _MODULES = [
     "decontamination",
+    "retrieval",
 ]
 
 
