@@ -5,6 +5,7 @@ import importlib
 _MODULES = [
     "decontamination",
     "retrieval",
+    "reweighting",
 ]
 
 
