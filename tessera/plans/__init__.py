@@ -6,6 +6,7 @@ _MODULES = [
     "decontamination",
     "retrieval",
     "reweighting",
+    "mixing",
 ]
 
 
