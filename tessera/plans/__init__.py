@@ -7,6 +7,7 @@ _MODULES = [
     "retrieval",
     "reweighting",
     "mixing",
+    "training_groups",
 ]
 
 
