@@ -8,6 +8,8 @@ _MODULES = [
     "reweighting",
     "mixing",
     "training_groups",
+    "qa",
+    "losses",
 ]
 
 
