@@ -10,6 +10,7 @@ _MODULES = [
     "training_groups",
     "qa",
     "losses",
+    "logging",
 ]
 
 
