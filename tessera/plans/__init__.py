@@ -11,6 +11,7 @@ _MODULES = [
     "qa",
     "losses",
     "logging",
+    "ann",
 ]
 
 
