@@ -45,10 +45,10 @@ def token_spans(text: Column) -> Column:
         F.struct(F.lit(0).alias("pos"),
                  F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
         lambda acc, tok: F.struct(
-            (F.locate(tok, text, acc["pos"] + 1) - 1 + F.length(tok)).alias("pos"),
+            (F.call_function("locate", tok, text, acc["pos"] + 1) - 1 + F.length(tok)).alias("pos"),
             F.array_append(acc["spans"], F.struct(
-                (F.locate(tok, text, acc["pos"] + 1) - 1).alias("start"),
-                (F.locate(tok, text, acc["pos"] + 1) - 1 + F.length(tok)).alias("end"))).alias("spans")),
+                (F.call_function("locate", tok, text, acc["pos"] + 1) - 1).alias("start"),
+                (F.call_function("locate", tok, text, acc["pos"] + 1) - 1 + F.length(tok)).alias("end"))).alias("spans")),
     )["spans"]
 
 
