@@ -34,7 +34,9 @@ d AS (SELECT source AS domain, doc_id,
       FROM documents),
 sizes AS (SELECT domain, count(*) AS size FROM d GROUP BY domain),
 names AS (SELECT domain, row_number() OVER (ORDER BY domain) AS i, count(*) OVER () AS n FROM sizes),
-bound AS (SELECT max(size) * (SELECT count(*) FROM sizes) * 4 + {BATCH * 10} AS nslots FROM sizes)"""
+-- slots to generate: enough for every domain to be exhausted (the cut does
+-- not depend on this bound once it is reached)
+bound AS (SELECT (max(size) + {BATCH}) * (SELECT count(*) FROM sizes) * 16 AS nslots FROM sizes)"""
 
 
 def _weighted_sql(draw_key: str, stopping_agg: str) -> str:
