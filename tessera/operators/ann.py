@@ -138,10 +138,15 @@ def pq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits:
 
 # ------------------------------------------------------------------ LSH
 
-def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.5,
-               n_tables: int = 8, threshold: float = 1.5, seed: int = 42) -> DataFrame:
+def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.05,
+               n_tables: int = 8, threshold: float = 2.0, seed: int = 42) -> DataFrame:
     """Approximate top-k by inner product: MIPS augmentation to an L2
-    problem, random-projection LSH candidate join, exact rerank."""
+    problem, random-projection LSH candidate join, exact rerank.  Each hash
+    table is one projection, so pruning comes from a short bucket length
+    (projections of unit vectors are narrow); candidates are the pairs that
+    share a bucket in any table.  The default threshold (2.0, the largest
+    distance between augmented unit vectors) keeps every candidate for the
+    exact rerank."""
     mx = corpus.agg(F.max(V.sq_norm(F.col("embedding")))).scalar()
     c = corpus.select("doc_id", "embedding",
                       array_to_vector(V.mips_augment_doc(F.col("embedding"), mx)).alias("v"))
@@ -160,3 +165,30 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> float:
     """Fraction of exact top-k pairs found by the approximate run."""
     hit = exact.join(approx.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").count()
     return hit / max(1, exact.count())
+
+
+# ------------------------------------------------------------------ IVF
+
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int, n_probe: int,
+               seed: int = 42, max_iter: int = 20, fit_fraction: float = 1.0) -> DataFrame:
+    """Inverted-file approximate search: a ``pyspark.ml`` KMeans coarse
+    quantiser splits the corpus into ``n_lists`` lists; each query probes
+    its ``n_probe`` closest centroids; candidates come from an equi join on
+    the list id and are scored exactly, then cut to ``k``.  Work per query
+    is about ``n_probe / n_lists`` of the corpus; the centroids (n_lists x
+    dim) are the only broadcast.  ``fit_fraction`` fits on a sample."""
+    train = corpus if fit_fraction >= 1 else corpus.sample(fit_fraction, seed)
+    km = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="v", predictionCol="list_id")
+    model = km.fit(train.select(array_to_vector("embedding").alias("v")))
+    docs = (model.transform(corpus.select("doc_id", "embedding", array_to_vector("embedding").alias("v")))
+            .select("doc_id", "embedding", F.col("list_id").cast("long")))
+    cents = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    dist = F.transform(cents, lambda cv, i: F.struct(F.aggregate(
+        F.zip_with(F.col("embedding"), cv, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+        lambda s, t: s + t).alias("d"), i.cast("long").alias("list_id")))
+    probes = queries.select("query_id", F.col("embedding").alias("qe"), F.explode(
+        F.slice(F.array_sort(dist), 1, n_probe)).alias("p")).select(
+        "query_id", "qe", F.col("p.list_id").alias("list_id"))
+    cand = probes.join(docs, "list_id").select(
+        "query_id", "doc_id", V.dot(F.col("qe"), F.col("embedding")).alias("score"))
+    return _final_topk(cand, k).select("query_id", "doc_id", "score", "rank")
