@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import qa
-from ..session import join_small
+from ..session import cut_lineage, join_small, spread
 
 ANCHOR_N = 3
 
@@ -36,37 +36,48 @@ def contained_answers(passages: DataFrame, answers: DataFrame, p_id: str = "doc_
     """All (passage, answer) pairs where the answer's uncased tokens appear
     contiguously in the passage's tokens.  Answers without tokens match
     every passage; they are returned separately by
-    :func:`tokenless_answers` instead of being expanded to all pairs."""
-    pt = F.col(p_text)
-    at = F.col(a_text)
-    if normalize:
-        pt, at = qa.nfd(pt), qa.nfd(at)
-    pw = passages.select(F.col(p_id).alias("pid"), qa.words(pt).alias("pw"))
-    aw = (answers.select(F.col(a_id).alias("aid"), qa.words(at).alias("aw"))
+    :func:`tokenless_answers` instead of being expanded to all pairs.
+
+    Plan: answer n-grams (small, size-checked broadcast) semi-join the
+    passage n-grams, so only occurrences of answer grams survive the first
+    pass; their counts pick each answer's rarest gram as anchor; the anchor
+    equi-join yields candidates, and only candidate passages are tokenised
+    again for the exact check."""
+    def prep(c):
+        return qa.nfd(c) if normalize else c
+
+    aw = (answers.select(F.col(a_id).alias("aid"), qa.words(prep(F.col(a_text))).alias("aw"))
           .where(F.size("aw") > 0)
           .withColumn("n", F.least(F.size("aw"), F.lit(ANCHOR_N))))
+    aw = cut_lineage(aw, "answer_words")
+    agrams = aw.select("aid", "n", F.explode(
+        F.transform(F.sequence(F.lit(0), F.size("aw") - F.col("n")),
+                    lambda s: F.struct(s.alias("p"), F.array_join(F.slice("aw", s + 1, F.col("n")),
+                                                                  qa.SENTINEL).alias("g")))).alias("x")) \
+        .select("aid", "n", F.col("x.p").alias("p"), F.col("x.g").alias("g"))
+    keys = agrams.select("n", "g").distinct()
     ns = [r["n"] for r in aw.select("n").distinct().collect()]  # at most ANCHOR_N values
+    if not ns:
+        return passages.sparkSession.createDataFrame([], f"{p_id} long, {a_id} long")
+    pw = spread(passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t"))) \
+        .select("pid", qa.words(prep(F.col("_t"))).alias("pw"))
     pgrams = None
     for n in ns:
         g = pw.select("pid", F.lit(n).alias("n"), F.explode(_grams(F.col("pw"), n)).alias("x")) \
             .select("pid", "n", F.col("x.g").alias("g"))
         pgrams = g if pgrams is None else pgrams.unionByName(g)
-    if pgrams is None:
-        return passages.sparkSession.createDataFrame([], f"{p_id} long, {a_id} long")
-    pgrams = pgrams.distinct()  # one row per (passage, gram): map-side combined
-    df = pgrams.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
-    agrams = aw.select("aid", "n", F.explode(
-        F.transform(F.sequence(F.lit(0), F.size("aw") - F.col("n")),
-                    lambda s: F.struct(s.alias("p"), F.array_join(F.slice("aw", s + 1, F.col("n")),
-                                                                  qa.SENTINEL).alias("g")))).alias("x")) \
-        .select("aid", "n", F.col("x.p").alias("p"), F.col("x.g").alias("g"))
-    # an answer whose gram never occurs cannot match: the inner join drops it
-    scored = agrams.join(df, ["n", "g"])
+    # only occurrences of answer grams survive; computed once
+    hits = cut_lineage(join_small(pgrams, keys, ["n", "g"], "left_semi"), "answer_gram_hits")
+    df = hits.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("aid").orderBy("df", "p")
-    anchors = (scored.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-               .select("aid", "n", "g"))
-    cands = join_small(pgrams, anchors, ["n", "g"]).select("pid", "aid").distinct()
-    verified = (join_small(cands.join(pw, "pid"), aw.select("aid", "aw"), "aid")
+    # an answer whose gram never occurs cannot match: the inner join drops it
+    anchors = (agrams.join(df, ["n", "g"]).withColumn("_r", F.row_number().over(w))
+               .where("_r = 1").select("aid", "n", "g"))
+    cands = join_small(hits, anchors, ["n", "g"]).select("pid", "aid").distinct()
+    cand_text = passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t")) \
+        .join(cands.select("pid").distinct(), "pid", "left_semi") \
+        .select("pid", qa.words(prep(F.col("_t"))).alias("pw"))
+    verified = (join_small(cands.join(cand_text, "pid"), aw.select("aid", "aw"), "aid")
                 .where(qa.contains_tokens(F.col("pw"), F.col("aw"))))
     return verified.select(F.col("pid").alias(p_id), F.col("aid").alias(a_id))
 
