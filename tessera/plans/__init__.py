@@ -12,6 +12,7 @@ _MODULES = [
     "losses",
     "logging",
     "ann",
+    "corpus",
 ]
 
 
