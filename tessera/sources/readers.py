@@ -249,3 +249,78 @@ def build_id_map(corpus: DataFrame, id_col: str = "_id") -> DataFrame:
     return (corpus.select(F.col(id_col).alias("doc_id")).distinct()
             .rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex()
             .toDF("doc_id string, row_id long"))
+
+
+def medmcqa_groups(df: DataFrame) -> DataFrame:
+    """MedMCQA rows as training groups (S4): rows with a non-empty
+    explanation ``exp``; the explanation is the single positive."""
+    return (df.where(F.col("exp").isNotNull() & (F.col("exp") != ""))
+            .withColumn("positive_passages", F.array(F.struct(
+                F.lit("").alias("docid"), F.lit("").alias("title"), F.col("exp").alias("text"))))
+            .withColumn("negative_passages",
+                        F.array().cast("array<struct<docid:string,title:string,text:string>>")))
+
+
+def read_lang_shards(spark: SparkSession, paths: list[str], key: str = "docid") -> DataFrame:
+    """Per-language corpus shards (S7, e.g. ``.../<lang>/docs-<i>.jsonl.gz``):
+    one multi-path read; ``lang`` is taken from the parent folder name."""
+    df = spark.read.json(paths).withColumn("_file", F.input_file_name())
+    return (df.withColumnRenamed(key, "_id").withColumn("_id", F.col("_id").cast("string"))
+            .withColumn("lang", F.element_at(F.split("_file", "/"), -2)).drop("_file"))
+
+
+def read_multilingual_qa(spark: SparkSession, folder: str) -> DataFrame:
+    """Multilingual QA files ``<folder>/<lang>.jsonl`` with ``id, question,
+    answers`` (S12): ``lang`` from the file name."""
+    df = spark.read.json(os.path.join(folder, "*.jsonl")).withColumn("_file", F.input_file_name())
+    return df.select(F.col("id").cast("string").alias("query_id"), F.col("question").alias("text"),
+                     "answers",
+                     F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1).alias("lang"))
+
+
+def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Queries that have qrels (J4, semi join)."""
+    return queries.join(qrels.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi")
+
+
+def lookup_ids(ids: DataFrame, rows: DataFrame, key: str = "_id") -> tuple[DataFrame, DataFrame]:
+    """Id -> row lookup (J1): ``(hits, rejects)``; callers decide whether a
+    reject is reported (corpus) or an error (queries)."""
+    hits = ids.join(rows, key, "inner")
+    rejects = ids.join(rows.select(key), key, "left_anti")
+    return hits, rejects
+
+
+def union_test_sets(*sets: DataFrame) -> DataFrame:
+    """Union of test-query sets with a running index (U1): ``idx`` orders
+    by set, then by row order inside the set."""
+    out = None
+    for i, s in enumerate(sets):
+        s = s.withColumn("_set", F.lit(i)).withColumn("_ord", F.monotonically_increasing_id())
+        out = s if out is None else out.unionByName(s, allowMissingColumns=True)
+    # a range-partitioned sort plus zipWithIndex: no single-task window
+    ordered = out.orderBy("_set", "_ord").drop("_set", "_ord")
+    schema = ordered.schema.add("idx", "long")
+    return ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])).toDF(schema)
+
+
+def align_union(frames: list[DataFrame]) -> DataFrame:
+    """Union by name with missing columns as null (U3); a column present
+    with different types is an error."""
+    types: dict[str, str] = {}
+    for f in frames:
+        for c, t in f.dtypes:
+            if types.setdefault(c, t) != t:
+                raise TypeError(f"column {c} has types {types[c]} and {t}")
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def category_union(domain_rows: DataFrame, bridge: DataFrame, category_ids: dict[str, int]) -> DataFrame:
+    """Concatenate the domains of each category (U2): rows keep
+    ``domain_name``; ``domain_ids`` becomes the category id."""
+    ids = F.create_map(*[x for c, i in category_ids.items() for x in (F.lit(c), F.lit(i))])
+    return (domain_rows.join(bridge.withColumnRenamed("domain", "domain_name"), "domain_name")
+            .withColumn("domain_ids", ids[F.col("category")].cast("tinyint")))
