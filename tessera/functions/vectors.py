@@ -42,6 +42,12 @@ def binarize(a: Column, threshold: float = 0.0) -> Column:
                        F.call_function("shiftleft", F.lit(1).cast("long"), i - w * 64)).otherwise(F.lit(0).cast("long")))))
 
 
+def signs(a: Column, threshold: float = 0.0) -> Column:
+    """+1/-1 DOUBLE per dimension (``x > threshold``): equal to
+    ``unpack_signs(binarize(a, threshold), dim)`` in one pass."""
+    return F.transform(a, lambda x: F.when(x > threshold, F.lit(1.0)).otherwise(F.lit(-1.0)))
+
+
 def unpack_signs(words: Column, dim: int) -> Column:
     """Packed bits -> +1/-1 DOUBLE vector of length ``dim``."""
     return F.transform(

@@ -74,3 +74,12 @@ def test_approximate_search_recall(spark):
     assert ann.recall_at_k(ann.pca_search(q, c, 10, 48), exact) >= 0.6
     assert ann.recall_at_k(ann.sq8_search(q, c, 10), exact) >= 0.9
     assert ann.recall_at_k(search.binary_search(q, c, 10, binary_k=100), exact) >= 0.35  # sign codes are coarse
+
+
+def test_packed_codes_unpack_to_signs(spark):
+    from tessera.functions import vectors as V
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    r = e.select(V.unpack_signs(V.binarize(F.col("embedding")), 64).alias("a"),
+                 V.signs(F.col("embedding")).alias("b"),
+                 F.size(V.binarize(F.col("embedding"))).alias("w")).collect()
+    assert all(x.a == x.b and x.w == 1 for x in r)
