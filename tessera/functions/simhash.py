@@ -46,20 +46,56 @@ def has_chinese(col: Column) -> Column:
     return col.rlike("[\\u4e00-\\u9fff]")
 
 
-def fingerprint_text(text: str | None) -> int | None:
-    """Signed 64-bit SimHash of one text (Python helper, also used by tests)."""
-    if text is None:
-        return None
-    s = _NOT_WORD.sub("", text.lower())
+def _finish(weights: np.ndarray, digest: bytes, n: int) -> int:
+    """Bit vote of the weighted 8-byte feature hashes -> signed 64-bit."""
+    bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8).reshape(len(weights), 8), axis=1)
+    ones = weights @ bits
+    value = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return value - (1 << 64) if value >= (1 << 63) else value
+
+
+def _fingerprint_slow(s: str) -> int:
     n = max(len(s) - SHINGLE + 1, 1)
-    # hash each distinct shingle once, weight it by its number of occurrences
     counts = Counter(s[i:i + SHINGLE] for i in range(n))
     digest = b"".join(hashlib.md5(g.encode("utf-8")).digest()[8:] for g in counts)
     weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8).reshape(len(counts), 8), axis=1)
-    ones = weights @ bits
-    value = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
-    return value - (1 << 64) if value >= (1 << 63) else value
+    return _finish(weights, digest, n)
+
+
+# Per-process memo of shingle hashes (a language has few distinct 4-character
+# shingles, so most md5 calls repeat across documents); bounded.
+_MEMO: dict[int, bytes] = {}
+_MEMO_MAX = 1_000_000
+_U48, _U32, _U16 = np.uint64(48), np.uint64(32), np.uint64(16)
+
+
+def fingerprint_text(text: str | None) -> int | None:
+    """Signed 64-bit SimHash of one text (Python helper, also used by tests).
+
+    Fast path for texts in the Basic Multilingual Plane: the four code
+    points of every shingle are packed into one uint64, counted with
+    ``np.unique``, and each distinct shingle is hashed once (memoised)."""
+    if text is None:
+        return None
+    s = _NOT_WORD.sub("", text.lower())
+    cp = np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
+    if len(cp) < SHINGLE or cp.max() >= 65536:
+        return _fingerprint_slow(s)
+    c = cp.astype(np.uint64)
+    keys = (c[:-3] << _U48) | (c[1:-2] << _U32) | (c[2:-1] << _U16) | c[3:]
+    uniq, counts = np.unique(keys, return_counts=True)
+    memo = _MEMO
+    if len(memo) > _MEMO_MAX:
+        memo.clear()
+    parts = []
+    for k in uniq.tolist():
+        d = memo.get(k)
+        if d is None:
+            g = chr(k >> 48) + chr((k >> 32) & 0xFFFF) + chr((k >> 16) & 0xFFFF) + chr(k & 0xFFFF)
+            d = hashlib.md5(g.encode("utf-8")).digest()[8:]
+            memo[k] = d
+        parts.append(d)
+    return _finish(counts.astype(np.int64), b"".join(parts), len(keys))
 
 
 @F.pandas_udf(T.LongType())
