@@ -58,3 +58,17 @@ def test_union_helpers(spark):
     hits, rej = readers.lookup_ids(spark.createDataFrame([("1",), ("9",)], "_id string"),
                                    spark.createDataFrame([("1", "t")], "_id string, text string"))
     assert hits.count() == 1 and [r._id for r in rej.collect()] == ["9"]
+
+
+def test_eval_instruction_lookup(spark):
+    from tessera.functions import eval_instructions as EI
+    tasks = spark.createDataFrame([("STS", "STSB"), ("Retrieval", "trec-covid"), ("Retrieval", "nfcorpus"),
+                                   ("Retrieval", "CQADupstackGaming"), ("PairClassification", "Cmnli")],
+                                  "task_type string, task_name string")
+    got = {r.task_name: r.instruction for r in EI.with_eval_instruction(tasks, spark).collect()}
+    assert got["STSB"] == EI.TYPE_INSTRUCTIONS["STS"]
+    assert got["trec-covid"] == EI.RETRIEVAL["TRECCOVID"] and got["nfcorpus"] == EI.RETRIEVAL["NFCorpus"]
+    assert got["CQADupstackGaming"] == EI.CQADUPSTACK_INSTRUCTION and got["Cmnli"] == EI.RERANKING["Cmnli"]
+    bad = spark.createDataFrame([("Retrieval", "Nope")], "task_type string, task_name string")
+    with pytest.raises(Exception):
+        EI.with_eval_instruction(bad, spark).collect()
