@@ -21,6 +21,7 @@ are the only things broadcast.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -192,3 +193,53 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int, n_pr
     cand = probes.join(docs, "list_id").select(
         "query_id", "doc_id", V.dot(F.col("qe"), F.col("embedding")).alias("score"))
     return _final_topk(cand, k).select("query_id", "doc_id", "score", "rank")
+
+
+# ------------------------------------------------------------------ OPQ
+
+def cross_covariance(pairs: DataFrame, a: str, b: str, dim: int) -> np.ndarray:
+    """``sum_i a_i^T b_i`` (dim x dim) as per-partition numpy partial sums
+    combined by one small aggregate (a tree aggregation in DataFrame form)."""
+    def part(batches):
+        acc = np.zeros((dim, dim))
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf[a].map(np.asarray))
+                y = np.vstack(pdf[b].map(np.asarray))
+                acc += x.T @ y
+        yield pd.DataFrame({"m": [acc.ravel().tolist()]})
+
+    parts = pairs.select(a, b).mapInPandas(part, "m array<double>")
+    total = parts.agg(F.aggregate(F.collect_list("m"), F.array_repeat(F.lit(0.0), dim * dim),
+                                  lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("m"))
+    return np.asarray(total.first()["m"]).reshape(dim, dim)
+
+
+def opq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits: int = 8,
+               n_iter: int = 3, seed: int = 42, max_iter: int = 10) -> DataFrame:
+    """Product quantisation after a learned orthogonal rotation (V5):
+    alternate PQ training in the rotated space with the orthogonal
+    Procrustes update ``R = U V^T`` from the SVD of ``X^T Y`` (X the
+    vectors, Y their PQ reconstructions).  Only the d x d rotation and the
+    codebooks are driver-side; both are model-sized."""
+    from .encode import project  # noqa: PLC0415
+    dim = corpus.select(F.size("embedding")).first()[0]
+    rot = np.eye(dim)
+    base = corpus.select("doc_id", "embedding")
+    for _ in range(n_iter):
+        rotated = project(base, rot)
+        books = pq_codebooks(rotated, n_sub, n_bits, seed, max_iter)
+        flat = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for b in books for row in b])
+        n_c = books[0].shape[0]
+        recon = pq_encode(rotated, books).select("doc_id", F.flatten(F.transform(
+            "codes", lambda c, m: F.element_at(flat, (m * n_c + c + 1).cast("int")))).alias("y"))
+        pairs = base.join(recon, "doc_id").select(F.col("embedding").alias("x"), "y")
+        u, _, vt = np.linalg.svd(cross_covariance(pairs, "x", "y", dim))
+        rot = u @ vt
+    rotated = project(base, rot)
+    books = pq_codebooks(rotated, n_sub, n_bits, seed, max_iter)
+    flat = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for b in books for row in b])
+    n_c = books[0].shape[0]
+    decoded = pq_encode(rotated, books).select("doc_id", F.flatten(F.transform(
+        "codes", lambda c, m: F.element_at(flat, (m * n_c + c + 1).cast("int")))).alias("embedding"))
+    return knn(project(queries.select("query_id", "embedding"), rot), decoded, k, "dot")

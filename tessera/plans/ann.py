@@ -55,3 +55,9 @@ def knn_ivf(spark, sf_dir):
 @register("knn_lsh", ops=("V7", "F24", "A19"))
 def knn_lsh(spark, sf_dir):
     return _out(ann.lsh_search(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN))
+
+
+@register("knn_opq", ops=("V5", "V4"))
+def knn_opq(spark, sf_dir):
+    return _out(ann.opq_search(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN,
+                               n_sub=8, n_bits=4, n_iter=1))
