@@ -8,9 +8,10 @@
   ``pyspark.ml`` KMeans per sub-vector; documents are stored as centroid
   codes and scored asymmetrically (query . centroid per sub-space), which
   equals the query . decoded-vector product (V4).
-* ``lsh_search``: random-projection LSH over MIPS-augmented unit vectors
-  (``approxSimilarityJoin`` = equi join on hash buckets), reranked exactly
-  (V7).  Recall against the exact search is reported by
+* ``lsh_search``: random-hyperplane LSH (sign-bit keys, AND/OR
+  amplified) as an equi join on (table, key), reranked exactly (V7);
+  ``brp_lsh_search`` is the ``pyspark.ml`` random-projection variant over
+  MIPS-augmented vectors.  Recall against the exact search is reported by
   :func:`recall_at_k`.
 
 Codebooks, PCA matrices and min/max vectors are O(dim) or
@@ -139,7 +140,54 @@ def pq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits:
 
 # ------------------------------------------------------------------ LSH
 
-def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.05,
+def hyperplane_keys(df: DataFrame, planes: np.ndarray, n_tables: int, id_col: str,
+                    vec: str = "embedding") -> DataFrame:
+    """Per row: ``keys`` = one LONG per table packing the sign bits of the
+    row's projections on that table's hyperplanes (numpy inside the
+    partition; the planes are a small model-sized matrix)."""
+    bits_per = planes.shape[1] // n_tables
+    weights = (1 << np.arange(bits_per, dtype=np.int64))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)))
+            b = (x @ planes > 0).reshape(len(pdf), n_tables, bits_per)
+            keys = (b * weights).sum(axis=2)
+            yield pd.DataFrame({id_col: pdf[id_col], vec: pdf[vec], "keys": list(keys)})
+
+    schema = f"{id_col} {dict(df.dtypes)[id_col]}, {vec} {dict(df.dtypes)[vec]}, keys array<bigint>"
+    return df.select(id_col, vec).mapInPandas(run, schema)
+
+
+def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, n_tables: int = 24,
+               bits_per_table: int | None = None, seed: int = 42,
+               bucket_target: int = 64) -> DataFrame:
+    """Approximate top-k by random-hyperplane LSH (angular), AND-amplified
+    with ``bits_per_table`` sign bits per key and OR-amplified over
+    ``n_tables``: candidates share a (table, key) — an equi join — and each
+    pair is kept from the first table where it collides (no distinct), then
+    scored exactly and cut to ``k`` (V7)."""
+    dim = corpus.select(F.size("embedding")).first()[0]
+    if bits_per_table is None:
+        # about ``bucket_target`` documents per bucket: key length grows
+        # with log2 of the corpus size, so buckets stay small at any scale
+        n = corpus.count()
+        bits_per_table = max(4, int(np.ceil(np.log2(max(n, 2) / bucket_target))))
+    planes = np.random.default_rng(seed).standard_normal((dim, n_tables * bits_per_table))
+    q = hyperplane_keys(queries, planes, n_tables, "query_id").withColumnRenamed("embedding", "qe") \
+        .withColumnRenamed("keys", "qk")
+    c = hyperplane_keys(corpus, planes, n_tables, "doc_id").withColumnRenamed("keys", "dk")
+    qx = q.select("query_id", "qe", "qk", F.posexplode("qk").alias("t", "key"))
+    cx = c.select("doc_id", "embedding", "dk", F.posexplode("dk").alias("t", "key"))
+    first = F.array_position(F.zip_with("qk", "dk", lambda a, b: a == b), True) - 1
+    cand = (qx.join(cx, ["t", "key"]).where(F.col("t") == first)
+            .select("query_id", "doc_id", V.dot(F.col("qe"), F.col("embedding")).alias("score")))
+    return _final_topk(cand, k).select("query_id", "doc_id", "score", "rank")
+
+
+def brp_lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.05,
                n_tables: int = 8, threshold: float = 2.0, seed: int = 42) -> DataFrame:
     """Approximate top-k by inner product: MIPS augmentation to an L2
     problem, random-projection LSH candidate join, exact rerank.  Each hash
