@@ -97,3 +97,14 @@ def dup_report_lines(spark, sf_dir):
         F.size("test_dups").cast("long").alias("n_test_dups"),
         F.col("test_dups")[0]["item_id"].alias("first_item_id"),
         F.element_at("test_dups", -1)["item_id"].alias("last_item_id"))
+
+
+@register("near_dup_keep", ops=("A2", "J6"), oracle=f"""
+WITH {simhash_ctes('d', 'documents', ['doc_id'], 'text')},
+nb AS (SELECT a.doc_id, min(b.doc_id) AS rep_id
+       FROM d_fp a JOIN d_fp b ON bit_count(xor(a.fp, b.fp)) <= 2 GROUP BY a.doc_id)
+SELECT d.doc_id, d.source FROM documents d JOIN nb USING (doc_id) WHERE nb.rep_id = d.doc_id
+""")
+def near_dup_keep(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return dedup.dedup_keep(docs, "doc_id", "text", k=2).select("doc_id", "source")

@@ -99,3 +99,12 @@ def device_batches(spark, sf_dir):
     full = mixing.split_devices(mixing.drop_partial_batches(stream, BATCH), BATCH, WORLD)
     return full.select("slot", "batch_id", "domain", F.col("id").alias("doc_id"),
                        "pos_in_batch", "device")
+
+
+@register("domain_report", ops=("A5", "A6", "T5"), oracle="""
+SELECT source AS domain, count(*) AS size, 1.0 / (SELECT count(DISTINCT source) FROM documents) AS weight
+FROM documents GROUP BY source
+""")
+def domain_report(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return mixing.domain_report(rows, _uniform(spark, sf_dir)).select("domain", "size", "weight")
