@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .search import _final_topk, knn
+from .search import _final_topk, cell_topk, knn
 
 
 # ------------------------------------------------------------------ SQ8
@@ -166,9 +166,9 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, n_tables: int = 24
                bucket_target: int = 64) -> DataFrame:
     """Approximate top-k by random-hyperplane LSH (angular), AND-amplified
     with ``bits_per_table`` sign bits per key and OR-amplified over
-    ``n_tables``: candidates share a (table, key) — an equi join — and each
-    pair is kept from the first table where it collides (no distinct), then
-    scored exactly and cut to ``k`` (V7)."""
+    ``n_tables``: candidates share a (table, key) cell; each cell is scored
+    exactly as a numpy block (cogroup on the cell key), a document found in
+    several tables is kept once, and the result is cut to ``k`` (V7)."""
     dim = corpus.select(F.size("embedding")).first()[0]
     if bits_per_table is None:
         # about ``bucket_target`` documents per bucket: key length grows
@@ -179,12 +179,9 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, n_tables: int = 24
     q = hyperplane_keys(queries, planes, n_tables, "query_id").withColumnRenamed("embedding", "qe") \
         .withColumnRenamed("keys", "qk")
     c = hyperplane_keys(corpus, planes, n_tables, "doc_id").withColumnRenamed("keys", "dk")
-    qx = q.select("query_id", "qe", "qk", F.posexplode("qk").alias("t", "key"))
-    cx = c.select("doc_id", "embedding", "dk", F.posexplode("dk").alias("t", "key"))
-    first = F.array_position(F.zip_with("qk", "dk", lambda a, b: a == b), True) - 1
-    cand = (qx.join(cx, ["t", "key"]).where(F.col("t") == first)
-            .select("query_id", "doc_id", V.dot(F.col("qe"), F.col("embedding")).alias("score")))
-    return _final_topk(cand, k).select("query_id", "doc_id", "score", "rank")
+    qx = q.select("query_id", F.col("qe").alias("qv"), F.posexplode("qk").alias("t", "key"))
+    cx = c.select("doc_id", F.col("embedding").alias("dv"), F.posexplode("dk").alias("t", "key"))
+    return cell_topk(qx, cx, ["t", "key"], k)
 
 
 def brp_lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.05,
@@ -219,7 +216,8 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> float:
 # ------------------------------------------------------------------ IVF
 
 def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int, n_probe: int,
-               seed: int = 42, max_iter: int = 20, fit_fraction: float = 1.0) -> DataFrame:
+               seed: int = 42, max_iter: int = 20, fit_fraction: float = 1.0,
+               sub_buckets: int = 4) -> DataFrame:
     """Inverted-file approximate search: a ``pyspark.ml`` KMeans coarse
     quantiser splits the corpus into ``n_lists`` lists; each query probes
     its ``n_probe`` closest centroids; candidates come from an equi join on
@@ -235,12 +233,11 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int, n_pr
     dist = F.transform(cents, lambda cv, i: F.struct(F.aggregate(
         F.zip_with(F.col("embedding"), cv, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
         lambda s, t: s + t).alias("d"), i.cast("long").alias("list_id")))
-    probes = queries.select("query_id", F.col("embedding").alias("qe"), F.explode(
+    probes = queries.select("query_id", F.col("embedding").alias("qv"), F.explode(
         F.slice(F.array_sort(dist), 1, n_probe)).alias("p")).select(
-        "query_id", "qe", F.col("p.list_id").alias("list_id"))
-    cand = probes.join(docs, "list_id").select(
-        "query_id", "doc_id", V.dot(F.col("qe"), F.col("embedding")).alias("score"))
-    return _final_topk(cand, k).select("query_id", "doc_id", "score", "rank")
+        "query_id", "qv", F.col("p.list_id").alias("list_id"))
+    return cell_topk(probes, docs.withColumnRenamed("embedding", "dv"), ["list_id"], k,
+                     sub_buckets=sub_buckets)
 
 
 # ------------------------------------------------------------------ OPQ

@@ -49,7 +49,7 @@ def knn_ivf(spark, sf_dir):
     n = _corpus(spark, sf_dir).count()
     n_lists = max(1, int(round(n ** 0.5)))
     return _out(ann.ivf_search(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN,
-                               n_lists=n_lists, n_probe=max(1, n_lists // 4)))
+                               n_lists=n_lists, n_probe=max(1, n_lists // 4), max_iter=10))
 
 
 @register("knn_lsh", ops=("V7", "F24", "A19"))
