@@ -30,9 +30,11 @@ def tokens(text: Column) -> Column:
 
 
 def words(text: Column, uncased: bool = True) -> Column:
-    """Tokens, lower-cased when ``uncased`` (F32)."""
-    t = tokens(text)
-    return F.transform(t, lambda x: F.lower(x)) if uncased else t
+    """Tokens, lower-cased when ``uncased`` (F32).  Lower-casing the text
+    once before tokenising gives the same tokens as lower-casing each token
+    (case mapping keeps letters letters and marks marks) without a
+    per-token lambda."""
+    return tokens(F.lower(text)) if uncased else tokens(text)
 
 
 def token_spans(text: Column) -> Column:

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small
+from ..session import cut_lineage, join_small
 
 U_BITS = 52  # hash-uniforms use 13 hex digits of md5 (exact in a double)
 
@@ -126,11 +126,15 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
     if stopping not in ("first_exhausted", "all_exhausted"):
         raise ValueError(f"unknown stopping strategy {stopping}")
     spark = rows.sparkSession
-    base = rows.withColumnRenamed(domain, "domain")
+    full = rows.withColumnRenamed(domain, "domain")
+    # positions are computed on (domain, id) only: the shuffle moves ids,
+    # never whole rows
+    keys = full.select("domain", id_col)
     if shuffle:
-        base = shuffle_domains(base, seed, "domain", id_col)
+        base = shuffle_domains(keys, seed, "domain", id_col)
     else:
-        base = dense_index(base, "domain", F.col(id_col), F.lit(0))
+        base = dense_index(keys, "domain", F.col(id_col), F.lit(0))
+    base = cut_lineage(base, "domain_positions")
     sizes = base.groupBy("domain").agg(F.count(F.lit(1)).alias("size"))
     size_map = {r["domain"]: r["size"] for r in sizes.collect()}  # one row per domain
     names = sorted(size_map)
@@ -159,10 +163,15 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
             n_slots *= 2
         if chosen is None:
             raise RuntimeError("stopping point not reached; raise max_rounds")
-    picked = chosen.join(sizes, "domain").withColumn("idx", F.pmod(F.col("k"), F.col("size")))
-    return (picked.select("slot", "batch_id", "domain", "idx")
-            .join(base, ["domain", "idx"])
-            .withColumnRenamed("domain", domain))
+    picked = (chosen.join(F.broadcast(sizes), "domain")   # one row per domain
+              .withColumn("idx", F.pmod(F.col("k"), F.col("size")))
+              .select("slot", "batch_id", "domain", "idx"))
+    # the slot table is bounded by the training length, the row table is
+    # not: resolve slot -> id on the id table, then fetch the rows by a
+    # size-checked broadcast of the (slot, id) pairs, so rows never shuffle
+    slot_ids = picked.join(base, ["domain", "idx"])
+    out = join_small(full, slot_ids, ["domain", id_col])
+    return out.withColumnRenamed("domain", domain)
 
 
 def drop_partial_batches(stream: DataFrame, batch_size: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import qa
 from ..functions import text as TX
 from ..operators import answers
-from ..session import table
+from ..session import spread, table
 from .registry import register
 
 _PAT = qa.TOKEN_PATTERN.replace("'", "''")
@@ -24,7 +24,7 @@ SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, chr(1))) AS to
 FROM (SELECT doc_id, {_words('text')} AS w FROM documents)
 """)
 def qa_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     w = qa.words(F.col("text"))
     return d.select("doc_id", F.size(w).cast("long").alias("n_tokens"),
                     F.md5(F.array_join(w, qa.SENTINEL)).alias("tokens_md5"))
