@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, join_small, spread
 from ..functions.simhash import (block_keys, clean_query, first_shared_combo,
                                  hamming, simhash64)
 
@@ -128,8 +128,11 @@ def decontaminate(train: DataFrame, test: DataFrame, train_keys: list[str],
     """
     matches = contamination_matches(train, test, train_keys, test_keys,
                                     train_text, test_text, k)
+    matches = cut_lineage(matches, "contamination_matches")
     flagged = matches.select(*train_keys).distinct()
-    clean = train.join(flagged, train_keys, "left_anti")
+    # contaminated rows are few: a size-checked broadcast keeps the (large)
+    # training side from shuffling; beyond the bound a shuffled anti join
+    clean = join_small(train, flagged, train_keys, "left_anti")
     payload = test_payload or [test_text]
     items = test.select(*test_keys, *[c for c in payload if c not in test_keys])
     report = (
@@ -138,6 +141,6 @@ def decontaminate(train: DataFrame, test: DataFrame, train_keys: list[str],
         .agg(F.array_sort(F.collect_list(F.struct(*test_keys, *[
             c for c in payload if c not in test_keys])))
              .alias("test_dups"))
-        .join(train.select(*train_keys, train_text), train_keys)
     )
+    report = join_small(train.select(*train_keys, train_text), report, train_keys)
     return clean, report
