@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 from .search import _final_topk, cell_topk, knn
 
 
@@ -113,29 +114,66 @@ def pq_codebooks(corpus: DataFrame, n_sub: int, n_bits: int = 8, seed: int = 42,
     return books
 
 
-def pq_encode(corpus: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """Nearest centroid per sub-vector -> ``codes`` array<short>."""
+def _pq_apply(df: DataFrame, books: list[np.ndarray], id_col: str, decode: bool,
+              rotation: np.ndarray | None = None) -> DataFrame:
+    """Nearest centroid per sub-vector as ``codes array<short>`` and, with
+    ``decode``, the reconstruction ``embedding`` — numpy inside the
+    partition; the codebooks (and optional rotation) are model-sized."""
     sub = books[0].shape[1]
-    codes = []
-    for m, b in enumerate(books):
-        x = F.slice("embedding", m * sub + 1, sub)
-        cents = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in b])
-        dist = F.transform(cents, lambda c: F.aggregate(
-            F.zip_with(x, c, lambda a, bb: (a - bb) * (a - bb)), F.lit(0.0), lambda s, t: s + t))
-        best = F.array_position(dist, F.array_min(dist)) - 1
-        codes.append(best.cast("short"))
-    return corpus.select("doc_id", F.array(*codes).alias("codes"))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.vstack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
+            if rotation is not None:
+                x = x @ rotation
+            codes = np.empty((len(x), len(books)), dtype=np.int16)
+            recon = np.empty_like(x)
+            for m, b in enumerate(books):
+                xs = x[:, m * sub:(m + 1) * sub]
+                d2 = (xs * xs).sum(1)[:, None] - 2 * xs @ b.T + (b * b).sum(1)[None, :]
+                c = d2.argmin(axis=1)
+                codes[:, m] = c
+                recon[:, m * sub:(m + 1) * sub] = b[c]
+            out = {id_col: pdf[id_col], "codes": list(codes)}
+            if decode:
+                out["embedding"] = list(recon)
+            yield pd.DataFrame(out)
+
+    schema = f"{id_col} {dict(df.dtypes)[id_col]}, codes array<smallint>"
+    if decode:
+        schema += ", embedding array<double>"
+    return df.select(id_col, "embedding").mapInPandas(run, schema)
+
+
+def pq_encode(corpus: DataFrame, books: list[np.ndarray]) -> DataFrame:
+    """Nearest centroid per sub-vector -> ``doc_id, codes``."""
+    return _pq_apply(corpus, books, "doc_id", decode=False)
+
+
+def pq_decode(codes_and_vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
+    """``doc_id, embedding`` reconstructed from the codebooks."""
+    return _pq_apply(codes_and_vectors, books, "doc_id", decode=True).drop("codes")
+
+
+def rotate(df: DataFrame, rotation: np.ndarray, id_col: str) -> DataFrame:
+    """``x R`` with numpy inside the partition (R is d x d)."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.vstack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
+            yield pd.DataFrame({id_col: pdf[id_col], "embedding": list(x @ rotation)})
+    return df.select(id_col, "embedding").mapInPandas(
+        run, f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<double>")
 
 
 def pq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits: int = 8,
               seed: int = 42) -> DataFrame:
-    books = pq_codebooks(corpus, n_sub, n_bits, seed)
-    codes = pq_encode(corpus, books)
-    flat = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for b in books for row in b])
-    n_c = books[0].shape[0]
-    decoded = codes.select("doc_id", F.flatten(F.transform(
-        "codes", lambda c, m: F.element_at(flat, (m * n_c + c + 1).cast("int")))).alias("embedding"))
-    return knn(queries, decoded, k, "dot")
+    base = cut_lineage(corpus.select("doc_id", "embedding"), "pq_input")
+    books = pq_codebooks(base, n_sub, n_bits, seed)
+    return knn(queries, pq_decode(base, books), k, "dot")
 
 
 # ------------------------------------------------------------------ LSH
@@ -265,26 +303,20 @@ def opq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits
     """Product quantisation after a learned orthogonal rotation (V5):
     alternate PQ training in the rotated space with the orthogonal
     Procrustes update ``R = U V^T`` from the SVD of ``X^T Y`` (X the
-    vectors, Y their PQ reconstructions).  Only the d x d rotation and the
-    codebooks are driver-side; both are model-sized."""
-    from .encode import project  # noqa: PLC0415
+    vectors, Y their PQ reconstructions in the rotated space).  Only the
+    d x d rotation and the codebooks are driver-side; each rotated corpus is
+    written once to the checkpoint folder and read by the KMeans fits."""
     dim = corpus.select(F.size("embedding")).first()[0]
     rot = np.eye(dim)
-    base = corpus.select("doc_id", "embedding")
+    base = cut_lineage(corpus.select("doc_id", "embedding"), "opq_input")
     for _ in range(n_iter):
-        rotated = project(base, rot)
+        rotated = cut_lineage(rotate(base, rot, "doc_id"), "opq_rotated")
         books = pq_codebooks(rotated, n_sub, n_bits, seed, max_iter)
-        flat = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for b in books for row in b])
-        n_c = books[0].shape[0]
-        recon = pq_encode(rotated, books).select("doc_id", F.flatten(F.transform(
-            "codes", lambda c, m: F.element_at(flat, (m * n_c + c + 1).cast("int")))).alias("y"))
+        recon = pq_decode(rotated, books).withColumnRenamed("embedding", "y")
         pairs = base.join(recon, "doc_id").select(F.col("embedding").alias("x"), "y")
         u, _, vt = np.linalg.svd(cross_covariance(pairs, "x", "y", dim))
         rot = u @ vt
-    rotated = project(base, rot)
+    rotated = cut_lineage(rotate(base, rot, "doc_id"), "opq_rotated")
     books = pq_codebooks(rotated, n_sub, n_bits, seed, max_iter)
-    flat = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for b in books for row in b])
-    n_c = books[0].shape[0]
-    decoded = pq_encode(rotated, books).select("doc_id", F.flatten(F.transform(
-        "codes", lambda c, m: F.element_at(flat, (m * n_c + c + 1).cast("int")))).alias("embedding"))
-    return knn(project(queries.select("query_id", "embedding"), rot), decoded, k, "dot")
+    return knn(rotate(queries.select("query_id", "embedding"), rot, "query_id"),
+               pq_decode(rotated, books), k, "dot")
