@@ -63,9 +63,30 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _STAGE_TABLES.append(path)
     return spark.read.parquet(path)
 
 
+_STAGE_TABLES: list[str] = []
+
+
+def drop_stage_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote with
+    :func:`cut_lineage` (through the Hadoop FileSystem API, so it works on
+    any shared store).  Call once the results that read them are written.
+    Returns the number of tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _STAGE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGE_TABLES.pop())
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            fs.delete(path, True)
+            removed += 1
+    return removed
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows.  Reads at most limit+1
     rows, so the check itself stays bounded."""

@@ -14,4 +14,6 @@ def spark():
     from tessera.session import local_session
     s = local_session(cores="*", shuffle_partitions=8, app="tessera-tests")
     yield s
+    from tessera.session import drop_stage_tables
+    drop_stage_tables(s)
     s.stop()

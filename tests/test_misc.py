@@ -72,3 +72,13 @@ def test_eval_instruction_lookup(spark):
     bad = spark.createDataFrame([("Retrieval", "Nope")], "task_type string, task_name string")
     with pytest.raises(Exception):
         EI.with_eval_instruction(bad, spark).collect()
+
+
+def test_stage_tables_are_shared_folder_parquet_and_removable(spark):
+    import os
+    from tessera.session import cut_lineage, drop_stage_tables, ensure_checkpoint_dir
+    t = cut_lineage(spark.range(5), "probe")
+    path = t.inputFiles()[0]
+    assert ensure_checkpoint_dir(spark).rstrip("/").split(":")[-1] in path and t.count() == 5
+    assert drop_stage_tables(spark) >= 1
+    assert not os.path.exists(path.replace("file:", ""))
