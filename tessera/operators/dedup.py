@@ -59,8 +59,10 @@ def near_duplicate_stats(df: DataFrame, id_col: str, text_col: str = "text",
     (``rep_id``).  ``rep_id == id`` marks the row a dedup pass keeps."""
     rows = cut_lineage(fingerprint(df.select(id_col, text_col), text_col)
                        .select(id_col, "fp"), "fingerprints")
-    per_fp = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"),
-                                    F.min(id_col).alias("min_id"))
+    # one row per distinct fingerprint (partial aggregation collapses copies);
+    # it feeds both join sides and the neighbourhood join, so write it once
+    per_fp = cut_lineage(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"),
+                                                F.min(id_col).alias("min_id")), "fingerprint_counts")
     fps = per_fp.select("fp")
     pairs = near_fingerprint_pairs(fps, fps, k, n_blocks, include_self=True)
     hood = (
