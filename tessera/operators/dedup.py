@@ -93,21 +93,28 @@ def split_lines(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     )
 
 
+def test_fingerprints(test: DataFrame, test_keys: list[str], test_text: str = "query") -> DataFrame:
+    """Fingerprints of the test queries (``test_keys + fp``), written once;
+    items whose cleaned text is empty are skipped (they are not test
+    queries).  Reusable across calls, e.g. for every streaming micro-batch."""
+    return cut_lineage(
+        spread(test.select(*test_keys, clean_query(F.col(test_text)).alias("_q")))
+        .where(F.col("_q") != "")
+        .withColumn("fp", simhash64(F.col("_q")))
+        .select(*test_keys, "fp"), "test_fingerprints")
+
+
 def contamination_matches(train: DataFrame, test: DataFrame, train_keys: list[str],
                           test_keys: list[str], train_text: str = "query",
                           test_text: str = "query", k: int = 2,
-                          n_blocks: int | None = None) -> DataFrame:
+                          n_blocks: int | None = None,
+                          test_fps: DataFrame | None = None) -> DataFrame:
     """Flat (train row, test item) pairs whose cleaned texts are within ``k``
-    bits.  Test items whose cleaned text is empty are skipped (they are not
-    test queries).  Returns ``train_keys + test_keys + distance``."""
+    bits.  Returns ``train_keys + test_keys + distance``.  ``test_fps``
+    (from :func:`test_fingerprints`) skips re-fingerprinting the test side."""
     tr = cut_lineage(fingerprint(train.select(*train_keys, train_text), train_text)
                      .select(*train_keys, "fp"), "train_fingerprints")
-    te = cut_lineage(
-        spread(test.select(*test_keys, clean_query(F.col(test_text)).alias("_q")))
-        .where(F.col("_q") != "")
-        .withColumn("fp", simhash64(F.col("_q")))
-        .select(*test_keys, "fp"), "test_fingerprints"
-    )
+    te = test_fps if test_fps is not None else test_fingerprints(test, test_keys, test_text)
     pairs = near_fingerprint_pairs(tr.select("fp").distinct(), te.select("fp").distinct(),
                                    k, n_blocks)
     test_hits = te.withColumnRenamed("fp", "fp_r").join(pairs, "fp_r")
@@ -121,7 +128,8 @@ def contamination_matches(train: DataFrame, test: DataFrame, train_keys: list[st
 def decontaminate(train: DataFrame, test: DataFrame, train_keys: list[str],
                   test_keys: list[str], train_text: str = "query",
                   test_text: str = "query", k: int = 2,
-                  test_payload: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                  test_payload: list[str] | None = None,
+                  test_fps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Split ``train`` into (clean rows, duplicates report).
 
     Clean rows are returned whole and unchanged.  The report has one row per
@@ -129,7 +137,7 @@ def decontaminate(train: DataFrame, test: DataFrame, train_keys: list[str],
     structs of ``test_keys + test_payload``), ordered by test key.
     """
     matches = contamination_matches(train, test, train_keys, test_keys,
-                                    train_text, test_text, k)
+                                    train_text, test_text, k, test_fps=test_fps)
     matches = cut_lineage(matches, "contamination_matches")
     flagged = matches.select(*train_keys).distinct()
     # contaminated rows are few: a size-checked broadcast keeps the (large)

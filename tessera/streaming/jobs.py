@@ -34,9 +34,12 @@ def decontaminate_stream(stream: DataFrame, test: DataFrame, clean_path: str, re
     test queries); each micro-batch is split with the batch operator and
     appended to the two Parquet sinks.  Returns the StreamingQuery."""
 
+    # the static side is fingerprinted once, not per micro-batch
+    test_fps = dedup.test_fingerprints(test, test_keys, test_text)
+
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         clean, report = dedup.decontaminate(batch, test, train_keys, test_keys,
-                                            train_text, test_text, k)
+                                            train_text, test_text, k, test_fps=test_fps)
         clean.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(clean_path)
         report.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(report_path)
 
