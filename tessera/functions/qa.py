@@ -55,7 +55,9 @@ def token_spans(text: Column) -> Column:
 
 
 def ngrams(w: Column, n: int) -> Column:
-    """All n-grams of length 1..n, start-major order, space-joined (F33)."""
+    """All n-grams of length 1..n, start-major order, space-joined (F33).
+    Pass a column reference for ``w``: an expression used inside the
+    lambdas would be re-evaluated for every n-gram."""
     size = F.size(w)
     grams = F.flatten(F.transform(
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),

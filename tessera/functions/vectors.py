@@ -19,9 +19,11 @@ def sq_norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = EPS) -> Column:
-    """x / max(||x||, eps): a zero vector stays zero (no NaN)."""
+    """x / max(||x||, eps): a zero vector stays zero (no NaN).  The norm is
+    passed in as an array argument so it is computed once per row (an outer
+    expression referenced inside a lambda is re-evaluated per element)."""
     norm = F.greatest(F.sqrt(sq_norm(a)), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / norm)
+    return F.zip_with(a, F.array_repeat(norm, F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,11 +51,12 @@ def signs(a: Column, threshold: float = 0.0) -> Column:
 
 
 def unpack_signs(words: Column, dim: int) -> Column:
-    """Packed bits -> +1/-1 DOUBLE vector of length ``dim``."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: (F.call_function("shiftright", F.element_at(words, (i / 64).cast("int") + 1), i % 64)
-                   .bitwiseAND(F.lit(1)) * 2 - 1).cast("double"))
+    """Packed bits -> +1/-1 DOUBLE vector of length ``dim`` (the lambdas
+    only touch their own variables, so ``words`` is evaluated once)."""
+    return F.slice(F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(0), F.lit(63)),
+        lambda j: (F.call_function("shiftright", w, j).bitwiseAND(F.lit(1)) * 2 - 1).cast("double")))),
+        1, dim)
 
 
 def hamming_words(a: Column, b: Column) -> Column:

@@ -38,8 +38,8 @@ SELECT item_id, len(g)::BIGINT AS n_grams, md5(array_to_string(g, chr(1))) AS gr
   FROM w)
 """)
 def ngrams(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    g = qa.ngrams(qa.words(F.col("text")), 2)
+    b = table(spark, sf_dir, "benchmark").select("item_id", qa.words(F.col("text")).alias("w"))
+    g = qa.ngrams(F.col("w"), 2)
     return b.select("item_id", F.size(g).cast("long").alias("n_grams"),
                     F.md5(F.array_join(g, qa.SENTINEL)).alias("grams_md5"))
 
