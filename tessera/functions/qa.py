@@ -21,7 +21,7 @@ SENTINEL = "\u0001"
 def nfd(texts: pd.Series) -> pd.Series:
     """Unicode canonical decomposition (no Spark built-in; a tiny per-row
     C-library call inside an Arrow batch)."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFD", t))
+    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t))
 
 
 def tokens(text: Column) -> Column:
