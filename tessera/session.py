@@ -39,17 +39,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (HDFS/S3/...) folder and is used
-    as is.  Only when it is unset (tests, local bench) do we create one.
+    A folder the user set with ``setCheckpointDir`` wins, then the setting,
+    which on a cluster names a shared (HDFS/S3/...) folder.  Only a local
+    session (one JVM, so a local folder *is* shared) may run without either;
+    on a cluster that is an error, never a silent machine-local folder.
     """
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = path.get() if path.isDefined() else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="tessera-ckpt-")
+    sc.setCheckpointDir(path)
     return path
 
 
