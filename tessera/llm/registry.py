@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, substring
 from .common import read_table
 
 
@@ -60,6 +60,11 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM ta
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_packing": (op2_packing, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
+    "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
 
