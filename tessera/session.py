@@ -64,13 +64,19 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     later plan reads a columnar table, and a lost executor only re-reads
     files instead of recomputing the lineage.  Never machine-local."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = stage_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _STAGE_TABLES.append(path)
     return spark.read.parquet(path)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, noted for
+    :func:`drop_stage_tables`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    _STAGE_TABLES.append(path)
+    return path
+
+
 _STAGE_TABLES: list[str] = []
 
 
