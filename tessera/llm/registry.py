@@ -5,17 +5,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, substring
+from . import (
+    exact_dedup,
+    language,
+    mixing,
+    near_dedup,
+    packing,
+    quality,
+    substring,
+    toxicity,
+    vector_dedup,
+    wavelet,
+)
 from .common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_text_model(read_table(spark, sf_dir, "documents"))
+    return language.identify(read_table(spark, sf_dir, "pages"), model)
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(read_table(spark, sf_dir, "documents"),
+                              public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(read_table(spark, sf_dir, "documents")) \
         .select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -79,7 +117,13 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_quality": (op1_quality, None),
     "op2_packing": (op2_packing, None),
+    "op3_language": (op3_language, None),
+    "op4_near_dedup": (op4_near_dedup, None),
+    "op5_toxicity": (op5_toxicity, None),
+    "op6_wavelet": (op6_wavelet, None),
+    "op7_vector_dedup": (op7_vector_dedup, None),
     "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
