@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import join_small
 
@@ -132,7 +133,7 @@ def text_evidence(df: DataFrame, model: TextModel, text_col: str, keep: tuple, i
     """The ``keep`` columns and ``evidence``: an array with the text's log
     likelihood for each language of the model."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.select(*keep).schema.add("evidence", "array<double>")
+    schema = df.select(*keep).schema.add("evidence", T.ArrayType(T.DoubleType()))
 
     def run(batches):
         own = shared.value
@@ -216,7 +217,7 @@ def identify(pages: DataFrame, model: TextModel, concentration: float = 8.0, smo
 
     placed = placed.withColumn("g", level("n_all", None)).withColumn("d", level("n_domain", F.col("g"))) \
         .withColumn("h", level("n_host", F.col("d")))
-    final = placed.withColumn("r", softmax(add(F.col("local"), F.transform("h", F.log))))
+    final = placed.withColumn("r", softmax(add(F.col("local"), F.transform("h", lambda x: F.log(x)))))
     names = F.array(*[F.lit(x) for x in model.languages])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
     return final.select("page_id", best(F.col("r")).alias("lang"), F.array_max("r").alias("confidence"),

@@ -93,7 +93,7 @@ def screened(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int, t
 
 
 def one_pass(model: Model, state: list[np.ndarray], docs: list[np.ndarray], y: np.ndarray,
-             rate: float, decay: float, batch: int = 128) -> None:
+             rate: float, decay: float, batch: int = 32) -> None:
     """Adaptive gradient steps over ``docs`` (places of their terms) in the
     given order; changes ``model`` and ``state`` (sums of squared gradients)."""
     size = len(model.weights)
@@ -194,13 +194,15 @@ def _round(model: Model, state: list[np.ndarray], rate: float, decay: float):
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", factors: int = 4,
-        terms: int = 1 << 14, rounds: int = 4, shards: int = 12, rate: float = 0.1,
+        terms: int = 1 << 14, rounds: int = 4, shards: int = 12, steps: int = 200, rate: float = 0.1,
         decay: float = 1e-4, seed: int = 0) -> Model:
     """Fits the machine on all rows of ``labelled``; rows without a label are
-    left out.  Without a single row the model scores every text 0.
+    left out.  Without a positive row the model scores every text 0.
 
-    The driver sees ``shards`` count tables of 2^BITS terms and, each round,
-    ``shards`` models of ``terms`` terms, whatever the number of rows.
+    Few rows make fewer shards and more rounds, so that every shard makes
+    some ``steps`` steps in all.  The driver sees ``shards`` count tables of
+    2^BITS terms and, each round, ``shards`` models of ``terms`` terms at
+    most, whatever the number of rows.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("binary").alias("text"))
@@ -215,11 +217,15 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     place = screened(total[1], total[0], n_positive, n, terms)
     size = int((place >= 0).sum())
     rng = np.random.default_rng(seed)
-    model = Model(place, 0.0 if n_positive else -40.0, np.zeros(size), rng.normal(0, 0.01, (size, factors)))
+    base = float(np.log((n_positive + 0.5) / (n - n_positive + 0.5))) if n_positive else -40.0
+    model = Model(place, base, np.zeros(size), rng.normal(0, 0.01, (size, factors)))
+    shards = min(shards, n // 1000 + 1)
+    rounds = max(rounds, min(30, -(-steps * 32 * shards // max(n, 1))))
     if not n_positive or not size:
         return model
     state = [np.full(size, 1e-2), np.full((size, factors), 1e-2), np.full(1, 1e-2)]
-    rows = stage(rows.mapInArrow(_screen(place), "shard int, label int, terms binary"), "screened")
+    rows = stage(rows.mapInArrow(_screen(place), "shard int, label int, terms binary")
+                 .withColumn("shard", F.pmod("shard", F.lit(shards))), "screened")
     cuts = np.cumsum([1, size, size * factors, size, size * factors])
     for k in range(rounds):
         shuffled = F.xxhash64(F.lit(seed + k), "terms", "label")
