@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,15 +81,15 @@ def stage_path(spark: SparkSession, name: str) -> str:
 _STAGE_TABLES: list[str] = []
 
 
-def drop_stage_tables(spark: SparkSession) -> int:
+def drop_stage_tables(spark: SparkSession, since: int = 0) -> int:
     """Delete the intermediate tables this process wrote with
     :func:`cut_lineage` (through the Hadoop FileSystem API, so it works on
-    any shared store).  Call once the results that read them are written.
-    Returns the number of tables removed."""
+    any shared store), oldest ``since`` ones excepted.  Call once the results
+    that read them are written.  Returns the number of tables removed."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
-    while _STAGE_TABLES:
+    while len(_STAGE_TABLES) > since:
         path = jvm.org.apache.hadoop.fs.Path(_STAGE_TABLES.pop())
         fs = path.getFileSystem(conf)
         if fs.exists(path):
@@ -97,6 +98,17 @@ def drop_stage_tables(spark: SparkSession) -> int:
     return removed
 
 
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Intermediate tables written inside the ``with`` block are dropped at
+    its end, so a job that writes its result in there leaves none behind."""
+    since = len(_STAGE_TABLES)
+    try:
+        yield
+    finally:
+        drop_stage_tables(spark, since)
+
+
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows.  Reads at most limit+1
     rows, so the check itself stays bounded."""

@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.schedule import rename_metric_key
 from ..operators import dedup
+from ..session import stage_scope
 
 
 # ------------------------------------------------------------------ ST1
@@ -32,16 +33,19 @@ def decontaminate_stream(stream: DataFrame, test: DataFrame, clean_path: str, re
                          trigger_once: bool = False):
     """Start the incremental decontamination query.  ``test`` is static (the
     test queries); each micro-batch is split with the batch operator and
-    appended to the two Parquet sinks.  Returns the StreamingQuery."""
+    written to its own ``_epoch=N`` folder of the two Parquet sinks.  A replay
+    of a micro-batch replaces what the interrupted try left, and the batch's
+    intermediate tables are dropped.  Returns the StreamingQuery."""
 
     # the static side is fingerprinted once, not per micro-batch
     test_fps = dedup.test_fingerprints(test, test_keys, test_text)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        clean, report = dedup.decontaminate(batch, test, train_keys, test_keys,
-                                            train_text, test_text, k, test_fps=test_fps)
-        clean.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(clean_path)
-        report.withColumn("_epoch", F.lit(epoch_id)).write.mode("append").parquet(report_path)
+        with stage_scope(batch.sparkSession):
+            clean, report = dedup.decontaminate(batch, test, train_keys, test_keys,
+                                                train_text, test_text, k, test_fps=test_fps)
+            clean.write.mode("overwrite").parquet(f"{clean_path}/_epoch={epoch_id}")
+            report.write.mode("overwrite").parquet(f"{report_path}/_epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     if trigger_once:
@@ -52,18 +56,12 @@ def decontaminate_stream(stream: DataFrame, test: DataFrame, clean_path: str, re
 # ------------------------------------------------------------------ ST2
 
 def loss_rollup(rows: DataFrame, window: str = "1 day", ts: str = "ts",
-                domain: str = "domain", value: str = "loss", cap: int | None = None) -> DataFrame:
-    """Per (window, domain): mean loss and count, the metric key renamed
-    to its logging name and rounded to 6 digits unless the key holds
-    ``lr`` (A11, F26, F28).  ``cap`` keeps at most the first ``cap`` values
-    of a key per window (batch only)."""
-    r = rows
-    if cap is not None:
-        from pyspark.sql import Window
-        w = Window.partitionBy(F.window(ts, window), domain).orderBy(ts)
-        r = r.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+                domain: str = "domain", value: str = "loss") -> DataFrame:
+    """Per (window, domain): mean loss and count over all rows, the metric
+    key renamed to its logging name and rounded to 6 digits unless the key
+    holds ``lr`` (A11, F26, F28)."""
     key = rename_metric_key(F.concat(F.col(domain), F.lit("_loss")))
-    g = (r.groupBy(F.window(ts, window).alias("w"), F.col(domain))
+    g = (rows.groupBy(F.window(ts, window).alias("w"), F.col(domain))
          .agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")))
     return g.select(F.col("w.start").alias("window_start"), F.col(domain).alias("domain"),
                     key.alias("key"),
@@ -84,7 +82,8 @@ def loss_rollup_stream(stream: DataFrame, window: str = "1 day", watermark: str
 
 # ------------------------------------------------------------------ ST3
 
-WEIGHT_STATE = "log_alpha array<double>, mean array<double>, ema array<double>, count long, last_step long"
+WEIGHT_STATE = ("log_alpha array<double>, mean array<double>, ema array<double>, count long, last_step long, "
+                "open_steps array<long>, open_domains array<string>, open_grads array<double>")
 WEIGHT_OUT = ("run_id string, step long, domain string, log_alpha double, alpha double, "
               "alpha_mean double, alpha_ema double")
 
@@ -93,40 +92,54 @@ def online_weights_stream(grads: DataFrame, domains: list[str], lr: float, beta:
     """Per-run online SGD ascent of the group weights over a stream of
     per-step group gradients ``run_id, step, domain, grad`` (one row per
     step and domain, e.g. from :func:`tessera.operators.dro.group_gradient`
-    run per micro-batch).  Steps of a run are applied in order; a step at
-    or before the last applied one is ignored (idempotent replays)."""
+    run per micro-batch).
+
+    A step is applied once all its domains have arrived, in whichever
+    micro-batches they come; until then its rows wait in the state, and so
+    do later steps, because a run's steps are applied in order.  A row that
+    repeats a domain of a waiting step, or belongs to an applied step, is a
+    replay and is ignored."""
     n = len(domains)
     pos = {d: i for i, d in enumerate(domains)}
     init = math.log(1.0 / n)
 
     def update(key, pdfs, state):
         run_id = key[0]
+        waiting: dict[int, dict[str, float]] = {}
         if state.exists:
-            la, mean, ema, count, last = state.get
+            la, mean, ema, count, last, steps, names, values = state.get
             la, mean, ema = np.array(la), np.array(mean), np.array(ema)
+            for s, d, v in zip(steps, names, values):
+                waiting.setdefault(s, {})[d] = v
         else:
             la = np.full(n, init)
             mean = np.full(n, 1.0 / n)
             ema = np.full(n, 1.0 / n)
             count, last = 0, -1
-        pdf = pd.concat(list(pdfs))
+        for pdf in pdfs:
+            for s, d, v in zip(pdf["step"].tolist(), pdf["domain"].tolist(), pdf["grad"].tolist()):
+                if s > last:
+                    waiting.setdefault(s, {}).setdefault(d, v)
         out = []
-        for step, g in pdf.sort_values("step").groupby("step", sort=True):
-            if step <= last:
-                continue
+        for s in sorted(waiting):
+            if len(waiting[s]) < n:
+                break
+            got = waiting.pop(s)
             grad = np.zeros(n)
-            for d, v in zip(g["domain"], g["grad"]):
-                grad[pos[d]] += v
+            for d, v in got.items():
+                grad[pos[d]] = v
             la = la + lr * grad
             e = np.exp(la - la.max())
             alpha = e / e.sum()
             mean = (mean * count + alpha) / (count + 1)
             ema = ema * (1 - beta) + alpha * beta
             count += 1
-            last = int(step)
+            last = int(s)
             for d, i in pos.items():
                 out.append((run_id, last, d, la[i], alpha[i], mean[i], ema[i]))
-        state.update((la.tolist(), mean.tolist(), ema.tolist(), count, last))
+        held = [(s, d, v) for s in sorted(waiting) for d, v in waiting[s].items()]
+        state.update((la.tolist(), mean.tolist(), ema.tolist(), count, last,
+                      [h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
         yield pd.DataFrame(out, columns=["run_id", "step", "domain", "log_alpha", "alpha",
                                          "alpha_mean", "alpha_ema"])
 

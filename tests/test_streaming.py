@@ -76,3 +76,55 @@ def test_decontaminate_stream(spark):
     assert [r.query_id for r in spark.read.parquet(os.path.join(d, "clean")).collect()] == ["b"]
     rep = spark.read.parquet(os.path.join(d, "report")).collect()
     assert [(r.query_id, [x.test_id for x in r.test_dups]) for r in rep] == [("a", ["t1"])]
+
+
+def test_decontaminate_stream_replay_leaves_one_copy(spark):
+    """A micro-batch run again after an interrupted write replaces its rows,
+    and no intermediate table stays."""
+    from tessera import session
+    d = _tmp()
+    os.makedirs(os.path.join(d, "in"))
+    with open(os.path.join(d, "in", "part1.jsonl"), "w") as f:
+        f.write(json.dumps({"query_id": "b", "query": "unrelated training text"}) + "\n")
+    test = spark.createDataFrame([("t1", "the quick brown fox jumps")], "test_id string, query string")
+    for attempt in ("ck1", "ck2"):  # a lost checkpoint replays epoch 0
+        stream = spark.readStream.schema("query_id string, query string").json(os.path.join(d, "in"))
+        before = len(session._STAGE_TABLES)
+        q = jobs.decontaminate_stream(stream, test, os.path.join(d, "clean"), os.path.join(d, "report"),
+                                      os.path.join(d, attempt), ["query_id"], ["test_id"], trigger_once=True)
+        q.awaitTermination(120)
+        assert len(session._STAGE_TABLES) == before + 1  # the static side's fingerprints
+    assert [r.query_id for r in spark.read.parquet(os.path.join(d, "clean")).collect()] == ["b"]
+
+
+def test_online_weights_wait_for_the_whole_step(spark):
+    """A step split over micro-batches is applied once, when it is complete."""
+    d = _tmp()
+    schema = "run_id string, step long, domain string, grad double"
+    parts = [[("r", 0, "a", 0.5)], [("r", 1, "a", 0.1), ("r", 1, "b", 0.2)],
+             [("r", 0, "b", -0.5), ("r", 0, "a", 9.0)], [("r", 1, "b", 7.0), ("r", 2, "a", 1.0)], [("r", 2, "b", 1.0)]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(d, "in"))
+    q = (jobs.online_weights_stream(stream, ["a", "b"], lr=0.5).writeStream
+         .outputMode("append").format("memory").queryName("weights_split")
+         .option("checkpointLocation", os.path.join(d, "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.step, r.domain): r.log_alpha for r in spark.table("weights_split").collect()}
+    init = {x: 0.5 for x in "ab"}
+    whole = spark.createDataFrame([("r", 0, "a", 0.5), ("r", 0, "b", -0.5), ("r", 1, "a", 0.1), ("r", 1, "b", 0.2),
+                                   ("r", 2, "a", 1.0), ("r", 2, "b", 1.0)], schema)
+    want = {(r.step, r.domain): r.log_alpha
+            for r in dro.sgd_weights(dro.with_lr(whole, 0.5), init).collect()}
+    assert got.keys() == want.keys() and len(got) == 6
+    for k in want:
+        assert got[k] == pytest.approx(want[k])
+
+
+def test_loss_rollup_counts_every_row(spark):
+    """More than 5,000 rows of one domain in one window all count."""
+    rows = spark.range(12_000).select(F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"),
+                                      F.lit("a").alias("domain"), F.col("id").cast("double").alias("loss"))
+    r = jobs.loss_rollup(rows).first()
+    assert r.n == 12_000 and r.value == pytest.approx(5999.5)
