@@ -1,322 +1,310 @@
 """Compressed and approximate vector search.
 
-* ``sq8``: per-dimension min/max scalar quantisation to 8-bit codes; the
-  search runs on the decoded vectors with the exact kernel (V3).
-* ``pca_search``: ``pyspark.ml`` PCA projection (optional eigenvalue
-  power scaling) then exact search in the reduced space (V6).
-* ``pq_codebooks`` / ``pq_search``: product quantisation with one
-  ``pyspark.ml`` KMeans per sub-vector; documents are stored as centroid
-  codes and scored asymmetrically (query . centroid per sub-space), which
-  equals the query . decoded-vector product (V4).
-* ``lsh_search``: random-hyperplane LSH (sign-bit keys, AND/OR
-  amplified) as an equi join on (table, key), reranked exactly (V7);
-  ``brp_lsh_search`` is the ``pyspark.ml`` random-projection variant over
-  MIPS-augmented vectors.  Recall against the exact search is reported by
-  :func:`recall_at_k`.
-
-Codebooks, PCA matrices and min/max vectors are O(dim) or
-O(dim x 2^bits) in size — bounded by the model, not by the data — so they
-are the only things broadcast.
+* scalar quantisation, 8 bits or half precision (V3): one code a dimension;
+* PCA reduction with mean centring, eigenvalue scaling and an optional random
+  rotation (V6);
+* product quantisation (V4), also behind a learned rotation (V5): documents
+  are stored as centroid numbers and scored by table lookup;
+* inverted lists and hyperplane hashing (V7): documents sharing a cell with
+  the query are scored exactly.
+
+Codebooks, centroids and rotations are fitted with numpy on at most
+``fit_rows`` vectors, chosen by a hash of the id: a documented bound, so what
+is fitted is the same on every run and never grows with the corpus.  Every
+document is indexed.  Lossy codes find ``refine`` candidates a query, which
+the exact product reorders.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
-from ..session import cut_lineage
-from .search import _final_topk, cell_topk, knn
+from .search import Dot, cell_topk, float_type, pack, rerank, top_k
+
+#: Most vectors that a codebook or a rotation is fitted on.
+FIT_ROWS = 65_536
+
+
+def fit_sample(corpus: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
+    """At most ``fit_rows`` vectors, those whose ids hash lowest."""
+    rows = corpus.where(F.col("embedding").isNotNull()).select(
+        F.xxhash64("doc_id").alias("h"), F.col("embedding").cast("array<double>").alias("v")) \
+        .orderBy("h").limit(fit_rows).select("v").toArrow()
+    return np.array(rows["v"].to_pylist(), dtype=np.float64)
+
+
+def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 20) -> np.ndarray:
+    """Lloyd's algorithm from ``k`` distinct points picked by distance; a
+    sample with fewer distinct points gives those."""
+    points = np.unique(x, axis=0)
+    if len(points) <= k:
+        return points
+    rng = np.random.default_rng(seed)
+    centres = [points[rng.integers(len(points))]]
+    near = ((points - centres[0]) ** 2).sum(1)
+    for _ in range(k - 1):
+        centres.append(points[rng.choice(len(points), p=near / near.sum())])
+        near = np.minimum(near, ((points - centres[-1]) ** 2).sum(1))
+    centres = np.array(centres)
+    for _ in range(rounds):
+        at = nearest(x, centres)
+        n = np.bincount(at, minlength=k)
+        sums = np.stack([np.bincount(at, x[:, j], k) for j in range(x.shape[1])], axis=1)
+        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        if np.allclose(new, centres):
+            break
+        centres = new
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre; ties take the smaller number."""
+    half = (centres * centres).sum(1) / 2
+    return np.concatenate([(half - x[i:i + 8192] @ centres.T).argmin(axis=1) for i in range(0, len(x), 8192)]) \
+        if len(x) else np.empty(0, np.int64)
 
 
-# ------------------------------------------------------------------ SQ8
+def recall_at_k(approx: DataFrame, exact: DataFrame) -> float:
+    """Fraction of exact top-k pairs found by the approximate run."""
+    hit = exact.join(approx.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").count()
+    return hit / max(1, exact.count())
 
-def sq_ranges(corpus: DataFrame, vec: str = "embedding") -> DataFrame:
-    """One row: per-dimension ``vmin`` and ``vdiff`` arrays (partial
-    aggregation per dimension after a posexplode; d groups)."""
-    per_dim = (corpus.select(F.posexplode(vec).alias("i", "x"))
-               .groupBy("i").agg(F.min("x").cast("double").alias("mn"),
-                                 F.max("x").cast("double").alias("mx")))
-    return per_dim.agg(F.array_sort(F.collect_list(F.struct("i", "mn", "mx"))).alias("r")).select(
-        F.transform("r", lambda s: s["mn"]).alias("vmin"),
-        F.transform("r", lambda s: s["mx"] - s["mn"]).alias("vdiff"))
 
+# ------------------------------------------------------------------ scalar codes
 
-def sq8_encode(corpus: DataFrame, ranges: DataFrame, vec: str = "embedding") -> DataFrame:
-    """8-bit codes: ``int(255 * clamp((x - vmin) / vdiff, 0, 1))`` (0 for a
-    constant dimension)."""
-    # the ranges are one small row, used as a scalar subquery
-    j = corpus.withColumn("_r", ranges.select(F.struct("vmin", "vdiff")).scalar())
-    code = F.transform(F.col(vec), lambda x, i: F.when(
-        F.element_at("_r.vdiff", i + 1) > 0,
-        F.floor(255 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x.cast("double") - F.element_at("_r.vmin", i + 1))
-                                                   / F.element_at("_r.vdiff", i + 1))))).otherwise(0).cast("short"))
-    return j.withColumn("codes", code).drop("_r")
+def sq_ranges(corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest value and spread of every dimension over all documents; a
+    partition reports one pair of vectors."""
+    def run(batches):
+        lo = hi = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
+                lo = x.min(0) if lo is None else np.minimum(lo, x.min(0))
+                hi = x.max(0) if hi is None else np.maximum(hi, x.max(0))
+        if lo is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lo))), pa.array(lo), pa.array(hi)],
+                                             names=["i", "lo", "hi"])
 
+    rows = corpus.where(F.col("embedding").isNotNull()).select("embedding") \
+        .mapInArrow(run, "i long, lo double, hi double") \
+        .groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("i").collect()
+    lo, hi = (np.array([r[c] for r in rows]) for c in ("lo", "hi"))
+    return lo, hi - lo
 
-def sq8_decode(codes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``vmin + (code + 0.5) / 255 * vdiff``."""
-    r = codes.withColumn("_r", ranges.select(F.struct("vmin", "vdiff")).scalar())
-    dec = F.transform("codes", lambda c, i: F.element_at("_r.vmin", i + 1)
-                      + (c + 0.5) / 255.0 * F.element_at("_r.vdiff", i + 1))
-    return r.withColumn("embedding", dec).drop("_r", "codes")
 
+class ByteCodes(Dot):
+    """8-bit codes ``floor(255 * (x - lo) / spread)`` (0 in a constant
+    dimension), read as the middle of their step."""
 
-def sq8_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    ranges = sq_ranges(corpus)
-    decoded = sq8_decode(sq8_encode(corpus.select("doc_id", "embedding"), ranges), ranges)
-    return knn(queries, decoded, k, "dot")
+    def __init__(self, query_type: str, lo: np.ndarray, spread: np.ndarray):
+        super().__init__(query_type)
+        self.lo, self.spread = lo, spread
 
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        part = (x - self.lo) / np.where(self.spread > 0, self.spread, 1)
+        return np.where(self.spread > 0, np.floor(255 * np.clip(part, 0, 1)), 0).astype(np.uint8)
 
-# ------------------------------------------------------------------ PCA
-
-def pca_search(queries: DataFrame, corpus: DataFrame, k: int, out_dim: int,
-               eigen_power: float = 0.0) -> DataFrame:
-    """Fit PCA on the corpus, project both sides (optionally scaling
-    component i by eigenvalue_i ** eigen_power) and search exactly."""
-    c = corpus.select("doc_id", array_to_vector("embedding").alias("v"))
-    model = PCA(k=out_dim, inputCol="v", outputCol="p").fit(c)
-    scale = None
-    if eigen_power:
-        ev = np.asarray(model.explainedVariance.toArray())
-        scale = [float(x) for x in np.power(np.maximum(ev, 1e-12), eigen_power)]
-
-    def project(df: DataFrame, id_col: str) -> DataFrame:
-        p = model.transform(df.select(id_col, array_to_vector("embedding").alias("v")))
-        arr = vector_to_array("p")
-        if scale is not None:
-            arr = F.zip_with(arr, F.array(*[F.lit(s) for s in scale]), lambda a, b: a * b)
-        return p.select(id_col, arr.alias("embedding"))
-
-    return knn(project(queries, "query_id"), project(corpus, "doc_id"), k, "dot")
-
-
-# ------------------------------------------------------------------ PQ
-
-def pq_codebooks(corpus: DataFrame, n_sub: int, n_bits: int = 8, seed: int = 42,
-                 max_iter: int = 20) -> list[np.ndarray]:
-    """One KMeans codebook (``2**n_bits`` centroids) per contiguous
-    sub-vector.  Returns the small centroid matrices."""
-    dim = corpus.select(F.size("embedding")).first()[0]
-    if dim % n_sub:
-        raise ValueError("dimension must be divisible by the number of sub-vectors")
-    sub = dim // n_sub
-    books = []
-    for m in range(n_sub):
-        part = corpus.select(array_to_vector(F.slice("embedding", m * sub + 1, sub)).alias("features"))
-        km = KMeans(k=2 ** n_bits, seed=seed + m, maxIter=max_iter, initMode="k-means||")
-        books.append(np.array([c.tolist() for c in km.fit(part).clusterCenters()]))
-    return books
+    def docs(self, raw: list[bytes]) -> np.ndarray:
+        codes = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        return self.lo + (codes + 0.5) / 255 * self.spread
 
 
-def _pq_apply(df: DataFrame, books: list[np.ndarray], id_col: str, decode: bool,
-              rotation: np.ndarray | None = None) -> DataFrame:
-    """Nearest centroid per sub-vector as ``codes array<short>`` and, with
-    ``decode``, the reconstruction ``embedding`` — numpy inside the
-    partition; the codebooks (and optional rotation) are model-sized."""
-    sub = books[0].shape[1]
+def sq8_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Search in 8-bit codes (QT_8bit)."""
+    scorer = ByteCodes(float_type(queries, "embedding"), *sq_ranges(corpus))
+    return top_k(pack(queries, "query_id", "embedding"), pack(corpus, "doc_id", "embedding", scorer.encode),
+                 k, scorer).select("query_id", "doc_id", "score", "rank")
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
-            if rotation is not None:
-                x = x @ rotation
-            codes = np.empty((len(x), len(books)), dtype=np.int16)
-            recon = np.empty_like(x)
-            for m, b in enumerate(books):
-                xs = x[:, m * sub:(m + 1) * sub]
-                d2 = (xs * xs).sum(1)[:, None] - 2 * xs @ b.T + (b * b).sum(1)[None, :]
-                c = d2.argmin(axis=1)
-                codes[:, m] = c
-                recon[:, m * sub:(m + 1) * sub] = b[c]
-            out = {id_col: pdf[id_col], "codes": list(codes)}
-            if decode:
-                out["embedding"] = list(recon)
-            yield pd.DataFrame(out)
-
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, codes array<smallint>"
-    if decode:
-        schema += ", embedding array<double>"
-    return df.select(id_col, "embedding").mapInPandas(run, schema)
-
-
-def pq_encode(corpus: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """Nearest centroid per sub-vector -> ``doc_id, codes``."""
-    return _pq_apply(corpus, books, "doc_id", decode=False)
-
-
-def pq_decode(codes_and_vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
-    """``doc_id, embedding`` reconstructed from the codebooks."""
-    return _pq_apply(codes_and_vectors, books, "doc_id", decode=True).drop("codes")
-
-
-def rotate(df: DataFrame, rotation: np.ndarray, id_col: str) -> DataFrame:
-    """``x R`` with numpy inside the partition (R is d x d)."""
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)))
-            yield pd.DataFrame({id_col: pdf[id_col], "embedding": list(x @ rotation)})
-    return df.select(id_col, "embedding").mapInPandas(
-        run, f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<double>")
 
+def fp16_search(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Search in half-precision codes (QT_fp16, the usual default)."""
+    index = pack(corpus, "doc_id", "embedding", lambda x: x.astype("<f2"))
+    return top_k(pack(queries, "query_id", "embedding"), index, k,
+                 Dot(float_type(queries, "embedding"), "<f2")).select("query_id", "doc_id", "score", "rank")
 
-def pq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits: int = 8,
-              seed: int = 42) -> DataFrame:
-    base = cut_lineage(corpus.select("doc_id", "embedding"), "pq_input")
-    books = pq_codebooks(base, n_sub, n_bits, seed)
-    return knn(queries, pq_decode(base, books), k, "dot")
 
+# ------------------------------------------------------------------ PCA
 
-# ------------------------------------------------------------------ LSH
+def random_rotation(rows: int, cols: int, seed: int = 42) -> np.ndarray:
+    """A matrix with orthonormal rows or columns, whichever are fewer."""
+    n = max(rows, cols)
+    return np.linalg.qr(np.random.default_rng(seed).standard_normal((n, n)))[0][:rows, :cols]
+
+
+def pca_transform(corpus: DataFrame, out_dim: int, eigen_power: float = 0.0, rotate: bool = False,
+                  seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, matrix): ``(x - mean) @ matrix`` are the ``out_dim`` principal
+    components, each times its eigenvalue to the ``eigen_power``, rotated at
+    random where asked.  Fitted on all documents."""
+    v = corpus.where(F.col("embedding").isNotNull()).select(array_to_vector("embedding").alias("v"))
+    model = PCA(k=out_dim, inputCol="v", outputCol="p").fit(v)
+    stats = v.select(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("s")).select("s.*").first()
+    scale = np.maximum(np.asarray(model.explainedVariance.toArray()) * float(sum(stats["variance"])), 1e-12)
+    matrix = model.pc.toArray() * scale ** eigen_power
+    if rotate:
+        matrix = matrix @ random_rotation(out_dim, out_dim, seed)
+    return np.asarray(stats["mean"].toArray()), matrix
+
+
+def pca_search(queries: DataFrame, corpus: DataFrame, k: int, out_dim: int, eigen_power: float = 0.0,
+               rotate: bool = False, refine: int = 0, seed: int = 42) -> DataFrame:
+    """Search by the inner product of reduced vectors; with ``refine`` that
+    many candidates are reordered by the full vectors."""
+    mean, matrix = pca_transform(corpus, out_dim, eigen_power, rotate, seed)
+    reduce = lambda x: (x - mean) @ matrix
+    found = top_k(pack(queries, "query_id", "embedding", reduce), pack(corpus, "doc_id", "embedding", reduce),
+                  max(k, refine), Dot())
+    return rerank(found, queries, corpus, k) if refine else found.select("query_id", "doc_id", "score", "rank")
+
+
+# ------------------------------------------------------------------ product codes
+
+class ProductCodes:
+    """Centroid numbers per sub-vector.  A query's products with all
+    centroids form one table; a document's score is the sum of its entries.
+    ``rotation`` is applied to both sides first."""
+
+    second = False
+
+    def __init__(self, query_type: str, books: list[np.ndarray], rotation: np.ndarray | None = None):
+        self.float, self.books, self.rotation = Dot(query_type), books, rotation
+        self.cuts = np.cumsum([0, *(b.shape[1] for b in books)])
+
+    def _turn(self, x: np.ndarray) -> np.ndarray:
+        return x if self.rotation is None else x @ self.rotation
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        x = self._turn(x)
+        codes = np.stack([nearest(x[:, a:b], c) for a, b, c in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
+        return codes.astype("<u2")
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for, in the rotated space."""
+        return np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], axis=1)
+
+    def queries(self, raw: list[bytes]):
+        x = self._turn(self.float.queries(raw))
+        return tuple(x[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.books))
+
+    def docs(self, raw: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), -1)
+
+    def score(self, q, d: np.ndarray) -> np.ndarray:
+        out = q[0][:, d[:, 0]].copy()
+        for m in range(1, len(q)):
+            out += q[m][:, d[:, m]]
+        return out
+
+
+def pq_books(x: np.ndarray, n_sub: int, n_bits: int, seed: int = 42) -> list[np.ndarray]:
+    """A codebook of up to ``2**n_bits`` centroids for each of ``n_sub``
+    equal pieces of the dimensions."""
+    if x.shape[1] % n_sub:
+        raise ValueError("dimension must be divisible by the number of sub-vectors")
+    return [kmeans(part, 2 ** n_bits, seed + m) for m, part in enumerate(np.split(x, n_sub, axis=1))]
+
+
+def learned_rotation(x: np.ndarray, n_sub: int, n_bits: int, out_dim: int, rounds: int = 8,
+                     seed: int = 42) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rotation to ``out_dim`` dimensions and codebooks in it: codebooks for
+    the rotated sample and the best rotation onto its reconstruction (from
+    the singular vectors of their cross product) in turn."""
+    turn = random_rotation(x.shape[1], out_dim, seed)
+    books = pq_books(x @ turn, n_sub, n_bits, seed)
+    for _ in range(rounds):
+        codes = ProductCodes("<f8", books)
+        u, _, vt = np.linalg.svd(x.T @ codes.decode(codes.encode(x @ turn)), full_matrices=False)
+        turn = u @ vt
+        books = pq_books(x @ turn, n_sub, n_bits, seed)
+    return turn, books
+
+
+def pq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int = 96, n_bits: int = 8, refine: int = 0,
+              fit_rows: int = FIT_ROWS, seed: int = 42, books: list[np.ndarray] | None = None,
+              rotation: np.ndarray | None = None) -> DataFrame:
+    """Search in product codes.  ``books`` (and ``rotation``) fitted before
+    may be passed in."""
+    if books is None:
+        books = pq_books(fit_sample(corpus, fit_rows), n_sub, n_bits, seed)
+    scorer = ProductCodes(float_type(queries, "embedding"), books, rotation)
+    found = top_k(pack(queries, "query_id", "embedding"), pack(corpus, "doc_id", "embedding", scorer.encode),
+                  max(k, refine), scorer)
+    return rerank(found, queries, corpus, k) if refine else found.select("query_id", "doc_id", "score", "rank")
 
-def hyperplane_keys(df: DataFrame, planes: np.ndarray, n_tables: int, id_col: str,
-                    vec: str = "embedding") -> DataFrame:
-    """Per row: ``keys`` = one LONG per table packing the sign bits of the
-    row's projections on that table's hyperplanes (numpy inside the
-    partition; the planes are a small model-sized matrix)."""
-    bits_per = planes.shape[1] // n_tables
-    weights = (1 << np.arange(bits_per, dtype=np.int64))
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.vstack(pdf[vec].map(lambda v: np.asarray(v, dtype=np.float64)))
-            b = (x @ planes > 0).reshape(len(pdf), n_tables, bits_per)
-            keys = (b * weights).sum(axis=2)
-            yield pd.DataFrame({id_col: pdf[id_col], vec: pdf[vec], "keys": list(keys)})
-
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, {vec} {dict(df.dtypes)[vec]}, keys array<bigint>"
-    return df.select(id_col, vec).mapInPandas(run, schema)
-
-
-def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, n_tables: int = 24,
-               bits_per_table: int | None = None, seed: int = 42,
-               bucket_target: int = 64) -> DataFrame:
-    """Approximate top-k by random-hyperplane LSH (angular), AND-amplified
-    with ``bits_per_table`` sign bits per key and OR-amplified over
-    ``n_tables``: candidates share a (table, key) cell; each cell is scored
-    exactly as a numpy block (cogroup on the cell key), a document found in
-    several tables is kept once, and the result is cut to ``k`` (V7)."""
-    dim = corpus.select(F.size("embedding")).first()[0]
-    if bits_per_table is None:
-        # about ``bucket_target`` documents per bucket: key length grows
-        # with log2 of the corpus size, so buckets stay small at any scale
-        n = corpus.count()
-        bits_per_table = max(4, int(np.ceil(np.log2(max(n, 2) / bucket_target))))
-    planes = np.random.default_rng(seed).standard_normal((dim, n_tables * bits_per_table))
-    q = hyperplane_keys(queries, planes, n_tables, "query_id").withColumnRenamed("embedding", "qe") \
-        .withColumnRenamed("keys", "qk")
-    c = hyperplane_keys(corpus, planes, n_tables, "doc_id").withColumnRenamed("keys", "dk")
-    qx = q.select("query_id", F.col("qe").alias("qv"), F.posexplode("qk").alias("t", "key"))
-    cx = c.select("doc_id", F.col("embedding").alias("dv"), F.posexplode("dk").alias("t", "key"))
-    return cell_topk(qx, cx, ["t", "key"], k)
-
-
-def brp_lsh_search(queries: DataFrame, corpus: DataFrame, k: int, bucket_length: float = 0.05,
-               n_tables: int = 8, threshold: float = 2.0, seed: int = 42) -> DataFrame:
-    """Approximate top-k by inner product: MIPS augmentation to an L2
-    problem, random-projection LSH candidate join, exact rerank.  Each hash
-    table is one projection, so pruning comes from a short bucket length
-    (projections of unit vectors are narrow); candidates are the pairs that
-    share a bucket in any table.  The default threshold (2.0, the largest
-    distance between augmented unit vectors) keeps every candidate for the
-    exact rerank."""
-    mx = corpus.agg(F.max(V.sq_norm(F.col("embedding")))).scalar()
-    c = corpus.select("doc_id", "embedding",
-                      array_to_vector(V.mips_augment_doc(F.col("embedding"), mx)).alias("v"))
-    q = queries.select("query_id", F.col("embedding").alias("qe"),
-                       array_to_vector(V.mips_augment_query(F.col("embedding"))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=n_tables, seed=seed).fit(c)
-    pairs = lsh.approxSimilarityJoin(q, c, threshold, distCol="dist")
-    cand = pairs.select(F.col("datasetA.query_id").alias("query_id"),
-                        F.col("datasetB.doc_id").alias("doc_id"),
-                        V.dot(F.col("datasetA.qe"), F.col("datasetB.embedding")).alias("score"))
-    return _final_topk(cand, k).select("query_id", "doc_id", "score", "rank")
+def opq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int = 96, n_bits: int = 8, refine: int = 0,
+               out_dim: int | None = None, rounds: int = 8, fit_rows: int = FIT_ROWS, seed: int = 42) -> DataFrame:
+    """Product codes behind a learned rotation to ``out_dim`` (default
+    ``4 * n_sub``) dimensions."""
+    sample = fit_sample(corpus, fit_rows)
+    rotation, books = learned_rotation(sample, n_sub, n_bits, out_dim or 4 * n_sub, rounds, seed)
+    return pq_search(queries, corpus, k, refine=refine, books=books, rotation=rotation)
 
 
-def recall_at_k(approx: DataFrame, exact: DataFrame) -> float:
-    """Fraction of exact top-k pairs found by the approximate run."""
-    hit = exact.join(approx.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").count()
-    return hit / max(1, exact.count())
+# ------------------------------------------------------------------ cells
 
+def _keyed(df: DataFrame, id_col: str, keys_of, columns: int) -> DataFrame:
+    """Packed rows with ``table`` and ``key``, one for each of the
+    ``columns`` cell numbers that ``keys_of`` gives a vector."""
+    kind = float_type(df, "embedding")
 
-# ------------------------------------------------------------------ IVF
-
-def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int, n_probe: int,
-               seed: int = 42, max_iter: int = 20, fit_fraction: float = 1.0,
-               sub_buckets: int = 4) -> DataFrame:
-    """Inverted-file approximate search: a ``pyspark.ml`` KMeans coarse
-    quantiser splits the corpus into ``n_lists`` lists; each query probes
-    its ``n_probe`` closest centroids; candidates come from an equi join on
-    the list id and are scored exactly, then cut to ``k``.  Work per query
-    is about ``n_probe / n_lists`` of the corpus; the centroids (n_lists x
-    dim) are the only broadcast.  ``fit_fraction`` fits on a sample."""
-    train = corpus if fit_fraction >= 1 else corpus.sample(fit_fraction, seed)
-    km = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="v", predictionCol="list_id")
-    model = km.fit(train.select(array_to_vector("embedding").alias("v")))
-    docs = (model.transform(corpus.select("doc_id", "embedding", array_to_vector("embedding").alias("v")))
-            .select("doc_id", "embedding", F.col("list_id").cast("long")))
-    cents = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    dist = F.transform(cents, lambda cv, i: F.struct(F.aggregate(
-        F.zip_with(F.col("embedding"), cv, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-        lambda s, t: s + t).alias("d"), i.cast("long").alias("list_id")))
-    probes = queries.select("query_id", F.col("embedding").alias("qv"), F.explode(
-        F.slice(F.array_sort(dist), 1, n_probe)).alias("p")).select(
-        "query_id", "qv", F.col("p.list_id").alias("list_id"))
-    return cell_topk(probes, docs.withColumnRenamed("embedding", "dv"), ["list_id"], k,
-                     sub_buckets=sub_buckets)
-
-
-# ------------------------------------------------------------------ OPQ
-
-def cross_covariance(pairs: DataFrame, a: str, b: str, dim: int) -> np.ndarray:
-    """``sum_i a_i^T b_i`` (dim x dim) as per-partition numpy partial sums
-    combined by one small aggregate (a tree aggregation in DataFrame form)."""
-    def part(batches):
-        acc = np.zeros((dim, dim))
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf[a].map(np.asarray))
-                y = np.vstack(pdf[b].map(np.asarray))
-                acc += x.T @ y
-        yield pd.DataFrame({"m": [acc.ravel().tolist()]})
-
-    parts = pairs.select(a, b).mapInPandas(part, "m array<double>")
-    total = parts.agg(F.aggregate(F.collect_list("m"), F.array_repeat(F.lit(0.0), dim * dim),
-                                  lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("m"))
-    return np.asarray(total.first()["m"]).reshape(dim, dim)
-
-
-def opq_search(queries: DataFrame, corpus: DataFrame, k: int, n_sub: int, n_bits: int = 8,
-               n_iter: int = 3, seed: int = 42, max_iter: int = 10) -> DataFrame:
-    """Product quantisation after a learned orthogonal rotation (V5):
-    alternate PQ training in the rotated space with the orthogonal
-    Procrustes update ``R = U V^T`` from the SVD of ``X^T Y`` (X the
-    vectors, Y their PQ reconstructions in the rotated space).  Only the
-    d x d rotation and the codebooks are driver-side; each rotated corpus is
-    written once to the checkpoint folder and read by the KMeans fits."""
-    dim = corpus.select(F.size("embedding")).first()[0]
-    rot = np.eye(dim)
-    base = cut_lineage(corpus.select("doc_id", "embedding"), "opq_input")
-    for _ in range(n_iter):
-        rotated = cut_lineage(rotate(base, rot, "doc_id"), "opq_rotated")
-        books = pq_codebooks(rotated, n_sub, n_bits, seed, max_iter)
-        recon = pq_decode(rotated, books).withColumnRenamed("embedding", "y")
-        pairs = base.join(recon, "doc_id").select(F.col("embedding").alias("x"), "y")
-        u, _, vt = np.linalg.svd(cross_covariance(pairs, "x", "y", dim))
-        rot = u @ vt
-    rotated = cut_lineage(rotate(base, rot, "doc_id"), "opq_rotated")
-    books = pq_codebooks(rotated, n_sub, n_bits, seed, max_iter)
-    return knn(rotate(queries.select("query_id", "embedding"), rot, "query_id"),
-               pq_decode(rotated, books), k, "dot")
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = batch.column(1).to_pylist()
+            keys = keys_of(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64))
+            for t in range(columns):
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(np.full(len(raw), t)), pa.array(np.ascontiguousarray(keys[:, t]))],
+                    names=["id", "payload", "grp", "table", "key"])
+
+    return pack(df, id_col, "embedding").mapInArrow(run, "id long, payload binary, grp long, table long, key long")
+
+
+def ivf_search(queries: DataFrame, corpus: DataFrame, k: int, n_lists: int = 64, n_probe: int = 40,
+               fit_rows: int = FIT_ROWS, seed: int = 42) -> DataFrame:
+    """Inverted lists: documents belong to the nearest of ``n_lists``
+    centroids, a query looks into the lists of its ``n_probe`` nearest ones
+    and scores their documents exactly.  All lists probed is exact search."""
+    centres = kmeans(fit_sample(corpus, fit_rows), n_lists, seed)
+    probes = min(n_probe, len(centres))
+
+    def lists(x):
+        half = (centres * centres).sum(1) / 2
+        return np.argsort(half - x @ centres.T, axis=1, kind="stable")[:, :probes].astype(np.int64)
+
+    q = _keyed(queries, "query_id", lists, probes)
+    d = _keyed(corpus, "doc_id", lambda x: nearest(x, centres)[:, None].astype(np.int64), 1)
+    scorer = Dot(float_type(queries, "embedding"), float_type(corpus, "embedding"))
+    return cell_topk(q, d, ["key"], k, scorer)
+
+
+def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, n_tables: int = 24, bits: int = 4,
+               seed: int = 42) -> DataFrame:
+    """Random hyperplanes: a key of ``bits`` signs in each of ``n_tables``
+    tables; documents that share a key in any table are scored exactly.
+    Inner products become angles by one more dimension that gives every
+    document the same length (F24).  No bits is exact search."""
+    longest = corpus.where(F.col("embedding").isNotNull()).agg(
+        F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0]
+    first = corpus.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    dim = first[0] if first else 0
+    planes = np.random.default_rng(seed).standard_normal((dim + 1, n_tables * bits))
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def keys(x, extra):
+        signs = (np.column_stack([x, extra]) @ planes > 0).reshape(len(x), n_tables, bits)
+        return (signs * weights).sum(axis=2).astype(np.int64)
+
+    q = _keyed(queries, "query_id", lambda x: keys(x, np.zeros(len(x))), n_tables)
+    d = _keyed(corpus, "doc_id", lambda x: keys(x, np.sqrt(np.maximum((longest or 0.0) - (x * x).sum(1), 0))), n_tables)
+    scorer = Dot(float_type(queries, "embedding"), float_type(corpus, "embedding"))
+    return cell_topk(q, d, ["table", "key"], k, scorer)

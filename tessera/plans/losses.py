@@ -1,20 +1,21 @@
-"""Contrastive losses over groups built from the ``embeddings`` table: for
-each query vector, its top-10 exact neighbours (itself excluded) give the
-positive (best-ranked same-label vector) and three hard negatives (the
-best-ranked other-label vectors); queries without both are skipped.
-Batches are ``vec_id div 8``; queries whose label is a multiple of 3 are
+"""Contrastive losses over groups built from the ``embeddings`` table: each
+query (ids divisible by 50) has its best same-label vector of the whole table
+as the positive and the three best other-label vectors as hard negatives;
+only a query whose label no other vector has, or that has fewer than three
+vectors of other labels, forms no group.  Batches are eight queries;
+queries whose label is a multiple of 3 are
 treated as hard-negative-only tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import losses as L
-from ..session import table
+from ..operators import search
+from ..session import cut_lineage, table
 from .registry import register
-from .retrieval import _DOT, _judged_run, _run_sql
+from .retrieval import _DOT, EVERY
 
 N_NEG = 3
 BATCH = 8
@@ -23,33 +24,34 @@ T_IB = 0.05
 
 
 def loss_groups(spark, sf_dir):
-    j = _judged_run(spark, sf_dir, 10)
-    w = Window.partitionBy("query_id").orderBy("rank")
-    pos = (j.where(F.col("rel") == 1).withColumn("_r", F.row_number().over(w))
-           .where("_r = 1").select("query_id", "doc_id", "score", F.lit(0).alias("pos")))
-    neg = (j.where(F.col("rel") == 0).withColumn("pos", F.row_number().over(w))
-           .where(F.col("pos") <= N_NEG).select("query_id", "doc_id", "score", "pos"))
-    ok = (neg.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-          .where(F.col("n") == N_NEG).join(pos.select("query_id"), "query_id").select("query_id"))
-    return (pos.unionByName(neg).join(ok, "query_id")
-            .select(F.col("query_id").alias("group_id"),
-                    F.floor(F.col("query_id") / BATCH).cast("long").alias("batch_id"),
-                    "pos", "doc_id", "score"))
+    emb = table(spark, sf_dir, "embeddings")
+    q = emb.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    d = emb.select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    pos = search.knn(q, d, 1, "dot", ignore_identical=True, group="label", rule="same") \
+        .select("query_id", "doc_id", "score", F.lit(0).alias("pos"))
+    neg = search.knn(q, d, N_NEG, "dot", ignore_identical=True, group="label", rule="other") \
+        .select("query_id", "doc_id", "score", F.col("rank").alias("pos"))
+    rows = pos.unionByName(neg)
+    whole = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")) \
+        .where((F.col("n") == N_NEG + 1) & (F.col("first") == 0)).select("query_id")
+    return cut_lineage(rows.join(whole, "query_id").select(
+        F.col("query_id").alias("group_id"),
+        F.floor(F.col("query_id") / (EVERY * BATCH)).cast("long").alias("batch_id"),
+        "pos", "doc_id", "score"), "loss_groups")
 
 
 _GROUPS_SQL = f"""
-run AS ({_run_sql(_DOT, 10)}),
-lab AS (SELECT vec_id, label FROM embeddings),
-j AS (SELECT run.*, CASE WHEN lq.label = ld.label THEN 1 ELSE 0 END AS rel
-      FROM run JOIN lab lq ON lq.vec_id = run.query_id JOIN lab ld ON ld.vec_id = run.doc_id),
+pr0 AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_DOT} AS score, q.label = d.label AS rel
+        FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % {EVERY} = 0),
 p AS (SELECT query_id, doc_id, score, 0 AS pos FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM j WHERE rel = 1) WHERE r = 1),
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM pr0 WHERE rel)
+      WHERE r = 1),
 n AS (SELECT query_id, doc_id, score, pos FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM j WHERE rel = 0)
-      WHERE pos <= {N_NEG}),
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos
+        FROM pr0 WHERE NOT rel) WHERE pos <= {N_NEG}),
 ok AS (SELECT query_id FROM n GROUP BY query_id HAVING count(*) = {N_NEG}
        INTERSECT SELECT query_id FROM p),
-grp AS (SELECT query_id AS group_id, query_id // {BATCH} AS batch_id, pos, doc_id, score
+grp AS (SELECT query_id AS group_id, query_id // {EVERY * BATCH} AS batch_id, pos, doc_id, score
         FROM (SELECT * FROM p UNION ALL SELECT * FROM n) WHERE query_id IN (SELECT query_id FROM ok))"""
 
 

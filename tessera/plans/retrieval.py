@@ -1,6 +1,6 @@
 """Vector search, rank metrics and hard-negative mining over the driver's
-``embeddings`` table: every vector is a query and a corpus passage; two
-vectors are relevant to each other when their ``label`` is equal (the
+``embeddings`` table: all vectors are corpus passages, those whose id is
+divisible by 50 are the queries; two vectors are relevant to each other when their ``label`` is equal (the
 query itself excluded).  Relevance is decided by joining labels, never by
 materialising all same-label pairs."""
 
@@ -14,6 +14,7 @@ from ..operators import mining, search
 from ..session import table
 from .registry import register
 
+EVERY = 50
 KS = [1, 3, 5, 10]
 K_RUN = 10
 
@@ -23,7 +24,7 @@ def _emb(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    return _emb(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _emb(spark, sf_dir).where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _corpus(spark, sf_dir):
@@ -45,7 +46,7 @@ def _run_sql(score: str, k: int, where: str = "q.vec_id <> d.vec_id") -> str:
   SELECT query_id, doc_id, score, rank FROM (
     SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {score} AS score,
            row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, d.vec_id) AS rank
-    FROM embeddings q JOIN embeddings d ON {where}) WHERE rank <= {k}"""
+    FROM embeddings q JOIN embeddings d ON {where} WHERE q.vec_id % {EVERY} = 0) WHERE rank <= {k}"""
 
 
 @register("knn_flat_ip", ops=("V1", "J8", "W1", "T3", "F16"), oracle=f"""
@@ -63,6 +64,15 @@ def knn_cosine(spark, sf_dir):
     return _out(search.knn(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, "cos_sim"))
 
 
+@register("knn_blocked", ops=("V1", "T2"), oracle=f"""
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({_run_sql(_DOT, K_RUN)})
+""")
+def knn_blocked(spark, sf_dir):
+    """The plan for queries beyond the broadcast bound, by a bound of 1 KB."""
+    return _out(search.knn(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, "dot",
+                           ignore_identical=True, broadcast_bytes=1 << 10))
+
+
 _HAM = ("list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: "
         "CASE WHEN (q.embedding[i] > 0) <> (d.embedding[i] > 0) THEN 1 ELSE 0 END))")
 _SIGNDOT = ("list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: "
@@ -74,7 +84,7 @@ BINARY_K = 50
 SELECT query_id, doc_id, score, rank FROM (
   SELECT q.vec_id AS query_id, d.vec_id AS doc_id, -{_HAM}::DOUBLE AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY {_HAM}, d.vec_id) AS rank
-  FROM embeddings q JOIN embeddings d ON true) WHERE rank <= {K_RUN}
+  FROM embeddings q JOIN embeddings d ON true WHERE q.vec_id % {EVERY} = 0) WHERE rank <= {K_RUN}
 """)
 def knn_binary_hamming(spark, sf_dir):
     return _out(search.binary_search(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN,
@@ -85,7 +95,7 @@ def knn_binary_hamming(spark, sf_dir):
 WITH ham AS (
   SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_SIGNDOT} AS sd,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY {_HAM}, d.vec_id) AS hrank
-  FROM embeddings q JOIN embeddings d ON true)
+  FROM embeddings q JOIN embeddings d ON true WHERE q.vec_id % {EVERY} = 0)
 SELECT query_id, doc_id, round(sd, 6) AS score, rank FROM (
   SELECT query_id, doc_id, sd,
          row_number() OVER (PARTITION BY query_id ORDER BY sd DESC, doc_id) AS rank
@@ -124,8 +134,8 @@ def _judged_run(spark, sf_dir, k):
 def _label_base(spark, sf_dir, ks):
     lab = _emb(spark, sf_dir).select("vec_id", "label")
     sizes = lab.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_rel"))
-    base = lab.join(sizes, "label").select(F.col("vec_id").alias("query_id"), "n_rel") \
-        .where(F.col("n_rel") > 0)
+    base = lab.where(F.col("vec_id") % EVERY == 0).join(sizes, "label") \
+        .select(F.col("vec_id").alias("query_id"), "n_rel").where(F.col("n_rel") > 0)
     for k in ks:
         base = M.ideal_dcg_binary(base, k)
     return base
@@ -140,7 +150,7 @@ jh AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits_so_far FROM j),
 base AS (SELECT l.vec_id AS query_id, s.n - 1 AS n_rel
          FROM lab l JOIN (SELECT label, count(*) AS n FROM lab GROUP BY label) s USING (label)
-         WHERE s.n > 1),
+         WHERE s.n > 1 AND l.vec_id % {EVERY} = 0),
 ks AS (SELECT unnest([{', '.join(map(str, KS))}]) AS k),
 pq AS (
   SELECT b.query_id, ks.k, b.n_rel,
