@@ -30,11 +30,10 @@ def tokens(text: Column) -> Column:
 
 
 def words(text: Column, uncased: bool = True) -> Column:
-    """Tokens, lower-cased when ``uncased`` (F32).  Lower-casing the text
-    once before tokenising gives the same tokens as lower-casing each token
-    (case mapping keeps letters letters and marks marks) without a
-    per-token lambda."""
-    return tokens(F.lower(text)) if uncased else tokens(text)
+    """Tokens, each lower-cased on its own when ``uncased`` (F32): case
+    mapping can depend on what follows in the text (a Greek sigma at a
+    word's end), and a token ends where the pattern ends it."""
+    return F.transform(tokens(text), lambda t: F.lower(t)) if uncased else tokens(text)
 
 
 def token_spans(text: Column) -> Column:
@@ -54,17 +53,31 @@ def token_spans(text: Column) -> Column:
     )["spans"]
 
 
-def ngrams(w: Column, n: int) -> Column:
+def untokenize(text: Column, spans: Column, first: int = 0, last: int | None = None) -> Column:
+    """The original text of tokens ``first`` to ``last``-1 with the white
+    space between them, trimmed (F32); ``spans`` are the text's
+    :func:`token_spans`, null or no tokens give the empty text."""
+    end = F.size(spans) if last is None else F.least(F.size(spans), F.lit(last))
+    start = F.element_at(spans, first + 1)["start"]
+    stop = F.element_at(spans, end)["end"]
+    return F.when(end > first, F.substring(text, start + 1, stop - start)).otherwise(F.lit(""))
+
+
+def ngrams(w: Column, n: int, skip=None) -> Column:
     """All n-grams of length 1..n, start-major order, space-joined (F33).
-    Pass a column reference for ``w``: an expression used inside the
-    lambdas would be re-evaluated for every n-gram."""
+    ``skip`` (a function of the gram's token array) drops grams for which it
+    is true.  Pass a column reference for ``w``: an expression used inside
+    the lambdas would be re-evaluated for every n-gram."""
     size = F.size(w)
     grams = F.flatten(F.transform(
         F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))),
         lambda s: F.transform(
             F.sequence(s, F.least(s + n, size) - 1),
-            lambda e: F.array_join(F.slice(w, s + 1, e - s + 1), " "))))
-    return F.when(size > 0, grams).otherwise(F.array().cast("array<string>"))
+            lambda e: F.slice(w, s + 1, e - s + 1))))
+    if skip is not None:
+        grams = F.filter(grams, lambda g: ~skip(g))
+    return F.when(size > 0, F.transform(grams, lambda g: F.array_join(g, " "))) \
+        .otherwise(F.array().cast("array<string>"))
 
 
 def sentinel_join(w: Column) -> Column:

@@ -21,70 +21,75 @@ ANCHOR_N = 3
 
 
 def _grams(w, n: int):
-    """(position, gram) of all length-n windows of a token array (none when
-    the array is shorter than n)."""
-    grams = F.transform(
+    """``(n, p, g)``: every run of ``n`` tokens with its position; nothing
+    when the array is shorter."""
+    found = F.transform(
         F.sequence(F.lit(0), F.size(w) - n),
-        lambda s: F.struct(s.alias("p"), F.array_join(F.slice(w, s + 1, n), qa.SENTINEL).alias("g")))
-    return F.when(F.size(w) >= n, grams).otherwise(
-        F.array().cast("array<struct<p:int,g:string>>"))
+        lambda s: F.struct(F.lit(n).alias("n"), s.alias("p"),
+                           F.array_join(F.slice(w, s + 1, n), qa.SENTINEL).alias("g")))
+    return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<struct<n:int,p:int,g:string>>"))
 
 
 def contained_answers(passages: DataFrame, answers: DataFrame, p_id: str = "doc_id",
                       a_id: str = "item_id", p_text: str = "text", a_text: str = "text",
                       normalize: bool = True) -> DataFrame:
     """All (passage, answer) pairs where the answer's uncased tokens appear
-    contiguously in the passage's tokens.  Answers without tokens match
-    every passage; they are returned separately by
-    :func:`tokenless_answers` instead of being expanded to all pairs.
-
-    Plan: answer n-grams (small, size-checked broadcast) semi-join the
-    passage n-grams, so only occurrences of answer grams survive the first
-    pass; their counts pick each answer's rarest gram as anchor; the anchor
-    equi-join yields candidates, and only candidate passages are tokenised
-    again for the exact check."""
+    contiguously in the passage's tokens, with ``all_passages`` false.  An
+    answer without tokens matches every passage: it is one row with a null
+    passage id and ``all_passages`` true, never expanded to all pairs.
+
+    Plan: passages are tokenised once; their grams of all needed lengths are
+    exploded in one pass and semi-joined with the answers' grams (a
+    size-checked broadcast), so only occurrences of answer grams survive.
+    Their counts pick each answer's rarest gram as anchor, the anchor equi
+    join yields candidates, and only candidate passages meet the exact check.
+    """
     def prep(c):
         return qa.nfd(c) if normalize else c
 
-    aw = (answers.select(F.col(a_id).alias("aid"), qa.words(prep(F.col(a_text))).alias("aw"))
-          .where(F.size("aw") > 0)
-          .withColumn("n", F.least(F.size("aw"), F.lit(ANCHOR_N))))
-    aw = cut_lineage(aw, "answer_words")
-    agrams = aw.select("aid", "n", F.explode(
-        F.transform(F.sequence(F.lit(0), F.size("aw") - F.col("n")),
-                    lambda s: F.struct(s.alias("p"), F.array_join(F.slice("aw", s + 1, F.col("n")),
-                                                                  qa.SENTINEL).alias("g")))).alias("x")) \
-        .select("aid", "n", F.col("x.p").alias("p"), F.col("x.g").alias("g"))
+    every = cut_lineage(answers.select(F.col(a_id).alias("aid"), qa.words(prep(F.col(a_text))).alias("aw"))
+                        .where(F.col("aw").isNotNull()), "answer_words")
+    free = every.where(F.size("aw") == 0).select(
+        F.lit(None).cast(dict(passages.dtypes)[p_id]).alias(p_id), F.col("aid").alias(a_id),
+        F.lit(True).alias("all_passages"))
+    aw = every.where(F.size("aw") > 0)
+    grams = F.flatten(F.array(*[F.when(F.least(F.size("aw"), F.lit(ANCHOR_N)) == n, _grams(F.col("aw"), n))
+                                .otherwise(F.array().cast("array<struct<n:int,p:int,g:string>>"))
+                                for n in range(1, ANCHOR_N + 1)]))
+    agrams = aw.select("aid", F.explode(grams).alias("x")).select("aid", "x.n", "x.p", "x.g")
     keys = agrams.select("n", "g").distinct()
-    ns = [r["n"] for r in aw.select("n").distinct().collect()]  # at most ANCHOR_N values
-    if not ns:
-        return passages.sparkSession.createDataFrame([], f"{p_id} long, {a_id} long")
-    pw = spread(passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t"))) \
-        .select("pid", qa.words(prep(F.col("_t"))).alias("pw"))
-    pgrams = None
-    for n in ns:
-        g = pw.select("pid", F.lit(n).alias("n"), F.explode(_grams(F.col("pw"), n)).alias("x")) \
-            .select("pid", "n", F.col("x.g").alias("g"))
-        pgrams = g if pgrams is None else pgrams.unionByName(g)
+    pw = cut_lineage(spread(passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t")))
+                     .select("pid", qa.words(prep(F.col("_t"))).alias("pw")), "passage_words")
+    pgrams = pw.select("pid", F.explode(F.flatten(F.array(
+        *[_grams(F.col("pw"), n) for n in range(1, ANCHOR_N + 1)]))).alias("x")).select("pid", "x.n", "x.g")
     # only occurrences of answer grams survive; computed once
-    hits = cut_lineage(join_small(pgrams, keys, ["n", "g"], "left_semi"), "answer_gram_hits")
+    hits = cut_lineage(join_small(pgrams, keys, ["n", "g"], "left_semi").distinct(), "answer_gram_hits")
     df = hits.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("aid").orderBy("df", "p")
     # an answer whose gram never occurs cannot match: the inner join drops it
     anchors = (agrams.join(df, ["n", "g"]).withColumn("_r", F.row_number().over(w))
                .where("_r = 1").select("aid", "n", "g"))
     cands = join_small(hits, anchors, ["n", "g"]).select("pid", "aid").distinct()
-    cand_text = passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t")) \
-        .join(cands.select("pid").distinct(), "pid", "left_semi") \
-        .select("pid", qa.words(prep(F.col("_t"))).alias("pw"))
-    verified = (join_small(cands.join(cand_text, "pid"), aw.select("aid", "aw"), "aid")
+    verified = (join_small(cands.join(pw, "pid"), aw.select("aid", "aw"), "aid")
                 .where(qa.contains_tokens(F.col("pw"), F.col("aw"))))
-    return verified.select(F.col("pid").alias(p_id), F.col("aid").alias(a_id))
+    return verified.select(F.col("pid").alias(p_id), F.col("aid").alias(a_id),
+                           F.lit(False).alias("all_passages")).unionByName(free)
+
 
+def answer_hits(run: DataFrame, passages: DataFrame, answers: DataFrame, normalize: bool = True) -> DataFrame:
+    """``query_id, doc_id``: retrieved passages that hold an answer of their
+    query (J11, F34).  ``run``: query_id, doc_id; ``passages``: doc_id, text;
+    ``answers``: query_id, answer, one row each.  Only retrieved passages are
+    tokenised; an answer without tokens is in every passage."""
+    def prep(c):
+        return qa.nfd(c) if normalize else c
 
-def tokenless_answers(answers: DataFrame, a_id: str = "item_id", a_text: str = "text") -> DataFrame:
-    """Answers with zero tokens (they match any passage)."""
-    return answers.where(F.size(qa.words(F.col(a_text))) == 0).select(a_id)
+    pairs = run.select("query_id", "doc_id").distinct()
+    texts = passages.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi") \
+        .select("doc_id", qa.words(prep(F.col("text"))).alias("pw"))
+    aw = answers.select("query_id", qa.words(prep(F.col("answer"))).alias("aw")).where(F.col("aw").isNotNull())
+    return (pairs.join(aw, "query_id").join(cut_lineage(texts, "retrieved_words"), "doc_id")
+            .where(qa.contains_tokens(F.col("pw"), F.col("aw"))).select("query_id", "doc_id").distinct())
 
 
 def top_k_accuracy(run: DataFrame, hits: DataFrame, ks: list[int], n_queries: DataFrame) -> DataFrame:

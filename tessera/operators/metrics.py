@@ -9,8 +9,6 @@ document; a judged query missing from the run scores 0).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +95,62 @@ def evaluate(judged: DataFrame, base: DataFrame, ks: list[int], metrics=METRICS)
     return summarize(per_query(judged, base, ks), ks, metrics)
 
 
+GROUP_METRICS = ("dcg", "ndcg", "mrr", "ctr", "recall")
+
+
 def parse_metric(name: str) -> tuple[str, int]:
     """``"ndcg@10"`` -> ("ndcg", 10); default cut-off 5; unknown -> error."""
     metric, _, k = name.partition("@")
-    if metric not in METRICS + ("dcg", "ctr"):
+    if metric not in GROUP_METRICS:
         raise ValueError(f"unknown metric {metric}")
     return metric, int(k) if k else 5
 
 
-def dcg_discount(rank: int) -> float:
-    return 1.0 / math.log2(rank + 1)
+def group_metric(rows: DataFrame, name: str, compat: bool = False) -> DataFrame:
+    """A training-time metric by its ``name@k`` (A13-A17): ``group_id,
+    value`` over rows ``group_id, pos, score, label`` (the passages of one
+    query; label is the graded relevance).  Ties take the larger ``pos``
+    first, as a reversed ascending sort does.
+
+    * ``dcg``, ``ndcg``: gains ``2^label - 1``; no positive label gives 0.
+    * ``ctr``: mean label of the first k (of all, with fewer passages).
+    * ``recall``: 1 when the positive passage is among the first k.
+    * ``mrr``: reciprocal rank of the first positive among the first k.
+
+    ``compat`` gives the variants that the published trainer logs: ``mrr``
+    walks every k-th passage from the worst on and divides the reciprocal
+    places by the sum of labels seen; ``recall`` asks whether the passage at
+    the positive's place in ascending order has a ``pos`` below k.
+    """
+    metric, k = parse_metric(name)
+    down = Window.partitionBy("group_id").orderBy(F.col("score").desc(), F.col("pos").desc())
+    up = Window.partitionBy("group_id").orderBy("score", "pos")
+    r = rows.withColumn("i", F.row_number().over(down)).withColumn("j", F.row_number().over(up) - 1)
+    label = F.col("label").cast("double")
+    gain = F.pow(F.lit(2.0), label) - 1
+    first = F.col("i") <= k
+
+    def where(cond, x):
+        return F.sum(F.when(cond, x).otherwise(0.0))
+
+    if metric in ("dcg", "ndcg"):
+        best = Window.partitionBy("group_id").orderBy(F.col("label").desc(), F.col("pos").desc())
+        r = r.withColumn("b", F.row_number().over(best))
+        dcg = where(first, gain / _log2(F.col("i") + 1))
+        ideal = where(F.col("b") <= k, gain / _log2(F.col("b") + 1))
+        value = dcg if metric == "dcg" else F.when(ideal > 0, dcg / ideal).otherwise(0.0)
+    elif metric == "ctr":
+        value = where(first, label) / F.sum(F.when(first, 1).otherwise(0))
+    elif metric == "mrr" and compat:
+        seen = F.col("j") % k == 0
+        total = where(seen, label)
+        value = F.when(total > 0, where(seen, label / (F.floor(F.col("j") / k) + 1)) / total).otherwise(0.0)
+    elif metric == "mrr":
+        value = F.max(F.when(first & (label > 0), 1.0 / F.col("i")).otherwise(0.0))
+    elif compat:
+        place = Window.partitionBy("group_id")
+        r = r.withColumn("at", F.min(F.when(F.col("label") > 0, F.col("pos"))).over(place))
+        value = F.max(F.when((F.col("j") == F.col("at")) & (F.col("pos") < k), 1.0).otherwise(0.0))
+    else:
+        value = F.max(F.when(first & (label > 0), 1.0).otherwise(0.0))
+    return r.groupBy("group_id").agg(value.alias("value"))

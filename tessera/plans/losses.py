@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import losses as L
+from ..operators import metrics as M
 from ..operators import search
 from ..session import cut_lineage, table
 from .registry import register
@@ -106,3 +107,36 @@ FROM z JOIN nz USING (group_id) GROUP BY group_id
 def loss_kl(spark, sf_dir):
     g = loss_groups(spark, sf_dir).withColumn("teacher", -F.col("pos").cast("double"))
     return L.kl_loss(g, T_IB).select("group_id", F.round("kl", 6).alias("kl"))
+
+
+GROUP_KS = ("dcg@2", "ndcg@3", "mrr@2", "ctr@2", "recall@2", "ndcg")
+
+
+@register("group_metrics", ops=("A13", "A14", "A15", "A16", "A17"), oracle=f"""
+WITH {_GROUPS_SQL},
+r AS (SELECT group_id, pos, CASE WHEN pos = 0 THEN 1 ELSE 0 END AS y,
+             row_number() OVER (PARTITION BY group_id ORDER BY score DESC, pos DESC) AS i,
+             row_number() OVER (PARTITION BY group_id ORDER BY score, pos) - 1 AS j FROM grp),
+v AS (
+  SELECT group_id, 'dcg@2' AS metric, sum(CASE WHEN i <= 2 THEN y / log2(i + 1) ELSE 0 END) AS value FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'ndcg@3', sum(CASE WHEN i <= 3 THEN y / log2(i + 1) ELSE 0 END) FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'ndcg', sum(CASE WHEN i <= 5 THEN y / log2(i + 1) ELSE 0 END) FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'mrr@2', max(CASE WHEN i <= 2 THEN y / i ELSE 0 END) FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'ctr@2', sum(CASE WHEN i <= 2 THEN y ELSE 0 END) / 2.0 FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'recall@2', max(CASE WHEN i <= 2 THEN y ELSE 0 END)::DOUBLE FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'mrr@2 compat',
+    coalesce(sum(CASE WHEN j % 2 = 0 THEN y / (j // 2 + 1) END) / nullif(sum(CASE WHEN j % 2 = 0 THEN y END), 0), 0)
+    FROM r GROUP BY 1
+  UNION ALL SELECT group_id, 'recall@2 compat', max(CASE WHEN j = 0 AND pos < 2 THEN 1 ELSE 0 END)::DOUBLE
+    FROM r GROUP BY 1)
+SELECT group_id, metric, round(value, 6) AS value FROM v
+""")
+def group_metrics(spark, sf_dir):
+    rows = loss_groups(spark, sf_dir).withColumn("label", (F.col("pos") == 0).cast("int"))
+    found = [M.group_metric(rows, name).withColumn("metric", F.lit(name)) for name in GROUP_KS]
+    found += [M.group_metric(rows, name, compat=True).withColumn("metric", F.lit(f"{name} compat"))
+              for name in ("mrr@2", "recall@2")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select("group_id", "metric", F.round("value", 6).alias("value"))

@@ -3,6 +3,7 @@ and answer containment of ``benchmark`` items inside ``documents``."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import qa
@@ -44,15 +45,53 @@ def ngrams(spark, sf_dir):
                     F.md5(F.array_join(g, qa.SENTINEL)).alias("grams_md5"))
 
 
+# one answer without tokens beside the benchmark's, to show its row
+_ANSWERS = "(SELECT item_id, text FROM benchmark UNION ALL SELECT -1, ' ')"
+
+
 @register("answer_match", ops=("F30", "F34", "J11"), oracle=f"""
-WITH d AS (SELECT doc_id, chr(1) || array_to_string({_words('text')}, chr(1)) || chr(1) AS s FROM documents),
-b AS (SELECT item_id, {_words('text')} AS w FROM benchmark)
-SELECT d.doc_id, b.item_id FROM d JOIN b
+WITH d AS (SELECT doc_id, chr(1) || array_to_string({_words('nfc_normalize(text)')}, chr(1)) || chr(1) AS s FROM documents),
+b AS (SELECT item_id, {_words('nfc_normalize(text)')} AS w FROM {_ANSWERS})
+SELECT d.doc_id, b.item_id, false AS all_passages FROM d JOIN b
   ON len(b.w) > 0 AND contains(d.s, chr(1) || array_to_string(b.w, chr(1)) || chr(1))
+UNION ALL SELECT NULL, item_id, true FROM b WHERE len(w) = 0
 """)
 def answer_match(spark, sf_dir):
-    return answers.contained_answers(table(spark, sf_dir, "documents"),
-                                     table(spark, sf_dir, "benchmark"))
+    """Equality of decomposed texts is equality of composed ones, which is
+    what the SQL twin can express."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b = b.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("item_id"), F.lit(" ").alias("text")))
+    return answers.contained_answers(table(spark, sf_dir, "documents"), b)
+
+
+@register("accuracy_at_k", ops=("A12", "F34", "J11"), oracle=f"""
+WITH b AS (SELECT item_id AS query_id, {_words('text')} AS w FROM benchmark),
+d AS (SELECT doc_id, chr(1) || array_to_string({_words('text')}, chr(1)) || chr(1) AS s FROM documents),
+hit AS (SELECT b.query_id, d.doc_id, contains(d.s, chr(1) || array_to_string(b.w[1:8], chr(1)) || chr(1)) AS ok,
+               row_number() OVER (PARTITION BY b.query_id
+                 ORDER BY md5(concat(b.query_id::VARCHAR, '|', d.doc_id::VARCHAR)), d.doc_id) AS rank
+        FROM b JOIN d ON true),
+f AS (SELECT query_id, min(CASE WHEN ok THEN rank END) AS first FROM hit GROUP BY query_id)
+SELECT k, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM f, (SELECT unnest([10, 100, 200, 500]) AS k) GROUP BY k
+""")
+def accuracy_at_k(spark, sf_dir):
+    """Answer accuracy of a seeded ranking of all documents; an item's answer
+    is its first eight tokens."""
+    ks = [10, 100, 200, 500]
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    order = F.md5(F.concat(F.col("query_id").cast("string"), F.lit("|"), F.col("doc_id").cast("string")).cast("binary"))
+    ranked = Window.partitionBy("query_id").orderBy(order, "doc_id")
+    # the stated query set (benchmark items) against all documents
+    run = (b.select("query_id").join(d.select("doc_id")).withColumn("rank", F.row_number().over(ranked))
+           .where(F.col("rank") <= max(ks)))
+    w = b.select("query_id", qa.words(F.col("text")).alias("w"))
+    ans = w.select("query_id", F.array_join(F.slice("w", 1, 8), " ").alias("answer"))
+    acc = answers.top_k_accuracy(run, answers.answer_hits(run, d, ans), ks, b)
+    pairs = ", ".join(f"{k}, accuracy_at_{k}" for k in ks)
+    return acc.selectExpr(f"stack({len(ks)}, {pairs}) AS (k, accuracy)") \
+        .select("k", F.round("accuracy", 6).alias("accuracy"))
 
 
 @register("passage_text", ops=("F2", "F3", "F4", "F9", "F11", "F15"), oracle=r"""

@@ -188,6 +188,33 @@ def ndcg_at_k(spark, sf_dir):
         "query_id", "k", F.round("ndcg", 6).alias("ndcg"))
 
 
+@register("rank_metrics_qrels", ops=("A13", "A18", "J12"), oracle=f"""
+WITH run AS ({_run_sql(_DOT, K_RUN)}),
+qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1 + d.vec_id % 2 AS rel
+          FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id
+          WHERE q.vec_id % {EVERY} = 0 AND d.vec_id % 3 = 0),
+j AS (SELECT run.query_id, run.rank, coalesce(qrels.rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, doc_id)),
+h AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM j),
+i AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM qrels),
+ideal AS (SELECT query_id, sum(CASE WHEN r <= {K_RUN} THEN (pow(2.0, rel) - 1) / log2(r + 1) ELSE 0 END) AS idcg,
+                 count(*) AS n_rel FROM i GROUP BY query_id)
+SELECT ideal.query_id, round(coalesce(sum((pow(2.0, h.rel) - 1) / log2(h.rank + 1)), 0) / max(idcg), 6) AS ndcg,
+       round(coalesce(sum(CASE WHEN h.rel > 0 THEN h.hits / h.rank END), 0) / max(n_rel), 6) AS map,
+       round(coalesce(sum((h.rel > 0)::INT), 0) / max(n_rel), 6) AS recall
+FROM ideal LEFT JOIN h USING (query_id) GROUP BY ideal.query_id
+""")
+def rank_metrics_qrels(spark, sf_dir):
+    """Graded qrels from a table, joined with the run (missing = 0)."""
+    run = search.knn(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, "dot", ignore_identical=True)
+    lab = _emb(spark, sf_dir).select("vec_id", "label")
+    q = lab.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
+    d = lab.where(F.col("vec_id") % 3 == 0).select(F.col("vec_id").alias("doc_id"), "label")
+    qrels = q.join(d, "label").where("query_id <> doc_id").select(
+        "query_id", "doc_id", (F.col("doc_id") % 2 + 1).alias("rel"))
+    pq = M.per_query(M.judge(run, qrels), M.query_base_from_qrels(qrels, [K_RUN]), [K_RUN])
+    return pq.select("query_id", *[F.round(f"{m}_{K_RUN}", 6).alias(m) for m in ("ndcg", "map", "recall")])
+
+
 MINE_TOPK, MINE_DEPTH, MINE_N, MINE_SEED = 100, (2, 100), 16, 42
 
 

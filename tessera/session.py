@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows a side may hold before we stop broadcasting it and fall back to a
@@ -138,3 +138,16 @@ def spread(df: DataFrame, target: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def number_rows(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds ``out``: the 0-based place of every row in the order of ``order``
+    (ties in any order).  The rows are range-sorted and written once; a
+    partition's start comes from the table of partition sizes, so no task
+    sees more than its own rows."""
+    placed = cut_lineage(df.orderBy(*order).withColumn("_p", F.spark_partition_id())
+                         .withColumn("_m", F.monotonically_increasing_id()), "numbered")
+    sizes = placed.groupBy("_p").agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_p", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_s"))
+    return placed.join(F.broadcast(starts), "_p").withColumn(out, F.col("_m") + F.col("_s")).drop("_p", "_m", "_s")

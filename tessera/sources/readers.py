@@ -1,29 +1,26 @@
 """Readers for the collection formats of retrieval training and evaluation
 data.  Every reader is a plain ``spark.read`` (JSON / CSV / text; gzip is
-read natively) followed by column expressions — no Python row loops."""
+read natively) followed by column expressions — no Python row loops.  Paths
+may be on any file system that Spark reads.  "Last line wins" and line
+numbers follow file names, then lines, however the files are split."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import number_rows
+from .files import exists, files_of, last_of, with_line_numbers, with_place
+
 JSON_SUFFIXES = ("json", "jsonl")
+#: A text is blank without a character outside this set (all white space).
+NOT_BLANK = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 _ID_ALIASES = ("query_id", "docid", "id")
 _TEXT_ALIASES = ("query", "question")
 
 
-def _json_paths(path: str) -> list[str]:
-    """A file, or the files of a directory whose names end in json/jsonl."""
-    if os.path.isdir(path):
-        names = sorted(n for n in os.listdir(path) if n.endswith(JSON_SUFFIXES))
-        return [os.path.join(path, n) for n in names]
-    return [path]
-
-
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Rename ``query_id/docid/id -> _id`` and ``query/question -> text``
     (first alias present wins) and cast ``_id`` to string."""
@@ -46,18 +43,16 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON-lines corpus/queries from a file or a directory (S1)."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return normalize_columns(reader.json(_json_paths(path)))
+    return normalize_columns(reader.json(files_of(spark, path, JSON_SUFFIXES)))
 
 
 def read_beir_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """BEIR corpus/queries (S6): ``title`` defaults to ""; a later duplicate
-    ``_id`` wins (file order)."""
-    df = read_corpus(spark, path).withColumn("_ord", F.monotonically_increasing_id())
+    ``_id`` wins (by file name, then line)."""
+    df = normalize_columns(with_place(spark.read.json(files_of(spark, path, JSON_SUFFIXES))))
     if "title" not in df.columns:
         df = df.withColumn("title", F.lit(""))
-    df = df.withColumn("title", F.coalesce(F.col("title"), F.lit("")))
-    w = Window.partitionBy("_id").orderBy(F.col("_ord").desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_ord")
+    return last_of(df.withColumn("title", F.coalesce(F.col("title"), F.lit(""))), ["_id"])
 
 
 QRELS_SCHEMA = "query_id string, doc_id string, score int"
@@ -66,12 +61,10 @@ QRELS_SCHEMA = "query_id string, doc_id string, score int"
 def read_qrels_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Header TSV ``query-id, corpus-id, score`` (S5); ids stay strings; for a
     duplicated (query, doc) the last line wins."""
-    df = (spark.read.option("sep", "\t").option("header", True)
-          .schema("`query-id` string, `corpus-id` string, score int").csv(path)
-          .select(F.col("query-id").alias("query_id"), F.col("corpus-id").alias("doc_id"),
-                  "score", F.monotonically_increasing_id().alias("_ord")))
-    w = Window.partitionBy("query_id", "doc_id").orderBy(F.col("_ord").desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_ord")
+    df = with_place(spark.read.option("sep", "\t").option("header", True)
+                    .schema("`query-id` string, `corpus-id` string, score int").csv(path)) \
+        .withColumnRenamed("query-id", "query_id").withColumnRenamed("corpus-id", "doc_id")
+    return last_of(df, ["query_id", "doc_id"])
 
 
 def read_trec_qrels(spark: SparkSession, path: str) -> DataFrame:
@@ -91,95 +84,88 @@ def read_topics_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_tsv(spark: SparkSession, path: str, depth: int = 1000) -> DataFrame:
-    """Run file with 3 (``qid pid score``) or 4 (``qid x pid score``)
-    columns (S10): ids stripped, per query sorted by score desc (stable in
-    file order), first ``depth`` kept.  Returns ``query_id, doc_id, score,
-    rank``."""
-    raw = (spark.read.text(path)
-           .select(F.split(F.trim("value"), "\\s+").alias("f"),
-                   F.monotonically_increasing_id().alias("_ord")))
-    four = F.size("f") >= 4
-    df = raw.select(
+    """Run file (S10), tab-separated, with 3 (``qid pid score``) or 4
+    (``qid x pid score``) columns: ids stripped of blanks around them, per
+    query sorted by score descending (stable in file order), first ``depth``
+    kept.  A line of another shape, or a score that is no number, is an
+    error.  Returns ``query_id, doc_id, score, rank``."""
+    raw = with_line_numbers(spark.read.text(path), "_ord").select(F.split("value", "\t").alias("f"), "_ord")
+    four = F.size("f") == 4
+    shape = F.when(F.size("f") >= 3, F.lit(True)).otherwise(F.raise_error(F.lit("run line needs 3 or 4 tab-separated columns")))
+    df = raw.where(shape).select(
         F.trim(F.col("f")[0]).alias("query_id"),
         F.trim(F.when(four, F.col("f")[2]).otherwise(F.col("f")[1])).alias("doc_id"),
-        F.when(four, F.col("f")[3]).otherwise(F.col("f")[2]).cast("double").alias("score"),
+        F.trim(F.when(four, F.col("f")[3]).otherwise(F.col("f")[2])).cast("double").alias("score"),
         "_ord")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "_ord")
     return (df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
             .drop("_ord"))
 
 
-def read_train_pairs(spark: SparkSession, paths: str | list[str],
-                     max_lines: int | None = None) -> DataFrame:
+def read_train_pairs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Training pair lines (S2), gzip or plain, in three shapes:
-    ``["q","p"]`` (exactly two, else an error), ``{"query", "pos": [...]}``
-    and ``{"set": [...]}`` (sets of fewer than two are skipped; first item
-    is the query, the rest positives).  Ids are ``train-<line index>``;
-    blank positives are dropped (kept text is not trimmed); rows with empty
-    query or no positives are dropped.  ``max_lines`` optionally stops after
-    that line index (off by default).  Returns ``_id, text, pos``."""
-    lines = spark.read.text(paths)
-    idx = lines.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])).toDF("value string, idx long")
-    if max_lines is not None:
-        idx = idx.where(F.col("idx") <= max_lines)
-    arr = F.from_json("value", "array<string>")
-    obj = F.from_json("value", "struct<query:string,pos:array<string>,neg:array<string>,set:array<string>>")
+    ``["q","p"]`` (exactly two, else an error; a blank positive stays),
+    ``{"query", "pos": [...]}`` and ``{"set": [...]}`` (sets of fewer than two
+    are skipped; first item is the query, the rest positives; blank positives
+    are dropped, kept text is not trimmed).  Any other shape is an error, a
+    query line with ``neg`` included.  Ids are ``train-<line index>``; rows
+    with an empty query or no positives are dropped.  Returns ``_id, text,
+    pos``."""
+    idx = with_line_numbers(spark.read.text(paths))
     v = F.trim("value")
+    keys = F.json_object_keys("value")
+    has = lambda k: F.array_contains(keys, k)
     parsed = idx.select(
         "idx",
-        F.when(v.startswith("["), arr).alias("a"),
-        F.when(v.startswith("{"), obj).alias("o"))
-    bad_pair = F.col("a").isNotNull() & (F.size("a") != 2)
-    bad_shape = (F.col("a").isNull() & (F.col("o").isNull() | (
-        F.col("o.query").isNull() & F.col("o.set").isNull())))
-    checked = parsed
-    q = (F.when(bad_pair, F.raise_error(F.lit("pair line must hold exactly two texts")))
-         .when(bad_shape, F.raise_error(F.lit("unknown training line shape")))
-         .when(F.col("a").isNotNull(), F.col("a")[0])
-         .when(F.col("o.query").isNotNull(), F.col("o.query"))
-         .otherwise(F.col("o.set")[0]))
-    pos = (F.when(F.col("a").isNotNull(), F.slice("a", 2, 1))
-           .when(F.col("o.query").isNotNull(), F.col("o.pos"))
-           .otherwise(F.slice(F.col("o.set"), 2, 1 << 30)))
-    out = checked.select(
-        F.concat(F.lit("train-"), F.col("idx").cast("string")).alias("_id"),
-        q.alias("text"),
-        F.filter(pos, lambda p: p.isNotNull() & (F.trim(p) != "")).alias("pos"),
-        F.col("o.set").alias("_set"))
-    out = out.where(F.col("_set").isNull() | (F.size("_set") >= 2))
-    return (out.where(F.col("text").isNotNull() & (F.col("text") != "") & (F.size("pos") > 0))
-            .select("_id", "text", "pos"))
+        F.when(v.startswith("["), F.from_json("value", "array<string>")).alias("a"),
+        F.from_json("value", "struct<query:string,pos:array<string>,set:array<string>>").alias("o"),
+        (has("query") & has("pos") & ~has("neg")).alias("query_line"), has("set").alias("set_line"))
+    kind = (F.when(F.col("a").isNotNull(), F.when(F.size("a") == 2, "pair")
+                   .otherwise(F.raise_error(F.lit("pair line must hold exactly two texts"))))
+            .when(F.col("query_line"), "query").when(F.col("set_line"), "set")
+            .otherwise(F.raise_error(F.lit("unknown training line shape"))))
+    filled = lambda x: F.filter(x, lambda p: F.coalesce(p, F.lit("")).rlike(NOT_BLANK))
+    text = F.when(F.col("kind") == "pair", F.col("a")[0]).when(F.col("kind") == "query", F.col("o.query")) \
+        .otherwise(F.get(F.col("o.set"), F.lit(0)))
+    pos = F.when(F.col("kind") == "pair", F.slice("a", 2, 1)).when(F.col("kind") == "query", filled(F.col("o.pos"))) \
+        .otherwise(filled(F.slice(F.col("o.set"), 2, 1 << 30)))
+    out = parsed.withColumn("kind", kind).select(
+        F.concat(F.lit("train-"), F.col("idx").cast("string")).alias("_id"), text.alias("text"), pos.alias("pos"))
+    return out.where((F.col("text") != "") & (F.size("pos") > 0))
+
+
+PASSAGE = "struct<docid:string,title:string,text:string,ce_score:double>"
 
 
 def read_training_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Training-group JSONL (S3) whose passages may be plain strings: they
-    become ``{docid: "", title: "", text}``; a missing ``query_id`` becomes
+    """Training-group JSONL (S3) whose passages are objects or plain strings,
+    told apart by their JSON type: a string, whatever its first character,
+    becomes ``{docid: "", title: "", text}``.  ``ce_score`` (the teacher's
+    score) is kept, null where absent.  A missing ``query_id`` becomes
     ``train-<line index>``."""
-    raw = spark.read.text(path)
-    idx = raw.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])).toDF("value string, idx long")
-    sch = ("struct<query_id:string,query:string,positive_passages:array<string>,"
-           "negative_passages:array<string>>")
-    o = F.from_json("value", sch)
-
-    def to_struct(arr):
-        psg = "struct<docid:string,title:string,text:string>"
-        return F.transform(arr, lambda s: F.when(
-            F.trim(s).startswith("{"), F.from_json(s, psg)).otherwise(
-            F.struct(F.lit("").alias("docid"), F.lit("").alias("title"), s.alias("text"))))
-
-    return idx.select(
-        F.coalesce(o["query_id"], F.concat(F.lit("train-"), F.col("idx").cast("string"))).alias("query_id"),
-        o["query"].alias("query"),
-        to_struct(o["positive_passages"]).alias("positive_passages"),
-        to_struct(o["negative_passages"]).alias("negative_passages"))
+    def passages(name):
+        found = F.try_variant_get("v", f"$.{name}", "array<variant>")
+        text = F.schema_of_variant
+        return F.transform(found, lambda x: F.when(
+            text(x) == "STRING",
+            F.struct(F.lit("").alias("docid"), F.lit("").alias("title"), F.try_variant_get(x, "$", "string").alias("text"),
+                     F.lit(None).cast("double").alias("ce_score")))
+            .otherwise(F.struct(*[F.try_variant_get(x, f"$.{f}", t).alias(f) for f, t in (
+                ("docid", "string"), ("title", "string"), ("text", "string"), ("ce_score", "double"))])))
+
+    rows = with_line_numbers(spark.read.text(path)).select("idx", F.parse_json("value").alias("v"))
+    return rows.select(
+        F.coalesce(F.try_variant_get("v", "$.query_id", "string"),
+                   F.concat(F.lit("train-"), F.col("idx").cast("string"))).alias("query_id"),
+        F.try_variant_get("v", "$.query", "string").alias("query"),
+        passages("positive_passages").alias("positive_passages"),
+        passages("negative_passages").alias("negative_passages"))
 
 
 def read_test_queries(spark: SparkSession, folder: str) -> DataFrame:
     """All ``.json/.jsonl`` test-query files of a folder (S11): adds
     ``meta.filename``; underscores removed; empty queries dropped."""
-    paths = [os.path.join(folder, n) for n in sorted(os.listdir(folder))
-             if n.endswith((".json", ".jsonl"))]
-    df = spark.read.json(paths).withColumn("_file", F.input_file_name())
+    df = spark.read.json(files_of(spark, folder, (".json", ".jsonl"))).withColumn("_file", F.input_file_name())
     return (df.withColumn("query", F.regexp_replace("query", "_", ""))
             .where(F.col("query") != "")
             .withColumn("meta", F.struct(F.element_at(F.split("_file", "/"), -1).alias("filename")))
@@ -193,18 +179,15 @@ def read_domain_files(spark: SparkSession, folder: str, domains: list[str],
     ``_train_dataset_idx`` (row index within the domain), ``domain_name``
     and ``domain_ids``."""
     names = sorted(domains)
-    missing = [d for d in names if not os.path.exists(os.path.join(folder, f"{d}.jsonl"))]
+    paths = {d: f"{folder.rstrip('/')}/{d}.jsonl" for d in names}
+    missing = [d for d in names if not exists(spark, paths[d])]
     if missing:
         raise FileNotFoundError(f"missing domain files: {missing}")
     ids = domain_to_idx or {d: i for i, d in enumerate(names)}
-    df = (spark.read.json([os.path.join(folder, f"{d}.jsonl") for d in names])
-          .withColumn("domain_name", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
-          .withColumn("_ord", F.monotonically_increasing_id()))
     idmap = F.create_map(*[x for d, i in ids.items() for x in (F.lit(d), F.lit(i))])
-    w = Window.partitionBy("domain_name").orderBy("_ord")
-    return (df.withColumn("_train_dataset_idx", (F.row_number().over(w) - 1).cast("long"))
-            .withColumn("domain_ids", idmap[F.col("domain_name")].cast("tinyint"))
-            .drop("_ord"))
+    df = with_line_numbers(spark.read.json(list(paths.values())).withColumn(
+        "domain_name", F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1)), "_train_dataset_idx", per_file=True)
+    return df.withColumn("domain_ids", idmap[F.col("domain_name")].cast("tinyint"))
 
 
 DOMAIN_CONFIG_SCHEMA = T.StructType([
@@ -240,15 +223,20 @@ def read_category_bridge(spark: SparkSession, path: str) -> DataFrame:
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
     """Id-mapping TSV with header ``beir-docid, faiss-docid`` (S15)."""
     return (spark.read.option("sep", "\t").option("header", True)
-            .schema("`beir-docid` string, `faiss-docid` long").csv(path)
+            .option("escape", '"').schema("`beir-docid` string, `faiss-docid` long").csv(path)
             .select(F.col("beir-docid").alias("doc_id"), F.col("faiss-docid").alias("row_id")))
 
 
+def write_id_map(ids: DataFrame, path: str) -> None:
+    """``doc_id, row_id`` as the id-mapping TSV that :func:`read_id_map`
+    reads; tabs, quotes and line ends inside an id are quoted."""
+    ids.select(F.col("doc_id").alias("beir-docid"), F.col("row_id").alias("faiss-docid")) \
+        .write.mode("overwrite").option("sep", "\t").option("header", True).option("escape", '"').csv(path)
+
+
 def build_id_map(corpus: DataFrame, id_col: str = "_id") -> DataFrame:
-    """Dense 0-based integer id per corpus id (stable by id order)."""
-    return (corpus.select(F.col(id_col).alias("doc_id")).distinct()
-            .rdd.map(lambda r: r[0]).sortBy(lambda x: x).zipWithIndex()
-            .toDF("doc_id string, row_id long"))
+    """Dense 0-based integer id per corpus id (by id order)."""
+    return number_rows(corpus.select(F.col(id_col).alias("doc_id")).distinct(), ["doc_id"], "row_id")
 
 
 def medmcqa_groups(df: DataFrame) -> DataFrame:
@@ -272,12 +260,24 @@ def read_lang_shards(spark: SparkSession, paths: list[str], key: str = "docid")
 def read_multilingual_qa(spark: SparkSession, folder: str) -> DataFrame:
     """Multilingual QA files ``<folder>/<lang>.jsonl`` with ``id, question,
     answers`` (S12): ``lang`` from the file name."""
-    df = spark.read.json(os.path.join(folder, "*.jsonl")).withColumn("_file", F.input_file_name())
+    df = spark.read.json(files_of(spark, folder, (".jsonl",))).withColumn("_file", F.input_file_name())
     return df.select(F.col("id").cast("string").alias("query_id"), F.col("question").alias("text"),
                      "answers",
                      F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1).alias("lang"))
 
 
+def read_multilingual_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """The QA corpus (S12): the id is ``_id``, else ``docid``, else an error;
+    the last line of an id wins."""
+    df = with_place(spark.read.json(files_of(spark, path, JSON_SUFFIXES)))
+    present = [c for c in ("_id", "docid") if c in df.columns]
+    if not present:
+        raise KeyError("the corpus needs an _id or docid field")
+    key = F.coalesce(*[F.col(c).cast("string") for c in present])
+    key = F.when(key.isNull(), F.raise_error(F.lit("a corpus line has neither _id nor docid"))).otherwise(key)
+    return last_of(df.withColumn("_key", key).drop(*present).withColumnRenamed("_key", "_id"), ["_id"])
+
+
 def judged_queries(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     """Queries that have qrels (J4, semi join)."""
     return queries.join(qrels.select(F.col("query_id").alias("_id")).distinct(), "_id", "left_semi")
@@ -298,10 +298,7 @@ def union_test_sets(*sets: DataFrame) -> DataFrame:
     for i, s in enumerate(sets):
         s = s.withColumn("_set", F.lit(i)).withColumn("_ord", F.monotonically_increasing_id())
         out = s if out is None else out.unionByName(s, allowMissingColumns=True)
-    # a range-partitioned sort plus zipWithIndex: no single-task window
-    ordered = out.orderBy("_set", "_ord").drop("_set", "_ord")
-    schema = ordered.schema.add("idx", "long")
-    return ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])).toDF(schema)
+    return number_rows(out, ["_set", "_ord"], "idx").drop("_set", "_ord")
 
 
 def align_union(frames: list[DataFrame]) -> DataFrame:

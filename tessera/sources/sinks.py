@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .files import exists
+
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
@@ -42,30 +45,32 @@ def weight_tables_json(w: DataFrame, keys: list[str]) -> DataFrame:
                       .alias("json"))
 
 
+def write_weight_tables(w: DataFrame, keys: list[str], path: str) -> None:
+    """The documents of :func:`weight_tables_json`, one text file per group
+    under ``path/<key>=<value>/`` (K3)."""
+    weight_tables_json(w, keys).repartition(*keys).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
 def append_scores(spark: SparkSession, scores: DataFrame, path: str,
                   keys: tuple[str, ...] = ("task", "lang"), overwrite: bool = False) -> DataFrame:
     """Resumable metric store (K4): Parquet partitioned by ``keys``; groups
-    already present are skipped unless ``overwrite``.  Returns the rows
-    written."""
+    already present are skipped, or with ``overwrite`` replaced; other groups
+    stay as they are.  Returns the rows written."""
     todo = scores
-    if not overwrite:
-        try:
-            done = spark.read.parquet(path).select(*keys).distinct()
-            todo = scores.join(done, list(keys), "left_anti")
-        except Exception:  # noqa: BLE001 - no store yet
-            pass
-    todo.write.mode("append").partitionBy(*keys).parquet(path)
+    if not overwrite and exists(spark, path):
+        done = spark.read.parquet(path).select(*keys).distinct()
+        todo = scores.join(done, list(keys), "left_anti")
+    todo = cut_lineage(todo, "scores")  # the store it is compared with is about to change
+    todo.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return todo
 
 
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """Build-once Parquet cache (K5): read ``path`` if present, else write
-    ``build()`` there and read it back."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not built yet
+    """Build-once Parquet cache (K5): read ``path`` if it was written to the
+    end (its success mark is there), else write ``build()`` and read that."""
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def log_lines(metrics: DataFrame, step_col: str = "step") -> DataFrame:

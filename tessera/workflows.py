@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .operators import corpus as C
 from .operators import dedup, dro, mining, search
+from .functions.text import passage_text
 from .operators.encode import encode
-from .session import cut_lineage
+from .session import cut_lineage, number_rows
 from .sources import readers, sinks
 
 
@@ -31,21 +32,22 @@ def mine_from_pairs(spark: SparkSession, pairs_path: str, encoder: Callable[[lis
                     topk: int = 100, n_sample: int = 16, seed: int = 42,
                     query_prompt: str = "", passage_prompt: str = "") -> DataFrame:
     """Hard-negative mining from a training-pair collection (E1)."""
-    pairs = readers.read_train_pairs(spark, pairs_path)
+    pairs = cut_lineage(readers.read_train_pairs(spark, pairs_path).withColumn(
+        "row_idx", F.monotonically_increasing_id()), "pairs")
     groups = pairs.select(
-        F.monotonically_increasing_id().alias("row_idx"), F.col("_id").alias("query_id"),
+        "row_idx", F.col("_id").alias("query_id"),
         F.col("text").alias("query"),
         F.transform("pos", lambda p: F.struct(F.lit("").alias("title"), p.alias("text")))
         .alias("positive_passages"))
     corpus = C.corpus_from_groups(groups)
     qrels = C.qrels_from_groups(groups, corpus).join(groups.select("row_idx", "query_id"), "row_idx")
     # dense numeric query ids for the search kernel
-    ids = (groups.select("query_id").distinct().rdd.map(lambda r: r[0]).zipWithIndex()
-           .toDF("query_id string, qnum long"))
-    q_vec = encode(groups.select("query_id", "query"), encoder, dim, "query_id", "query", query_prompt)
-    from .functions.text import passage_text
-    d_vec = encode(corpus.select("corpus_idx", passage_text(F.col("title"), F.col("text")).alias("t")),
-                   encoder, dim, "corpus_idx", "t", passage_prompt)
+    ids = number_rows(groups.select("query_id").distinct(), ["query_id"], "qnum")
+    # the model runs once over each side
+    q_vec = cut_lineage(encode(groups.select("query_id", "query"), encoder, dim, "query_id", "query", query_prompt),
+                        "query_vectors")
+    d_vec = cut_lineage(encode(corpus.select("corpus_idx", passage_text(F.col("title"), F.col("text")).alias("t")),
+                   encoder, dim, "corpus_idx", "t", passage_prompt), "passage_vectors")
     run = search.knn(q_vec.join(ids, "query_id").select(F.col("qnum").alias("query_id"), "embedding"),
                      d_vec.withColumnRenamed("corpus_idx", "doc_id"), topk, "dot")
     pos = (qrels.join(ids, "query_id")
