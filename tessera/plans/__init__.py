@@ -13,6 +13,7 @@ _MODULES = [
     "logging",
     "ann",
     "corpus",
+    "formats",
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where a row was read: its file, its split and its place in the split.
@@ -20,13 +20,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def files_of(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[str]:
-    """``path`` itself if it is a file; of a folder, its files whose names end
-    in one of ``suffixes``, sorted by name."""
+    """``path`` itself if it is a file; of a folder, what is in it (files, or
+    folders of part files) whose names end in one of ``suffixes``, sorted by
+    name."""
     fs, p = _fs(spark, path)
     if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
         return [path]
     names = sorted(st.getPath().getName() for st in fs.listStatus(p)
-                   if st.isFile() and st.getPath().getName().endswith(suffixes))
+                   if st.getPath().getName().endswith(suffixes))
     return [f"{path.rstrip('/')}/{n}" for n in names]
 
 
@@ -37,13 +38,14 @@ def with_place(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_m"))
 
 
-def with_line_numbers(df: DataFrame, out: str = "idx", per_file: bool = False) -> DataFrame:
-    """Adds the 0-based line number (over all files in name order, or in each
-    file) to a DataFrame straight from a file reader.  A split's first number
-    comes from the table of split sizes: one row per split, no row moves."""
+def with_line_numbers(df: DataFrame, out: str = "idx", per: Column | None = None) -> DataFrame:
+    """Adds the 0-based line number (over all files in name order, or over
+    those with one value of ``per``, an expression on ``_file``) to a
+    DataFrame straight from a file reader.  A split's first number comes from
+    the table of split sizes: one row per split, no row moves."""
     placed = with_place(df)
     splits = placed.groupBy("_file", "_block").agg(F.min("_m").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy("_file").orderBy("_block") if per_file else Window.orderBy("_file", "_block")
+    order = Window.orderBy("_file", "_block") if per is None else Window.partitionBy(per).orderBy("_file", "_block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("_file", "_block",
                            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_s"))

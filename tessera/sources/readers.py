@@ -165,7 +165,8 @@ def read_training_groups(spark: SparkSession, path: str) -> DataFrame:
 def read_test_queries(spark: SparkSession, folder: str) -> DataFrame:
     """All ``.json/.jsonl`` test-query files of a folder (S11): adds
     ``meta.filename``; underscores removed; empty queries dropped."""
-    df = spark.read.json(files_of(spark, folder, (".json", ".jsonl"))).withColumn("_file", F.input_file_name())
+    df = spark.read.json(files_of(spark, folder, (".json", ".jsonl"))) \
+        .withColumn("_file", F.col("_metadata.file_path"))
     return (df.withColumn("query", F.regexp_replace("query", "_", ""))
             .where(F.col("query") != "")
             .withColumn("meta", F.struct(F.element_at(F.split("_file", "/"), -1).alias("filename")))
@@ -174,8 +175,8 @@ def read_test_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_domain_files(spark: SparkSession, folder: str, domains: list[str],
                       domain_to_idx: dict[str, int] | None = None) -> DataFrame:
-    """``<folder>/<domain>.jsonl`` for each configured domain (S13), in
-    sorted name order; a missing file is an error.  Adds
+    """``<folder>/<domain>.jsonl`` (a file, or a folder of part files) for
+    each configured domain (S13), in sorted name order; a missing file is an error.  Adds
     ``_train_dataset_idx`` (row index within the domain), ``domain_name``
     and ``domain_ids``."""
     names = sorted(domains)
@@ -185,8 +186,9 @@ def read_domain_files(spark: SparkSession, folder: str, domains: list[str],
         raise FileNotFoundError(f"missing domain files: {missing}")
     ids = domain_to_idx or {d: i for i, d in enumerate(names)}
     idmap = F.create_map(*[x for d, i in ids.items() for x in (F.lit(d), F.lit(i))])
+    name = lambda path: F.regexp_extract(path, r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
     df = with_line_numbers(spark.read.json(list(paths.values())).withColumn(
-        "domain_name", F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1)), "_train_dataset_idx", per_file=True)
+        "domain_name", name("_metadata.file_path")), "_train_dataset_idx", per=name("_file"))
     return df.withColumn("domain_ids", idmap[F.col("domain_name")].cast("tinyint"))
 
 
@@ -252,7 +254,7 @@ def medmcqa_groups(df: DataFrame) -> DataFrame:
 def read_lang_shards(spark: SparkSession, paths: list[str], key: str = "docid") -> DataFrame:
     """Per-language corpus shards (S7, e.g. ``.../<lang>/docs-<i>.jsonl.gz``):
     one multi-path read; ``lang`` is taken from the parent folder name."""
-    df = spark.read.json(paths).withColumn("_file", F.input_file_name())
+    df = spark.read.json(paths).withColumn("_file", F.col("_metadata.file_path"))
     return (df.withColumnRenamed(key, "_id").withColumn("_id", F.col("_id").cast("string"))
             .withColumn("lang", F.element_at(F.split("_file", "/"), -2)).drop("_file"))
 
@@ -260,10 +262,10 @@ def read_lang_shards(spark: SparkSession, paths: list[str], key: str = "docid")
 def read_multilingual_qa(spark: SparkSession, folder: str) -> DataFrame:
     """Multilingual QA files ``<folder>/<lang>.jsonl`` with ``id, question,
     answers`` (S12): ``lang`` from the file name."""
-    df = spark.read.json(files_of(spark, folder, (".jsonl",))).withColumn("_file", F.input_file_name())
+    df = spark.read.json(files_of(spark, folder, (".jsonl",))).withColumn("_file", F.col("_metadata.file_path"))
     return df.select(F.col("id").cast("string").alias("query_id"), F.col("question").alias("text"),
                      "answers",
-                     F.regexp_extract("_file", r"([^/]+)\.jsonl$", 1).alias("lang"))
+                     F.regexp_extract("_file", r"([^/]+)\.jsonl(?:/[^/]*)?$", 1).alias("lang"))
 
 
 def read_multilingual_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import readers, sinks
 
@@ -84,7 +85,7 @@ def test_line_numbers_follow_names_and_splits(spark):
         df = with_line_numbers(spark.read.text(d))
         assert spark.read.text(d).rdd.getNumPartitions() > 3
         assert [r.value for r in df.orderBy("idx").collect()] == want
-        per = with_line_numbers(spark.read.text(d), per_file=True)
+        per = with_line_numbers(spark.read.text(d), per=F.col("_file"))
         assert all(int(r.value[1:]) == r.idx for r in per.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
