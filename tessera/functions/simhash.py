@@ -11,7 +11,7 @@ its default settings):
 * bit ``j`` of the fingerprint is set iff more than half of the feature
   occurrences have bit ``j`` set.
 
-The per-text work is a small numpy helper run inside an Arrow-batched
+A batch of texts is hashed as one numpy array inside an Arrow-batched
 ``pandas_udf``: it is a narrow, partition-local step (no shuffle), so it
 scales with the number of tasks.
 """
@@ -19,7 +19,7 @@ scales with the number of tasks.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +31,6 @@ from pyspark.sql import types as T
 
 SHINGLE = 4
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}]+")
-_CJK = r"[\x{4e00}-\x{9fff}]"
 
 
 def clean_query(col: Column) -> Column:
@@ -46,62 +45,99 @@ def has_chinese(col: Column) -> Column:
     return col.rlike("[\\u4e00-\\u9fff]")
 
 
-def _finish(weights: np.ndarray, digest: bytes, n: int) -> int:
-    """Bit vote of the weighted 8-byte feature hashes -> signed 64-bit."""
-    bits = np.unpackbits(np.frombuffer(digest, dtype=np.uint8).reshape(len(weights), 8), axis=1)
-    ones = weights @ bits
-    value = int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
-    return value - (1 << 64) if value >= (1 << 63) else value
+def _hash_bits(grams: list[str]) -> np.ndarray:
+    """The 64 bits (highest first) of each feature's hash."""
+    digest = b"".join(hashlib.md5(g.encode("utf-8")).digest()[8:] for g in grams)
+    return np.unpackbits(np.frombuffer(digest, dtype=np.uint8).reshape(len(grams), 8), axis=1)
 
 
-def _fingerprint_slow(s: str) -> int:
-    n = max(len(s) - SHINGLE + 1, 1)
-    counts = Counter(s[i:i + SHINGLE] for i in range(n))
-    digest = b"".join(hashlib.md5(g.encode("utf-8")).digest()[8:] for g in counts)
-    weights = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    return _finish(weights, digest, n)
+# Distinct shingles whose bits a worker remembers (a language has few
+# four-character shingles, so most repeat from batch to batch).
+_REMEMBER = 1_000_000
+_U48, _U32, _U16 = np.uint64(48), np.uint64(32), np.uint64(16)
 
 
-# Per-process memo of shingle hashes (a language has few distinct 4-character
-# shingles, so most md5 calls repeat across documents); bounded.
-_MEMO: dict[int, bytes] = {}
-_MEMO_MAX = 1_000_000
-_U48, _U32, _U16 = np.uint64(48), np.uint64(32), np.uint64(16)
+class _ShingleBits:
+    """Hash bits of packed shingles: sorted keys and their rows."""
+
+    def __init__(self):
+        self.keys, self.bits = np.empty(0, np.uint64), np.empty((0, 8), np.uint8)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Bits (n x 64) of sorted distinct keys; new ones are hashed once."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        new = keys[self.keys[at] != keys] if len(self.keys) else keys
+        if len(new):
+            grams = [chr(k >> 48) + chr((k >> 32) & 0xFFFF) + chr((k >> 16) & 0xFFFF) + chr(k & 0xFFFF)
+                     for k in new.tolist()]
+            bits = np.packbits(_hash_bits(grams), axis=1)
+            if len(self.keys) + len(new) > _REMEMBER:
+                self.__init__()
+                return self.of(keys) if len(new) < len(keys) else np.unpackbits(bits, axis=1)
+            order = np.argsort(np.concatenate([self.keys, new]), kind="stable")
+            self.keys = np.concatenate([self.keys, new])[order]
+            self.bits = np.concatenate([self.bits, bits])[order]
+            at = np.searchsorted(self.keys, keys)
+        return np.unpackbits(self.bits[at], axis=1)
+
+
+def _signed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64).ravel()
+
+
+def fingerprints(texts: list[str], memory: _ShingleBits | None = None, at_once: int = 1 << 18) -> np.ndarray:
+    """Signed 64-bit SimHash of cleaned texts (lower case, letters and digits
+    only).  The code points of a whole batch make one array of packed
+    shingles; each distinct one is hashed once, and a document's votes are
+    one segment sum.  ``at_once`` shingles bound the memory."""
+    memory = memory or _ShingleBits()
+    out = np.zeros(len(texts), np.int64)
+    points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
+    short = [k for k, p in enumerate(points) if len(p) < SHINGLE or p.max() >= 65536]
+    for k in short:  # one shingle, or characters beyond 16 bits
+        n = max(len(texts[k]) - SHINGLE + 1, 1)
+        bits = _hash_bits([texts[k][i:i + SHINGLE] for i in range(n)])
+        out[k] = _signed((bits.sum(axis=0, dtype=np.int64) * 2 > n)[None, :])[0]
+    part, size = [], 0
+    for k in [k for k in range(len(texts)) if k not in set(short)] + [None]:
+        if k is not None:
+            part.append(k)
+            size += len(points[k]) - SHINGLE + 1
+        if part and (k is None or size >= at_once):
+            counts = np.array([len(points[j]) - SHINGLE + 1 for j in part])
+            keys = np.concatenate([(c[:-3] << _U48) | (c[1:-2] << _U32) | (c[2:-1] << _U16) | c[3:]
+                                   for c in (points[j].astype(np.uint64) for j in part)])
+            distinct, at = np.unique(keys, return_inverse=True)
+            bits = memory.of(distinct)
+            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            votes = np.zeros((len(part), 64), np.int64)
+            for j, (lo, n) in enumerate(zip(starts, counts)):
+                for x in range(lo, lo + n, at_once):  # a long text in pieces
+                    votes[j] += bits[at[x:min(x + at_once, lo + n)]].sum(axis=0, dtype=np.int64)
+            out[part] = _signed(votes * 2 > counts[:, None])
+            part, size = [], 0
+    return out
 
 
 def fingerprint_text(text: str | None) -> int | None:
-    """Signed 64-bit SimHash of one text (Python helper, also used by tests).
-
-    Fast path for texts in the Basic Multilingual Plane: the four code
-    points of every shingle are packed into one uint64, counted with
-    ``np.unique``, and each distinct shingle is hashed once (memoised)."""
-    if text is None:
-        return None
-    s = _NOT_WORD.sub("", text.lower())
-    cp = np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
-    if len(cp) < SHINGLE or cp.max() >= 65536:
-        return _fingerprint_slow(s)
-    c = cp.astype(np.uint64)
-    keys = (c[:-3] << _U48) | (c[1:-2] << _U32) | (c[2:-1] << _U16) | c[3:]
-    uniq, counts = np.unique(keys, return_counts=True)
-    memo = _MEMO
-    if len(memo) > _MEMO_MAX:
-        memo.clear()
-    parts = []
-    for k in uniq.tolist():
-        d = memo.get(k)
-        if d is None:
-            g = chr(k >> 48) + chr((k >> 32) & 0xFFFF) + chr((k >> 16) & 0xFFFF) + chr(k & 0xFFFF)
-            d = hashlib.md5(g.encode("utf-8")).digest()[8:]
-            memo[k] = d
-        parts.append(d)
-    return _finish(counts.astype(np.int64), b"".join(parts), len(keys))
+    """Signed 64-bit SimHash of one raw text."""
+    return None if text is None else int(fingerprints([_NOT_WORD.sub("", text.lower())])[0])
 
 
 @F.pandas_udf(T.LongType())
-def simhash64(texts: pd.Series) -> pd.Series:
-    """Vectorised column function: text -> signed 64-bit SimHash."""
-    return pd.Series([fingerprint_text(t) for t in texts], dtype="Int64")
+def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    memory = _ShingleBits()
+    for texts in batches:
+        known = texts.notna()
+        out = pd.Series([None] * len(texts), index=texts.index, dtype="Int64")
+        out[known] = fingerprints([_NOT_WORD.sub("", t.lower()) for t in texts[known]], memory)
+        yield out
+
+
+def simhash64(text: Column) -> Column:
+    """Column function: text -> signed 64-bit SimHash."""
+    return _simhash(text)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -104,25 +104,32 @@ def test_fingerprints(test: DataFrame, test_keys: list[str], test_text: str = "q
         .select(*test_keys, "fp"), "test_fingerprints")
 
 
+def _matched(train: DataFrame, test: DataFrame, train_keys: list[str], test_keys: list[str],
+             train_text: str, test_text: str, k: int, n_blocks: int | None,
+             test_fps: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(train rows with their fingerprint, test items within ``k`` bits of
+    each *distinct* train fingerprint ``fp_l``).  Rows that share a
+    fingerprint - a hot line, all lines of punctuation - are one row of the
+    match, so copies on both sides never multiply."""
+    tr = cut_lineage(fingerprint(train.select(*train_keys, train_text), train_text)
+                     .select(*train_keys, "fp"), "train_fingerprints")
+    te = test_fps if test_fps is not None else test_fingerprints(test, test_keys, test_text)
+    pairs = near_fingerprint_pairs(tr.select("fp").distinct(), te.select("fp").distinct(), k, n_blocks)
+    hits = te.withColumnRenamed("fp", "fp_r").join(pairs, "fp_r").select("fp_l", *test_keys, "distance")
+    return tr.withColumnRenamed("fp", "fp_l"), cut_lineage(hits, "contamination_matches")
+
+
 def contamination_matches(train: DataFrame, test: DataFrame, train_keys: list[str],
                           test_keys: list[str], train_text: str = "query",
                           test_text: str = "query", k: int = 2,
                           n_blocks: int | None = None,
                           test_fps: DataFrame | None = None) -> DataFrame:
     """Flat (train row, test item) pairs whose cleaned texts are within ``k``
-    bits.  Returns ``train_keys + test_keys + distance``.  ``test_fps``
+    bits: the expansion of the fingerprint-level match, for callers that want
+    every pair.  Returns ``train_keys + test_keys + distance``.  ``test_fps``
     (from :func:`test_fingerprints`) skips re-fingerprinting the test side."""
-    tr = cut_lineage(fingerprint(train.select(*train_keys, train_text), train_text)
-                     .select(*train_keys, "fp"), "train_fingerprints")
-    te = test_fps if test_fps is not None else test_fingerprints(test, test_keys, test_text)
-    pairs = near_fingerprint_pairs(tr.select("fp").distinct(), te.select("fp").distinct(),
-                                   k, n_blocks)
-    test_hits = te.withColumnRenamed("fp", "fp_r").join(pairs, "fp_r")
-    return (
-        tr.withColumnRenamed("fp", "fp_l")
-        .join(test_hits, "fp_l")
-        .select(*train_keys, *test_keys, "distance")
-    )
+    tr, hits = _matched(train, test, train_keys, test_keys, train_text, test_text, k, n_blocks, test_fps)
+    return tr.join(hits, "fp_l").select(*train_keys, *test_keys, "distance")
 
 
 def decontaminate(train: DataFrame, test: DataFrame, train_keys: list[str],
@@ -134,23 +141,16 @@ def decontaminate(train: DataFrame, test: DataFrame, train_keys: list[str],
 
     Clean rows are returned whole and unchanged.  The report has one row per
     contaminated train row with ``test_dups``: the matched test items (as
-    structs of ``test_keys + test_payload``), ordered by test key.
+    structs of ``test_keys + test_payload``), ordered by test key.  The lists
+    are gathered once for each distinct fingerprint.
     """
-    matches = contamination_matches(train, test, train_keys, test_keys,
-                                    train_text, test_text, k, test_fps=test_fps)
-    matches = cut_lineage(matches, "contamination_matches")
-    flagged = matches.select(*train_keys).distinct()
+    tr, hits = _matched(train, test, train_keys, test_keys, train_text, test_text, k, None, test_fps)
+    flagged = cut_lineage(tr.join(hits.select("fp_l").distinct(), "fp_l", "left_semi"), "flagged")
     # contaminated rows are few: a size-checked broadcast keeps the (large)
     # training side from shuffling; beyond the bound a shuffled anti join
-    clean = join_small(train, flagged, train_keys, "left_anti")
-    payload = test_payload or [test_text]
-    items = test.select(*test_keys, *[c for c in payload if c not in test_keys])
-    report = (
-        matches.join(items, test_keys)
-        .groupBy(*train_keys)
-        .agg(F.array_sort(F.collect_list(F.struct(*test_keys, *[
-            c for c in payload if c not in test_keys])))
-             .alias("test_dups"))
-    )
-    report = join_small(train.select(*train_keys, train_text), report, train_keys)
-    return clean, report
+    clean = join_small(train, flagged.select(*train_keys).distinct(), train_keys, "left_anti")
+    payload = [c for c in (test_payload or [test_text]) if c not in test_keys]
+    lists = (hits.join(test.select(*test_keys, *payload), test_keys).groupBy("fp_l")
+             .agg(F.array_sort(F.collect_list(F.struct(*test_keys, *payload))).alias("test_dups")))
+    report = join_small(train.select(*train_keys, train_text), flagged, train_keys).join(lists, "fp_l")
+    return clean, report.select(*train_keys, train_text, "test_dups")

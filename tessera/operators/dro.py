@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.schedule import lr_factor
+from ..session import cut_lineage, join_small
 
 RUN_STEP = ["run_id", "step"]
 
@@ -35,11 +36,14 @@ def proxy_loss(rows: DataFrame, minus_ref: bool = False, normalize_with_ref: boo
     if normalize_with_ref:
         ref = F.col("ref_loss")
         if p_norm > 0:
-            batch = Window.partitionBy("run_id", "step", "micro")
-            norm = F.pow(F.sum(F.pow(F.abs(ref), p_norm)).over(batch), 1.0 / p_norm)
-            ref = ref / F.greatest(norm, F.lit(1e-12))
+            # one row per micro-batch, from partial sums; a batch of any size
+            # is never gathered
+            batch = ["run_id", "step", "micro"]
+            norms = rows.groupBy(*batch).agg(F.sum(F.pow(F.abs(ref), p_norm)).alias("_norm"))
+            rows = join_small(rows, cut_lineage(norms, "batch_norms"), batch)
+            ref = ref / F.greatest(F.pow(F.col("_norm"), 1.0 / p_norm), F.lit(1e-12))
         proxy = proxy / F.when(ref < 1e-4, F.lit(1.0)).otherwise(ref)
-    return rows.withColumn("proxy", F.greatest(proxy, F.lit(0.0)))
+    return rows.withColumn("proxy", F.greatest(proxy, F.lit(0.0))).drop("_norm")
 
 
 def group_gradient(rows: DataFrame, domains: list[str], accum_steps: int) -> DataFrame:
@@ -51,7 +55,8 @@ def group_gradient(rows: DataFrame, domains: list[str], accum_steps: int) -> Dat
                  .agg(F.avg("proxy").alias("group_loss")))
     per_step = (per_micro.groupBy("run_id", "step", "domain")
                 .agg((F.sum("group_loss") / accum_steps).alias("grad")))
-    grid = (rows.select(*RUN_STEP).distinct()
+    per_step = cut_lineage(per_step, "step_gradients")
+    grid = (per_step.select(*RUN_STEP).distinct()
             .withColumn("domain", F.explode(F.array(*[F.lit(d) for d in domains]))))
     return (grid.join(per_step, RUN_STEP + ["domain"], "left")
             .withColumn("grad", F.coalesce("grad", F.lit(0.0))))
@@ -118,6 +123,7 @@ def ema_weights(a: DataFrame, init: dict[str, float], beta: float = 0.1) -> Data
                   ["run_id", "domain", "step"])
 
 
+OPTIMIZERS = ("sgd", "adamw", "adagrad", "rmsprop", "adafactor")
 _OPT_SCHEMA = ("run_id string, step long, domain string, grad double, lr double, "
                "log_alpha double, alpha double")
 
@@ -125,12 +131,17 @@ _OPT_SCHEMA = ("run_id string, step long, domain string, grad double, lr double,
 def stateful_weights(g: DataFrame, init: dict[str, float], optimizer: str,
                      beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8,
                      weight_decay: float = 0.0, momentum: float = 0.0,
-                     dampening: float = 0.0, rms_alpha: float = 0.99) -> DataFrame:
+                     dampening: float = 0.0, rms_alpha: float = 0.99,
+                     clip_threshold: float = 1.0, decay_rate: float = -0.8,
+                     relog: bool = False) -> DataFrame:
     """Ascent with a stateful optimiser, folded per run over the small
     (step x domain) gradient table with ``applyInPandas``.  Update rules are
     the documented ones of the common deep-learning optimisers with
-    ``maximize=True``; unknown names are an error."""
-    if optimizer not in ("sgd", "adamw", "adagrad", "rmsprop"):
+    ``maximize=True`` (Adafactor: its unfactored form for vectors, without
+    parameter scaling or relative steps); unknown names are an error.
+    ``relog`` sets the log-weights to the logarithm of the weights after
+    every update, which matters under weight decay."""
+    if optimizer not in OPTIMIZERS:
         raise ValueError(f"unsupported optimizer {optimizer}")
     domains = list(init)
     log0 = np.log(np.array([init[d] for d in domains], dtype=np.float64))
@@ -166,6 +177,12 @@ def stateful_weights(g: DataFrame, init: dict[str, float], optimizer: str,
                 acc = np.zeros_like(theta) if acc is None else acc
                 acc = acc + grad * grad
                 theta = theta - lr * grad / (np.sqrt(acc) + 1e-10)
+            elif optimizer == "adafactor":
+                keep = 1 - t ** decay_rate
+                sq = np.zeros_like(theta) if sq is None else sq
+                sq = keep * sq + (1 - keep) * (grad * grad + 1e-30)
+                change = grad / np.sqrt(sq)
+                theta = theta - lr * change / max(1.0, float(np.sqrt((change ** 2).mean())) / clip_threshold)
             else:  # rmsprop
                 if weight_decay:
                     grad = grad + weight_decay * theta
@@ -174,6 +191,8 @@ def stateful_weights(g: DataFrame, init: dict[str, float], optimizer: str,
                 theta = theta - lr * grad / (np.sqrt(sq) + eps)
             e = np.exp(theta - theta.max())
             alpha = e / e.sum()
+            if relog:
+                theta = np.log(alpha)
             for i, d in enumerate(domains):
                 out.append((pdf["run_id"].iloc[0], int(step), d, float(row.iloc[i]), float(lr),
                             float(theta[i]), float(alpha[i])))
@@ -185,13 +204,12 @@ def stateful_weights(g: DataFrame, init: dict[str, float], optimizer: str,
 
 def robust_loss(rows: DataFrame, alpha: DataFrame) -> DataFrame:
     """Per micro-batch robust loss: each example weighted by its domain's
-    current alpha (this step's update), weights normalised over the batch."""
-    j = rows.join(alpha.select("run_id", "step", "domain", "alpha"),
-                  ["run_id", "step", "domain"], "left")
-    w = Window.partitionBy("run_id", "step", "micro")
-    return (j.withColumn("wn", F.col("alpha") / F.sum("alpha").over(w))
-            .groupBy("run_id", "step", "micro")
-            .agg(F.sum(F.col("loss") * F.col("wn")).alias("robust_loss")))
+    current alpha (this step's update), weights normalised over the batch:
+    ``sum(loss * alpha) / sum(alpha)`` of partial sums."""
+    weights = cut_lineage(alpha.select("run_id", "step", "domain", "alpha"), "alpha")
+    j = join_small(rows, weights, ["run_id", "step", "domain"])
+    return j.groupBy("run_id", "step", "micro").agg(
+        (F.sum(F.col("loss") * F.col("alpha")) / F.sum("alpha")).alias("robust_loss"))
 
 
 def final_weights(a: DataFrame, kind_cols: dict[str, str]) -> DataFrame:

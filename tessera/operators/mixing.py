@@ -26,8 +26,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_small
+from ..session import cut_lineage, join_small, number_rows
 
+#: Domains are configuration; their sizes are held by the driver.
+MAX_DOMAINS = 100_000
 U_BITS = 52  # hash-uniforms use 13 hex digits of md5 (exact in a double)
 
 
@@ -66,9 +68,12 @@ def shuffle_domains(rows: DataFrame, seed: int, domain: str = "domain",
 
 
 def cumulative(weights: dict[str, float]) -> list[tuple[str, float]]:
-    """Normalised cumulative weights in domain-name order (last forced to 1)."""
-    names = sorted(weights)
-    tot = sum(weights[d] for d in names)
+    """Normalised cumulative weights in domain-name order (last forced to 1);
+    domains of weight 0 are never drawn and left out."""
+    names = sorted(d for d in weights if weights[d] > 0)
+    if not names or min(weights.values()) < 0:
+        raise ValueError("weights must not be negative, and one must be positive")
+    tot = sum(weights[d] for d in sorted(weights))
     acc, out = 0.0, []
     for d in names:
         acc += weights[d] / tot
@@ -94,12 +99,11 @@ def _slots(spark: SparkSession, n_slots: int, weights: dict[str, float], seed: i
     return s.withColumn("domain", draw_domain(hash_uniform(seed, draw_key), weights))
 
 
-def _cut(slots: DataFrame, sizes: DataFrame, stopping: str) -> DataFrame:
+def _cut(slots: DataFrame, sizes: DataFrame, stopping: str, n_dom: int) -> DataFrame:
     """Slots up to and including the stopping slot, or ``None`` when the
     generated range is too short to decide."""
-    ex = (slots.join(sizes, "domain").where(F.col("k") == F.col("size") - 1)
+    ex = (join_small(slots, sizes, "domain").where(F.col("k") == F.col("size") - 1)
           .groupBy("domain").agg(F.min("slot").alias("s")))
-    n_dom = sizes.count()
     stats = ex.agg(F.min("s").alias("first"), F.max("s").alias("last"),
                    F.count(F.lit(1)).alias("n")).collect()[0]
     if stopping == "first_exhausted":
@@ -119,9 +123,12 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
     ``k mod n``, row ``k div n``).  Otherwise slots draw a domain by weight,
     per example or, with ``homogeneous``, per batch of ``batch_size``.
     ``stopping``: ``first_exhausted`` stops after the row that exhausts the
-    first domain; ``all_exhausted`` after every domain was exhausted once
-    (exhausted domains wrap around).  Returns ``slot, batch_id, domain,
-    idx`` plus the row columns.
+    first domain; ``all_exhausted`` after every domain with a positive
+    weight was exhausted once (exhausted domains wrap around).  A domain of
+    weight 0 is never drawn; a domain that ``weights`` does not name, and a
+    name without rows, are errors.  Without ``shuffle`` rows keep the order
+    of their ids.  Returns ``slot, batch_id, domain, idx`` plus the row
+    columns.
     """
     if stopping not in ("first_exhausted", "all_exhausted"):
         raise ValueError(f"unknown stopping strategy {stopping}")
@@ -133,10 +140,16 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
     if shuffle:
         base = shuffle_domains(keys, seed, "domain", id_col)
     else:
-        base = dense_index(keys, "domain", F.col(id_col), F.lit(0))
+        # one range sort of all ids: no task holds a whole domain
+        placed = number_rows(keys, ["domain", id_col], "_place")
+        starts = placed.groupBy("domain").agg(F.min("_place").alias("_start"))
+        base = join_small(placed, starts, "domain").withColumn("idx", F.col("_place") - F.col("_start")) \
+            .drop("_place", "_start")
     base = cut_lineage(base, "domain_positions")
-    sizes = base.groupBy("domain").agg(F.count(F.lit(1)).alias("size"))
-    size_map = {r["domain"]: r["size"] for r in sizes.collect()}  # one row per domain
+    sizes = cut_lineage(base.groupBy("domain").agg(F.count(F.lit(1)).alias("size")), "domain_sizes")
+    if sizes.count() > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    size_map = {r["domain"]: r["size"] for r in sizes.collect()}
     names = sorted(size_map)
     if weights is None:
         n = len(names)
@@ -145,9 +158,12 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
                  .withColumn("batch_id", F.floor(F.col("slot") / batch_size).cast("long"))
                  .withColumn("domain", idx_of[F.pmod(F.col("slot"), F.lit(n))])
                  .withColumn("k", F.floor(F.col("slot") / n).cast("long")))
-        chosen = _cut(slots, sizes, stopping)
+        chosen = _cut(slots, sizes, stopping, n)
     else:
-        w = {d: float(weights.get(d, 0.0)) for d in names}
+        if set(weights) != set(names):
+            raise ValueError(f"weights and domains differ: {sorted(set(weights) ^ set(names))}")
+        w = {d: float(weights[d]) for d in names}
+        drawn = len(cumulative(w))
         total = sum(w.values())
         need = max(size_map[d] * total / w[d] for d in names if w[d] > 0)
         n_slots = int(math.ceil(need * 1.5)) + 10 * batch_size
@@ -157,13 +173,13 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
             chunk = max(1024, n_slots // 4096)
             slots = dense_index(slots, "domain", F.col("slot"),
                                 F.floor(F.col("slot") / chunk), out="k")
-            chosen = _cut(slots, sizes, stopping)
+            chosen = _cut(cut_lineage(slots, "slots"), sizes, stopping, drawn)
             if chosen is not None:
                 break
             n_slots *= 2
         if chosen is None:
             raise RuntimeError("stopping point not reached; raise max_rounds")
-    picked = (chosen.join(F.broadcast(sizes), "domain")   # one row per domain
+    picked = (join_small(chosen, sizes, "domain")
               .withColumn("idx", F.pmod(F.col("k"), F.col("size")))
               .select("slot", "batch_id", "domain", "idx"))
     # the slot table is bounded by the training length, the row table is
@@ -192,7 +208,8 @@ def split_devices(stream: DataFrame, batch_size: int, world_size: int) -> DataFr
 
 
 def domain_report(rows: DataFrame, weights: dict[str, float], domain: str = "domain") -> DataFrame:
-    """Per domain: size and normalised weight (A5, A6)."""
+    """Per domain: size and normalised weight (A5, A6); null where
+    ``weights`` does not name the domain."""
     tot = sum(weights.values())
     wmap = F.create_map(*[x for d, v in weights.items() for x in (F.lit(d), F.lit(v / tot))])
     return (rows.groupBy(domain).agg(F.count(F.lit(1)).alias("size"))

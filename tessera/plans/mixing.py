@@ -70,6 +70,33 @@ def interleave_batches(spark, sf_dir):
                                   "all_exhausted", BATCH, homogeneous=True))
 
 
+def _skewed(spark, sf_dir):
+    """Weights 0, 16, 8, 4, 2, 1, 16, ... by domain name: one domain is never
+    drawn, a few take most slots."""
+    names = sorted(r[0] for r in _rows(spark, sf_dir).select("domain").distinct().collect())
+    return {d: float(0 if i == 0 else 1 << (4 - (i - 1) % 5)) for i, d in enumerate(names)}
+
+
+def _skewed_sql(stopping_agg: str) -> str:
+    return _weighted_sql("slot", stopping_agg).replace(
+        "(SELECT domain FROM names WHERE names.i = least(floor(u.u * names.n)::BIGINT + 1, names.n))",
+        "(SELECT min(domain) FROM cum WHERE cum.hi > u.u AND cum.lo <= u.u)").replace(
+        "* 16 AS nslots FROM sizes)", """* 64 AS nslots FROM sizes),
+weights AS (SELECT domain, CASE WHEN i = 1 THEN 0 ELSE 1 << (4 - (i - 2) % 5)::INT END AS w FROM names),
+cum AS (SELECT domain, (sum(w) OVER (ORDER BY domain) - w)::DOUBLE / sum(w) OVER () AS lo,
+               sum(w) OVER (ORDER BY domain)::DOUBLE / sum(w) OVER () AS hi FROM weights)""")
+
+
+@register("interleave_skewed", ops=("M6", "M9"), oracle=_skewed_sql("min"))
+def interleave_skewed(spark, sf_dir):
+    return _out(mixing.interleave(_rows(spark, sf_dir), _skewed(spark, sf_dir), SEED, "first_exhausted", BATCH))
+
+
+@register("interleave_skewed_all", ops=("M6", "M9"), oracle=_skewed_sql("max"))
+def interleave_skewed_all(spark, sf_dir):
+    return _out(mixing.interleave(_rows(spark, sf_dir), _skewed(spark, sf_dir), SEED, "all_exhausted", BATCH))
+
+
 @register("round_robin", ops=("M8", "M9"), oracle=f"""
 WITH {_BASE_SQL},
 s AS (SELECT range AS slot, range // {BATCH} AS batch_id,

@@ -126,7 +126,7 @@ def alpha_ema(spark, sf_dir):
 _SIZES_SQL = "sizes AS (SELECT domain, count(*) AS size FROM rows GROUP BY domain)"
 
 
-@register("domain_epochs", ops=("F29", "K3", "A5"), oracle=_ALPHA_SQL + f""",
+@register("domain_epochs", ops=("F29",), oracle=_ALPHA_SQL + f""",
 {_SIZES_SQL},
 fin AS (SELECT am.* FROM am JOIN (SELECT run_id, max(step) AS step FROM am GROUP BY run_id) l USING (run_id, step)),
 w AS (SELECT run_id, 'curr' AS kind, domain, alpha AS weight FROM fin
@@ -181,14 +181,35 @@ def robust_loss(spark, sf_dir):
         "run_id", "step", "micro", _r("robust_loss"))
 
 
-@register("alpha_adamw", ops=("W5",))
+_LR = "({ETA} * CASE WHEN t - 1 < 3 THEN (t - 1) / 3.0 WHEN t - 1 > 30 THEN 0 ELSE greatest(0.0, (31 - t) / 27.0) END)" \
+    .replace("{ETA}", str(ETA))
+
+
+@register("alpha_adamw", ops=("W5", "W6"), oracle=_GRAD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+gi AS (SELECT *, dense_rank() OVER (PARTITION BY run_id ORDER BY step) AS t FROM g),
+nd AS (SELECT count(DISTINCT domain) AS n FROM rows),
+rec AS (
+  SELECT run_id, domain, 0::BIGINT AS t, 0::BIGINT AS step, ln(1.0 / (SELECT n FROM nd)) AS th,
+         0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+  FROM (SELECT DISTINCT run_id, domain FROM g)
+  UNION ALL
+  SELECT run_id, domain, t, step,
+         th - {_LR.replace('t - 1', 'step - 1').replace('31 - t', '31 - step')}
+              * (m / (1 - pow(0.9, t))) / (sqrt(v / (1 - pow(0.999, t))) + 1e-8), m, v
+  FROM (SELECT r.run_id, r.domain, gi.t, gi.step, r.th, 0.9 * r.m - 0.1 * gi.grad AS m,
+               0.999 * r.v + 0.001 * gi.grad * gi.grad AS v
+        FROM rec r JOIN gi ON gi.run_id = r.run_id AND gi.domain = r.domain AND gi.t = r.t + 1))
+SELECT run_id, step, domain, round(th, 6) AS log_alpha,
+       round(exp(th) / sum(exp(th)) OVER (PARTITION BY run_id, step), 6) AS alpha
+FROM rec WHERE t > 0
+""")
 def alpha_adamw(spark, sf_dir):
     rows = dro.proxy_loss(loss_rows(spark, sf_dir), minus_ref=True, normalize_with_ref=True)
     domains = domains_of(spark, sf_dir)
     g = dro.with_lr(dro.clip_gradient(dro.group_gradient(rows, domains, ACCUM), MAX_NORM), ETA,
                     "linear", warmup=3, total=30)
     return dro.stateful_weights(g, _init(domains), "adamw").select(
-        "run_id", "step", "domain", _r("log_alpha"), _r("alpha"))
+        "run_id", "step", "domain", _r("log_alpha", 6), _r("alpha", 6))
 
 
 @register("lr_schedule", ops=("F25", "W6", "W8"), oracle="""
@@ -204,10 +225,10 @@ SELECT t + 1 AS step,
 FROM s, p
 """)
 def lr_schedule(spark, sf_dir):
-    from ..functions.schedule import lr_factor
+    from ..functions.schedule import lr_factor, total_steps
     ev = table(spark, sf_dir, "events")
     steps = ev.select(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("t")).distinct()
-    n = steps.count()  # number of optimiser steps = total (W8); a scalar
+    n = total_steps(steps.count() * ACCUM, ACCUM)  # micro-batches to optimiser steps (W8)
     return steps.select(
         (F.col("t") + 1).cast("long").alias("step"),
         F.round(lr_factor(F.col("t"), "linear", 3, n, 0.1), 9).alias("linear"),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus as C
-from tessera.operators import dedup, dro, mining
+from tessera.operators import dedup, dro, mining, mixing
 
 
 def test_short_and_underscore_texts(spark):
@@ -55,3 +55,43 @@ def test_negative_sampling_counts(spark):
     got = mining.sample_hard_negatives(run, (2, 100), 3, 1).groupBy("query_id").count().collect()
     # query 1: ranks 3..7 are candidates -> 3 sampled; query 2: its only row is a positive
     assert {r.query_id: r["count"] for r in got} == {1: 3}
+
+
+def test_mixing_weights_zero_missing_negative(spark):
+    rows = spark.createDataFrame([(d, i) for d in "abc" for i in range(4)], "domain string, id long")
+    got = mixing.interleave(rows, {"a": 0.0, "b": 9.0, "c": 1.0}, 1, "all_exhausted").collect()
+    assert {r.domain for r in got} == {"b", "c"}
+    assert {r.id for r in got if r.domain == "c"} == {0, 1, 2, 3}
+    for bad in ({"a": 1.0, "b": 1.0}, {"a": 1.0, "b": 1.0, "c": 1.0, "d": 1.0}, {"a": 0.0, "b": 0.0, "c": 0.0},
+                {"a": -1.0, "b": 1.0, "c": 1.0}):
+        with pytest.raises(ValueError):
+            mixing.interleave(rows, bad, 1)
+
+
+def test_mixing_without_shuffle_keeps_id_order(spark):
+    rows = spark.createDataFrame([(d, i) for d in "ab" for i in (7, 3, 9, 1)], "domain string, id long")
+    got = mixing.interleave(rows, None, 1, shuffle=False).orderBy("slot").collect()
+    assert [(r.domain, r.id) for r in got] == [("a", 1), ("b", 1), ("a", 3), ("b", 3), ("a", 7), ("b", 7), ("a", 9)]
+
+
+def test_simhash_batch_equals_plain_votes(spark):
+    import hashlib
+
+    import numpy as np
+
+    from tessera.functions import simhash as S
+
+    def plain(s):
+        grams = [s[i:i + 4] for i in range(max(len(s) - 3, 1))]
+        votes = [0] * 64
+        for g in grams:
+            h = int.from_bytes(hashlib.md5(g.encode()).digest()[8:], "big")
+            for j in range(64):
+                votes[j] += h >> j & 1
+        u = sum(1 << j for j in range(64) if votes[j] * 2 > len(grams))
+        return u - (1 << 64) if u >> 63 else u
+    texts = ["", "a", "abcd", "abcde" * 50, "éüñ" * 30, "\U0001F600x" * 9, "z" * 5000, "我爱北京天安门"]
+    assert S.fingerprints(texts).tolist() == S.fingerprints(texts, at_once=64).tolist() == [plain(t) for t in texts]
+    memory = S._ShingleBits()
+    assert S.fingerprints(texts, memory).tolist() == S.fingerprints(texts, memory).tolist()
+    assert (np.diff(memory.keys.astype(object)) > 0).all()

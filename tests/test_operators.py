@@ -145,3 +145,105 @@ def test_sgd_window_equals_sequential_fold(spark):
     st = dro.stateful_weights(dro.with_lr(g, 0.1), init, "sgd").orderBy("step", "domain").collect()
     for x, y in zip(a, st):
         assert x.alpha == pytest.approx(y.alpha, rel=1e-9)
+
+
+def _ascend(name, grads, lrs, theta, wd=0.0, relog=False):
+    """Scalar loops after the optimisers' published update rules."""
+    th, n, out = list(theta), len(theta), []
+    m, v, acc, sq, buf = ([0.0] * n for _ in range(5))
+    for t, (g, lr) in enumerate(zip(grads, lrs), 1):
+        g = [-x for x in g]
+        if name == "adafactor":
+            keep = 1 - t ** -0.8
+            sq = [keep * s + (1 - keep) * (x * x + 1e-30) for s, x in zip(sq, g)]
+            u = [x / math.sqrt(s) for x, s in zip(g, sq)]
+            rms = math.sqrt(sum(x * x for x in u) / n)
+            th = [a - lr * x / max(1.0, rms) for a, x in zip(th, u)]
+        else:
+            for i in range(n):
+                x = g[i]
+                if name == "adamw":
+                    th[i] *= 1 - lr * wd
+                    m[i], v[i] = 0.9 * m[i] + 0.1 * x, 0.999 * v[i] + 0.001 * x * x
+                    th[i] -= lr * (m[i] / (1 - 0.9 ** t)) / (math.sqrt(v[i] / (1 - 0.999 ** t)) + 1e-8)
+                    continue
+                x += wd * th[i]
+                if name == "momentum":
+                    buf[i] = x if t == 1 else 0.9 * buf[i] + 0.5 * x
+                    th[i] -= lr * buf[i]
+                elif name == "sgd":
+                    th[i] -= lr * x
+                elif name == "adagrad":
+                    acc[i] += x * x
+                    th[i] -= lr * x / (math.sqrt(acc[i]) + 1e-10)
+                elif name == "rmsprop":
+                    sq[i] = 0.99 * sq[i] + 0.01 * x * x
+                    th[i] -= lr * x / (math.sqrt(sq[i]) + 1e-8)
+        z = sum(math.exp(a) for a in th)
+        alpha = [math.exp(a) / z for a in th]
+        if relog:
+            th = [math.log(a) for a in alpha]
+        out.append(alpha)
+    return out
+
+
+@pytest.mark.parametrize("name,wd,relog", [("sgd", 0.1, False), ("sgd", 0.1, True), ("momentum", 0.0, False),
+                                           ("adamw", 0.05, False), ("adamw", 0.05, True), ("adagrad", 0.1, False),
+                                           ("rmsprop", 0.1, False), ("adafactor", 0.0, False)])
+def test_every_optimizer_follows_its_rule(spark, name, wd, relog):
+    grads = [[float((s * 7 + i * 3) % 5) / 3 - 0.4 for i in range(3)] for s in range(1, 9)]
+    g = spark.createDataFrame([("r", s + 1, d, row[i]) for s, row in enumerate(grads) for i, d in enumerate("abc")],
+                              "run_id string, step long, domain string, grad double")
+    init = {"a": 0.5, "b": 0.3, "c": 0.2}
+    kw = {"momentum": 0.9, "dampening": 0.5} if name == "momentum" else {}
+    got = dro.stateful_weights(dro.with_lr(g, 0.1, "linear", 2, 9), init, "sgd" if name == "momentum" else name,
+                               weight_decay=wd, relog=relog, **kw).orderBy("step", "domain").collect()
+    lrs = [r.lr for r in got[::3]]
+    want = _ascend(name, grads, lrs, [math.log(x) for x in init.values()], wd, relog)
+    assert [r.alpha for r in got] == pytest.approx([a for row in want for a in row], rel=1e-9)
+    with pytest.raises(ValueError):
+        dro.stateful_weights(g, init, "lion")
+
+
+def test_batch_norm_and_robust_loss_from_partial_sums(spark):
+    rows = [("r", 1, 0, "a", 2.0, 1.0), ("r", 1, 0, "b", 4.0, 3.0), ("r", 1, 1, "a", 1.0, 0.0), ("r", 2, 0, "b", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "run_id string, step long, micro long, domain string, loss double, ref_loss double")
+    got = {(r.step, r.micro, r.domain): r.proxy for r in dro.proxy_loss(df, True, True, 2.0).collect()}
+    n = math.sqrt(10)
+    assert got == pytest.approx({(1, 0, "a"): 1 / (1 / n), (1, 0, "b"): 1 / (3 / n), (1, 1, "a"): 1.0, (2, 0, "b"): 0.0})
+    alpha = spark.createDataFrame([("r", 1, "a", 0.25), ("r", 1, "b", 0.75), ("r", 2, "b", 1.0)],
+                                  "run_id string, step long, domain string, alpha double")
+    out = {(r.step, r.micro): r.robust_loss for r in dro.robust_loss(df, alpha).collect()}
+    assert out == pytest.approx({(1, 0): 0.25 * 2 + 0.75 * 4, (1, 1): 1.0, (2, 0): 1.0})
+
+
+def test_group_metrics_by_name(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5, 1), (1, 1, 0.9, 0), (1, 2, 0.1, 0), (2, 0, 0.2, 0), (2, 1, 0.2, 0)],
+                                 "group_id long, pos int, score double, label int")
+    get = lambda n, **k: {r.group_id: r.value for r in M.group_metric(rows, n, **k).collect()}
+    assert get("recall@1") == {1: 0.0, 2: 0.0} and get("recall@2") == {1: 1.0, 2: 0.0}
+    assert get("mrr@2") == {1: 0.5, 2: 0.0} and get("mrr@1") == {1: 0.0, 2: 0.0}
+    assert get("ctr@2") == {1: 0.5, 2: 0.0} and get("ctr") == pytest.approx({1: 1 / 3, 2: 0.0})
+    assert get("dcg@2") == pytest.approx({1: 1 / math.log2(3), 2: 0.0})
+    assert get("ndcg@2") == pytest.approx({1: 1 / math.log2(3), 2: 0.0})
+    # published variants: ascending order is pos 2, 0, 1
+    assert get("mrr@1", compat=True) == {1: 0.5, 2: 0.0} and get("mrr@2", compat=True) == {1: 0.0, 2: 0.0}
+    assert get("recall@1", compat=True) == {1: 0.0, 2: 0.0} and get("recall@3", compat=True) == {1: 1.0, 2: 0.0}
+    with pytest.raises(ValueError):
+        M.group_metric(rows, "map@3")
+
+
+def test_words_lower_case_each_token_and_untokenize(spark):
+    df = spark.createDataFrame([("ΟΔΟΣ.ΑΒΓ",), ("  Héllo,  wörld !",), ("",)], "t string")
+    r = df.select(qa.words(F.col("t")).alias("w"), qa.token_spans(F.col("t")).alias("s"), "t")
+    got = r.select("w", qa.untokenize(F.col("t"), F.col("s")).alias("all"),
+                   qa.untokenize(F.col("t"), F.col("s"), 1, 3).alias("mid")).collect()
+    assert got[0].w == ["οδος", ".", "αβγ"]
+    assert got[1]["all"] == "Héllo,  wörld !" and got[1].mid == ",  wörld" and got[2]["all"] == ""
+    skipped = r.select(qa.ngrams(F.col("w"), 2, skip=lambda g: F.array_contains(g, ".")).alias("g")).first().g
+    assert skipped == ["οδος", "αβγ"]
+    from tessera.operators.answers import contained_answers
+    p = spark.createDataFrame([(1, "ΟΔΟΣ.ΑΒΓ"), (2, "x y")], "doc_id long, text string")
+    a = spark.createDataFrame([(7, "ΟΔΟΣ"), (8, " \t"), (9, "y x"), (10, None)], "item_id long, text string")
+    assert sorted(map(str, contained_answers(p, a).collect())) == sorted(
+        ["Row(doc_id=1, item_id=7, all_passages=False)", "Row(doc_id=None, item_id=8, all_passages=True)"])
