@@ -18,10 +18,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def encode(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], dim: int,
@@ -59,10 +61,14 @@ def pool(tokens: DataFrame, strategy: str, doc: str = "doc_id", pos: str = "pos"
     ``doc, pos, vec, mask`` (and ``layer`` for the layer-mixing
     strategies: 0 = first, 1 = last, 2 = second to last)."""
     def mean_of(df: DataFrame) -> DataFrame:
-        x = df.where(F.col(mask) == 1).select(doc, F.posexplode(vec).alias("i", "x"))
-        s = x.groupBy(doc, "i").agg(F.avg("x").alias("x"))
-        return s.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_a")) \
-            .select(doc, F.transform("_a", lambda e: e["x"]).alias("embedding"))
+        # a document's tokens (a model's sequence length at most) are summed
+        # as one matrix
+        live = df.where(F.col(mask) == 1).select(doc, F.col(vec).cast("array<double>").alias("v"))
+
+        def mean(t: pa.Table) -> pa.Table:
+            m = np.array(t["v"].to_pylist()).mean(axis=0)
+            return pa.table({doc: t[doc].slice(0, 1), "embedding": pa.array([m.tolist()], pa.list_(pa.float64()))})
+        return live.groupBy(doc).applyInArrow(mean, f"{doc} {dict(live.dtypes)[doc]}, embedding array<double>")
 
     if strategy == "cls":
         w = Window.partitionBy(doc).orderBy(pos)
@@ -87,16 +93,23 @@ def pool(tokens: DataFrame, strategy: str, doc: str = "doc_id", pos: str = "pos"
 
 def project(df: DataFrame, weight: np.ndarray, bias: np.ndarray | None = None,
             vec: str = "embedding") -> DataFrame:
-    """``x W + b`` for a small ``W`` (in_dim x out_dim), as column arrays
-    (F21)."""
+    """``x W + b`` for a model-sized ``W`` (in_dim x out_dim), shipped to
+    the workers once and applied to whole batches (F21)."""
     w = np.asarray(weight, dtype=np.float64)
     b = np.zeros(w.shape[1]) if bias is None else np.asarray(bias, dtype=np.float64)
-    cols = []
-    for j in range(w.shape[1]):
-        col = F.array(*[F.lit(float(v)) for v in w[:, j]])
-        cols.append(F.aggregate(F.zip_with(F.col(vec), col, lambda a, c: a * c),
-                                F.lit(float(b[j])), lambda s, t: s + t))
-    return df.withColumn(vec, F.array(*cols))
+    shared = df.sparkSession.sparkContext.broadcast((w, b))
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == vec else f
+                           for f in df.schema])
+    place = df.columns.index(vec)
+
+    def run(batches):
+        w, b = shared.value
+        for batch in batches:
+            x = np.array(batch.column(place).to_pylist(), dtype=np.float64).reshape(-1, w.shape[0]) @ w + b
+            cols = list(batch.columns)
+            cols[place] = pa.array(x.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
+    return df.mapInArrow(run, schema)
 
 
 def save_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:

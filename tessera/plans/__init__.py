@@ -14,6 +14,7 @@ _MODULES = [
     "ann",
     "corpus",
     "formats",
+    "library",
 ]
 
 

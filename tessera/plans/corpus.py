@@ -30,7 +30,7 @@ firsts AS (SELECT title || text AS k, min(row_idx) AS first_row FROM pairs GROUP
 corp AS (SELECT k, first_row, row_number() OVER (ORDER BY first_row) - 1 AS corpus_idx FROM firsts)"""
 
 
-@register("corpus_from_pairs", ops=("A2", "U4", "F4", "F38", "S2"), oracle=f"""
+@register("corpus_from_pairs", ops=("A2", "F4", "F38"), oracle=f"""
 WITH {_PAIRS_SQL}
 SELECT corpus_idx, corpus_idx::VARCHAR AS _id, first_row, md5(k) AS content_md5 FROM corp
 """)
@@ -39,7 +39,7 @@ def corpus_from_pairs(spark, sf_dir):
     return c.select("corpus_idx", "_id", "first_row", F.md5("key").alias("content_md5"))
 
 
-@register("qrels_from_pairs", ops=("A1", "J2", "J1"), oracle=f"""
+@register("qrels_from_pairs", ops=("A1", "J2"), oracle=f"""
 WITH {_PAIRS_SQL}
 SELECT p.row_idx AS query_id, c.corpus_idx FROM pairs p JOIN corp c ON c.k = p.title || p.text
 """)

@@ -36,7 +36,7 @@ def near_dup_docs(spark, sf_dir):
     return dedup.near_duplicate_stats(_docs(spark, sf_dir), "doc_id", "text", k=2)
 
 
-@register("decontaminate_docs", ops=("F5", "F7", "J6", "J7"), oracle=f"""
+@register("decontaminate_docs", ops=("F5", "F7", "J6"), oracle=f"""
 WITH {simhash_ctes('tr', 'documents', ['doc_id'], 'text')},
 {simhash_ctes('te', "(SELECT * FROM benchmark WHERE replace(text, '_', '') <> '')", ['item_id'], 'text')}
 SELECT tr_fp.doc_id, te_fp.item_id, bit_count(xor(tr_fp.fp, te_fp.fp)) AS distance
@@ -47,7 +47,7 @@ def decontaminate_docs(spark, sf_dir):
                                        ["doc_id"], ["item_id"], "text", "text", k=2)
 
 
-@register("decontaminate_lines", ops=("F5", "F7", "J6", "J7", "U1"), oracle=f"""
+@register("decontaminate_lines", ops=("F5", "F7", "J6"), oracle=f"""
 WITH {simhash_ctes('tr', _DOC_LINES, ['doc_id', 'line_no'], 'line')},
 {simhash_ctes('te', f"(SELECT * FROM {_BENCH_LINES} WHERE replace(line, '_', '') <> '')", ['item_id', 'line_no'], 'line')}
 SELECT tr_fp.doc_id, tr_fp.line_no, te_fp.item_id, te_fp.line_no AS item_line_no,
@@ -62,7 +62,7 @@ def decontaminate_lines(spark, sf_dir):
                                        ["item_id", "item_line_no"], "line", "line", k=2)
 
 
-@register("clean_lines", ops=("J7", "K2"), oracle=f"""
+@register("clean_lines", ops=("J7",), oracle=f"""
 WITH {simhash_ctes('tr', _DOC_LINES, ['doc_id', 'line_no'], 'line')},
 {simhash_ctes('te', f"(SELECT * FROM {_BENCH_LINES} WHERE replace(line, '_', '') <> '')", ['item_id', 'line_no'], 'line')}
 SELECT l.doc_id, l.line_no, l.line FROM {_DOC_LINES} l
@@ -78,7 +78,7 @@ def clean_lines(spark, sf_dir):
     return clean
 
 
-@register("dup_report_lines", ops=("A4", "K2"), oracle=f"""
+@register("dup_report_lines", ops=("A4",), oracle=f"""
 WITH {simhash_ctes('tr', _DOC_LINES, ['doc_id', 'line_no'], 'line')},
 {simhash_ctes('te', f"(SELECT * FROM {_BENCH_LINES} WHERE replace(line, '_', '') <> '')", ['item_id', 'line_no'], 'line')}
 SELECT tr_fp.doc_id, tr_fp.line_no, count(*) AS n_test_dups,

@@ -94,7 +94,7 @@ def accuracy_at_k(spark, sf_dir):
         .select("k", F.round("accuracy", 6).alias("accuracy"))
 
 
-@register("passage_text", ops=("F2", "F3", "F4", "F9", "F11", "F15"), oracle=r"""
+@register("passage_text", ops=("F2", "F3", "F4"), oracle=r"""
 SELECT doc_id,
        md5(source || ' ' || text) AS passage_md5,
        md5(regexp_replace(source || ' ' || text, '^\s+|\s+$', '', 'g')) AS trimmed_md5,

@@ -80,7 +80,7 @@ _SIGNDOT = ("list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: "
 BINARY_K = 50
 
 
-@register("knn_binary_hamming", ops=("V2", "F22"), oracle=f"""
+@register("knn_binary_hamming", ops=("V2",), oracle=f"""
 SELECT query_id, doc_id, score, rank FROM (
   SELECT q.vec_id AS query_id, d.vec_id AS doc_id, -{_HAM}::DOUBLE AS score,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY {_HAM}, d.vec_id) AS rank
@@ -91,7 +91,7 @@ def knn_binary_hamming(spark, sf_dir):
                                      rerank=False))
 
 
-@register("knn_binary_rerank", ops=("V2", "F22", "F23"), oracle=f"""
+@register("knn_binary_rerank", ops=("V2",), oracle=f"""
 WITH ham AS (
   SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_SIGNDOT} AS sd,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY {_HAM}, d.vec_id) AS hrank
@@ -164,7 +164,7 @@ pq AS (
 """
 
 
-@register("rank_metrics", ops=("A12", "A13", "A14", "A15", "A16", "A17", "A18", "J12"),
+@register("rank_metrics", ops=("A12", "A13", "A14", "A18"),
           oracle=_JUDGED_SQL + """
 SELECT metric, k, round(value, 6) AS value FROM (
   SELECT 'ndcg' AS metric, k, avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END) AS value FROM pq GROUP BY k
