@@ -19,6 +19,7 @@ import struct
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -128,9 +129,9 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
             one = np.unpackbits(self.bits[p].view(np.uint8), bitorder="little", count=self.n).view(bool)
+            out[self.zeros[p]:] |= out.dtype.type(1 << (self.planes - 1 - p))
             up = np.empty_like(out)
-            up[~one] = out[:self.zeros[p]]
-            up[one] = out[self.zeros[p]:] | out.dtype.type(1 << (self.planes - 1 - p))
+            up[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = out
             out = up
         return out
 
@@ -152,7 +153,7 @@ def encode_shard(doc_ids, lengths, ids: np.ndarray) -> bytes:
         body += [counts.tobytes(), words.tobytes()]
         zeros.append(n - int(np.count_nonzero(one)))
         if p + 1 < planes:
-            seq = np.concatenate([seq[~one], seq[one]])
+            seq = np.concatenate([seq.compress(~one), seq.compress(one)])
     return MAGIC + struct.pack("<QIB3x", n, len(doc_ids), planes) + np.asarray(doc_ids, "<i8").tobytes() \
         + np.asarray(lengths, "<u4").tobytes() + np.array(zeros, "<u8").tobytes() + b"".join(body)
 
@@ -167,22 +168,23 @@ def _worker_cache() -> dict:
 #: themselves, 0x80-0xA0 for U+0122-U+0142, 0xAD for U+0143).
 _SPELT = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else 0x143 if b == 0xAD else 0x122 + b - 0x80)
                      for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
+_LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
 class PieceEncoder:
     """Ids (u32, little endian, as bytes) of texts by a tokenizer file.
 
     The tokenizer drops white space and never merges across it, so texts are
-    cut at U+0020 and the ids of short pieces are remembered while there is
-    room.  ``latin`` is set for lower-casing byte-level vocabularies that
+    cut at U+0020 and U+000A and the ids of short pieces are remembered while
+    there is room.  ``latin`` is set for lower-casing byte-level vocabularies that
     split letters from punctuation: then a word of Latin-1 letters goes
     straight to the library's merge model, a third of the work; anything else
     takes the library's whole way.
     """
 
-    REMEMBER = 500_000
-    LONGEST = 256
+    REMEMBER = 600_000
+    LONGEST = 64
+    MARKS = ".,;:!?%$&*#@^~|+=-_/\\\"()[]{}<>"
 
     def __init__(self, vocabulary: str, latin: bool = True):
         import os
@@ -194,33 +196,40 @@ class PieceEncoder:
 
     def _whole(self, piece: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        plain = self.latin and _PLAIN.fullmatch(piece)
-        if not plain:
+        word = piece.rstrip(self.MARKS) if self.latin else ""
+        if word.isascii() and word.isalpha():
+            spelt = word.lower()
+        elif word and _LATIN.fullmatch(word):
+            spelt = word.lower().translate(_SPELT)
+        else:
             return self._whole(piece)
-        tokens = self.model.tokenize(plain[1].lower().translate(_SPELT))
-        out = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        if plain[2]:
-            marks = self.known.get(plain[2])
-            if marks is None:
-                marks = self.known[plain[2]] = self._whole(plain[2])
-            out += marks
+        out = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(word) < len(piece):
+            marks = piece[len(word):]
+            ids = self.known.get(marks)
+            if ids is None:
+                ids = self.known[marks] = self._whole(marks)
+            out += ids
         return out
 
     def __call__(self, text: str) -> bytes:
-        known, out = self.known, []
-        if len(known) >= self.REMEMBER:
-            known.clear()
-        for piece in text.split(" "):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= self.LONGEST:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        known = self.known
+        pieces = text.replace("\n", " ").split(" ")
+        found = list(map(known.get, pieces))
+        if None in found:
+            # words come back by the Zipf law: what is met first is what
+            # pays to remember, later newcomers mostly stay alone
+            room = len(known) < self.REMEMBER
+            for k, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[k]
+                    found[k] = ids = known.get(piece) or self._piece(piece)
+                    if room and len(piece) <= self.LONGEST:
+                        known[piece] = ids
+        return b"".join(found)
 
 
 _SHARD = "part int, seq int, n_tokens long, shard binary"
