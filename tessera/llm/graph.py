@@ -44,11 +44,9 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(roots[far])], names=["a", "b"])
 
 
-def _forest(links: DataFrame) -> DataFrame:
+def _forest(links: DataFrame, blocks: int) -> DataFrame:
     """Links with the same components, one fewer than vertices in each dealt
     block: blocks of bounded size are contracted on their own."""
-    links = links.filter("a <> b")
-    blocks = max(2, links.count() // BLOCK + 1)
     return links.repartition(blocks, "a").mapInArrow(_contract, "a long, b long")
 
 
@@ -56,15 +54,24 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``vertex, comp`` (the component's smallest vertex) of every vertex of
     ``links`` (columns ``a``, ``b``: longs, not null).
 
-    Each round contracts blocks of links locally, lets every vertex left
-    point at its smallest neighbour, follows the pointers to their ends by
-    doubling, and goes on with the links between different ends; at least
-    half of the vertices vanish in a round.  No component, however large, is
-    ever held by one task, and every round starts from written tables.
+    Each round contracts blocks of ``BLOCK`` links locally, lets every vertex
+    left point at its smallest neighbour, follows the pointers to their ends
+    by doubling, and goes on with the links between different ends; at least
+    half of the vertices vanish in a round, and when one block holds what is
+    left, its contraction is the last round.  No task ever holds more than a
+    block, however large a component is, and every round starts from written
+    tables.
     """
-    links = stage(_forest(links.select("a", "b")), "links")
+    links = stage(links.select("a", "b").filter("a <> b"), "links")
     rounds = []
-    while not links.isEmpty():
+    while True:
+        n = links.count()
+        if n <= BLOCK:  # what is left fits one block
+            last = stage(links.coalesce(1).mapInArrow(_contract, "a long, b long"), "last")
+            roots = last.select("b", "b").distinct()
+            rounds.append(last.union(roots).toDF("vertex", "comp"))
+            break
+        links = stage(_forest(links, n // BLOCK + 1), "forest")
         both = links.union(links.select("b", "a"))
         up = stage(both.groupBy(F.col("a").alias("vertex"))
                    .agg(F.least(F.min("b"), F.col("vertex")).alias("comp")), "up")
@@ -77,10 +84,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         rounds.append(up)
         ends_a = up.select(F.col("vertex").alias("a"), F.col("comp").alias("ra"))
         ends_b = up.select(F.col("vertex").alias("b"), F.col("comp").alias("rb"))
-        links = stage(_forest(links.join(ends_a, "a").join(ends_b, "b")
-                              .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()), "links")
-    if not rounds:
-        return links.select(F.col("a").alias("vertex"), F.col("b").alias("comp"))
+        links = stage(links.join(ends_a, "a").join(ends_b, "b").filter("ra <> rb")
+                      .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
     out = rounds[0]
     for step in rounds[1:]:
         step = step.select(F.col("vertex").alias("comp"), F.col("comp").alias("next"))

@@ -9,14 +9,13 @@ there.  Two sets of similarity s share a token with probability s, so with
 ``branches * s > 1`` a similar pair survives any depth with a probability
 that a tree fixes and ``trees`` repeat towards 1.
 
-* Nodes of up to ``leaf`` documents are compared exhaustively by their
-  minwise tokens; larger ones branch again.
-* First, only neighbours in each node's order are confirmed and joined into
-  components: that takes a group of copies of any size out of the search
-  with about one link for each member.  Afterwards only nodes that still hold
-  two components are branched and compared, and only pairs across components
-  are looked at, so no group's pairs are ever written out.
-* Every candidate is confirmed on the full shingle sets before it links.
+* Nodes of up to ``leaf`` documents (beside their largest group of copies)
+  are compared exhaustively by their minwise tokens; larger ones branch again.  A node answers with a spanning
+  forest of its candidates, so a group of copies gives about as many rows as
+  it has members, and nodes whose documents are already joined are left out.
+* The candidates' components - clusters - hold every pair that may link.
+  Inside a cluster all pairs are then decided on the full shingle sets, again
+  with a spanning forest as the answer.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.session import join_small
 
 from .common import stage
-from .graph import connected_components
+from .graph import connected_components, min_roots
 from .substring import window_hashes
 from .words import WordHashes, mix64
 
@@ -147,11 +146,13 @@ def _neighbours(similarity: float):
 
 
 def _leaves(similarity: float, block: int = 1 << 15):
-    """Candidates across components inside each cell (sorted rows of one
-    node, a few thousand at most); compares row k with row k+1, k+2, ..."""
+    """A forest of the candidates inside each cell (sorted rows of one node,
+    a few thousand at most): compares row k with row k+1, k+2, ...; rows that
+    are joined already, by ``comp`` or by a pair found before, are skipped."""
     def compare(batch):
         node, vertex, n, comp = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
         short = _matrix(batch.column(3), np.uint8, COORDINATES)
+        label = np.unique(comp, return_inverse=True)[1]
         first = np.ones(len(node), bool)
         first[1:] = node[1:] != node[:-1]
         start = np.flatnonzero(first)
@@ -160,14 +161,20 @@ def _leaves(similarity: float, block: int = 1 << 15):
         i = np.arange(len(node))
         for step in range(1, int(left.max(initial=1))):
             i = i[left[i] > step]
-            j = i + step
-            go = comp[i] != comp[j]
-            a, b = i[go], j[go]
-            for k in range(0, len(a), 1 << 16):
-                x, y = a[k:k + (1 << 16)], b[k:k + (1 << 16)]
-                ok = _close(short, n, x, y, similarity)
-                if ok.any():
-                    yield _pairs(vertex, x[ok], y[ok])
+            for k in range(0, len(i), 1 << 16):
+                x = i[k:k + (1 << 16)]
+                x = x[label[x] != label[x + step]]
+                x = x[_close(short, n, x, x + step, similarity)]
+                if not len(x):
+                    continue
+                lo, hi = np.minimum(label[x], label[x + step]), np.maximum(label[x], label[x + step])
+                _, once = np.unique(lo * len(label) + hi, return_index=True)
+                x, lo, hi = x[once], lo[once], hi[once]
+                ids, roots = min_roots(lo, hi)
+                to = np.arange(len(label))
+                to[ids] = roots
+                label = to[label]
+                yield _pairs(vertex, x, x + step)
 
     def run(batches):
         held, rows = [], 0
@@ -186,50 +193,145 @@ def _leaves(similarity: float, block: int = 1 << 15):
 
 
 def _sets(width: int):
+    """Rows (cell, vertex, label, set_hash, text) to (cell, vertex, label,
+    shingles); texts of another set under the same key fall out."""
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            vertex, sets = [], []
-            for v, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            sets = []
+            for name, text in zip(batch.column(3).to_pylist(), batch.column(4)):
                 s = shingle_set(hashes.of((text.as_py() or b"").lower().split()), width).tobytes()
-                if xxhash.xxh3_128_digest(s) == name:
-                    vertex.append(v)
-                    sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(vertex, pa.int64()), pa.array(sets, pa.binary())],
-                                             names=["vertex", "shingles"])
+                sets.append(s if xxhash.xxh3_128_digest(s) == name else None)
+            sets = pa.array(sets, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], sets], names=["cell", "vertex", "label", "shingles"]) \
+                .filter(sets.is_valid())
     return run
 
 
-def _confirm(percent: int):
+def exact_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``sets`` beyond what ``label``
+    joins already.  One row at a time is counted against all others through
+    the shingles' holders; rows of the component that is largest so far wait,
+    since any pair it is in is met from the other side."""
+    n = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(flat, kind="stable")
+    holder = owner[order]
+    first = np.ones(len(flat), bool)
+    first[1:] = flat[order][1:] != flat[order][:-1]
+    run = np.cumsum(first) - 1
+    start = np.flatnonzero(first)
+    length = np.diff(np.append(start, len(flat)))
+    of = np.empty(len(flat), np.int64)
+    of[order] = run
+    ends = np.cumsum(n)
+    label = np.unique(label, return_inverse=True)[1]
+    open_ = np.ones(len(sets), bool)
+    found = []
+    while True:
+        size = np.bincount(label)
+        wait = np.flatnonzero(open_ & (label != size.argmax()))
+        if not len(wait):
+            return found
+        x = int(wait[0])
+        open_[x] = False
+        runs = of[ends[x] - n[x]:ends[x]]
+        reps = length[runs]
+        at = np.repeat(start[runs] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+        common = np.bincount(holder[at], minlength=len(sets))
+        linked = np.flatnonzero((100 * common >= percent * (n[x] + n - common)) & (label != label[x]))
+        for y in linked:
+            if label[y] != label[x]:
+                found.append((x, int(y)))
+                label[label == label[y]] = label[x]
+
+
+def _decide(percent: int):
+    """Links inside each cell (sorted rows cell, vertex, label, shingles)."""
+    def done(rows):
+        sets = [np.frombuffer(r["shingles"], "<u8") for r in rows]
+        found = exact_links(sets, np.array([r["label"] for r in rows]), percent)
+        vertex = [r["vertex"] for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([vertex[i] for i, _ in found], pa.int64()),
+                                           pa.array([vertex[j] for _, j in found], pa.int64())], names=["a", "b"])
+
     def run(batches):
+        cell, rows = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]],
-                                             names=["a", "b"])
+            for row in batch.to_pylist():
+                if rows and row["cell"] != cell:
+                    yield done(rows)
+                    rows = []
+                cell = row["cell"]
+                rows.append(row)
+        if rows:
+            yield done(rows)
     return run
 
 
-def _confirmed(pairs: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity.  Sets are
-    formed anew from the texts of the documents that are in a pair."""
-    ends = pairs.select(F.col("a").alias("vertex")).union(pairs.select("b")).distinct()
-    wanted = stage(vertices.select("vertex", "key", "set_hash").join(ends, "vertex"), "wanted")
-    sets = join_small(texts, wanted, "key", max_rows=1_000_000).select("vertex", "set_hash", "text") \
-        .mapInArrow(_sets(width), "vertex long, shingles binary")
-    sets = stage(sets, "sets")
-    of_a = sets.select(F.col("vertex").alias("a"), F.col("shingles").alias("sa"))
-    of_b = sets.select(F.col("vertex").alias("b"), F.col("shingles").alias("sb"))
-    return stage(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "sa", "sb")
-                 .mapInArrow(_confirm(percent), "a long, b long").distinct(), "confirmed")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = 4, branches: int = 3,
-                    leaf: int = 1024, depth: int = 4, seed: int = 1,
+def _links(placed: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links inside cells; ``placed`` has (cell, vertex, label).  Sets are
+    formed anew from the texts of the documents that are in a cell."""
+    wanted = stage(placed.join(vertices.select("vertex", "key", "set_hash"), "vertex"), "wanted")
+    sets = join_small(texts, wanted, "key", max_rows=1_000_000).select("cell", "vertex", "label", "set_hash", "text") \
+        .mapInArrow(_sets(width), "cell long, vertex long, label long, shingles binary")
+    return sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_decide(percent), "a long, b long")
+
+
+def _confirmed(clusters: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int,
+               room: int) -> DataFrame:
+    """All links inside the clusters (vertex, cluster), up to what keeps
+    their components, decided on full sets in cells of about ``room``
+    shingles.
+
+    A cluster that fits is one cell.  A larger one is dealt into cells twice
+    at random, which joins groups of copies of any size; then every part of
+    it that is still apart is compared with every other: components too large
+    for a cell are cut into blocks of their own, small ones are put together,
+    and a cell is a pair of blocks, except two blocks of one component."""
+    sized = clusters.join(vertices.select("vertex", "n"), "vertex")
+    weights = sized.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members")) \
+        .filter("members > 1")
+    sized = stage(sized.join(weights, "cluster"), "clusters")
+    own = F.col("vertex").alias("label")
+    small = sized.filter(F.col("weight") <= room).select(F.col("cluster").alias("cell"), "vertex", own)
+    links = _links(small, vertices, texts, width, percent)
+    large = sized.filter(F.col("weight") > room)
+    if large.isEmpty():
+        return links
+    parts = F.ceil(F.col("weight") / room).cast("long")
+    dealt = large.withColumn("deal", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.xxhash64("cluster", "deal", F.pmod(F.xxhash64("vertex", "deal"), parts)).alias("cell"), "vertex", own)
+    first = stage(_links(dealt, vertices, texts, width, percent), "dealt")
+    comps = connected_components(first)
+    left = large.join(comps, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
+    apart = left.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    left = stage(left.join(apart.select("cluster"), "cluster").select("cluster", "vertex", "comp", "n"), "apart")
+    if left.isEmpty():
+        return links.union(first)
+    half = room // 2
+    by_comp = left.groupBy("cluster", "comp").agg(F.sum("n").alias("comp_weight"))
+    rest = by_comp.filter(F.col("comp_weight") <= half).groupBy("cluster").agg(F.sum("comp_weight").alias("rest"))
+    cut = by_comp.join(rest, "cluster", "left").withColumn("whole", F.col("comp_weight") > half).select(
+        "cluster", "comp", "whole",
+        F.ceil(F.when(F.col("whole"), F.col("comp_weight")).otherwise(F.col("rest")) / half).cast("long").alias("cuts"))
+    blocked = left.join(cut, ["cluster", "comp"]).select(
+        "cluster", "vertex", F.col("comp").alias("label"),
+        F.when(F.col("whole"), F.col("comp")).alias("pure"),
+        F.when(F.col("whole"), F.xxhash64("comp", F.pmod(F.xxhash64("vertex"), F.col("cuts"))))
+        .otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("comp"), F.col("cuts")))).alias("block"))
+    blocked = stage(blocked, "blocked")
+    blocks = blocked.select("cluster", "block", "pure").distinct()
+    other = blocks.select("cluster", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
+    cells = blocks.join(other, "cluster").filter("block <= block2 and not coalesce(pure = pure2, false)") \
+        .select("block", "block2", F.xxhash64("block", "block2").alias("cell"))
+    seats = cells.select("cell", "block").union(cells.select("cell", F.col("block2").alias("block"))).distinct()
+    across = _links(blocked.join(seats, "block").select("cell", "vertex", "label"), vertices, texts, width, percent)
+    return links.union(first).union(across)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = 3, branches: int = 3,
+                    leaf: int = 1024, depth: int = 4, room: int = 1 << 20, seed: int = 1,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -237,7 +339,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     ``100 * common >= percent * union`` of their distinct ``width``-word
     shingles, and ``component_id`` is the smallest ``doc_id`` that links
     reach.  Found links are exact; a pair at 0.75 is met by at least one of
-    ``trees`` trees with probability over 1 - 10^-6.
+    ``trees`` trees with probability over 1 - 10^-5.
 
     * Null texts and texts without words have no shingles and link with
       nothing; fewer than ``width`` words form one shingle.
@@ -246,8 +348,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
       id, or null where no member has one, and ``kept`` is false except there.
     * An empty table gives an empty result; other columns are ignored.
 
-    Nodes still above ``leaf`` after ``depth`` levels are compared in blocks,
-    every block with every other, so no pair is dropped.
+    Nodes whose rows beside the main component still exceed ``leaf`` after
+    ``depth`` levels are compared in pairs of blocks, so no pair is dropped.
     """
     similarity = percent / 100
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"),
@@ -273,29 +375,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
 
     roots = vertices.select(F.lit(None).cast("long").alias("node"), "vertex", "tokens")
     level = stage(members(grown(roots)), "level")
-    chained = (level.join(short, "vertex").select("node", "vertex", "n", "short")
-               .repartitionByRange("node", "vertex").sortWithinPartitions("node", "vertex")
-               .mapInArrow(_neighbours(similarity), "a long, b long").distinct())
-    links = _confirmed(stage(chained, "chained"), vertices, texts, width, percent)
-    comps = stage(connected_components(links), "comps")
+    chained = stage(level.join(short, "vertex").select("node", "vertex", "n", "short")
+                    .repartitionByRange("node", "vertex").sortWithinPartitions("node", "vertex")
+                    .mapInArrow(_neighbours(similarity), "a long, b long").distinct(), "chained")
+    joined = stage(connected_components(chained), "joined")
 
-    found = None
+    found = chained
     for d in range(1, depth + 1):
-        known = level.join(comps, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
-        mixed = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .filter("lo < hi").select("node")
-        known = stage(known.join(mixed, "node"), "mixed")
-        cells = known if d == depth else known.filter(F.col("size") <= leaf)
-        pairs = _cells(cells, short, leaf).mapInArrow(_leaves(similarity), "a long, b long").distinct()
-        pairs = stage(pairs, "pairs")
-        found = pairs if found is None else found.union(pairs)
-        large = known.filter(F.col("size") > leaf)
+        known = level.join(joined, "vertex", "left").withColumn("comp", F.coalesce("comp", "vertex"))
+        made_of = known.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
+            F.count(F.lit(1)).alias("comps"), F.max_by("comp", "n").alias("main"), F.max("n").alias("main_size"))
+        known = stage(known.join(made_of.filter("comps > 1").drop("comps"), "node"), "mixed")
+        # rows beside the node's largest component decide: few of them are
+        # compared with that component block by block, many branch again
+        few = F.col("size") - F.col("main_size") <= leaf
+        cells = known if d == depth else known.filter(few)
+        found = found.union(stage(_cells(cells, short, leaf).mapInArrow(_leaves(similarity), "a long, b long")
+                                  .distinct(), "found"))
+        large = known.filter(~few)
         if d == depth or large.isEmpty():
             break
         level = stage(members(grown(large.select("node", "vertex").join(vertices, "vertex")
                                     .select("node", "vertex", "tokens"))), "level")
-    across = _confirmed(found.distinct(), vertices, texts, width, percent)
-    comps = stage(connected_components(links.union(across)), "comps")
+    clusters = connected_components(found.distinct()).withColumnRenamed("comp", "cluster")
+    comps = stage(connected_components(_confirmed(clusters, vertices, texts, width, percent, room)), "comps")
 
     placed = vertices.select("set_hash", "vertex", "first_id").join(comps, "vertex", "left")
     first = placed.filter("comp is not null").groupBy("comp").agg(F.min("first_id").alias("comp_id"))
@@ -308,18 +411,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
 
 
 def _cells(known: DataFrame, short: DataFrame, leaf: int) -> DataFrame:
-    """Rows dealt into cells that are compared exhaustively.  A small node is
-    one cell.  The rows of a larger one are dealt into blocks, and a cell is
-    one pair of blocks."""
-    blocks = F.ceil(F.col("size") / leaf).cast("int")
-    own = F.pmod(F.xxhash64("vertex", "node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    small = known.filter(F.col("size") <= leaf).select("node", "vertex", "comp")
-    large = (known.filter(F.col("size") > leaf).withColumn("blocks", blocks).withColumn("own", own)
-             .select("*", other.alias("other"))
-             .select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
-                     "vertex", "comp"))
-    return (small.union(large).join(short, "vertex").select("node", "vertex", "n", "short", "comp")
+    """Rows dealt into cells that are compared exhaustively.  The rows of a
+    node's main component are dealt into blocks and each block is one cell
+    with all of the node's other rows.  Other rows beyond ``leaf`` are dealt
+    into blocks too, and a cell is then one pair of blocks."""
+    main = F.col("comp") == F.col("main")
+    blocks = known.withColumn("blocks", F.ceil(F.col("main_size") / leaf).cast("int")) \
+        .withColumn("others", F.ceil((F.col("size") - F.col("main_size")) / leaf).cast("int"))
+    few, many = blocks.filter("others = 1"), blocks.filter("others > 1")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = few.filter(main).withColumn("block", F.pmod(F.xxhash64("vertex", "node"), F.col("blocks")).cast("int")) \
+        .unionByName(few.filter(~main).withColumn("block", every))
+    # many others: blocks of main (0, 1, ...) and of others (-1, -2, ...); a
+    # cell is a pair of blocks that are not both of the main component
+    own = F.when(main, F.pmod(F.xxhash64("vertex", "node"), F.col("blocks"))) \
+        .otherwise(-1 - F.pmod(F.xxhash64("vertex", "node"), F.col("others"))).cast("int")
+    with_others = F.sequence(-F.col("others"), F.lit(-1))
+    partner = F.explode(F.when(F.col("own") >= 0, with_others)
+                        .otherwise(F.concat(with_others, F.sequence(F.lit(0), F.col("blocks") - 1))))
+    pairs = many.withColumn("own", own).withColumn("partner", partner).withColumn(
+        "block", F.xxhash64(F.least("own", "partner"), F.greatest("own", "partner")))
+    cell = F.xxhash64("node", "block").alias("node")
+    rows = dealt.select(cell, "vertex", "comp").union(pairs.select(cell, "vertex", "comp"))
+    return (rows.join(short, "vertex").select("node", "vertex", "n", "short", "comp")
             .repartition("node").sortWithinPartitions("node"))
 
 
