@@ -31,15 +31,19 @@ def hn_only_loss(rows: DataFrame, temperature: float, coef: float = 1.0) -> Data
 
 
 def in_batch_loss(queries: DataFrame, passages: DataFrame, temperature: float,
-                  score_fn) -> DataFrame:
-    """In-batch / cross-batch contrastive loss (L2, J10).
+                  score_fn, across: str | None = None) -> DataFrame:
+    """In-batch / cross-batch contrastive loss (L2, J10).  ``across`` names a
+    column of both sides that widens a batch: queries score the passages of
+    all batches with its value (batches of several devices in one step).
 
     ``queries``: ``batch_id, group_id, q_vec, hn_only``; ``passages``:
     ``batch_id, group_id, pos, p_vec``.  Every query of a batch scores every
     passage of the batch; the target is the query's own positive; for
     ``hn_only`` queries passages of other groups are masked out.  Returns
     per query ``batch_id, group_id, loss``."""
-    pairs = (queries.join(passages.withColumnRenamed("group_id", "p_group"), "batch_id")
+    key = across or "batch_id"
+    passages = passages.select(key, F.col("group_id").alias("p_group"), "pos", "p_vec")
+    pairs = (queries.join(passages, key)
              .where(~F.col("hn_only") | (F.col("p_group") == F.col("group_id")))
              .withColumn("_logit", score_fn(F.col("q_vec"), F.col("p_vec")) / temperature))
     target = (F.col("p_group") == F.col("group_id")) & (F.col("pos") == 0)

@@ -64,3 +64,23 @@ def assemble_groups(queries: DataFrame, positives: DataFrame, negatives: DataFra
             .select("query_id", "query",
                     F.coalesce("positive_passages", empty).alias("positive_passages"),
                     F.coalesce("negative_passages", empty).alias("negative_passages")))
+
+
+def hydrate_groups(groups: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Texts for id-only groups (J3): ``groups`` are ``query_id,
+    positive_ids, negative_ids`` (arrays of corpus ids, order kept, repeats
+    kept); ids the corpus lacks are left out of the passages.  Each id is
+    looked up once by an equi join, however many groups name it."""
+    def rows(name):
+        return groups.select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(name).alias("pos", "docid")) \
+            .withColumn("docid", F.col("docid").cast("string"))
+    named = queries.join(groups.select(F.col("query_id").cast("string").alias("_id")).distinct(), "_id", "left_semi")
+    return assemble_groups(named, rows("positive_ids"), rows("negative_ids"), corpus)
+
+
+def require_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates, or an error that names how many queries have none."""
+    bare = queries.select("query_id").join(candidates.select("query_id").distinct(), "query_id", "left_anti").count()
+    if bare:
+        raise ValueError(f"{bare} queries have no negative candidate in the searched depth")
+    return candidates

@@ -5,6 +5,9 @@ output; nothing passes through the driver).
 * :func:`mine_from_pairs` — training pairs -> corpus + qrels -> encode ->
   exact top-k -> depth slice, positives removed, seeded sample -> training
   groups as JSON lines.
+* :func:`mine_from_qrels` — the same from queries, corpus and judgements.
+* :func:`evaluate_answers` — retrieve, find answers in the passages, accuracy
+  at k per language into a resumable score store.
 * :func:`decontaminate_files` — training JSONL files vs. test-query files:
   clean lines written verbatim, duplicates report as JSON.
 * :func:`group_dro_weights` — per-example loss log + domain config ->
@@ -19,9 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corpus as C
-from .operators import dedup, dro, mining, search
 from .functions.text import passage_text
+from .operators import answers, dedup, dro, mining, search
+from .operators import corpus as C
 from .operators.encode import encode
 from .session import cut_lineage, number_rows
 from .sources import readers, sinks
@@ -74,6 +77,80 @@ def mine_from_pairs(spark: SparkSession, pairs_path: str, encoder: Callable[[lis
     return out
 
 
+def _search_texts(queries: DataFrame, corpus: DataFrame, encoder, dim: int, k: int, query_prompt: str,
+                  passage_prompt: str, score_function: str = "dot") -> DataFrame:
+    """Top-k of texts (``_id, text`` against ``_id, title, text``):
+    ``query_id, doc_id`` (the given ids), ``score, rank``.  The model runs
+    once over each side; the search works on dense numbers."""
+    q = number_rows(queries.select("_id", "text"), ["_id"], "n")
+    title = F.col("title") if "title" in corpus.columns else None
+    d = number_rows(corpus.select("_id", passage_text(title, F.col("text")).alias("text")), ["_id"], "n")
+    q, d = cut_lineage(q, "numbered_queries"), cut_lineage(d, "numbered_corpus")
+    vectors = [cut_lineage(encode(x, encoder, dim, "n", "text", p), "vectors")
+               for x, p in ((q, query_prompt), (d, passage_prompt))]
+    run = search.knn(vectors[0].withColumnRenamed("n", "query_id"), vectors[1].withColumnRenamed("n", "doc_id"), k,
+                     score_function)
+    ids = lambda x, c: x.select(F.col("_id").alias(c), F.col("n").alias(f"_{c}"))
+    return run.withColumnsRenamed({"query_id": "_query_id", "doc_id": "_doc_id"}) \
+        .join(ids(q, "query_id"), "_query_id").join(ids(d, "doc_id"), "_doc_id") \
+        .select("query_id", "doc_id", "score", "rank")
+
+
+def mine_from_qrels(spark: SparkSession, queries: DataFrame, corpus: DataFrame, qrels: DataFrame,
+                    encoder: Callable[[list[str]], np.ndarray], dim: int, depth: tuple[int, int] = (2, 100),
+                    topk: int = 100, n_sample: int = 16, seed: int = 42, query_prompt: str = "",
+                    passage_prompt: str = "") -> tuple[DataFrame, DataFrame]:
+    """Hard-negative mining from judgements (E1): (training groups, positives
+    that the corpus lacks).  ``queries``: _id, text; ``corpus``: _id, title,
+    text; ``qrels``: query_id, doc_id, score.  Repeated judgements count
+    once; a judged query without a text, and a query without any negative
+    candidate, are errors."""
+    pos = cut_lineage(qrels.where("score > 0").select("query_id", "doc_id").distinct(), "positives")
+    judged = pos.select(F.col("query_id").alias("_id")).distinct()
+    asked, lost = readers.lookup_ids(judged, queries)
+    n_lost = lost.count()
+    if n_lost:
+        raise KeyError(f"{n_lost} judged queries have no text")
+    known, missing = readers.lookup_ids(pos.withColumnRenamed("doc_id", "_id"), corpus.select("_id"))
+    run = cut_lineage(_search_texts(asked, corpus, encoder, dim, topk, query_prompt, passage_prompt), "run")
+    rel = pos.withColumn("rel", F.lit(1))
+    marked = run.join(rel, ["query_id", "doc_id"], "left").fillna(0, ["rel"])
+    negs = cut_lineage(mining.sample_hard_negatives(marked, depth, n_sample, seed), "negatives")
+    mining.require_candidates(pos.select("query_id").distinct(), negs)
+    groups = mining.assemble_groups(
+        asked, known.select("query_id", F.col("_id").alias("docid"), F.col("_id").alias("pos")),
+        negs.select("query_id", F.col("doc_id").alias("docid"), F.col("sample_rank").alias("pos")), corpus)
+    return groups, missing.select("query_id", F.col("_id").alias("doc_id"))
+
+
+def evaluate_answers(spark: SparkSession, queries: DataFrame, corpus: DataFrame,
+                     encoder: Callable[[list[str]], np.ndarray], dim: int, store: str,
+                     ks: tuple[int, ...] = (1, 3, 5, 10, 20, 100), task: str = "QA", overwrite: bool = False,
+                     query_prompt: str = "", passage_prompt: str = "") -> DataFrame:
+    """Accuracy at k of open-domain questions per language (P6).
+    ``queries``: lang, query_id, text, answers (array); ``corpus``: _id,
+    title, text.  One search answers all languages not yet in ``store``
+    (with ``overwrite``: all); a query scores at k when one of its top-k
+    passages holds an answer.  Returns the whole store: task, lang and
+    ``accuracy_at_k`` columns, rounded to five digits."""
+    todo = queries
+    if not overwrite and sinks.exists(spark, store):
+        done = spark.read.parquet(store).where(F.col("task") == task).select("lang").distinct()
+        todo = queries.join(done, "lang", "left_anti")
+    todo = cut_lineage(todo.withColumn("_id", F.concat_ws("|", "lang", "query_id")), "todo")
+    if not todo.isEmpty():
+        run = cut_lineage(_search_texts(todo, corpus, encoder, dim, max(ks), query_prompt, passage_prompt), "run")
+        texts = corpus.select(F.col("_id").alias("doc_id"), passage_text(F.col("title"), F.col("text")).alias("text"))
+        wanted = todo.select(F.col("_id").alias("query_id"), F.explode("answers").alias("answer"))
+        hits = answers.answer_hits(run, texts, wanted)
+        first = run.join(hits, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+        per = todo.select("lang", F.col("_id").alias("query_id")).join(first, "query_id", "left")
+        scores = per.groupBy("lang").agg(*[
+            F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 5).alias(f"accuracy_at_{k}") for k in ks])
+        sinks.append_scores(spark, scores.withColumn("task", F.lit(task)), store, overwrite=overwrite)
+    return spark.read.parquet(store).where(F.col("task") == task)
+
+
 def decontaminate_files(spark: SparkSession, train_paths: list[str], test_folder: str,
                         clean_out: str, report_out: str, k: int = 2) -> tuple[int, int]:
     """Split training JSONL files against a folder of test queries (E2).

@@ -3,6 +3,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera import workflows
@@ -84,3 +85,79 @@ def test_group_dro_weights(spark):
         assert abs(sum(doc["domain_weights"].values()) - 1) < 1e-9
         if t == "top40":
             assert len(doc["domain_ids"]) == 2
+
+
+def _letters(texts):
+    """A tiny encoder: letter counts."""
+    import numpy as np
+    return np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], dtype=float)
+
+
+def test_mine_from_qrels(spark):
+    from tessera import workflows as W
+    q = spark.createDataFrame([("q1", "aaaa"), ("q2", "bbbb"), ("q3", "unjudged")], "_id string, text string")
+    c = spark.createDataFrame([(f"d{i}", "", "a" * (i + 1) + "b" * (9 - i)) for i in range(9)],
+                              "_id string, title string, text string")
+    qrels = spark.createDataFrame([("q1", "d8", 1), ("q1", "d8", 1), ("q2", "d0", 2), ("q2", "gone", 1), ("q2", "d1", 0)],
+                                  "query_id string, doc_id string, score int")
+    groups, missing = W.mine_from_qrels(spark, q, c, qrels, _letters, 26, depth=(0, 4), topk=4, n_sample=2)
+    got = {r.query_id: r for r in groups.collect()}
+    assert set(got) == {"q1", "q2"}
+    assert [p.docid for p in got["q1"].positive_passages] == ["d8"]
+    assert len(got["q1"].negative_passages) == 2 and "d8" not in [p.docid for p in got["q1"].negative_passages]
+    assert [tuple(r) for r in missing.collect()] == [("q2", "gone")]
+    with pytest.raises(KeyError):
+        W.mine_from_qrels(spark, q.where("_id <> 'q2'"), c, qrels, _letters, 26)
+    with pytest.raises(ValueError):
+        W.mine_from_qrels(spark, q, c, qrels, _letters, 26, depth=(50, 60))
+
+
+def test_evaluate_answers_resumes(spark):
+    from tessera import workflows as W
+    store = os.path.join(tempfile.mkdtemp(prefix="tessera-wf-"), "scores")
+    c = spark.createDataFrame([("1", "", "zebra aaa"), ("2", "", "bbb Caf\u00e9 bar"), ("3", "", "ccc")],
+                              "_id string, title string, text string")
+    rows = [("en", "1", "aaa", ["Zebra"]), ("en", "2", "bbb", ["nowhere"]), ("fr", "1", "bbb", ["x", "cafe\u0301"])]
+    schema = "lang string, query_id string, text string, answers array<string>"
+    q = spark.createDataFrame(rows, schema)
+    calls = []
+
+    def count(texts):
+        return _letters(texts)
+    got = {r.lang: (r.accuracy_at_1, r.accuracy_at_3)
+           for r in W.evaluate_answers(spark, q, c, count, 26, store, ks=(1, 3)).collect()}
+    assert got == {"en": (0.5, 0.5), "fr": (1.0, 1.0)}
+    changed = spark.createDataFrame([("en", "1", "aaa", ["none"]), ("de", "1", "ccc", ["ccc"])], schema)
+    got = {r.lang: r.accuracy_at_1 for r in W.evaluate_answers(spark, changed, c, count, 26, store, ks=(1, 3)).collect()}
+    assert got == {"en": 0.5, "fr": 1.0, "de": 1.0}
+    got = {r.lang: r.accuracy_at_1
+           for r in W.evaluate_answers(spark, changed, c, count, 26, store, ks=(1, 3), overwrite=True).collect()}
+    assert got == {"en": 0.0, "fr": 1.0, "de": 1.0} and not calls
+
+
+def test_hydrate_id_only_groups(spark):
+    from tessera.operators import mining
+    q = spark.createDataFrame([("1", "Q"), ("2", "R")], "_id string, text string")
+    c = spark.createDataFrame([("7", "T", "x"), ("8", None, "y")], "_id string, title string, text string")
+    g = spark.createDataFrame([("1", ["8", "7"], ["9", "7"])], "query_id string, positive_ids array<string>, negative_ids array<string>")
+    r = mining.hydrate_groups(g, q, c).collect()
+    assert len(r) == 1 and r[0]["query"] == "Q"
+    assert [tuple(p) for p in r[0].positive_passages] == [("8", "", "y"), ("7", "T", "x")]
+    assert [p.docid for p in r[0].negative_passages] == ["7"]
+
+
+def test_in_batch_loss_across_devices(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import vectors as V
+    from tessera.operators import losses as L
+    q = spark.createDataFrame([(0, 5, 1, [1.0, 0.0], False), (1, 5, 2, [0.0, 1.0], False)],
+                              "batch_id long, step long, group_id long, q_vec array<double>, hn_only boolean")
+    p = spark.createDataFrame([(0, 5, 1, 0, [1.0, 0.0]), (1, 5, 2, 0, [0.0, 1.0])],
+                              "batch_id long, step long, group_id long, pos int, p_vec array<double>")
+    own = {r.group_id: r.loss for r in L.in_batch_loss(q, p, 1.0, V.dot).collect()}
+    wide = {r.group_id: r.loss for r in L.in_batch_loss(q, p, 1.0, V.dot, across="step").collect()}
+    import math
+    assert own == {1: 0.0, 2: 0.0}
+    assert wide == pytest.approx({1: math.log(1 + math.exp(-1)), 2: math.log(1 + math.exp(-1))})
+    assert F is not None
