@@ -26,7 +26,7 @@ def sample_hard_negatives(judged_run: DataFrame, depth: tuple[int, int] = (2, 10
     without replacement.  Returns ``query_id, doc_id, rank, sample_rank``."""
     lo, hi = depth
     cands = judged_run.where((F.col("rank") > lo) & (F.col("rank") <= hi)
-                             & (F.col("rel") <= 0) & (F.col("doc_id") != -1))
+                             & (F.col("rel") <= 0) & (F.col("doc_id").cast("string") != "-1"))
     w = Window.partitionBy("query_id").orderBy(seeded_key(seed, "query_id", "doc_id"), "doc_id")
     return (cands.withColumn("sample_rank", F.row_number().over(w))
             .where(F.col("sample_rank") <= n_sample)
