@@ -1,11 +1,7 @@
-import os
-import sys
-
+"""Fixtures of this folder's tests."""
 import duckdb
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 #: Columns beside the contract's, some named like an operator's own.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row long, key string"
 

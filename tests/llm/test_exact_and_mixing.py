@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from brute import sha, words
 from pyspark.sql import functions as F
+from shared import docs, duck  # noqa: F401
 
 from tessera.llm import exact_dedup, mixing, packing
 from tessera.llm.registry import OP8_SQL, OP10_SQL

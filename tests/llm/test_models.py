@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from shared import docs  # noqa: F401
 
 from tessera.llm import language, quality, toxicity
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from brute import Union, near_components, removed_spans
+from shared import docs  # noqa: F401
 
 from tessera.llm import graph, near_dedup, substring, vector_dedup
 

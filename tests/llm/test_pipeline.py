@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from brute import RUNS, near_components, words
+from shared import docs  # noqa: F401
 
 import __spark_entry__
 import corpus_pipeline

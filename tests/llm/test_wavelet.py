@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from shared import docs  # noqa: F401
 from tokenizers import Tokenizer
 
 from tessera.llm import wavelet
