@@ -29,23 +29,35 @@ BEGINNINGS = (4, 5, 6)
 _TRIM = b".,;:!?\"'()[]{}<>*#%&$|-_/\\"
 
 
-class Terms(dict):
-    """Term numbers of words (bytes), remembered while there is room."""
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 100_000:
-            self.clear()
-        bare = word.strip(_TRIM).decode("utf-8", "replace").lower()
-        terms = [bare] + [bare[:n] + "-" for n in BEGINNINGS if len(bare) > n]
-        out = tuple(xxhash.xxh32_intdigest(t.encode()) >> (32 - BITS) for t in terms if t)
-        self[word] = out
-        return out
+class Terms:
+    """Term numbers of texts.  The words met first are remembered: by the
+    Zipf law those are the ones that come back."""
+
+    REMEMBER = 300_000
+
+    def __init__(self):
+        self.known: dict[bytes, tuple[int, ...]] = {}
+
+    def terms(self, word: bytes) -> tuple[int, ...]:
+        bare = word.strip(_TRIM).lower()
+        if bare.isascii():
+            parts = [bare] + [bare[:n] + b"-" for n in BEGINNINGS if len(bare) > n]
+        else:
+            text = bare.decode("utf-8", "replace").lower()
+            parts = [text.encode()] + [(text[:n] + "-").encode() for n in BEGINNINGS if len(text) > n]
+        return tuple([xxhash.xxh32_intdigest(p) >> (32 - BITS) for p in parts]) if bare else ()
 
     def of(self, text: bytes | None) -> np.ndarray:
         """Sorted distinct term numbers of a text."""
+        words = list(set((text or b"").split()))
         found = set()
-        for word in set((text or b"").split()):
-            found.update(self[word])
+        for word, terms in zip(words, map(self.known.get, words)):
+            if terms is None:
+                terms = self.terms(word)
+                if len(self.known) < self.REMEMBER:
+                    self.known[word] = terms
+            if terms:
+                found.update(terms)
         out = np.fromiter(found, np.int32, len(found))
         out.sort()
         return out
@@ -130,38 +142,46 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "terms"])
 
 
-def _by_shard(batches, rows: int = 1024):
-    """(shard, last, labels, term arrays): the rows of each shard, a piece
-    at a time; ``last`` marks a shard's last piece."""
-    shard, labels, terms = None, [], []
-    for batch in batches:
-        for s, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if labels and (s != shard or len(labels) >= rows):
-                yield shard, s != shard, labels, terms
-                labels, terms = [], []
-            shard = s
-            labels.append(y)
-            terms.append(np.frombuffer(t, "<i4"))
-    if labels:
-        yield shard, True, labels, terms
+#: A count table travels in this many pieces.
+SLICES = 16
+_COUNTS = "slice int, n long, n_positive long, counts binary"
+
+
+def _counted(piece, n, n_positive, counts):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([piece], pa.int32()), pa.array([n], pa.int64()), pa.array([n_positive], pa.int64()),
+         pa.array([counts.tobytes()], pa.binary())], names=["slice", "n", "n_positive", "counts"])
 
 
 def _count(batches):
-    both, shard, rows = {}, None, {}
+    """How many documents, and positive ones, hold each term."""
+    both, rows = np.zeros((1 << BITS, 2), np.int64), [0, 0]
     for batch in batches:
-        for s, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if s not in both:
-                both[s], rows[s] = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+        for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             at = np.frombuffer(t, "<i4")
-            both[s][0, at] += 1
-            rows[s][0] += 1
+            both[at, 0] += 1
+            rows[0] += 1
             if y:
-                both[s][1, at] += 1
-                rows[s][1] += 1
-    for s, counts in both.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s], pa.int32()), pa.array([rows[s][0]], pa.int64()), pa.array([rows[s][1]], pa.int64()),
-             pa.array([counts.tobytes()], pa.binary())], names=["shard", "n", "n_positive", "counts"])
+                both[at, 1] += 1
+                rows[1] += 1
+    if rows[0]:
+        for k, part in enumerate(np.split(both, SLICES)):
+            yield _counted(k, *(rows if k == 0 else (0, 0)), part)
+
+
+def _add(batches):
+    """Sums the tables of each slice (sorted rows)."""
+    last, total = None, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if last is not None and r["slice"] != last:
+                yield _counted(last, *total)
+                total = None
+            last = r["slice"]
+            own = [r["n"], r["n_positive"], np.frombuffer(r["counts"], np.int64)]
+            total = own if total is None else [x + y for x, y in zip(total, own)]
+    if total is not None:
+        yield _counted(last, *total)
 
 
 def _screen(place: np.ndarray):
@@ -172,24 +192,25 @@ def _screen(place: np.ndarray):
                 p = place[np.frombuffer(t, "<i4")]
                 kept.append(p[p >= 0].astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())],
-                                             names=["shard", "label", "terms"])
+                                             names=["deal", "label", "terms"])
     return run
 
 
-def _round(model: Model, state: list[np.ndarray], rate: float, decay: float):
+def _round(model: Model, state: list[np.ndarray], rate: float, decay: float, rows: int = 1024):
+    """One pass over a partition, a piece at a time, from the common model."""
     def run(batches):
-        own = None
-        for _, last, labels, docs in _by_shard(batches):
-            if own is None:
-                own = Model(model.place, model.bias, model.weights.copy(), model.factors.copy())
-                sums, n = [s.copy() for s in state], 0
-            one_pass(own, sums, docs, np.asarray(labels, float), rate, decay)
-            n += len(docs)
-            if last:
-                flat = np.concatenate([[own.bias], own.weights, own.factors.ravel(), *(s.ravel() for s in sums)])
-                own = None
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "model"])
+        own = Model(model.place, model.bias, model.weights.copy(), model.factors.copy())
+        sums, n = [s.copy() for s in state], 0
+        for batch in batches:
+            labels = np.array(batch.column(1).to_pylist(), float)
+            terms = [np.frombuffer(t, "<i4") for t in batch.column(2).to_pylist()]
+            for lo in range(0, len(terms), rows):
+                one_pass(own, sums, terms[lo:lo + rows], labels[lo:lo + rows], rate, decay)
+            n += len(terms)
+        if n:
+            flat = np.concatenate([[own.bias], own.weights, own.factors.ravel(), *(s.ravel() for s in sums)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "model"])
     return run
 
 
@@ -200,19 +221,21 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     left out.  Without a positive row the model scores every text 0.
 
     Few rows make fewer shards and more rounds, so that every shard makes
-    some ``steps`` steps in all.  The driver sees ``shards`` count tables of
-    2^BITS terms and, each round, ``shards`` models of ``terms`` terms at
-    most, whatever the number of rows.
+    some ``steps`` steps in all.  The driver sees one count table of 2^BITS
+    terms and, each round, ``shards`` models of ``terms`` terms at most,
+    whatever the number of rows.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.mapInArrow(_terms, "label int, terms binary") \
-        .withColumn("shard", F.pmod(F.xxhash64("terms"), F.lit(shards)).cast("int"))
-    rows = stage(rows.select("shard", "label", "terms"), "terms")
-    counts = rows.repartition(shards, "shard").mapInArrow(
-        _count, "shard int, n long, n_positive long, counts binary").collect()
-    total = sum((np.frombuffer(c["counts"], np.int32).reshape(2, -1).astype(np.int64) for c in counts),
-                np.zeros((2, 1 << BITS), np.int64))
+    rows = stage(rows.mapInArrow(_terms, "label int, terms binary")
+                 .select(F.xxhash64("terms", "label").alias("deal"), "label", "terms"), "terms")
+    counts = rows.mapInArrow(_count, _COUNTS).repartition(SLICES, "slice").sortWithinPartitions("slice") \
+        .mapInArrow(_add, _COUNTS).collect()
+    total = np.zeros((1 << BITS, 2), np.int64)
+    for c in counts:
+        width = (1 << BITS) // SLICES
+        total[c["slice"] * width:(c["slice"] + 1) * width] = np.frombuffer(c["counts"], np.int64).reshape(-1, 2)
+    total = total.T
     n, n_positive = sum(c["n"] for c in counts), sum(c["n_positive"] for c in counts)
     place = screened(total[1], total[0], n_positive, n, terms)
     size = int((place >= 0).sum())
@@ -224,13 +247,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     if not n_positive or not size:
         return model
     state = [np.full(size, 1e-2), np.full((size, factors), 1e-2), np.full(1, 1e-2)]
-    rows = stage(rows.mapInArrow(_screen(place), "shard int, label int, terms binary")
-                 .withColumn("shard", F.pmod("shard", F.lit(shards))), "screened")
+    # dealt and shuffled once; a round reads the shards where they lie
+    rows = stage(rows.mapInArrow(_screen(place), "deal long, label int, terms binary")
+                 .repartition(shards, "deal").sortWithinPartitions("deal"), "screened")
     cuts = np.cumsum([1, size, size * factors, size, size * factors])
-    for k in range(rounds):
-        shuffled = F.xxhash64(F.lit(seed + k), "terms", "label")
-        got = rows.repartition(shards, "shard").sortWithinPartitions("shard", shuffled) \
-            .mapInArrow(_round(model, state, rate, decay), "n long, model binary").collect()
+    for _ in range(rounds):
+        got = rows.coalesce(shards).mapInArrow(_round(model, state, rate, decay), "n long, model binary").collect()
         share = np.array([g["n"] for g in got], float) / sum(g["n"] for g in got)
         mean = sum(w * np.frombuffer(g["model"]) for w, g in zip(share, got))
         bias, weights, factor, s0, s1, s2 = np.split(mean, cuts)
@@ -244,12 +266,11 @@ class _Places(Terms):
 
     def __init__(self, place: np.ndarray):
         super().__init__()
-        self.place = place
+        self.place = place.tolist()
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        out = tuple(p for p in (int(self.place[t]) for t in super().__missing__(word)) if p >= 0)
-        self[word] = out
-        return out
+    def terms(self, word: bytes) -> tuple[int, ...]:
+        place = self.place
+        return tuple([place[t] for t in super().terms(word) if place[t] >= 0])
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",),
