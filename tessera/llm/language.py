@@ -165,8 +165,8 @@ def identify(pages: DataFrame, model: TextModel, concentration: float = 8.0, smo
     host``.
 
     * Null or empty html gives no text evidence and no declaration; a null
-      url is the host, domain and suffix "".  A page without any evidence
-      gets the most common language.
+      url gives no suffix and no host, and the prior of all pages.  Absent
+      evidence says nothing; a page without any gets the most common language.
     * Equal scores take the language that comes first in code-point order.
     * Null ids and repeated rows are pages of their own; an empty table, or a
       model without languages, gives an empty result or null languages.
@@ -190,16 +190,19 @@ def identify(pages: DataFrame, model: TextModel, concentration: float = 8.0, smo
     text = seen.withColumn("logit", add(F.col("evidence"), prior)).withColumn("p", softmax(F.col("logit")))
 
     def says(column: str) -> DataFrame:
-        """log P(value | language) of a column, by the text posteriors."""
-        sums = stage(_sums(text, [column], "p", k, "n"), "says")
+        """log P(value | language) of a column, by the text posteriors; an
+        absent value ("") says nothing."""
+        sums = stage(_sums(text.filter(F.col(column) != ""), [column], "p", k, "n"), "says")
         totals = sums.agg(F.count(F.lit(1)).alias("values"),
                           *[F.sum(F.element_at("n", i + 1)).alias(f"t{i}") for i in range(k)])
         per = [F.log((F.element_at("n", i + 1) + smoothing) / (F.col(f"t{i}") + smoothing * F.col("values")))
                for i in range(k)]
         return sums.join(F.broadcast(totals)).select(column, F.array(*per).alias(f"says_{column}"))
 
-    both = join_small(join_small(text, says("declared"), "declared"), says("suffix"), "suffix")
-    both = both.withColumn("local", add(add(F.col("evidence"), F.col("says_declared")), F.col("says_suffix")))
+    nothing = F.array(*[F.lit(0.0)] * k)
+    both = join_small(join_small(text, says("declared"), "declared", "left"), says("suffix"), "suffix", "left")
+    both = both.withColumn("local", add(add(F.col("evidence"), F.coalesce("says_declared", nothing)),
+                                        F.coalesce("says_suffix", nothing)))
     both = stage(both.withColumn("q", softmax(add(F.col("local"), prior)))
                  .select("page_id", "declared", "host", "domain", "evidence", "local", "q"), "fused")
     # hierarchical host prior, each level without the page's own share
@@ -216,7 +219,7 @@ def identify(pages: DataFrame, model: TextModel, concentration: float = 8.0, smo
         return F.zip_with(n, parent, lambda x, p: (x + concentration * p) / (total + concentration))
 
     placed = placed.withColumn("g", level("n_all", None)).withColumn("d", level("n_domain", F.col("g"))) \
-        .withColumn("h", level("n_host", F.col("d")))
+        .withColumn("h", F.when(F.col("host") == "", F.col("g")).otherwise(level("n_host", F.col("d"))))
     final = placed.withColumn("r", softmax(add(F.col("local"), F.transform("h", lambda x: F.log(x)))))
     names = F.array(*[F.lit(x) for x in model.languages])
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
