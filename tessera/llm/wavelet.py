@@ -171,6 +171,16 @@ _SPELT = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else 0x143 if b == 0xAD els
 _LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
+def _fits_latin1(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class PieceEncoder:
     """Ids (u32, little endian, as bytes) of texts by a tokenizer file.
 
@@ -179,7 +189,8 @@ class PieceEncoder:
     there is room.  ``latin`` is set for lower-casing byte-level vocabularies that
     split letters from punctuation: then a word of Latin-1 letters goes
     straight to the library's merge model, a third of the work; anything else
-    takes the library's whole way.
+    takes the library's whole way.  Special tokens are recognised by their
+    ``<|``.
     """
 
     REMEMBER = 600_000
@@ -217,6 +228,8 @@ class PieceEncoder:
 
     def __call__(self, text: str) -> bytes:
         known = self.known
+        if self.latin and "<|" not in text and _fits_latin1(text):
+            text = text.lower()  # the same as the tokenizer's, and fewer words to know
         pieces = text.replace("\n", " ").split(" ")
         found = list(map(known.get, pieces))
         if None in found:
@@ -237,12 +250,11 @@ _SHARD = "part int, seq int, n_tokens long, shard binary"
 
 def _shards(vocabulary: str, end_id: int, shard_tokens: int):
     def run(batches):
-        from pyspark import TaskContext
         cache = _worker_cache()
         encode = cache.get(vocabulary)
         if encode is None:
             encode = cache[vocabulary] = PieceEncoder(vocabulary)
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq = None, 0
         ids, lengths, tokens, held = [], [], [], 0
 
         def flush():
@@ -257,7 +269,11 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int):
 
         end = struct.pack("<I", end_id)
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for p, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if p != part:
+                    if ids:
+                        yield flush()
+                    part, seq = p, 0
                 own = encode(text.as_py() or "") + end
                 ids.append(NO_ID if i is None else i)
                 lengths.append(len(own) // 4)
@@ -276,9 +292,9 @@ NO_ID = -(1 << 63)
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
                  shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` in ascending order of their ids as shards of about
-    ``shard_tokens`` ids, cut between documents, one file each, under
-    ``path``; (part, seq) orders the shards.
+    """Writes ``docs`` in ascending order of their ids as shards of up to
+    about ``shard_tokens`` ids, cut between documents and between ranges of
+    ids, one file each, under ``path``; (part, seq) orders the shards.
 
     Null and empty texts hold the end id alone; null ids come first; repeated
     rows are written as often as they occur, next to each other; an empty
@@ -286,8 +302,13 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
     shard of its own size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    (rows.repartitionByRange("doc_id")
-     .sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # ranges of ids from the id column alone, so the texts are read once
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted(set(rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)))
+    bounds = F.array(*[F.lit(int(e)).cast("long") for e in edges])
+    part = F.size(F.filter(bounds, lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
+    (rows.select(F.when(F.col("doc_id").isNull(), -1).otherwise(part).alias("part"), "doc_id", "text")
+     .repartition("part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
      .mapInArrow(_shards(vocabulary, end_id, shard_tokens), _SHARD)
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
 
