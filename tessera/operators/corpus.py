@@ -1,7 +1,8 @@
 """Corpus and qrels from training pairs (the mining input step).
 
 Passages of all rows (positives before negatives within a row) are
-deduplicated by content ``title + text``; the first occurrence wins and
+deduplicated by content ``title + text`` - by its 128-bit digest, so texts
+are not shuffled as keys; the first occurrence wins and
 fixes the order; each distinct passage gets a dense 0-based index (computed
 bucket-wise, never by a single global sort).  Qrels map each query to the
 index of each of its positives by a content join."""
@@ -37,7 +38,7 @@ def corpus_from_groups(groups: DataFrame, row_col: str = "row_idx", chunk: int =
     """Distinct passages by content with ``corpus_idx`` (first-occurrence
     order) and ``_id`` (given id, else the index).  Returns ``corpus_idx,
     _id, title, text, key, first_row``."""
-    rows = passage_rows(groups, row_col).withColumn("key", corpus_key(F.col("title"), F.col("text")))
+    rows = passage_rows(groups, row_col).withColumn("key", F.md5(corpus_key(F.col("title"), F.col("text"))))
     first = (rows.groupBy("key")
              .agg(F.min(F.struct(row_col, "pos", "_given_id", "title", "text")).alias("f")))
     ordered = first.select("key", F.col(f"f.{row_col}").alias("first_row"), F.col("f.pos").alias("first_pos"),
@@ -52,5 +53,5 @@ def corpus_from_groups(groups: DataFrame, row_col: str = "row_idx", chunk: int =
 def qrels_from_groups(groups: DataFrame, corpus: DataFrame, row_col: str = "row_idx") -> DataFrame:
     """``row_idx, corpus_idx`` per positive (duplicates within a row kept)."""
     pos = passage_rows(groups, row_col).where(F.col("role") == "pos") \
-        .withColumn("key", corpus_key(F.col("title"), F.col("text")))
+        .withColumn("key", F.md5(corpus_key(F.col("title"), F.col("text"))))
     return pos.join(corpus.select("key", "corpus_idx"), "key").select(row_col, "pos", "corpus_idx")

@@ -36,7 +36,7 @@ SELECT corpus_idx, corpus_idx::VARCHAR AS _id, first_row, md5(k) AS content_md5
 """)
 def corpus_from_pairs(spark, sf_dir):
     c = C.corpus_from_groups(pair_groups(spark, sf_dir))
-    return c.select("corpus_idx", "_id", "first_row", F.md5("key").alias("content_md5"))
+    return c.select("corpus_idx", "_id", "first_row", F.col("key").alias("content_md5"))
 
 
 @register("qrels_from_pairs", ops=("A1", "J2"), oracle=f"""
