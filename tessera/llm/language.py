@@ -132,11 +132,12 @@ def text_evidence(df: DataFrame, model: TextModel, text_col: str, keep: tuple, i
                   weight: float = 0.3, most: float = 60.0) -> DataFrame:
     """The ``keep`` columns and ``evidence``: an array with the text's log
     likelihood for each language of the model."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast's classes would have to be installed on workers
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_prior, model.log_p))
     schema = df.select(*keep).schema.add("evidence", T.ArrayType(T.DoubleType()))
 
     def run(batches):
-        own = shared.value
+        own = TextModel(*shared.value)
         for batch in batches:
             out = []
             for t in batch.column(batch.num_columns - 1):

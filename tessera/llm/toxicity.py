@@ -279,11 +279,12 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple =
     the rows' partitions.  Null and empty texts have no terms and get the
     score of the bias.  The model - a few megabytes, bounded by its
     parameters - is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays: a broadcast's classes would have to be installed on workers
+    shared = docs.sparkSession.sparkContext.broadcast((model.place, model.bias, model.weights, model.factors))
     schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches):
-        own = shared.value
+        own = Model(*shared.value)
         places = _Places(own.place)
         for batch in batches:
             out = []
