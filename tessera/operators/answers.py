@@ -60,8 +60,11 @@ def contained_answers(passages: DataFrame, answers: DataFrame, p_id: str = "doc_
     keys = agrams.select("n", "g").distinct()
     pw = cut_lineage(spread(passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t")))
                      .select("pid", qa.words(prep(F.col("_t"))).alias("pw")), "passage_words")
-    pgrams = pw.select("pid", F.explode(F.flatten(F.array(
-        *[_grams(F.col("pw"), n) for n in range(1, ANCHOR_N + 1)]))).alias("x")).select("pid", "x.n", "x.g")
+    # the lengths in use: at most ANCHOR_N numbers
+    lengths = [r["n"] for r in aw.select(F.least(F.size("aw"), F.lit(ANCHOR_N)).alias("n")).distinct().collect()]
+    runs = [_grams(F.col("pw"), n) for n in lengths or [1]]
+    runs = runs[0] if len(runs) == 1 else F.flatten(F.array(*runs))
+    pgrams = pw.select("pid", F.explode(runs).alias("x")).select("pid", "x.n", "x.g")
     # only occurrences of answer grams survive; computed once
     hits = cut_lineage(join_small(pgrams, keys, ["n", "g"], "left_semi").distinct(), "answer_gram_hits")
     df = hits.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
