@@ -131,7 +131,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.bits[p].view(np.uint8), bitorder="little", count=self.n).view(bool)
             out[self.zeros[p]:] |= out.dtype.type(1 << (self.planes - 1 - p))
             up = np.empty_like(out)
-            up[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])] = out
+            up[np.flatnonzero(~one)] = out[:self.zeros[p]]
+            up[np.flatnonzero(one)] = out[self.zeros[p]:]
             out = up
         return out
 
@@ -313,29 +314,29 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2,
      .write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path))
 
 
-def _documents(batches):
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()),
-                        ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    for batch in batches:
-        for part, seq, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            m = WaveletMatrix(shard.as_py())
-            ids = m.decode().astype("<u4")
-            ends = np.cumsum(m.lengths, dtype=np.int64)
-            for lo in range(0, len(ends), 512):
-                hi = min(lo + 512, len(ends))
-                begin = ends[lo:hi] - m.lengths[lo:hi]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * (hi - lo), pa.int32()), pa.array([seq] * (hi - lo), pa.int32()),
-                     pa.array([None if i == NO_ID else int(i) for i in m.doc_ids[lo:hi]], pa.int64()),
-                     pa.array(begin), pa.array(m.lengths[lo:hi].astype(np.int64)),
-                     pa.array([ids[a:b].tobytes() for a, b in zip(begin, ends[lo:hi])], pa.binary())], schema=schema)
-
+def _documents(of_ids, kind):
+    """Rows (part, seq, doc_id, local, n_tokens, value) of all documents of
+    shards; ``of_ids`` makes the value from a document's ids (u32)."""
+    names = ["part", "seq", "doc_id", "local", "n_tokens", "value"]
 
-def _checksums(batches):
-    for batch in _documents(batches):
-        crc = [zlib.crc32(v.as_buffer()) for v in batch.column(5)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(crc, pa.int64())],
-                                         names=["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
+    def run(batches):
+        for batch in batches:
+            for part, seq, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                m = WaveletMatrix(shard.as_py())
+                ids = memoryview(m.decode().astype("<u4")).cast("B")
+                n = m.lengths.astype(np.int64)
+                ends = np.cumsum(n)
+                for lo in range(0, len(n), 512):
+                    size = n[lo:lo + 512]
+                    begin = ends[lo:lo + 512] - size
+                    value = [of_ids(ids[4 * a:4 * (a + k)]) for a, k in zip(begin.tolist(), size.tolist())]
+                    doc = m.doc_ids[lo:lo + 512]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(n[lo:lo + 512]), part, np.int32)),
+                         pa.array(np.full(len(n[lo:lo + 512]), seq, np.int32)),
+                         pa.array(doc, mask=doc == NO_ID), pa.array(begin), pa.array(size), pa.array(value, kind)],
+                        names=names)
+    return run
 
 
 def _with_starts(rows: DataFrame, shards: DataFrame) -> DataFrame:
@@ -352,16 +353,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     under ``path``; ``start`` counts the ids of all documents before."""
     shards = spark.read.schema(_SHARD).parquet(path)
     rows = shards.select("part", "seq", "shard").mapInArrow(
-        _documents, "part int, seq int, doc_id long, local long, n_tokens long, ids binary")
-    return _with_starts(rows, shards).select("doc_id", "start", "n_tokens", "ids")
+        _documents(bytes, pa.binary()), "part int, seq int, doc_id long, local long, n_tokens long, value binary")
+    return _with_starts(rows, shards).select("doc_id", "start", "n_tokens", F.col("value").alias("ids"))
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_documents`, with ``ids_crc32`` in place of the ids."""
     shards = spark.read.schema(_SHARD).parquet(path)
     rows = shards.select("part", "seq", "shard").mapInArrow(
-        _checksums, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return _with_starts(rows, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+        _documents(zlib.crc32, pa.int64()), "part int, seq int, doc_id long, local long, n_tokens long, value long")
+    return _with_starts(rows, shards).select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
 
 
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
