@@ -65,66 +65,76 @@ class Terms:
 
 @dataclass
 class Model:
-    """``place[term]`` is the row of a term in ``weights`` and ``factors``,
-    or -1 for the terms the screening left out."""
+    """A weight and a row of factors for each of the 2^BITS hashed terms;
+    ``scale`` is the value of a term in every document that has it."""
 
-    place: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    scale: np.ndarray
 
     def logits(self, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        """Scores of ``n`` documents; ``at[k]`` is the place of a term of
-        document ``rows[k]`` (ascending)."""
+        """Scores of ``n`` documents; ``at[k]`` is a term of document
+        ``rows[k]`` (ascending)."""
         return self._forward(rows, at, n)[0]
 
     def _forward(self, rows, at, n):
-        v = self.factors[at]
+        x = self.scale[at]
+        # the pairs of a document have a common weight, however many they are
+        pairs = x / np.sqrt(np.maximum(np.bincount(rows, x * x, n), 1e-12))[rows]
+        v = self.factors[at] * pairs[:, None]
         sums = np.stack([np.bincount(rows, v[:, f], n) for f in range(v.shape[1])], axis=1)
         squares = np.bincount(rows, (v * v).sum(axis=1), n)
-        linear = np.bincount(rows, self.weights[at], n)
-        return self.bias + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), v, sums
+        linear = np.bincount(rows, self.weights[at] * x, n)
+        return self.bias + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), v, sums, x, pairs
 
     def score(self, terms: list[np.ndarray]) -> np.ndarray:
-        places = [p[p >= 0] for p in (self.place[t] for t in terms)]
-        rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
-        at = np.concatenate(places) if places else np.empty(0, np.int32)
-        return 1 / (1 + np.exp(-np.clip(self.logits(rows, at, len(places)), -40, 40)))
+        rows = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        at = np.concatenate(terms) if terms else np.empty(0, np.int32)
+        return 1 / (1 + np.exp(-np.clip(self.logits(rows, at, len(terms)), -40, 40)))
 
 
-def screened(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int, terms: int) -> np.ndarray:
-    """Places of the ``terms`` terms whose counts differ most from chance (a
-    z score of the rate of positives), among those in three documents."""
+def evidence(positive: np.ndarray, total: np.ndarray, n_positive: int, n: int,
+             least: float = 0.05, chance: float = 9.0) -> np.ndarray:
+    """Values of the terms, from ``least`` to 1, by the likelihood ratio G of
+    their rate of positives against the rate of all rows.  No term is left
+    out: one that tells nothing alone (G up to ``chance``) still has the value
+    ``least``, and a value depends on the term's own counts only."""
     rate = n_positive / max(n, 1)
-    z = np.abs(positive - total * rate) / np.sqrt(np.maximum(total * rate * (1 - rate), 1e-9))
-    z[(total < 3) | (z < 3.0)] = 0
-    chosen = np.argsort(-z, kind="stable")[:min(terms, int(np.count_nonzero(z)))]
-    place = np.full(len(total), -1, np.int32)
-    place[np.sort(chosen)] = np.arange(len(chosen), dtype=np.int32)
-    return place
+    own = positive / np.maximum(total, 1)
+    negative = total - positive
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(positive > 0, positive * np.log(own / rate), 0)
+                 + np.where(negative > 0, negative * np.log((1 - own) / (1 - rate)), 0))
+    return least + (1 - least) * (1 - chance / np.maximum(g, chance))
 
 
-def one_pass(model: Model, state: list[np.ndarray], docs: list[np.ndarray], y: np.ndarray,
+def one_pass(model: Model, state: list[np.ndarray], seen: np.ndarray, docs: list[np.ndarray], y: np.ndarray,
              rate: float, decay: float, batch: int = 32) -> None:
-    """Adaptive gradient steps over ``docs`` (places of their terms) in the
-    given order; changes ``model`` and ``state`` (sums of squared gradients)."""
-    size = len(model.weights)
+    """Adaptive gradient steps over ``docs`` (their terms) in the given order;
+    changes ``model``, ``state`` (sums of squared gradients) and ``seen`` (the
+    documents met of each term)."""
+    mark, short = np.zeros(len(model.weights), bool), np.empty(len(model.weights), np.int32)
     for lo in range(0, len(docs), batch):
         part, label = docs[lo:lo + batch], y[lo:lo + batch]
         rows = np.repeat(np.arange(len(part)), [len(p) for p in part])
         at = np.concatenate(part)
-        logit, v, sums = model._forward(rows, at, len(part))
+        logit, v, sums, x, pairs = model._forward(rows, at, len(part))
+        mark[at] = True
+        used = np.flatnonzero(mark)
+        mark[used] = False
+        short[used] = np.arange(len(used))
+        at, size = short[at], len(used)
+        seen[used] += np.bincount(at, minlength=size)
         error = 1 / (1 + np.exp(-np.clip(logit, -40, 40))) - label
         state[2] += float((error.sum() / len(part)) ** 2)
         model.bias -= rate * error.sum() / len(part) / float(np.sqrt(state[2][0]) + 1e-6)
-        g = error[rows]
-        grads = [np.bincount(at, g, size)]
-        grads += [np.bincount(at, g * (sums[rows, f] - v[:, f]), size) for f in range(v.shape[1])]
-        used = np.bincount(at, minlength=size) > 0
-        gw = grads[0][used] + decay * model.weights[used]
+        gw = np.bincount(at, error[rows] * x, size) + decay * model.weights[used]
         state[0][used] += gw * gw
         model.weights[used] -= rate * gw / (np.sqrt(state[0][used]) + 1e-6)
-        gv = np.stack(grads[1:], axis=1)[used] + decay * model.factors[used]
+        g = error[rows] * pairs
+        gv = np.stack([np.bincount(at, g * (sums[rows, f] - v[:, f]), size) for f in range(v.shape[1])], axis=1)
+        gv += decay * model.factors[used]
         state[1][used] += gv * gv
         model.factors[used] -= 0.3 * rate * gv / (np.sqrt(state[1][used]) + 1e-6)
 
@@ -184,51 +194,89 @@ def _add(batches):
         yield _counted(last, *total)
 
 
-def _screen(place: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for t in batch.column(2).to_pylist():
-                p = place[np.frombuffer(t, "<i4")]
-                kept.append(p[p >= 0].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())],
-                                             names=["deal", "label", "terms"])
-    return run
+_ROUND = "slice int, n long, bias double, bias_state double, met binary, model binary"
+
+
+def _learnt(piece, n, bias, bias_state, met, table):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([piece], pa.int32()), pa.array([n], pa.int64()), pa.array([bias]), pa.array([bias_state]),
+         pa.array([met.astype("<i4").tobytes()]), pa.array([table.astype("<f4").tobytes()])],
+        names=["slice", "n", "bias", "bias_state", "met", "model"])
 
 
-def _round(model: Model, state: list[np.ndarray], rate: float, decay: float, rows: int = 1024):
-    """One pass over a partition, a piece at a time, from the common model."""
+def _round(shared, index: int, factors: int, rate: float, decay: float):
+    """One pass over a partition, a batch at a time in an order of the
+    round's own, from the common model.  Answers, for each slice of the
+    terms, those met: their documents, weights, factors and states."""
     def run(batches):
-        own = Model(model.place, model.bias, model.weights.copy(), model.factors.copy())
-        sums, n = [s.copy() for s in state], 0
-        for batch in batches:
+        scale, bias, bias_state, table = shared.value
+        table = table.astype(float)
+        weights, factor, s0, s1 = (np.ascontiguousarray(x) for x in np.split(table, [1, 1 + factors, 2 + factors], axis=1))
+        own, sums = Model(bias, weights[:, 0], factor, scale), [s0[:, 0], s1, np.full(1, bias_state)]
+        seen, n = np.zeros(len(weights), np.int64), 0
+        for k, batch in enumerate(batches):
             labels = np.array(batch.column(1).to_pylist(), float)
             terms = [np.frombuffer(t, "<i4") for t in batch.column(2).to_pylist()]
-            for lo in range(0, len(terms), rows):
-                one_pass(own, sums, terms[lo:lo + rows], labels[lo:lo + rows], rate, decay)
+            order = np.random.default_rng((index, k)).permutation(len(terms))
+            one_pass(own, sums, seen, [terms[o] for o in order], labels[order], rate, decay)
             n += len(terms)
-        if n:
-            flat = np.concatenate([[own.bias], own.weights, own.factors.ravel(), *(s.ravel() for s in sums)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "model"])
+        width = len(seen) // SLICES
+        for k in range(SLICES if n else 0):
+            met = np.flatnonzero(seen[k * width:(k + 1) * width])
+            at = met + k * width
+            yield _learnt(k, n, own.bias, float(sums[2][0]), met,
+                          np.column_stack([seen[at], own.weights[at], own.factors[at], sums[0][at], sums[1][at]]))
+    return run
+
+
+def _means(factors: int):
+    """Means over the shards of each slice (sorted rows): a term's by its
+    documents in the shard, the bias by the shard's rows."""
+    def run(batches):
+        last, held = None, None
+
+        def done():
+            n, bias, bias_state, table = held
+            met = np.flatnonzero(table[:, 0])
+            return _learnt(last, n, bias / n, bias_state / n, met, table[met, 1:] / table[met, :1])
+        for batch in batches:
+            for r in batch.to_pylist():
+                if last != r["slice"]:
+                    if held is not None:
+                        yield done()
+                    last, held = r["slice"], [0, 0.0, 0.0, np.zeros(((1 << BITS) // SLICES, 3 + 2 * factors))]
+                met = np.frombuffer(r["met"], "<i4")
+                own = np.frombuffer(r["model"], "<f4").reshape(len(met), 3 + 2 * factors).astype(float)
+                own[:, 1:] *= own[:, :1]
+                held[3][met] += own
+                held[0] += r["n"]
+                held[1] += r["n"] * r["bias"]
+                held[2] += r["n"] * r["bias_state"]
+        if held is not None:
+            yield done()
     return run
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", factors: int = 4,
-        terms: int = 1 << 14, rounds: int = 4, shards: int = 12, steps: int = 200, rate: float = 0.1,
+        rounds: int = 4, shards: int = 12, steps: int = 200, rate: float = 0.1,
         decay: float = 1e-4, seed: int = 0) -> Model:
-    """Fits the machine on all rows of ``labelled``; rows without a label are
-    left out.  Without a positive row the model scores every text 0.
+    """Fits weights and factors of all 2^BITS terms on all rows of
+    ``labelled``; rows without a label are left out.  Without a positive row
+    the model scores every text 0.  Terms that no row has stay at 0.
 
     Few rows make fewer shards and more rounds, so that every shard makes
-    some ``steps`` steps in all.  The driver sees one count table of 2^BITS
-    terms and, each round, ``shards`` models of ``terms`` terms at most,
-    whatever the number of rows.
+    some ``steps`` steps in all.  A term's mean over the shards counts each
+    shard by its documents with that term, so a term that one shard alone has
+    keeps all it learnt.  The means are formed slice by slice in tasks: the
+    driver sees one count table of 2^BITS terms and one model with its state
+    a round (10 MB), whatever the number of rows.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("binary").alias("text"))
+    # dealt once; a round reads the shards where they lie
     rows = stage(rows.mapInArrow(_terms, "label int, terms binary")
-                 .select(F.xxhash64("terms", "label").alias("deal"), "label", "terms"), "terms")
+                 .select(F.xxhash64("terms", "label").alias("deal"), "label", "terms")
+                 .repartition(shards, "deal").sortWithinPartitions("deal"), "terms")
     counts = rows.mapInArrow(_count, _COUNTS).repartition(SLICES, "slice").sortWithinPartitions("slice") \
         .mapInArrow(_add, _COUNTS).collect()
     total = np.zeros((1 << BITS, 2), np.int64)
@@ -237,60 +285,48 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
         total[c["slice"] * width:(c["slice"] + 1) * width] = np.frombuffer(c["counts"], np.int64).reshape(-1, 2)
     total = total.T
     n, n_positive = sum(c["n"] for c in counts), sum(c["n_positive"] for c in counts)
-    place = screened(total[1], total[0], n_positive, n, terms)
-    size = int((place >= 0).sum())
-    rng = np.random.default_rng(seed)
+    size = 1 << BITS
     base = float(np.log((n_positive + 0.5) / (n - n_positive + 0.5))) if n_positive else -40.0
-    model = Model(place, base, np.zeros(size), rng.normal(0, 0.01, (size, factors)))
+    if not n_positive:
+        return Model(base, np.zeros(size), np.zeros((size, factors)), np.ones(size))
+    # a row of a term: weight, factors and the sums of their squared gradients
+    table = np.full((size, 2 + 2 * factors), 1e-2, np.float32)
+    table[:, 0] = 0
+    table[:, 1:1 + factors] = np.random.default_rng(seed).normal(0, 0.01, (size, factors))
+    table[total[0] == 0, 1:1 + factors] = 0
+    scale, bias, bias_state = evidence(total[1], total[0], n_positive, n), base, 1e-2
     shards = min(shards, n // 1000 + 1)
     rounds = max(rounds, min(30, -(-steps * 32 * shards // max(n, 1))))
-    if not n_positive or not size:
-        return model
-    state = [np.full(size, 1e-2), np.full((size, factors), 1e-2), np.full(1, 1e-2)]
-    # dealt and shuffled once; a round reads the shards where they lie
-    rows = stage(rows.mapInArrow(_screen(place), "deal long, label int, terms binary")
-                 .repartition(shards, "deal").sortWithinPartitions("deal"), "screened")
-    cuts = np.cumsum([1, size, size * factors, size, size * factors])
-    for _ in range(rounds):
-        got = rows.coalesce(shards).mapInArrow(_round(model, state, rate, decay), "n long, model binary").collect()
-        share = np.array([g["n"] for g in got], float) / sum(g["n"] for g in got)
-        mean = sum(w * np.frombuffer(g["model"]) for w, g in zip(share, got))
-        bias, weights, factor, s0, s1, s2 = np.split(mean, cuts)
-        model = Model(place, float(bias[0]), weights, factor.reshape(size, factors))
-        state = [s0, s1.reshape(size, factors), s2]
-    return model
-
-
-class _Places(Terms):
-    """As :class:`Terms`, with the places of screened terms only."""
-
-    def __init__(self, place: np.ndarray):
-        super().__init__()
-        self.place = place.tolist()
-
-    def terms(self, word: bytes) -> tuple[int, ...]:
-        place = self.place
-        return tuple([place[t] for t in super().terms(word) if place[t] >= 0])
+    for index in range(rounds):
+        shared = labelled.sparkSession.sparkContext.broadcast((scale, bias, bias_state, table))
+        got = rows.coalesce(shards).mapInArrow(_round(shared, index, factors, rate, decay), _ROUND) \
+            .repartition(SLICES, "slice").sortWithinPartitions("slice", "n", "bias") \
+            .mapInArrow(_means(factors), _ROUND).collect()
+        shared.destroy()
+        bias, bias_state = got[0]["bias"], got[0]["bias_state"]
+        for g in got:
+            met = np.frombuffer(g["met"], "<i4")
+            table[g["slice"] * (size // SLICES) + met] = np.frombuffer(g["model"], "<f4").reshape(len(met), 2 + 2 * factors)
+    return Model(bias, table[:, 0].astype(float), table[:, 1:1 + factors].astype(float), scale)
 
 
 def scores(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ("doc_id",),
            name: str = "score") -> DataFrame:
     """The ``keep`` columns of every row and its score as ``name``, in the order of
     the rows' partitions.  Null and empty texts have no terms and get the
-    score of the bias.  The model - a few megabytes, bounded by its
-    parameters - is broadcast."""
+    score of the bias.  The model - 2^BITS rows, 13 MB - is broadcast."""
     # plain arrays: a broadcast's classes would have to be installed on workers
-    shared = docs.sparkSession.sparkContext.broadcast((model.place, model.bias, model.weights, model.factors))
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.factors, model.scale))
     schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches):
         own = Model(*shared.value)
-        places = _Places(own.place)
+        terms = Terms()
         for batch in batches:
             out = []
             texts = batch.column(batch.num_columns - 1)
             for lo in range(0, len(texts), 512):
-                docs_ = [places.of(t.as_py()) for t in texts[lo:lo + 512]]
+                docs_ = [terms.of(t.as_py()) for t in texts[lo:lo + 512]]
                 rows = np.repeat(np.arange(len(docs_)), [len(p) for p in docs_])
                 at = np.concatenate(docs_)
                 out.append(1 / (1 + np.exp(-np.clip(own.logits(rows, at, len(docs_)), -40, 40))))

@@ -43,6 +43,32 @@ def test_machine_learns_a_pair_that_weights_cannot(spark):
     assert np.abs(model.factors).max() > 0.1
 
 
+def test_machine_learns_a_pair_of_words_that_tell_nothing_alone(spark):
+    """Both words are as common in toxic as in clean texts; toxic is who has
+    both or neither."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for _ in range(2400):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"f{k}" for k in rng.integers(0, 30, 6)] + ["insult"] * a + ["group"] * b
+        rows.append((" ".join(words), int(a == b)))
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"), rounds=30)
+    terms = toxicity.Terms()
+    s = model.score([terms.of(text.encode()) for text, _ in rows])
+    y = np.array([label for _, label in rows])
+    assert _auc(s, y) > 0.95 and ((s > 0.5) == y).mean() > 0.9
+
+
+def test_rare_terms_are_not_pushed_out_by_common_ones(spark):
+    """A term's value depends on its own counts; none is 0, however many
+    others differ more."""
+    total = np.array([100_000] * 20_000 + [3, 1, 0])
+    positive = np.array([11_000] * 20_000 + [3, 1, 0])
+    value = toxicity.evidence(positive, total, 100_000, 1_000_000)
+    assert value.min() >= 0.05 and value[20_000] > 0.2
+    assert value[20_000] == toxicity.evidence(positive[20_000:], total[20_000:], 100_000, 1_000_000)[0]
+
+
 def test_toxicity_edges(docs, spark):
     rows = [(i, f"fine text number {i}" if i % 2 else f"awful scum text {i}") for i in range(400)]
     rows += [(None, "scum"), (None, None), (1000, ""), (1001, "scum " * 20_000), (3, "fine text number 3")]
