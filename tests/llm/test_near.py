@@ -1,3 +1,6 @@
+from inspect import signature
+from math import comb
+
 import numpy as np
 import pytest
 from brute import Union, near_components, removed_spans
@@ -42,6 +45,21 @@ def test_near_duplicates_match_all_pairs(docs, leaf, depth):
             (sizes[r.doc_id], comps[r.doc_id], comps[r.doc_id] == r.doc_id), r
 
 
+def test_trees_miss_a_pair_at_the_threshold_less_than_once_in_a_million():
+    """All trees read the same tokens: the miss is a mean over how many of
+    them agree, not a power of one tree's miss."""
+    size, default = near_dedup.COORDINATES, signature(near_dedup.near_duplicates).parameters
+    trees, branches, depth = (default[k].default for k in ("trees", "branches", "depth"))
+    missed = 0.0
+    for k in range(size + 1):
+        one = 0.0
+        for _ in range(depth):  # a node misses if its agreeing children do
+            one = sum(comb(k, j) * comb(size - k, branches - j) / comb(size, branches) * one ** j
+                      for j in range(branches + 1))
+        missed += comb(size, k) * 0.75 ** k * 0.25 ** (size - k) * one ** trees
+    assert missed < 1e-6
+
+
 def test_large_group_of_near_copies_gives_few_links(docs):
     """Hundreds of mutual near copies: one component, and candidates stay
     about as many as members."""
