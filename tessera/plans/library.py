@@ -17,7 +17,7 @@ from ..functions import vectors as V
 from ..functions.schedule import rename_metric_key
 from ..operators import encode, losses
 from ..sources import readers
-from ..session import stage_path, table
+from ..session import number_rows, stage_path, table
 from .registry import register
 
 
@@ -235,7 +235,8 @@ def encoded_texts(spark, sf_dir):
     """A user encoder over prompted texts; the longest passages first."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("_id"), "text")
     v = encode.encode(b, lambda texts: np.array([[len(t), 1.0] for t in texts]), 2, prompt="query: ")
-    order = encode.sort_by_length(b.coalesce(1), title=None).select("_id", F.monotonically_increasing_id().alias("place"))
+    order = number_rows(b.select("_id", F.length("text").alias("length")), [F.desc("length"), "_id"], "place") \
+        .select("_id", "place")
     return v.join(order, "_id").select("_id", F.col("embedding")[0].cast("double").alias("a"),
                                        F.col("embedding")[1].cast("double").alias("b"), "place")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import encode
+from tessera.plans import library
 from tessera.sources import readers
 
 
@@ -82,3 +83,14 @@ def test_stage_tables_are_shared_folder_parquet_and_removable(spark):
     assert ensure_checkpoint_dir(spark).rstrip("/").split(":")[-1] in path and t.count() == 5
     assert drop_stage_tables(spark) >= 1
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_encoded_texts_are_placed_without_a_single_task(spark, monkeypatch):
+    def alone(self, n):
+        raise AssertionError(f"all rows in {n} tasks")
+    monkeypatch.setattr(type(spark.range(0)), "coalesce", alone)
+    sf = "/root/testdata/sf0.001"
+    got = {r._id: r.place for r in library.encoded_texts(spark, sf).collect()}
+    texts = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    want = sorted((-len(r.text), str(r.item_id)) for r in texts)
+    assert got == {i: k for k, (_, i) in enumerate(want)}
