@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (
     exact_dedup,
+    fim,
     language,
     mixing,
     near_dedup,
@@ -116,6 +117,44 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op13_digests(docs: DataFrame) -> DataFrame:
+    out = fim.fill_in_middle(docs)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      digest(F.col("output")).alias("output_sha256"),
+                      digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_digests(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS r1,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS r2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT *, array_to_string(u[1:least(r1, r2)], '') AS p,
+         array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+         array_to_string(u[greatest(r1, r2) + 1:n], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_quality": (op1_quality, None),
     "op2_packing": (op2_packing, None),
@@ -127,6 +166,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
 
 
