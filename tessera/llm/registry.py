@@ -21,6 +21,7 @@ from . import (
     toxicity,
     vector_dedup,
     wavelet,
+    whitening,
 )
 from .common import read_table
 
@@ -117,6 +118,15 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def op11_rows(embeddings: DataFrame) -> DataFrame:
+    out = whitening.whitened_components(embeddings)
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_rows(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_digests(docs: DataFrame) -> DataFrame:
     out = fim.fill_in_middle(docs)
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -166,6 +176,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op11_whitening": (op11_whitening, None),
     "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
 
