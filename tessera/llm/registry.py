@@ -17,6 +17,7 @@ from . import (
     near_dedup,
     packing,
     quality,
+    scoring,
     substring,
     toxicity,
     vector_dedup,
@@ -127,6 +128,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_rows(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.held_out_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op13_digests(docs: DataFrame) -> DataFrame:
     out = fim.fill_in_middle(docs)
     digest = lambda text: F.sha2(text.cast("binary"), 256)
@@ -177,6 +182,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_substring_dedup": (op9_substring_dedup, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
     "op11_whitening": (op11_whitening, None),
+    "op12_lm_scoring": (op12_lm_scoring, None),
     "op13_fill_in_middle": (op13_fill_in_middle, OP13_SQL),
 }
 
