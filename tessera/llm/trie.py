@@ -1,6 +1,6 @@
 """An n-gram trie of order 2 in Elias-Fano levels.
 
-Level 1 holds the words (as 64-bit hashes, one Elias-Fano sequence), the
+Level 1 holds the words (as rising numbers, one Elias-Fano sequence), the
 quantised probability of each and the quantised weight with which it backs
 off as a context.  A monotone pointer sequence gives each context its range
 of level 2, which holds the words that follow it: their numbers rise inside a
@@ -124,22 +124,21 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return high << np.uint64(self.low_bits) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Places of the first values that are not below ``x``: the gaps tell
-        the values with the same high part, halving the low parts the place."""
-        x = np.asarray(x, np.uint64)
-        if not self.n:
-            return np.zeros(len(x), np.int64)
+    def _reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the first values that are not below ``x``, and the ends
+        of the runs of values that share the high part of ``x``: the gaps
+        tell the run, halving it the place."""
         last = self.upper.size * 64 - self.n  # unset bits, padding included
         high = x >> np.uint64(self.low_bits)
-        lo, hi = np.full(len(x), self.n, np.int64), np.full(len(x), self.n, np.int64)
+        lo, end = np.full(len(x), self.n, np.int64), np.full(len(x), self.n, np.int64)
         near = high < np.uint64(last)
         h = high[near].astype(np.int64)
-        hi[near] = np.minimum(self._select(h, False) - h, self.n)
+        end[near] = np.minimum(self._select(h, False) - h, self.n)
         start = np.zeros(len(h), np.int64)
         later = h > 0
         start[later] = self._select(h[later] - 1, False) - h[later] + 1
         lo[near] = start
+        hi = end.copy()
         low = x & np.uint64((1 << self.low_bits) - 1)
         todo = np.flatnonzero(lo < hi)
         while len(todo):
@@ -148,21 +147,28 @@ class EliasFano:
             lo[todo[below]] = mid[below] + 1
             hi[todo[~below]] = mid[~below]
             todo = todo[lo[todo] < hi[todo]]
-        return lo
+        return lo, end
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Places of the first values that are not below ``x``."""
+        x = np.asarray(x, np.uint64)
+        return self._reach(x)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Places of values (all different), -1 where there is none."""
-        at = self.successor(x)
-        near = np.flatnonzero(at < self.n)
-        out = np.full(len(at), -1, np.int64)
-        hit = near[self.get(at[near]) == np.asarray(x, np.uint64)[near]]
-        out[hit] = at[hit]
+        x = np.asarray(x, np.uint64)
+        out = np.full(len(x), -1, np.int64)
+        if self.n:
+            at, end = self._reach(x)
+            near = np.flatnonzero(at < end)  # the same high part
+            hit = near[self._low(at[near]) == (x[near] & np.uint64((1 << self.low_bits) - 1))]
+            out[hit] = at[hit]
         return out
 
 
 def encode_trie(words: np.ndarray, p1: np.ndarray, backoff: np.ndarray, keys: np.ndarray, p2: np.ndarray,
                 unknown: int) -> bytes:
-    """``words``: sorted hashes; ``p1``, ``backoff``: their codes (``p1`` may
+    """``words``: sorted numbers; ``p1``, ``backoff``: their codes (``p1`` may
     be ABSENT for a context that is no word); ``keys``: sorted context number
     * number of words + word number; ``p2``: their codes."""
     n = len(words)
@@ -193,17 +199,17 @@ class NgramTrie:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, -1 for words that the trie does not have."""
-        return self.words.find(hashes)
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Places of words in level 1, -1 for those that it does not have."""
+        return self.words.find(words)
 
     def follows(self, context: int) -> np.ndarray:
-        """Numbers of the words that follow a context."""
+        """Places of the words that follow the context at a place."""
         lo, hi = self.starts.get(np.array([context, context + 1])).astype(np.int64)
         return (self.successors.get(np.arange(lo, hi)) - np.uint64(context * self.n)).astype(np.int64)
 
     def codes(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of the probabilities of words after contexts (numbers or
+        """Codes of the probabilities of words after contexts (places or
         -1): the pair's own where the word is among the context's
         successors, else the context's weight times the word's."""
         known = word >= 0

@@ -43,7 +43,7 @@ def test_trie_from_a_mapped_file(tmp_path):
     path = tmp_path / "trie"
     path.write_bytes(trie.encode_trie(words, p1, backoff, keys, p2, 777))
     t = trie.NgramTrie.open(str(path))
-    assert t.numbers(words).tolist() == list(range(n)) and t.numbers(words + np.uint64(1)).max() <= n
+    assert t.places(words).tolist() == list(range(n)) and t.places(words + np.uint64(1)).max() <= n
     held = {(int(k) // n, int(k) % n): int(c) for k, c in zip(keys, p2)}
     a, b = rng.integers(-1, n, 4000), rng.integers(-1, n, 4000)
     a[:len(keys)], b[:len(keys)] = (keys // np.uint64(n))[:4000], (keys % np.uint64(n))[:4000]
@@ -54,7 +54,7 @@ def test_trie_from_a_mapped_file(tmp_path):
         assert t.follows(v).tolist() == sorted(w for c, w in held if c == v)
 
 
-def brute(rows, strength=50.0):
+def brute(rows, strength=200.0):
     """The model of the docstring with plain dictionaries; its codes."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
