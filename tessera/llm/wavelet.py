@@ -23,6 +23,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,11 @@ from .prefix import prefix_sum
 
 MAGIC = b"WMX1"
 SHARD_TOKENS = 1 << 20
+#: Bytes of texts that are encoded at a time.
+SLICE_BYTES = 6 << 20
 _BLOCK = 512
+#: Places that decoding moves at a time.
+_STEP = 1 << 15
 
 
 class WaveletMatrix:
@@ -125,14 +130,19 @@ class WaveletMatrix:
         return pos
 
     def decode(self) -> np.ndarray:
-        """All ids, by undoing the partitions from the last plane up."""
+        """All ids, by undoing the partitions from the last plane up, a
+        cache's worth of places at a time."""
         out = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
             one = np.unpackbits(self.bits[p].view(np.uint8), bitorder="little", count=self.n).view(bool)
-            out[self.zeros[p]:] |= out.dtype.type(1 << (self.planes - 1 - p))
+            a, b = 0, int(self.zeros[p])
+            out[b:] |= out.dtype.type(1 << (self.planes - 1 - p))
             up = np.empty_like(out)
-            up[np.flatnonzero(~one)] = out[:self.zeros[p]]
-            up[np.flatnonzero(one)] = out[self.zeros[p]:]
+            for lo in range(0, self.n, _STEP):
+                here, to = one[lo:lo + _STEP], up[lo:lo + _STEP]
+                ones, zeros = np.flatnonzero(here), np.flatnonzero(~here)
+                to[ones], to[zeros] = out[b:b + len(ones)], out[a:a + len(zeros)]
+                a, b = a + len(zeros), b + len(ones)
             out = up
         return out
 
@@ -172,29 +182,34 @@ _SPELT = {c: "".join(chr(b if b > 0xA0 and b != 0xAD else 0x143 if b == 0xAD els
 _LATIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 
 
-def _fits_latin1(text: str) -> bool:
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+def _lowered(texts: pa.StringArray) -> pa.StringArray:
+    """Lower case, the same as the tokenizer's, of texts within Latin-1 that
+    hold no ``<|``; others as they are."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    special = pc.match_substring(texts, "<|")
+    beyond = np.flatnonzero(data >= 0xC4)  # first bytes of code points from U+0100 on
+    if not len(beyond) and not pc.any(special).as_py():
+        return pc.utf8_lower(texts)
+    whole = special.to_numpy(zero_copy_only=False).copy()
+    whole[np.searchsorted(offsets - offsets[0], beyond, side="right") - 1] = True
+    return pc.if_else(pa.array(whole), texts, pc.utf8_lower(texts))
 
 
 class PieceEncoder:
     """Ids (u32, little endian, as bytes) of texts by a tokenizer file.
 
     The tokenizer drops white space and never merges across it, so texts are
-    cut at U+0020 and U+000A and the ids of short pieces are remembered while
-    there is room.  ``latin`` is set for lower-casing byte-level vocabularies that
+    cut at U+0020 and U+000A, a whole batch at once, and each different piece of
+    a batch is looked up or encoded once; the ids of short pieces are
+    remembered while there is room.  ``latin`` is set for lower-casing byte-level vocabularies that
     split letters from punctuation: then a word of Latin-1 letters goes
     straight to the library's merge model, a third of the work; anything else
     takes the library's whole way.  Special tokens are recognised by their
     ``<|``.
     """
 
-    REMEMBER = 600_000
+    REMEMBER = 800_000
     LONGEST = 64
     MARKS = ".,;:!?%$&*#@^~|+=-_/\\\"()[]{}<>"
 
@@ -204,7 +219,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model, self.latin = self.tokenizer.model, latin
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _whole(self, piece: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
@@ -212,38 +227,60 @@ class PieceEncoder:
 
     def _piece(self, piece: str) -> bytes:
         word = piece.rstrip(self.MARKS) if self.latin else ""
-        if word.isascii() and word.isalpha():
-            spelt = word.lower()
-        elif word and _LATIN.fullmatch(word):
-            spelt = word.lower().translate(_SPELT)
-        else:
+        if not _LATIN.fullmatch(word):
             return self._whole(piece)
-        out = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        if len(word) < len(piece):
-            marks = piece[len(word):]
-            ids = self.known.get(marks)
-            if ids is None:
-                ids = self.known[marks] = self._whole(marks)
-            out += ids
-        return out
+        if len(word) == len(piece):
+            return self._word(word)
+        # marks are apart from the letters before them, which are often known
+        return self._part(word, self._word) + self._part(piece[len(word):], self._whole)
+
+    def _part(self, part: str, encode) -> bytes:
+        key = part.encode()
+        ids = self.known.get(key)
+        if ids is None:
+            ids = encode(part)
+            if len(self.known) < self.REMEMBER and len(key) <= self.LONGEST:
+                self.known[key] = ids
+        return ids
+
+    def _word(self, letters: str) -> bytes:
+        spelt = letters.lower()
+        if not spelt.isascii():
+            spelt = spelt.translate(_SPELT)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        return self.batch(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+    def batch(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), one after another, and how many
+        each has."""
+        pieces = pc.split_pattern(pc.replace_substring(_lowered(texts) if self.latin else texts, "\n", " "), " ")
+        cuts = pieces.offsets.to_numpy()
+        coded = pieces.flatten().dictionary_encode()
+        places = np.frombuffer(coded.dictionary.buffers()[1], np.int32, len(coded.dictionary) + 1).tolist()
+        spelt = (coded.dictionary.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        different = [spelt[a:b] for a, b in zip(places, places[1:])]
         known = self.known
-        if self.latin and "<|" not in text and _fits_latin1(text):
-            text = text.lower()  # the same as the tokenizer's, and fewer words to know
-        pieces = text.replace("\n", " ").split(" ")
-        found = list(map(known.get, pieces))
+        found = list(map(known.get, different))
         if None in found:
-            # words come back by the Zipf law: what is met first is what
-            # pays to remember, later newcomers mostly stay alone
-            room = len(known) < self.REMEMBER
+            # words come back by the Zipf law: what is met first is what pays
+            # to remember, later newcomers mostly stay alone
+            room = self.REMEMBER - len(known)
             for k, ids in enumerate(found):
                 if ids is None:
-                    piece = pieces[k]
-                    found[k] = ids = known.get(piece) or self._piece(piece)
-                    if room and len(piece) <= self.LONGEST:
-                        known[piece] = ids
-        return b"".join(found)
+                    found[k] = ids = self._piece(different[k].decode())
+                    if room > 0 and len(different[k]) <= self.LONGEST:
+                        known[different[k]] = ids
+                        room -= 1
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        pool, starts = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes, dtype=np.int64) - sizes
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        kind = np.int32 if max(ends[-1], len(pool)) < 1 << 31 else np.int64
+        at = np.repeat((starts[which] - ends[:-1]).astype(kind), n) + np.arange(ends[-1], dtype=kind)
+        return pool[at], np.diff(ends[cuts - cuts[0]])
 
 
 _SHARD = "part int, seq int, n_tokens long, shard binary"
@@ -260,7 +297,7 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int):
 
         def flush():
             nonlocal seq, ids, lengths, tokens, held
-            blob = encode_shard(ids, lengths, np.frombuffer(b"".join(tokens), "<u4"))
+            blob = encode_shard(ids, lengths, np.concatenate(tokens))
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()),
                  pa.array([blob], pa.binary())], names=["part", "seq", "n_tokens", "shard"])
@@ -268,20 +305,28 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int):
             ids, lengths, tokens, held = [], [], [], 0
             return out
 
-        end = struct.pack("<I", end_id)
         for batch in batches:
-            for p, i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if p != part:
-                    if ids:
+            texts = pc.fill_null(batch.column(2), "")
+            size = np.cumsum(pc.binary_length(texts).to_numpy())
+            lo = 0
+            while lo < len(texts):  # some megabytes of whole texts at a time
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+                flat, n = encode.batch(texts.slice(lo, hi - lo))
+                flat = np.insert(flat, np.cumsum(n), end_id)
+                ends = np.cumsum(n + 1)
+                for p, i, a, b in zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(),
+                                      (ends - n - 1).tolist(), ends.tolist()):
+                    if p != part:
+                        if ids:
+                            yield flush()
+                        part, seq = p, 0
+                    ids.append(NO_ID if i is None else i)
+                    lengths.append(b - a)
+                    tokens.append(flat[a:b])
+                    held += b - a
+                    if held >= shard_tokens:
                         yield flush()
-                    part, seq = p, 0
-                own = encode(text.as_py() or "") + end
-                ids.append(NO_ID if i is None else i)
-                lengths.append(len(own) // 4)
-                tokens.append(own)
-                held += len(own) // 4
-                if held >= shard_tokens:
-                    yield flush()
+                lo = hi
         if ids:
             yield flush()
     return run
