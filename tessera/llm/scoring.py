@@ -22,16 +22,12 @@ would fill a shard are dealt over all shards.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stage_path
-
-from .common import stage
+from .common import bucketed, stage
 from .packs import batch, distinct, gaps, pack, runs, unpack
 from .toxicity import bucket
 from .trie import ABSENT, STEP, NgramTrie, code, encode_trie, value
@@ -252,17 +248,6 @@ def _sum_up(corpus: dict):
     return run
 
 
-def _bucketed(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """``df`` written under the shared folder in buckets of ``key``, so that
-    what comes back to its rows is shuffled and they are not.  The table's
-    name is gone at once; its files are dropped like any stage's."""
-    spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", stage_path(spark, "llm-lm-chunks")).bucketBy(parts, key).saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
 def _with_answers(chunks: DataFrame, parts: int, *answers: DataFrame):
     """Every chunk's row together with the answers to it."""
     rows = [a.filter(F.col("chunk") >= 0).select("chunk", F.lit(k).alias("kind"), "place", "payload")
@@ -294,7 +279,7 @@ def score_documents(docs: DataFrame, train: Column, strength: float = 200.0, chu
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"),
                         F.col(text_col).cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = _bucketed(texts.mapInArrow(_chunked(chunk_tokens), _ddl(_CHUNKS)), "chunk", parts)
+    chunks = bucketed(texts.mapInArrow(_chunked(chunk_tokens), _ddl(_CHUNKS)), "chunk", parts, "lm-chunks")
     size = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_train", "n_docs")]).first()
     buckets, shards = size[0] // BUCKET_TOKENS + 1, size[0] // SHARD_TOKENS + 1
     totals = stage(chunks.select("chunk", "words", "counts").mapInArrow(_send_words(buckets), _ddl(_SENT))

@@ -5,9 +5,11 @@ a fixed space.  The model adds a weight for each term and, for every pair of
 terms, the product of their factor vectors, so that a pair such as an insult
 and the mention of a group can weigh more than both alone.
 
-All labelled rows are used.  They are dealt into a fixed number of shards;
-in a round every shard runs one pass of adaptive gradient steps over its rows
-from the common model, and the models are averaged.
+Labelled rows are dealt into a fixed number of shards; in a round every shard
+runs one pass of adaptive gradient steps over its rows from the common model,
+and the models are averaged.  Which shard a row is in, the order of the steps
+and the order of the sums follow from hashes of the rows, so that every run
+gives the same model, whatever the files, tasks and cores.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import join_small
 
-from .common import stage
+from .common import bucketed
 
 BITS = 18
 BEGINNINGS = (4, 5, 6)
@@ -148,8 +150,9 @@ def bucket(id_col: Column, modulus: int) -> Column:
 def _terms(batches):
     terms = Terms()
     for batch in batches:
-        found = [terms.of(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "terms"])
+        found = [terms.of(t.as_py()).astype("<i4").tobytes() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())],
+                                         names=["deal", "label", "terms"])
 
 
 #: A count table travels in this many pieces.
@@ -167,7 +170,7 @@ def _count(batches):
     """How many documents, and positive ones, hold each term."""
     both, rows = np.zeros((1 << BITS, 2), np.int64), [0, 0]
     for batch in batches:
-        for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             at = np.frombuffer(t, "<i4")
             both[at, 0] += 1
             rows[0] += 1
@@ -194,38 +197,40 @@ def _add(batches):
         yield _counted(last, *total)
 
 
-_ROUND = "slice int, n long, bias double, bias_state double, met binary, model binary"
+_ROUND = "slice int, shard int, n long, bias double, bias_state double, met binary, model binary"
 
 
-def _learnt(piece, n, bias, bias_state, met, table):
+def _learnt(piece, shard, n, bias, bias_state, met, table):
     return pa.RecordBatch.from_arrays(
-        [pa.array([piece], pa.int32()), pa.array([n], pa.int64()), pa.array([bias]), pa.array([bias_state]),
-         pa.array([met.astype("<i4").tobytes()]), pa.array([table.astype("<f4").tobytes()])],
-        names=["slice", "n", "bias", "bias_state", "met", "model"])
+        [pa.array([piece], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([bias]),
+         pa.array([bias_state]), pa.array([met.astype("<i4").tobytes()]), pa.array([table.astype("<f4").tobytes()])],
+        names=["slice", "shard", "n", "bias", "bias_state", "met", "model"])
 
 
 def _round(shared, index: int, factors: int, rate: float, decay: float):
-    """One pass over a partition, a batch at a time in an order of the
-    round's own, from the common model.  Answers, for each slice of the
-    terms, those met: their documents, weights, factors and states."""
-    def run(batches):
+    """One pass over a shard in an order of the round's own, from the common
+    model.  Answers, for each slice of the terms, those met: their documents,
+    weights, factors and states."""
+    def run(rows: pa.Table) -> pa.Table:
+        shard = rows.column("shard")[0].as_py()
+        # rows of one deal are alike, so this is one order of the rows
+        order = np.argsort(rows.column("deal").to_numpy(), kind="stable")
+        order = order[np.random.default_rng((index, shard)).permutation(len(order))]
+        labels = rows.column("label").to_numpy().astype(float)[order]
+        terms = rows.column("terms").to_pylist()
         scale, bias, bias_state, table = shared.value
         table = table.astype(float)
         weights, factor, s0, s1 = (np.ascontiguousarray(x) for x in np.split(table, [1, 1 + factors, 2 + factors], axis=1))
         own, sums = Model(bias, weights[:, 0], factor, scale), [s0[:, 0], s1, np.full(1, bias_state)]
-        seen, n = np.zeros(len(weights), np.int64), 0
-        for k, batch in enumerate(batches):
-            labels = np.array(batch.column(1).to_pylist(), float)
-            terms = [np.frombuffer(t, "<i4") for t in batch.column(2).to_pylist()]
-            order = np.random.default_rng((index, k)).permutation(len(terms))
-            one_pass(own, sums, seen, [terms[o] for o in order], labels[order], rate, decay)
-            n += len(terms)
-        width = len(seen) // SLICES
-        for k in range(SLICES if n else 0):
+        seen = np.zeros(len(weights), np.int64)
+        one_pass(own, sums, seen, [np.frombuffer(terms[o], "<i4") for o in order], labels, rate, decay)
+        width, out = len(seen) // SLICES, []
+        for k in range(SLICES):
             met = np.flatnonzero(seen[k * width:(k + 1) * width])
             at = met + k * width
-            yield _learnt(k, n, own.bias, float(sums[2][0]), met,
-                          np.column_stack([seen[at], own.weights[at], own.factors[at], sums[0][at], sums[1][at]]))
+            out.append(_learnt(k, shard, len(terms), own.bias, float(sums[2][0]), met,
+                               np.column_stack([seen[at], own.weights[at], own.factors[at], sums[0][at], sums[1][at]])))
+        return pa.Table.from_batches(out)
     return run
 
 
@@ -238,7 +243,7 @@ def _means(factors: int):
         def done():
             n, bias, bias_state, table = held
             met = np.flatnonzero(table[:, 0])
-            return _learnt(last, n, bias / n, bias_state / n, met, table[met, 1:] / table[met, :1])
+            return _learnt(last, 0, n, bias / n, bias_state / n, met, table[met, 1:] / table[met, :1])
         for batch in batches:
             for r in batch.to_pylist():
                 if last != r["slice"]:
@@ -257,27 +262,37 @@ def _means(factors: int):
     return run
 
 
+#: Shards that rows are dealt into, and buckets that keep them apart on disk.
+SHARDS, BUCKETS = 12, 48
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", factors: int = 4,
-        rounds: int = 4, shards: int = 12, steps: int = 200, rate: float = 0.1,
-        decay: float = 1e-4, seed: int = 0) -> Model:
-    """Fits weights and factors of all 2^BITS terms on all rows of
+        rounds: int = 4, steps: int = 200, rate: float = 0.1, decay: float = 1e-4, seed: int = 0,
+        max_rows: int = 600_000) -> Model:
+    """Fits weights and factors of all 2^BITS terms on the rows of
     ``labelled``; rows without a label are left out.  Without a positive row
     the model scores every text 0.  Terms that no row has stay at 0.
 
-    Few rows make fewer shards and more rounds, so that every shard makes
-    some ``steps`` steps in all.  A term's mean over the shards counts each
-    shard by its documents with that term, so a term that one shard alone has
-    keeps all it learnt.  The means are formed slice by slice in tasks: the
-    driver sees one count table of 2^BITS terms and one model with its state
-    a round (10 MB), whatever the number of rows.
+    Beyond ``max_rows`` labelled rows the model is fitted on about so many of
+    them, chosen by a hash of text and label, which bounds a shard (a
+    twelfth) in its task.  Few rows make fewer shards and more rounds, so
+    that every shard makes some ``steps`` steps in all.  A term's mean over
+    the shards counts each shard by its documents with that term, so a term
+    that one shard alone has keeps all it learnt.  The means are formed slice
+    by slice in tasks: the driver sees one count table of 2^BITS terms and
+    one model with its state a round (10 MB), whatever the number of rows.
     """
     rows = labelled.filter(F.col(label_col).isNotNull()).select(
         F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("binary").alias("text"))
+    found = rows.count()
+    rows = rows.select(F.xxhash64("text", "label").alias("deal"), "label", "text")
+    if found > max_rows:
+        rows = rows.filter(F.pmod(F.xxhash64("deal"), F.lit(1 << 30)) < int(max_rows / found * (1 << 30)))
     # dealt once; a round reads the shards where they lie
-    rows = stage(rows.mapInArrow(_terms, "label int, terms binary")
-                 .select(F.xxhash64("terms", "label").alias("deal"), "label", "terms")
-                 .repartition(shards, "deal").sortWithinPartitions("deal"), "terms")
-    counts = rows.mapInArrow(_count, _COUNTS).repartition(SLICES, "slice").sortWithinPartitions("slice") \
+    rows = bucketed(rows.mapInArrow(_terms, "deal long, label int, terms binary")
+                    .withColumn("shard", F.pmod("deal", F.lit(SHARDS)).cast("int")).repartition(BUCKETS, "shard"),
+                    "shard", BUCKETS, "terms")
+    counts = rows.select("label", "terms").mapInArrow(_count, _COUNTS).repartition(SLICES, "slice").sortWithinPartitions("slice") \
         .mapInArrow(_add, _COUNTS).collect()
     total = np.zeros((1 << BITS, 2), np.int64)
     for c in counts:
@@ -295,12 +310,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", f
     table[:, 1:1 + factors] = np.random.default_rng(seed).normal(0, 0.01, (size, factors))
     table[total[0] == 0, 1:1 + factors] = 0
     scale, bias, bias_state = evidence(total[1], total[0], n_positive, n), base, 1e-2
-    shards = min(shards, n // 1000 + 1)
+    shards = min(SHARDS, n // 1000 + 1)
     rounds = max(rounds, min(30, -(-steps * 32 * shards // max(n, 1))))
+    dealt = rows if shards == SHARDS else rows.withColumn("shard", F.col("shard") % shards)
     for index in range(rounds):
         shared = labelled.sparkSession.sparkContext.broadcast((scale, bias, bias_state, table))
-        got = rows.coalesce(shards).mapInArrow(_round(shared, index, factors, rate, decay), _ROUND) \
-            .repartition(SLICES, "slice").sortWithinPartitions("slice", "n", "bias") \
+        got = dealt.groupBy("shard").applyInArrow(_round(shared, index, factors, rate, decay), _ROUND) \
+            .repartition(SLICES, "slice").sortWithinPartitions("slice", "shard") \
             .mapInArrow(_means(factors), _ROUND).collect()
         shared.destroy()
         bias, bias_state = got[0]["bias"], got[0]["bias_state"]

@@ -205,3 +205,31 @@ def test_page_text():
     html = "<!-- a --><style>b{}</style><SCRIPT>var t='</p>'</SCRIPT><nav>x</nav><p>A &amp; <b>B</b>"
     assert language.page_text(html).split() == ["A", "&", "B"]
     assert language.page_text(None) == ""
+
+
+def test_toxicity_is_the_same_on_every_run(docs, spark):
+    """Bit for bit, however the rows arrive and however many tasks there are."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 12) % 3000) + (" scum" if i % 9 == 0 else "")) for i in range(20_000)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(20_000)], "doc_id long, toxic int")
+    df, found, before = docs(rows), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffle, batch in ((3, 8, 10_000), (17, 5, 10_000), (17, 5, 700)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            arrived = df.repartition(parts, F.rand(parts))
+            found.append(sorted(map(tuple, toxicity.classify(arrived, labels).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert found[0] == found[1] == found[2]
+    held = [r for r in found[0] if r[1]]
+    assert sum(r[3] == int(r[0] % 9 == 0) for r in held) > 0.99 * len(held)
+
+
+def test_toxicity_on_a_bounded_number_of_rows(docs, spark):
+    rows = docs([(i, f"w{i % 50} scum" if i % 4 == 0 else f"w{i % 50} fine") for i in range(6000)])
+    labelled = rows.withColumn("label", (F.col("doc_id") % 4 == 0).cast("int"))
+    model = toxicity.fit(labelled, max_rows=1500)
+    good, bad = model.score([toxicity.Terms().of(t) for t in (b"w3 fine", b"w3 scum")])
+    assert good < 0.3 < bad
