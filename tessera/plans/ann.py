@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import ann, search
+from ..operators import ann, graph, index, search
+from ..session import stage_path
 from .registry import register
 from .retrieval import _DOT, EVERY, K_RUN, _corpus, _out, _queries, _run_sql
 
@@ -146,3 +147,41 @@ def knn_lsh(spark, sf_dir):
 def knn_lsh_all(spark, sf_dir):
     """No hash bits: every document is a candidate."""
     return _out(ann.lsh_search(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, n_tables=2, bits=0))
+
+
+@register("knn_graph", ops=("V7", "F24"))
+def knn_graph(spark, sf_dir):
+    """Best-first search over a graph of neighbours."""
+    return _out(graph.graph_search(_queries(spark, sf_dir), graph.build_graph(_corpus(spark, sf_dir)), K_RUN))
+
+
+@register("knn_graph_all", ops=("V7", "F24"), oracle=_EXACT_SQL)
+def knn_graph_all(spark, sf_dir):
+    """Walks that may keep every node they meet reach all of them."""
+    return _out(graph.graph_search(_queries(spark, sf_dir), graph.build_graph(_corpus(spark, sf_dir), rounds=2), K_RUN,
+                                   ef=1 << 30))
+
+
+def _stored(spark, sf_dir, **kw):
+    path = stage_path(spark, "vector-index")
+    index.write_index(_corpus(spark, sf_dir), path, **kw)
+    return index.read_index(spark, path)
+
+
+@register("knn_ivf_stored", ops=("V7", "V9"), oracle=_EXACT_SQL)
+def knn_ivf_stored(spark, sf_dir):
+    """An index written and read back, every list probed."""
+    return _out(index.index_search(_queries(spark, sf_dir), _stored(spark, sf_dir, n_lists=16), K_RUN, n_probe=16))
+
+
+@register("knn_sq8_stored", ops=("V3", "V7", "V9"), oracle=_SQ8_SQL)
+def knn_sq8_stored(spark, sf_dir):
+    """8-bit codes and their ranges from disk, every list probed."""
+    return _out(index.index_search(_queries(spark, sf_dir), _stored(spark, sf_dir, form="sq8", n_lists=8), K_RUN, n_probe=8))
+
+
+@register("knn_pq_stored", ops=("V4", "V7", "V9"))
+def knn_pq_stored(spark, sf_dir):
+    """Product codes by list, most lists probed, the best reordered."""
+    return _out(index.index_search(_queries(spark, sf_dir), _stored(spark, sf_dir, form="pq", n_sub=16), K_RUN,
+                                   refine=REFINE, corpus=_corpus(spark, sf_dir)))
