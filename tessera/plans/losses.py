@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..operators import losses as L
 from ..operators import metrics as M
 from ..operators import search
@@ -91,7 +90,7 @@ def loss_in_batch(spark, sf_dir):
                           (F.col("label") % 3 == 0).alias("hn_only")), "group_id"))
     p = g.join(emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("p_vec")),
                "doc_id").select("batch_id", "group_id", "pos", "p_vec")
-    out = L.in_batch_loss(q, p, T_IB, V.dot)
+    out = L.in_batch_loss_blocks(q, p, T_IB)
     return out.select("batch_id", "group_id", F.round("loss", 6).alias("loss"))
 
 
