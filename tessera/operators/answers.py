@@ -1,82 +1,95 @@
-"""Answer matching as a join.
+"""Answer matching.
 
 Per (query, passage) pairs of a run, :func:`tessera.functions.qa.has_answers`
-is a row expression.  To find *every* passage that contains an answer
-without comparing all pairs, answers are joined to passages through their
-rarest token n-gram ("anchor"): any passage that contains the answer
-contiguously contains its anchor, so the anchor equi-join is complete; the
-candidates are then verified exactly.  Choosing the least frequent n-gram
-keeps candidate sets small even when common phrases are hot.
+is a row expression.  To find *every* passage that contains an answer,
+:func:`contained_answers` builds an automaton over all answers' tokens, whose
+failure links find every answer that ends at a token in one pass over a
+passage, and emits one row for each passage and answer that it holds: nothing
+but those rows leaves a passage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import qa
-from ..session import cut_lineage, join_small, spread
+from ..session import cut_lineage, spread
 
-ANCHOR_N = 3
+#: UTF-8 bytes of the answers of one automaton.  A node takes some 60 bytes
+#: and there is at most one for a character.
+AUTOMATON_BYTES = 2 << 20
 
 
-def _grams(w, n: int):
-    """``(n, p, g)``: every run of ``n`` tokens with its position; nothing
-    when the array is shorter."""
-    found = F.transform(
-        F.sequence(F.lit(0), F.size(w) - n),
-        lambda s: F.struct(F.lit(n).alias("n"), s.alias("p"),
-                           F.array_join(F.slice(w, s + 1, n), qa.SENTINEL).alias("g")))
-    return F.when(F.size(w) >= n, found).otherwise(F.array().cast("array<struct<n:int,p:int,g:string>>"))
+def _automaton(patterns: list[str]):
+    import ahocorasick
+    found = ahocorasick.Automaton()
+    for number, pattern in enumerate(patterns):
+        found.add_word(pattern, number)
+    found.make_automaton()
+    return found
 
 
 def contained_answers(passages: DataFrame, answers: DataFrame, p_id: str = "doc_id",
                       a_id: str = "item_id", p_text: str = "text", a_text: str = "text",
-                      normalize: bool = True) -> DataFrame:
+                      normalize: bool = True, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """All (passage, answer) pairs where the answer's uncased tokens appear
     contiguously in the passage's tokens, with ``all_passages`` false.  An
     answer without tokens matches every passage: it is one row with a null
     passage id and ``all_passages`` true, never expanded to all pairs.
 
-    Plan: passages are tokenised once; their grams of all needed lengths are
-    exploded in one pass and semi-joined with the answers' grams (a
-    size-checked broadcast), so only occurrences of answer grams survive.
-    Their counts pick each answer's rarest gram as anchor, the anchor equi
-    join yields candidates, and only candidate passages meet the exact check.
+    Plan: passages are tokenised once and stored as tokens between separators;
+    the different answers are dealt by hash into shards of about
+    ``automaton_bytes``.  A shard is broadcast - its size is the bound - and
+    every task builds its automaton and streams the stored passages through
+    it.  Answers of one token sequence are one pattern and join their ids to
+    what was found.
     """
     def prep(c):
         return qa.nfd(c) if normalize else c
 
+    spark = answers.sparkSession
     every = cut_lineage(answers.select(F.col(a_id).alias("aid"), qa.words(prep(F.col(a_text))).alias("aw"))
-                        .where(F.col("aw").isNotNull()), "answer_words")
-    free = every.where(F.size("aw") == 0).select(
+                        .where(F.col("aw").isNotNull())
+                        .select("aid", F.size("aw").alias("n"), qa.sentinel_join(F.col("aw")).alias("key")), "answer_words")
+    free = every.where(F.col("n") == 0).select(
         F.lit(None).cast(dict(passages.dtypes)[p_id]).alias(p_id), F.col("aid").alias(a_id),
         F.lit(True).alias("all_passages"))
-    aw = every.where(F.size("aw") > 0)
-    grams = F.flatten(F.array(*[F.when(F.least(F.size("aw"), F.lit(ANCHOR_N)) == n, _grams(F.col("aw"), n))
-                                .otherwise(F.array().cast("array<struct<n:int,p:int,g:string>>"))
-                                for n in range(1, ANCHOR_N + 1)]))
-    agrams = aw.select("aid", F.explode(grams).alias("x")).select("aid", "x.n", "x.p", "x.g")
-    keys = agrams.select("n", "g").distinct()
-    pw = cut_lineage(spread(passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t")))
-                     .select("pid", qa.words(prep(F.col("_t"))).alias("pw")), "passage_words")
-    # the lengths in use: at most ANCHOR_N numbers
-    lengths = [r["n"] for r in aw.select(F.least(F.size("aw"), F.lit(ANCHOR_N)).alias("n")).distinct().collect()]
-    runs = [_grams(F.col("pw"), n) for n in lengths or [1]]
-    runs = runs[0] if len(runs) == 1 else F.flatten(F.array(*runs))
-    pgrams = pw.select("pid", F.explode(runs).alias("x")).select("pid", "x.n", "x.g")
-    # only occurrences of answer grams survive; computed once
-    hits = cut_lineage(join_small(pgrams, keys, ["n", "g"], "left_semi").distinct(), "answer_gram_hits")
-    df = hits.groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("aid").orderBy("df", "p")
-    # an answer whose gram never occurs cannot match: the inner join drops it
-    anchors = (agrams.join(df, ["n", "g"]).withColumn("_r", F.row_number().over(w))
-               .where("_r = 1").select("aid", "n", "g"))
-    cands = join_small(hits, anchors, ["n", "g"]).select("pid", "aid").distinct()
-    verified = (join_small(cands.join(pw, "pid"), aw.select("aid", "aw"), "aid")
-                .where(qa.contains_tokens(F.col("pw"), F.col("aw"))))
-    return verified.select(F.col("pid").alias(p_id), F.col("aid").alias(a_id),
-                           F.lit(False).alias("all_passages")).unionByName(free)
+    some = every.where(F.col("n") > 0)
+    patterns = some.select("key").distinct()
+    size = patterns.agg(F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()[0]
+    shards = size // automaton_bytes + 1
+    texts = spread(passages.select(F.col(p_id).alias("pid"), F.col(p_text).alias("_t")).where(F.col("_t").isNotNull()))
+    texts = cut_lineage(texts.select("pid", qa.sentinel_join(qa.words(prep(F.col("_t")))).alias("tokens")), "passage_words")
+    schema = f"pid {dict(passages.dtypes)[p_id]}, key string"
+
+    def search(shared):
+        def run(batches):
+            keys = shared.value
+            automaton = _automaton(keys)
+            for batch in batches:
+                at, hits = [], []
+                for row, text in enumerate(batch.column(1)):
+                    here = {number for _, number in automaton.iter(text.as_py())}
+                    at.extend([row] * len(here))
+                    hits.extend(sorted(here))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([keys[h] for h in hits], pa.string())],
+                    names=["pid", "key"])
+        return run
+
+    found = None
+    for shard in range(shards if size else 0):
+        keys = patterns.where(F.pmod(F.xxhash64("key"), F.lit(shards)) == shard).orderBy("key").toArrow()["key"].to_pylist()
+        if keys:
+            hits = texts.mapInArrow(search(spark.sparkContext.broadcast(keys)), schema)
+            found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return free
+    # an answer's sequence is found in a passage once
+    return found.join(some.select("aid", "key"), "key").select(
+        F.col("pid").alias(p_id), F.col("aid").alias(a_id), F.lit(False).alias("all_passages")).unionByName(free)
 
 
 def answer_hits(run: DataFrame, passages: DataFrame, answers: DataFrame, normalize: bool = True) -> DataFrame:
