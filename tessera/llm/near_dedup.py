@@ -20,6 +20,8 @@ that a tree fixes and ``trees`` repeat towards 1.
 
 from __future__ import annotations
 
+from math import ceil, comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,9 +36,45 @@ from .substring import window_hashes
 from .words import WordHashes, mix64
 
 COORDINATES = 128
-#: Tokens that must agree for a pair to be confirmed: a pair at 0.75 has 96
-#: on average and under 70 once in some ten million.
-AGREE = 70
+#: Most pairs at the threshold that the comparison of tokens may lose, and
+#: that all trees together may miss.
+LOST, MISSED = 2e-7, 6e-7
+
+
+def agreeing(percent: int) -> int:
+    """Tokens that must agree for a pair to be confirmed: at ``percent`` a
+    pair has fewer at most ``LOST`` times (70 at 75, where 96 agree on
+    average)."""
+    s, below, k = percent / 100, 0.0, 0
+    while True:
+        below += comb(COORDINATES, k) * s ** k * (1 - s) ** (COORDINATES - k)
+        if below > LOST:
+            return k
+        k += 1
+
+
+def missed(percent: int, trees: int, branches: int, depth: int) -> float:
+    """The share of pairs at ``percent`` that all trees miss: all of them
+    read the same tokens, so it is a mean over how many of those agree."""
+    s, out = percent / 100, 0.0
+    for k in range(COORDINATES + 1):
+        one = 0.0
+        for _ in range(depth):  # a node misses if its agreeing children do
+            one = sum(comb(k, j) * comb(COORDINATES - k, branches - j) / comb(COORDINATES, branches) * one ** j
+                      for j in range(branches + 1))
+        out += comb(COORDINATES, k) * s ** k * (1 - s) ** (COORDINATES - k) * one ** trees
+    return out
+
+
+def forest_size(percent: int, trees: int, branches: int, depth: int) -> tuple[int, int]:
+    """(trees, branches) that miss at most ``MISSED`` pairs at ``percent``,
+    no fewer than asked for; lower similarities take more of both."""
+    if not 20 <= percent <= 100:
+        raise ValueError("percent must be between 20 and 100")
+    branches = max(branches, ceil(225 / percent))
+    while missed(percent, trees, branches, depth) > MISSED:
+        trees += 1
+    return trees, branches
 
 
 def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
@@ -62,7 +100,7 @@ def _factors(seed: int) -> np.ndarray:
     return mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) + np.uint64(seed << 20)) | np.uint64(1)
 
 
-_SKETCH = "row long, doc_id long, n_shingles long, set_hash binary, tokens binary"
+_SKETCH = "row long, doc_id long, text_hash long, n_shingles long, set_hash binary, tokens binary"
 
 
 def _sketch(width: int, seed: int):
@@ -70,15 +108,15 @@ def _sketch(width: int, seed: int):
         hashes, factors = WordHashes(), _factors(seed)
         for batch in batches:
             n, names, tokens = [], [], []
-            for text in batch.column(2):
+            for text in batch.column(3):
                 s = shingle_set(hashes.of((text.as_py() or b"").lower().split()), width)
                 n.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()))
                 tokens.append(minwise_tokens(s, factors).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.binary()),
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(names, pa.binary()),
                  pa.array(tokens, pa.binary())],
-                names=["row", "doc_id", "n_shingles", "set_hash", "tokens"])
+                names=["row", "doc_id", "text_hash", "n_shingles", "set_hash", "tokens"])
     return run
 
 
@@ -113,11 +151,11 @@ def _children(branches: int, trees: int):
     return run
 
 
-def _close(short, n, i, j, similarity: float) -> np.ndarray:
+def _close(short, n, i, j, percent: int, agree: int) -> np.ndarray:
     """Which of the pairs may reach the similarity: by set sizes, then by the
     low bytes of their minwise tokens."""
-    ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-    ok[ok] = np.count_nonzero(short[i[ok]] == short[j[ok]], axis=1) >= AGREE
+    ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    ok[ok] = np.count_nonzero(short[i[ok]] == short[j[ok]], axis=1) >= agree
     return ok
 
 
@@ -126,7 +164,7 @@ def _pairs(vertex, i, j):
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _neighbours(similarity: float):
+def _neighbours(percent: int, agree: int):
     """Candidates among neighbouring rows of one node; the rows are sorted."""
     def run(batches):
         held = None
@@ -139,13 +177,13 @@ def _neighbours(similarity: float):
             node, vertex, n = (batch.column(k).to_numpy() for k in range(3))
             short = _matrix(batch.column(3), np.uint8, COORDINATES)
             i = np.flatnonzero((node[1:] == node[:-1]) & (vertex[1:] != vertex[:-1]))
-            i = i[_close(short, n, i, i + 1, similarity)]
+            i = i[_close(short, n, i, i + 1, percent, agree)]
             yield _pairs(vertex, i, i + 1)
             held = batch.slice(batch.num_rows - 1)
     return run
 
 
-def _leaves(similarity: float, block: int = 1 << 15):
+def _leaves(percent: int, agree: int, block: int = 1 << 15):
     """A forest of the candidates inside each cell (sorted rows of one node,
     a few thousand at most): compares row k with row k+1, k+2, ...; rows that
     are joined already, by ``comp`` or by a pair found before, are skipped."""
@@ -164,7 +202,7 @@ def _leaves(similarity: float, block: int = 1 << 15):
             for k in range(0, len(i), 1 << 16):
                 x = i[k:k + (1 << 16)]
                 x = x[label[x] != label[x + step]]
-                x = x[_close(short, n, x, x + step, similarity)]
+                x = x[_close(short, n, x, x + step, percent, agree)]
                 if not len(x):
                     continue
                 lo, hi = np.minimum(label[x], label[x + step]), np.maximum(label[x], label[x + step])
@@ -194,12 +232,18 @@ def _leaves(similarity: float, block: int = 1 << 15):
 
 def _sets(width: int):
     """Rows (cell, vertex, label, set_hash, text) to (cell, vertex, label,
-    shingles); texts of another set under the same key fall out."""
+    shingles); texts of another set under the same key fall out, and so does
+    what a task has seen: a text that many rows repeat is formed once."""
     def run(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             sets = []
-            for name, text in zip(batch.column(3).to_pylist(), batch.column(4)):
+            for cell, vertex, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                                batch.column(3).to_pylist(), batch.column(4)):
+                if (cell, vertex) in seen:
+                    sets.append(None)
+                    continue
+                seen.add((cell, vertex))
                 s = shingle_set(hashes.of((text.as_py() or b"").lower().split()), width).tobytes()
                 sets.append(s if xxhash.xxh3_128_digest(s) == name else None)
             sets = pa.array(sets, pa.binary())
@@ -249,6 +293,7 @@ def exact_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list
 def _decide(percent: int):
     """Links inside each cell (sorted rows cell, vertex, label, shingles)."""
     def done(rows):
+        rows = list({r["vertex"]: r for r in rows}.values())  # tasks may repeat a vertex
         sets = [np.frombuffer(r["shingles"], "<u8") for r in rows]
         found = exact_links(sets, np.array([r["label"] for r in rows]), percent)
         vertex = [r["vertex"] for r in rows]
@@ -272,8 +317,8 @@ def _decide(percent: int):
 def _links(placed: DataFrame, vertices: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links inside cells; ``placed`` has (cell, vertex, label).  Sets are
     formed anew from the texts of the documents that are in a cell."""
-    wanted = stage(placed.join(vertices.select("vertex", "key", "set_hash"), "vertex"), "wanted")
-    sets = join_small(texts, wanted, "key", max_rows=1_000_000).select("cell", "vertex", "label", "set_hash", "text") \
+    wanted = stage(placed.join(vertices.select("vertex", "key", "text_hash", "set_hash"), "vertex"), "wanted")
+    sets = join_small(texts, wanted, ["key", "text_hash"], max_rows=1_000_000).select("cell", "vertex", "label", "set_hash", "text") \
         .mapInArrow(_sets(width), "cell long, vertex long, label long, shingles binary")
     return sets.repartition("cell").sortWithinPartitions("cell").mapInArrow(_decide(percent), "a long, b long")
 
@@ -342,6 +387,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     trees about 5 times in ten million at ``depth`` levels (2 at one level):
     the mean over the share of the 128 tokens that agree, since all trees read
     the same tokens.  The token comparison misses another 2 in ten million.
+    Other thresholds keep these rates: below 75 there are more branches and
+    trees than asked for, and fewer tokens need to agree.
 
     * Null texts and texts without words have no shingles and link with
       nothing; fewer than ``width`` words form one shingle.
@@ -353,16 +400,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     Nodes whose rows beside the main component still exceed ``leaf`` after
     ``depth`` levels are compared in pairs of blocks, so no pair is dropped.
     """
-    similarity = percent / 100
+    rows, comps, vertices = _components(docs, width, percent, trees, branches, leaf, depth, room, seed, id_col, text_col)
+    placed = vertices.select("set_hash", "vertex", "first_id").join(comps, "vertex", "left")
+    first = placed.filter("comp is not null").groupBy("comp").agg(F.min("first_id").alias("comp_id"))
+    named = placed.join(first, "comp", "left").select(
+        "set_hash", F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("comp_id")).alias("component"))
+    empty = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_hash").join(named, "set_hash") \
+        .select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components(docs, width, percent, trees, branches, leaf, depth, room, seed, id_col, text_col):
+    """(sketches, comps, vertices): the documents' rows with their sets'
+    hashes, the components of vertices that link, and the vertices."""
+    trees, branches = forest_size(percent, trees, branches, depth)
+    agree = agreeing(percent)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"),
-                        F.col(text_col).cast("binary").alias("text"))
+                        F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     sketches = stage(docs.select(F.monotonically_increasing_id().alias("row"),
-                                 F.col(id_col).cast("long").alias("doc_id"),
+                                 F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
                                  F.col(text_col).cast("binary").alias("text"))
                      .mapInArrow(_sketch(width, seed), _SKETCH), "sketches")
     vertices = stage(sketches.filter("n_shingles > 0").groupBy("set_hash").agg(
         F.min("row").alias("vertex"), F.min("doc_id").alias("first_id"),
-        F.min_by(F.coalesce("doc_id", F.lit(-1)), "row").alias("key"),
+        F.min_by(F.coalesce("doc_id", F.lit(-1)), "row").alias("key"), F.min_by("text_hash", "row").alias("text_hash"),
         F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "vertices")
     # the low byte of every token serves for comparing
     short = vertices.select("vertex", "n", "tokens").mapInArrow(_low_bytes, "vertex long, n long, short binary")
@@ -379,7 +441,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     level = stage(members(grown(roots)), "level")
     chained = stage(level.join(short, "vertex").select("node", "vertex", "n", "short")
                     .repartitionByRange("node", "vertex").sortWithinPartitions("node", "vertex")
-                    .mapInArrow(_neighbours(similarity), "a long, b long").distinct(), "chained")
+                    .mapInArrow(_neighbours(percent, agree), "a long, b long").distinct(), "chained")
     joined = stage(connected_components(chained), "joined")
 
     found = chained
@@ -392,7 +454,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
         # compared with that component block by block, many branch again
         few = F.col("size") - F.col("main_size") <= leaf
         cells = known if d == depth else known.filter(few)
-        found = found.union(stage(_cells(cells, short, leaf).mapInArrow(_leaves(similarity), "a long, b long")
+        found = found.union(stage(_cells(cells, short, leaf).mapInArrow(_leaves(percent, agree), "a long, b long")
                                   .distinct(), "found"))
         large = known.filter(~few)
         if d == depth or large.isEmpty():
@@ -401,15 +463,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
                                     .select("node", "vertex", "tokens"))), "level")
     clusters = connected_components(found.distinct()).withColumnRenamed("comp", "cluster")
     comps = stage(connected_components(_confirmed(clusters, vertices, texts, width, percent, room)), "comps")
-
-    placed = vertices.select("set_hash", "vertex", "first_id").join(comps, "vertex", "left")
-    first = placed.filter("comp is not null").groupBy("comp").agg(F.min("first_id").alias("comp_id"))
-    named = placed.join(first, "comp", "left").select(
-        "set_hash", F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("comp_id")).alias("component"))
-    empty = sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = sketches.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_hash").join(named, "set_hash") \
-        .select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return sketches, comps, vertices
 
 
 def _cells(known: DataFrame, short: DataFrame, leaf: int) -> DataFrame:
@@ -446,10 +500,31 @@ def _low_bytes(batches):
                                          names=["vertex", "n", "short"])
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` whose document represents its component, all
-    columns as they are; rows without shingles all stay, and so do rows
-    without an id.  Rows repeated under one kept id stay once."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **kw).filter("not kept") \
-        .select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = 4, branches: int = 3,
+                         leaf: int = 1024, depth: int = 4, room: int = 1 << 20, seed: int = 1,
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component (see :func:`near_duplicates`), all
+    columns as they are: the row with the smallest id - ids before no id - and
+    of several such rows one with the text that is met first.  Which rows go
+    is told by id and text, so a clean text under the id of a copy stays.
+    Rows without shingles all stay."""
+    rows, comps, vertices = _components(docs, width, percent, trees, branches, leaf, depth, room, seed, id_col, text_col)
+    of = vertices.select("set_hash", "vertex").join(comps, "vertex", "left") \
+        .select("set_hash", F.coalesce("comp", "vertex").alias("comp"))
+    rows = stage(rows.filter("n_shingles > 0").select("row", "doc_id", "text_hash", "set_hash").join(of, "set_hash")
+                 .select("comp", "row", "doc_id", "text_hash"), "represented")
+    best = rows.groupBy("comp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")).alias("best"))
+    judged = rows.join(best, "comp").withColumn(
+        "stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
+    named = judged.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+        F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    named = stage(named.filter("not stays or times > 1"), "judged")
+    hashed = docs.withColumn("__hash", F.xxhash64(text_col))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (hashed["__hash"] == named["__hash"])
+    kept = hashed.join(named, here, "left_anti").select(*docs.columns)
+    again = named.filter("stays")
+    if again.isEmpty():
+        return kept
+    repeated = hashed.join(again, here, "left_semi").dropDuplicates([id_col, "__hash"]).select(*docs.columns)
+    return kept.unionByName(repeated)
