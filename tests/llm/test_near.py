@@ -212,3 +212,97 @@ def test_tile_stops_only_hopeless_pairs():
     rest = vector_dedup._rest(x, cuts)
     i, j = vector_dedup.tile_links(x, x, rest, rest, cuts, 0.9)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.9))))
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75, 90])
+def test_links_at_other_thresholds(docs, percent):
+    """Pairs at and just above the threshold, and some below it."""
+    rng = np.random.default_rng(percent)
+    rows, want = [], {}
+    for p in range(80):
+        words = [f"p{p}w{k}" for k in range(204)]
+        # replacing the last r words of 204 leaves 200 - r of 200 + r shingles in common
+        r = next(r for r in range(200) if 100 * (200 - r - 1) < percent * (200 + r + 1))
+        r += int(rng.integers(0, 3)) if p % 4 == 3 else -int(rng.integers(0, 3))
+        r = max(r, 0)
+        other = words[:204 - r] + [f"q{p}w{k}" for k in range(r)]
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+        want[2 * p + 1] = 2 * p if 100 * (200 - r) >= percent * (200 + r) else 2 * p + 1
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(rows), percent=percent).collect()}
+    assert {i: got[i] for i in want} == want
+    assert sum(i != c for i, c in want.items()) > 40
+
+
+def test_thresholds_follow_from_the_similarity():
+    assert near_dedup.agreeing(75) == 70 and near_dedup.forest_size(75, 4, 3, 4) == (4, 3)
+    for percent in (30, 50, 90, 100):
+        trees, branches = near_dedup.forest_size(percent, 4, 3, 4)
+        assert near_dedup.missed(percent, trees, branches, 4) <= near_dedup.MISSED and branches * percent > 100
+    for percent in (0, 19, 101):
+        with pytest.raises(ValueError):
+            near_dedup.forest_size(percent, 4, 3, 4)
+
+
+def test_many_rows_without_an_id_stay_linear(docs, spark, monkeypatch):
+    """Texts meet the wanted vertices by id and text, not by a shared key."""
+    rows = [(None, f"a{k % 700} b c d e f g h i j k l m n o p q r s t u v w x y z {k % 700}") for k in range(2000)]
+    rows += [(None, f"a{k} b c d e f g h i j k l m n o p q r s t u v w x y z {k} z") for k in range(700)]
+    met = []
+    plain = near_dedup._sets
+    counted = spark.sparkContext.accumulator(0)
+
+    def sets(width):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    counted.add(b.num_rows)
+                    yield b
+            return plain(width)(seen())
+        met.append(width)
+        return run
+    monkeypatch.setattr(near_dedup, "_sets", sets)
+    got = near_dedup.near_duplicates(docs(rows)).collect()
+    assert len(got) == 2700 and met and counted.value < 4 * 2700
+
+
+def test_representatives_are_rows(docs):
+    a = "one two three four five six seven eight nine ten eleven twelve"
+    near = a + " thirteen"
+    rows = [(None, a), (None, near), (None, "left alone here"), (4, "x y z u v w q"), (4, "another text under four of its own"),
+            (1, "x y z u v w q"), (9, "same row twice or more"), (9, "same row twice or more"), (None, ""), (7, None)]
+    out = sorted(((r.doc_id, r.text) for r in near_dedup.keep_representatives(docs(rows)).collect()), key=str)
+    texts = [t for _, t in out]
+    assert (4, "x y z u v w q") not in out and (1, "x y z u v w q") in out
+    assert (4, "another text under four of its own") in out
+    assert out.count((9, "same row twice or more")) == 1
+    assert len([t for t in texts if t in (a, near)]) == 1
+    assert (None, "left alone here") in out and (None, "") in out and (7, None) in out and len(out) == 7
+
+
+def test_tiny_and_huge_vectors_link(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 1e199]), (4, [0.0, 5e-324]), (5, [0.0, 1.0]), (6, [1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_every_length_is_compared(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(20)] + [(100, [1.0, 0.0, 0.0]), (101, [1.0, 0.0, 0.1]), (102, [0.0, 1.0, 0.0]),
+                                                        (200, [3.0]), (201, [2.0]), (202, [-1.0]), (300, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicate_vectors(df).collect() if r.vec_id >= 100}
+    assert got == {100: (1, 100), 101: (1, 100), 102: (0, 102), 200: (1, 200), 201: (1, 200), 202: (0, 202), 300: (0, 300)}
+
+
+def test_cosines_at_the_threshold_link(spark):
+    """Integer vectors whose cosine is 9/10 to the last bit."""
+    import itertools
+    own = [v for v in itertools.product(range(-3, 4), repeat=4) if sum(x * x for x in v) == 10]
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if sum(a * b for a, b in zip(own[i], own[j])) >= 9]
+    n = [0] * len(own)
+    for i, j in pairs:
+        n[i] += 1
+        n[j] += 1
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(own)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_duplicate_vectors(df).collect()}
+    assert pairs and got == dict(enumerate(n))
