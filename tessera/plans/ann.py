@@ -94,24 +94,23 @@ FIXED_SUB, FIXED_BOOK = 8, 16
 WITH x AS (SELECT vec_id, (i - 1) // 8 AS m, list(v ORDER BY i) AS e FROM (
              SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
            GROUP BY ALL),
-b AS (SELECT vec_id AS c, m, e FROM x WHERE vec_id < {FIXED_BOOK}),
+b AS (SELECT vec_id AS c, m, e FROM x JOIN (SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT {FIXED_BOOK}) USING (vec_id)),
 code AS (SELECT x.vec_id, x.m, arg_min(b.e, list_inner_product(b.e, b.e) / 2 - list_inner_product(x.e, b.e)) AS e
          FROM x JOIN b USING (m) GROUP BY x.vec_id, x.m),
-s AS (SELECT q.vec_id AS query_id, code.vec_id AS doc_id, sum(list_inner_product(q.e, code.e)) AS score
+s AS (SELECT q.vec_id AS query_id, code.vec_id AS doc_id,
+             list_sum(list(list_inner_product(q.e, code.e) ORDER BY m)) AS score
       FROM x q JOIN code USING (m) WHERE q.vec_id % {EVERY} = 0 GROUP BY ALL),
-rk AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s)
-SELECT query_id, doc_id, score FROM rk WHERE doc_id % 10 = query_id // {EVERY} % 10
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= {K_RUN}
 """)
 def knn_pq_fixed(spark, sf_dir):
     """Scores from stored codes with a codebook given by the table (the
-    sub-vectors of the first ids).  Few centroids tie often, so a tenth of
-    all pairs is compared by score, not by rank."""
+    sub-vectors of the sixteen smallest ids).  Few centroids tie often: equal
+    codes have equal sums, and the smaller id is first."""
     corpus, queries = _corpus(spark, sf_dir), _queries(spark, sf_dir)
-    first = corpus.where(F.col("doc_id") < FIXED_BOOK).orderBy("doc_id").select("embedding").collect()
+    first = corpus.orderBy("doc_id").limit(FIXED_BOOK).select("embedding").collect()
     books = np.split(np.array([r["embedding"] for r in first], dtype=np.float64), FIXED_SUB, axis=1)
-    run = ann.pq_search(queries, corpus, 1 << 30, books=books)
-    return run.where(F.col("doc_id") % 10 == F.floor(F.col("query_id") / EVERY) % 10) \
-        .select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return _out(ann.pq_search(queries, corpus, K_RUN, books=books))
 
 
 @register("knn_opq", ops=("V5", "V4"))

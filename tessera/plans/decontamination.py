@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup
-from ..session import table
+from ..session import stage_path, table
+from ..sources import sinks
 from .registry import register
 from .sqlgen import simhash_ctes
 
@@ -108,3 +109,28 @@ SELECT d.doc_id, d.source FROM documents d JOIN nb USING (doc_id) WHERE nb.rep_i
 def near_dup_keep(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return dedup.dedup_keep(docs, "doc_id", "text", k=2).select("doc_id", "source")
+
+
+@register("clean_written", ops=("K2", "J7", "A4"), oracle=f"""
+WITH {simhash_ctes('tr', _DOC_LINES, ['doc_id', 'line_no'], 'line')},
+{simhash_ctes('te', f"(SELECT * FROM {_BENCH_LINES} WHERE replace(line, '_', '') <> '')", ['item_id', 'line_no'], 'line')},
+dup AS (SELECT DISTINCT tr_fp.doc_id, tr_fp.line_no FROM tr_fp JOIN te_fp ON bit_count(xor(tr_fp.fp, te_fp.fp)) <= 2),
+l AS (SELECT l.line, dup.doc_id IS NOT NULL AS reported FROM {_DOC_LINES} l LEFT JOIN dup USING (doc_id, line_no))
+SELECT md5(line) AS line_md5, reported, count(*) AS n FROM l WHERE NOT reported GROUP BY ALL
+UNION ALL SELECT NULL, reported, count(*) FROM l WHERE reported GROUP BY reported
+""")
+def clean_written(spark, sf_dir):
+    """Clean lines written as they are and the report beside them, both read
+    back from their files."""
+    train = dedup.split_lines(_docs(spark, sf_dir), "doc_id")
+    test = dedup.split_lines(_bench(spark, sf_dir), "item_id").withColumnRenamed("line_no", "item_line_no")
+    clean, report = dedup.decontaminate(train, test, ["doc_id", "line_no"], ["item_id", "item_line_no"], "line", "line", k=2)
+    base = stage_path(spark, "clean")
+    sinks.write_verbatim(clean, f"{base}/clean", "line")
+    found = spark.read.option("lineSep", "\n").text(f"{base}/clean").groupBy(F.md5("value").alias("line_md5"), F.lit(False).alias("reported")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    if not sinks.write_if_any(report, f"{base}/report"):
+        return found
+    told = spark.read.json(f"{base}/report").select("doc_id", "line_no").distinct()
+    return found.unionByName(told.groupBy(F.lit(None).cast("string").alias("line_md5"), F.lit(True).alias("reported"))
+                             .agg(F.count(F.lit(1)).alias("n")))

@@ -18,6 +18,11 @@ def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _names(df, col):
+    """The different values of a column that names languages or domains."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
 @register("read_corpus_documents", ops=("S1", "K1"), oracle="""
 SELECT doc_id::VARCHAR AS _id, md5(text) AS text_md5, lang FROM documents
 """)
@@ -120,14 +125,15 @@ def qrels_roundtrip(spark, sf_dir):
 
 
 @register("language_shards", ops=("S7", "U2"), oracle="""
-SELECT doc_id::VARCHAR AS _id, lang, md5(text) AS text_md5 FROM documents WHERE lang IN ('de', 'fr')
+SELECT doc_id::VARCHAR AS _id, lang, md5(text) AS text_md5 FROM documents WHERE lang IS NOT NULL
 """)
 def language_shards(spark, sf_dir):
     base = stage_path(spark, "shards")
     d = _documents(spark, sf_dir).select(F.col("doc_id").alias("docid"), "text", "lang")
-    for lang in ("de", "fr"):
+    langs = _names(d, "lang")
+    for lang in langs:
         d.where(F.col("lang") == lang).drop("lang").write.option("compression", "gzip").json(f"{base}/{lang}")
-    return readers.read_lang_shards(spark, [f"{base}/de", f"{base}/fr"]).select("_id", "lang", F.md5("text").alias("text_md5"))
+    return readers.read_lang_shards(spark, [f"{base}/{x}" for x in langs]).select("_id", "lang", F.md5("text").alias("text_md5"))
 
 
 @register("topics_roundtrip", ops=("S8",), oracle="""
@@ -216,15 +222,13 @@ def multilingual_qa(spark, sf_dir):
 @register("domain_files", ops=("S13", "T5", "U3"), oracle="""
 SELECT source AS domain_name, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx,
        dense_rank() OVER (ORDER BY source) - 1 AS domain_ids
-FROM documents WHERE source IN ('src1', 'src10', 'src2')
+FROM documents WHERE source IS NOT NULL
 """)
 def domain_files(spark, sf_dir):
     base = stage_path(spark, "domains")
     d = _documents(spark, sf_dir).select("doc_id", "source", F.col("text").alias("query"))
-    names = ["src2", "src1", "src10"]
-    for n in names:
-        d.where(F.col("source") == n).drop("source").orderBy("doc_id").write.json(f"{base}/{n}.jsonl")
-    return readers.read_domain_files(spark, base, names).select(
+    sinks.write_domain_files(d, base, "source", "doc_id")
+    return readers.read_domain_files(spark, base, _names(d, "source")[::-1]).select(
         "domain_name", "doc_id", F.col("_train_dataset_idx").alias("idx"), F.col("domain_ids").cast("long").alias("domain_ids"))
 
 
@@ -256,18 +260,20 @@ def id_map_roundtrip(spark, sf_dir):
 
 
 @register("scores_resumed", ops=("K4",), oracle="""
-SELECT source AS task, lang, CASE WHEN lang = 'en' THEN count(*)::BIGINT ELSE -count(*)::BIGINT END AS n
-FROM documents WHERE lang IN ('en', 'de') GROUP BY source, lang
+WITH l AS (SELECT min(lang) AS first, max(lang) AS last FROM documents)
+SELECT source AS task, lang, count(*)::BIGINT * CASE WHEN lang = last THEN -1 WHEN lang = first THEN 1 ELSE 100 END AS n
+FROM documents, l WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY source, lang, first, last
 """)
 def scores_resumed(spark, sf_dir):
-    """First English scores, then all languages negated: present groups stay;
-    then German once more, replaced."""
+    """First the scores of one language, then of all, times 100: present
+    groups stay; then the last language once more, replaced."""
     path = stage_path(spark, "scores")
-    s = _documents(spark, sf_dir).where(F.col("lang").isin("en", "de")).groupBy(F.col("source").alias("task"), "lang") \
-        .agg(F.count(F.lit(1)).alias("n"))
-    sinks.append_scores(spark, s.where(F.col("lang") == "en"), path)
+    s = _documents(spark, sf_dir).where("lang IS NOT NULL AND source IS NOT NULL") \
+        .groupBy(F.col("source").alias("task"), "lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = _names(s, "lang")
+    sinks.append_scores(spark, s.where(F.col("lang") == langs[0]), path)
     sinks.append_scores(spark, s.withColumn("n", F.col("n") * 100), path)
-    sinks.append_scores(spark, s.where(F.col("lang") == "de").withColumn("n", -F.col("n")), path, overwrite=True)
+    sinks.append_scores(spark, s.where(F.col("lang") == langs[-1]).withColumn("n", -F.col("n")), path, overwrite=True)
     return spark.read.parquet(path).select("task", "lang", "n")
 
 

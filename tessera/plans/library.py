@@ -191,7 +191,7 @@ def regex_answers(spark, sf_dir):
 
 
 @register("tag_runs", ops=("F36",), oracle="""
-WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'O' ELSE upper(role[1]) END AS tag, text[1:3] AS token
+WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'O' ELSE upper(role[1]) END AS tag, text AS token
            FROM conversations),
 n AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM (
   SELECT *, (tag IS DISTINCT FROM lag(tag) OVER (PARTITION BY conv_id ORDER BY turn))::INT AS new FROM t))
@@ -202,7 +202,7 @@ def tag_runs(spark, sf_dir):
     """Roles as tags: runs of turns of one role."""
     t = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.when(F.col("role") == "system", "O").otherwise(F.upper(F.substring("role", 1, 1))).alias("tag"),
-        F.substring("text", 1, 3).alias("token"))
+        F.col("text").alias("token"))
     return qa.entity_groups(t, "conv_id", "turn")
 
 
@@ -242,15 +242,19 @@ def encoded_texts(spark, sf_dir):
 
 
 @register("category_union", ops=("U2", "U3"), oracle="""
-SELECT doc_id, source AS domain_name, CASE WHEN source = 'src1' THEN 0 ELSE 1 END AS domain_ids,
-       CASE WHEN source = 'src2' THEN n_chars END AS n_chars
-FROM documents WHERE source IN ('src1', 'src2', 'src3')
+WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS place FROM (SELECT DISTINCT source FROM documents)
+           WHERE source IS NOT NULL)
+SELECT doc_id, source AS domain_name, CASE WHEN place % 3 = 0 THEN 0 ELSE 1 END AS domain_ids,
+       CASE WHEN place % 2 = 1 THEN n_chars END AS n_chars
+FROM documents JOIN s USING (source)
 """)
 def category_union(spark, sf_dir):
-    """Domains with different columns, concatenated into two categories."""
+    """All domains, every second with a column more, concatenated into two
+    categories."""
     d = table(spark, sf_dir, "documents")
+    names = sorted(r[0] for r in d.select("source").where("source IS NOT NULL").distinct().collect())
     parts = [d.where(F.col("source") == s).select("doc_id", F.col("source").alias("domain_name"),
-                                                  *(["n_chars"] if s == "src2" else [])) for s in ("src1", "src2", "src3")]
-    bridge = spark.createDataFrame([("x", "src1"), ("y", "src2"), ("y", "src3")], "category string, domain string")
+                                                  *(["n_chars"] if i % 2 else [])) for i, s in enumerate(names)]
+    bridge = spark.createDataFrame([("y" if i % 3 else "x", s) for i, s in enumerate(names)], "category string, domain string")
     return readers.category_union(readers.align_union(parts), bridge, {"x": 0, "y": 1}).select(
         "doc_id", "domain_name", F.col("domain_ids").cast("int").alias("domain_ids"), "n_chars")

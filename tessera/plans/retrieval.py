@@ -192,7 +192,7 @@ def ndcg_at_k(spark, sf_dir):
 WITH run AS ({_run_sql(_DOT, K_RUN)}),
 qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 1 + d.vec_id % 2 AS rel
           FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id
-          WHERE q.vec_id % {EVERY} = 0 AND d.vec_id % 3 = 0),
+          WHERE q.vec_id % {EVERY} = 0),
 j AS (SELECT run.query_id, run.rank, coalesce(qrels.rel, 0) AS rel FROM run LEFT JOIN qrels USING (query_id, doc_id)),
 h AS (SELECT *, sum((rel > 0)::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hits FROM j),
 i AS (SELECT query_id, rel, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM qrels),
@@ -208,7 +208,7 @@ def rank_metrics_qrels(spark, sf_dir):
     run = search.knn(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, "dot", ignore_identical=True)
     lab = _emb(spark, sf_dir).select("vec_id", "label")
     q = lab.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
-    d = lab.where(F.col("vec_id") % 3 == 0).select(F.col("vec_id").alias("doc_id"), "label")
+    d = lab.select(F.col("vec_id").alias("doc_id"), "label")
     qrels = q.join(d, "label").where("query_id <> doc_id").select(
         "query_id", "doc_id", (F.col("doc_id") % 2 + 1).alias("rel"))
     pq = M.per_query(M.judge(run, qrels), M.query_base_from_qrels(qrels, [K_RUN]), [K_RUN])

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 WHERE = ["_file", "_block", "_m"]
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     return fs.exists(p)
 
 
@@ -23,7 +23,7 @@ def files_of(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[
     """``path`` itself if it is a file; of a folder, what is in it (files, or
     folders of part files) whose names end in one of ``suffixes``, sorted by
     name."""
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
         return [path]
     names = sorted(st.getPath().getName() for st in fs.listStatus(p)
@@ -31,6 +31,12 @@ def files_of(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[
     return [f"{path.rstrip('/')}/{n}" for n in names]
 
 
+def decoded(file_path) -> Column:
+    """A file path as it was given: readers report it percent-encoded."""
+    path = F.col(file_path) if isinstance(file_path, str) else file_path
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def with_place(df: DataFrame) -> DataFrame:
     """Adds :data:`WHERE` to a DataFrame straight from a file reader; rows
     ordered by it are in the order of file names and of lines."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import number_rows
-from .files import exists, files_of, last_of, with_line_numbers, with_place
+from .files import decoded, exists, files_of, last_of, with_line_numbers, with_place
 
 JSON_SUFFIXES = ("json", "jsonl")
 #: A text is blank without a character outside this set (all white space).
@@ -186,7 +186,7 @@ def read_domain_files(spark: SparkSession, folder: str, domains: list[str],
         raise FileNotFoundError(f"missing domain files: {missing}")
     ids = domain_to_idx or {d: i for i, d in enumerate(names)}
     idmap = F.create_map(*[x for d, i in ids.items() for x in (F.lit(d), F.lit(i))])
-    name = lambda path: F.regexp_extract(path, r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
+    name = lambda path: F.regexp_extract(decoded(path), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
     df = with_line_numbers(spark.read.json(list(paths.values())).withColumn(
         "domain_name", name("_metadata.file_path")), "_train_dataset_idx", per=name("_file"))
     return df.withColumn("domain_ids", idmap[F.col("domain_name")].cast("tinyint"))
@@ -256,7 +256,7 @@ def read_lang_shards(spark: SparkSession, paths: list[str], key: str = "docid")
     one multi-path read; ``lang`` is taken from the parent folder name."""
     df = spark.read.json(paths).withColumn("_file", F.col("_metadata.file_path"))
     return (df.withColumnRenamed(key, "_id").withColumn("_id", F.col("_id").cast("string"))
-            .withColumn("lang", F.element_at(F.split("_file", "/"), -2)).drop("_file"))
+            .withColumn("lang", F.element_at(F.split(decoded("_file"), "/"), -2)).drop("_file"))
 
 
 def read_multilingual_qa(spark: SparkSession, folder: str) -> DataFrame:

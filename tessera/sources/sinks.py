@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .files import exists
+from .files import exists, hadoop_path
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -19,6 +19,25 @@ def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None,
     w.json(path)
 
 
+def write_domain_files(df: DataFrame, folder: str, domain_col: str, order_col: str) -> None:
+    """``<folder>/<domain>.jsonl`` for every domain of ``df`` (the files of
+    S13), rows in the order of ``order_col``.  One pass for all domains: rows
+    are range-sorted, so a large domain is spread over several part files,
+    whose names keep the order; rows without a domain are left out.  A domain
+    appears under its name when all of them are written."""
+    spark = df.sparkSession
+    ordered = df.where(F.col(domain_col).isNotNull()).withColumn("_domain", F.col(domain_col)).drop(domain_col)
+    ordered.repartitionByRange("_domain", order_col).sortWithinPartitions("_domain", order_col) \
+        .write.mode("overwrite").partitionBy("_domain").json(f"{folder}/_parts")
+    names = [r["_domain"] for r in ordered.select("_domain").distinct().collect()]
+    fs, parts = hadoop_path(spark, f"{folder}/_parts")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in names:
+        fs.rename(path(parts, f"_domain={escape(name)}"), path(folder, f"{name}.jsonl"))
+    fs.delete(parts, True)
+
+
 def write_verbatim(df: DataFrame, path: str, raw_col: str = "value", mode: str = "overwrite") -> None:
     """Write the original input lines unchanged (K2 clean split)."""
     df.select(F.col(raw_col).alias("value")).write.mode(mode).text(path)

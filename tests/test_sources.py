@@ -224,3 +224,16 @@ def test_sinks_roundtrip(spark):
     assert not sinks.write_if_any(df.limit(0), os.path.join(d, "empty"))
     line = sinks.log_lines(spark.createDataFrame([(3, 0.25)], "step int, loss double")).collect()
     assert json.loads(line[0].value) == {"loss": 0.25, "step": 3}
+
+
+def test_domain_files_in_one_pass(spark, tmp_path):
+    from tessera.sources import sinks
+    rows = [(i, "hot" if i % 3 else ["a b", "x=1%", "ünï"][i % 9 // 3], f"q{i}") for i in range(500)] + [(900, None, "none")]
+    df = spark.createDataFrame(rows, "n int, source string, query string").repartition(7)
+    sinks.write_domain_files(df, str(tmp_path / "d"), "source", "n")
+    back = readers.read_domain_files(spark, str(tmp_path / "d"), ["hot", "a b", "ünï"]) \
+        .select("domain_name", "n", "_train_dataset_idx").collect()
+    for name in ("hot", "a b", "ünï"):
+        own = sorted(i for i, s, _ in rows if s == name)
+        assert sorted((r[2], r.n) for r in back if r.domain_name == name) == list(enumerate(own))
+    assert (tmp_path / "d" / "x=1%.jsonl").is_dir()
