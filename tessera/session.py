@@ -8,12 +8,14 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows a side may hold before we stop broadcasting it and fall back to a
-# shuffled join.  Callers pass their own bound where the row width is known.
+# Rows and bytes a side may hold before we stop broadcasting it and fall back
+# to a shuffled join.  Callers pass their own bound of rows where they know one.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 128 << 20
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -115,12 +117,38 @@ def row_count_at_most(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def _bytes_of(col, kind) -> Column:
+    """About the bytes of a value in a broadcast relation."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+            own = F.aggregate(col, F.lit(0).cast("long"), lambda s, x: s + _bytes_of(x, kind.elementType).cast("long"))
+        else:
+            own = F.size(col) * 8
+        return F.coalesce(own, F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_bytes_of(col[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.MapType):
+        return _bytes_of(F.map_keys(col), T.ArrayType(kind.keyType)) + _bytes_of(F.map_values(col), T.ArrayType(kind.valueType))
+    return F.lit(8)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                   max_bytes: int = DEFAULT_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows that take about
+    ``max_bytes`` at most, both measured.  Reads at most max_rows + 1 rows."""
+    width = sum((_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``small`` only after proving its row bound;
-    beyond the bound the join is left to the shuffled strategies (and AQE's
-    runtime broadcast/skew handling)."""
-    if row_count_at_most(small, max_rows):
+               max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Join that broadcasts ``small`` only after measuring its rows and
+    bytes; beyond the bounds the join is left to the shuffled strategies (and
+    AQE's runtime broadcast/skew handling)."""
+    if fits_broadcast(small, max_rows, max_bytes):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 

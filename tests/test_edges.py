@@ -95,3 +95,33 @@ def test_simhash_batch_equals_plain_votes(spark):
     memory = S._ShingleBits()
     assert S.fingerprints(texts, memory).tolist() == S.fingerprints(texts, memory).tolist()
     assert (np.diff(memory.keys.astype(object)) > 0).all()
+
+
+def test_join_small_measures_bytes_too(spark):
+    from tessera.session import fits_broadcast, join_small
+    rows = [(i, "x" * 100, [1.0] * 50, [["a"], None], {"k": "v"}, (1, "y")) for i in range(100)]
+    small = spark.createDataFrame(rows, "k long, t string, a array<double>, n array<array<string>>, m map<string,string>, "
+                                        "s struct<x:int,y:string>")
+    assert fits_broadcast(small) and not fits_broadcast(small, max_rows=99) and not fits_broadcast(small, max_bytes=50_000)
+    assert fits_broadcast(small, max_bytes=100_000)
+    big = spark.range(200).withColumnRenamed("id", "k")
+    for bound in (1, 1 << 20):
+        out = join_small(big, small, "k", max_bytes=bound)
+        assert out.count() == 100
+        # the planner's own choice for such a small table may be a broadcast too; the hint is what is measured
+        assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == (bound > 1)
+
+
+def test_entry_survives_a_package_that_is_missing(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+    real = importlib.import_module
+
+    def without(name, *a):
+        if name == "tessera.llm.registry":
+            raise ModuleNotFoundError("No module named 'public_tokenizers'", name="public_tokenizers")
+        return real(name, *a)
+    monkeypatch.setattr(entry.importlib, "import_module", without)
+    with pytest.warns(UserWarning, match="public_tokenizers"):
+        assert "near_dup_docs" in entry.queries()
