@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 import tempfile
@@ -5,9 +6,10 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.simhash import fingerprint_text
 from tessera.operators import dro
 from tessera.plans import reweighting
-from tessera.streaming import jobs
+from tessera.streaming import jobs, near
 
 from conftest import SF001
 
@@ -128,3 +130,97 @@ def test_loss_rollup_counts_every_row(spark):
                                       F.lit("a").alias("domain"), F.col("id").cast("double").alias("loss"))
     r = jobs.loss_rollup(rows).first()
     assert r.n == 12_000 and r.value == pytest.approx(5999.5)
+
+
+def _run(spark, stream_of, name, schema, parts, one_by_one=True):
+    """Rows that a stream over ``parts`` (a file each) emits."""
+    d = _tmp()
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(d, "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1 if one_by_one else 1000) \
+        .parquet(os.path.join(d, "in"))
+    q = (stream_of(stream).writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", os.path.join(d, "ck")).start())
+    q.processAllAvailable()
+    progress = [p for p in q.recentProgress if p.stateOperators]
+    q.stop()
+    return spark.table(name).collect(), progress
+
+
+def _at(minutes):
+    return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(minutes=minutes)
+
+
+def test_steps_with_a_missing_domain_are_closed(spark):
+    """Domain b stops reporting after step 0: the timers close its steps with
+    gradient 0, and the state does not grow with the steps."""
+    schema = "run_id string, step long, domain string, grad double, ts timestamp"
+    parts = [[("r", 0, "a", 0.5, _at(0)), ("r", 0, "b", None, _at(0)), ("r", 0, "zz", 9.0, _at(0)),
+              (None, 0, "a", 1.0, _at(0))]]
+    parts += [[("r", s, "a", 0.1 * s, _at(30 * s)), ("r", s, "a", 77.0, _at(30 * s))] for s in range(1, 6)]
+    # b's row of step 1 comes after step 1 was closed; another run moves the watermark
+    parts += [[("r", 1, "b", 5.0, _at(170)), ("x", 0, "a", 1.0, _at(400)), ("x", 0, "b", 1.0, _at(400))]]
+    got, progress = _run(spark, lambda s: jobs.online_weights_stream(
+        s, ["a", "b"], lr=1.0, ts="ts", watermark="10 minutes", patience=900, idle=7200),
+        "weights_missing", schema, parts)
+    r = {(g.step, g.domain): g.log_alpha for g in got if g.run_id == "r"}
+    assert sorted(r) == [(s, d) for s in range(6) for d in "ab"] and len(got) == 12 + 2
+    whole = [("r", s, d, (0.5 if s == 0 else 0.1 * s) if d == "a" else 0.0) for s in range(6) for d in "ab"]
+    whole = spark.createDataFrame(whole, "run_id string, step long, domain string, grad double")
+    want = dro.sgd_weights(dro.with_lr(whole, 1.0), {"a": 0.5, "b": 0.5}).collect()
+    for w in want:
+        assert r[w.step, w.domain] == pytest.approx(w.log_alpha)
+    # run r has been idle for two hours of event time: only run x is kept
+    assert progress[-1].stateOperators[0].numRowsTotal == 1
+
+
+def _near_rows(n=60):
+    base = ["the quick brown fox jumps over the lazy dog near the river bank",
+            "shards of a table are read by many tasks and written once more",
+            "", "an entirely different sentence about weather, wind and rain"]
+    rows = []
+    for i in range(n):
+        text = base[i % 4] if i % 3 else base[i % 4] + "s" * (i % 2)
+        rows.append((i, None if i == 14 else text, _at(i)))
+    return rows
+
+
+def _fp_links(rows):
+    """Pairs of different fingerprints, and the number of copies of each."""
+    import collections
+    near = sorted(tuple(sorted((r.fp, r.earlier_fp))) for r in rows if r.distance > 0)
+    return near, collections.Counter(r.fp for r in rows if r.distance == 0)
+
+
+@pytest.mark.parametrize("cuts", [1, 4])
+def test_near_duplicates_inside_a_stream_equal_the_batch(spark, cuts):
+    schema = "id long, text string, ts timestamp"
+    rows = _near_rows()
+    parts = [rows[i::cuts] if cuts == 1 else rows[i * 15:(i + 1) * 15] for i in range(cuts)]
+    got, _ = _run(spark, near.near_duplicates_stream, f"near_{cuts}", schema, parts)
+    fps = {i: fingerprint_text((t or "").replace("_", "")) for i, t, _ in rows}
+    distinct = sorted(set(fps.values()))
+    want = sorted((a, b) for k, a in enumerate(distinct) for b in distinct[k + 1:] if (a ^ b).bit_count() <= 2)
+    pairs, copies = _fp_links(got)
+    assert len(distinct) > 4 and pairs == want
+    assert all(copies[f] == sum(g == f for g in fps.values()) - 1 for f in distinct)
+    # every link leads from the later row to an earlier one of the stated fingerprints
+    assert all(r.earlier_id < r.id and fps[r.id] == r.fp and fps[r.earlier_id] == r.earlier_fp for r in got)
+    # each row but the first of its fingerprint is linked to an earlier copy once
+    assert sorted(r.id for r in got if r.distance == 0) == sorted(
+        i for i, f in fps.items() if f in [fps[j] for j in range(i)])
+
+
+def test_near_duplicates_are_forgotten_after_the_horizon(spark):
+    schema = "id string, text string, ts timestamp"
+    parts = [[("a", "same words in here", _at(0))], [("b", "same words in here", _at(50))],
+             [("c", "other things altogether, nothing alike", _at(1000))],
+             [("d", "yet another sentence to move on", _at(1001))],
+             [("e", "same words in here", _at(1002)), (None, "same words in here", _at(1002))],
+             [("f", "same words in here", _at(3))]]  # late
+    got, progress = _run(spark, lambda s: near.near_duplicates_stream(s, watermark="10 minutes", horizon=3600),
+                         "near_horizon", schema, parts)
+    assert [(r.id, r.earlier_id, r.distance) for r in got] == [("b", "a", 0)]
+    # the first sentence's 15 keys went; c, d and e hold 15 each at most
+    assert progress[-1].stateOperators[0].numRowsTotal <= 45
+    assert progress[-1].stateOperators[0].numRowsDroppedByWatermark > 0
