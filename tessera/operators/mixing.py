@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,98 @@ def shuffle_domains(rows: DataFrame, seed: int, domain: str = "domain",
     return dense_index(rows, domain, key, F.substring(key, 1, hex_buckets))
 
 
+def buffered_shuffle(rows: DataFrame, seed: int, domain: str = "domain", id_col: str = "id",
+                     n_shards: int = 1024, buffer_size: int = 1000) -> DataFrame:
+    """Seeded shuffle without a global sort (M10): every domain is dealt into
+    ``n_shards`` shards by a hash, a shard is streamed in order of its ids
+    through a buffer of ``buffer_size`` rows - a row that comes takes a random
+    place, whose row goes out - and shards follow each other in a seeded
+    order.  Returns the rows (null domains are a domain) plus
+
+    * ``idx``, the dense position in the domain,
+    * ``moved``, the places the buffer moved the row inside its shard
+      (``1 - buffer_size`` at the least: a row can only come out early by what
+      the buffer holds).
+
+    The same rows and seed give the same order whatever the partitions, also
+    for repeated ids.  A task holds the buffer and one Arrow batch; a shard is
+    one task's stream, so ``n_shards`` bounds how far a domain spreads."""
+    names = rows.columns
+    taken = {"_shard", "_order", "_tie", "_pos", "_start", "idx", "moved"} & set(names)
+    if taken or buffer_size < 1 or n_shards < 1:
+        raise ValueError(f"columns taken: {sorted(taken)}" if taken else "buffer_size and n_shards start at 1")
+    key = [F.lit(seed), F.coalesce(F.col(domain).cast("string"), F.lit("")), F.col(domain).isNull()]
+    shard = F.pmod(F.xxhash64(*key, F.col(id_col)), F.lit(n_shards)).cast("int")
+    plain = [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+    dealt = (rows.withColumn("_shard", shard).withColumn("_order", F.xxhash64(*key, "_shard"))
+             .withColumn("_tie", F.xxhash64(*plain))
+             .repartition(domain, "_shard").sortWithinPartitions(domain, "_shard", id_col, "_tie"))
+
+    def run(batches):
+        stream = None
+        for batch in batches:
+            at = batch.schema.get_field_index("_order")
+            # a shard's order key tells it from its neighbour in the sort
+            orders = batch.column(at).to_numpy()
+            change = np.flatnonzero(orders[1:] != orders[:-1]) + 1
+            for lo, hi in zip(np.append(0, change), np.append(change, len(orders))):
+                if lo == hi:
+                    continue
+                if stream is None or stream.order != orders[lo]:
+                    if stream is not None:
+                        yield from stream.rest()
+                    stream = _Buffer(int(orders[lo]), seed, buffer_size)
+                yield from stream.add(batch.slice(lo, hi - lo))
+        if stream is not None:
+            yield from stream.rest()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    out = cut_lineage(dealt.mapInArrow(run, f"{kinds}, _pos long, moved long"), "buffered_shuffle")
+    sizes = out.groupBy(domain, "_shard", "_order").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(domain).orderBy("_order", "_shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(domain).alias("_domain"), F.col("_shard").alias("_s"),
+                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col(domain).eqNullSafe(F.col("_domain")) & (F.col("_shard") == F.col("_s"))
+    return join_small(out, starts, same).withColumn("idx", F.col("_start") + F.col("_pos")).select(*names, "idx", "moved")
+
+
+class _Buffer:
+    """A shard's rows through a buffer of ``size`` rows."""
+
+    def __init__(self, order: int, seed: int, size: int):
+        self.order, self.size, self.held, self.out = order, size, None, 0
+        self.random = np.random.default_rng((seed & (2**64 - 1), order & (2**64 - 1)))
+        self.came = 0
+
+    def _emit(self, rows: pa.Table, at: np.ndarray, places: np.ndarray):
+        if not len(at):
+            return
+        pos = np.arange(self.out, self.out + len(at))
+        self.out += len(at)
+        yield from rows.take(pa.array(at)).append_column("_pos", pa.array(pos)) \
+            .append_column("moved", pa.array(pos - places[at])).combine_chunks().to_batches()
+
+    def add(self, batch: pa.RecordBatch):
+        rows = pa.Table.from_batches([batch])
+        places = np.arange(self.came, self.came + batch.num_rows)
+        self.came += batch.num_rows
+        if self.held is not None:
+            rows, places = pa.concat_tables([self.held, rows]), np.append(self.places, places)
+        slots = list(range(min(self.size, rows.num_rows)))
+        # one draw a row that comes to a full buffer, so batches do not matter
+        draws = (self.random.random(rows.num_rows - len(slots)) * self.size).astype(np.int64)
+        gone = []
+        for new, slot in enumerate(draws.tolist(), len(slots)):
+            gone.append(slots[slot])
+            slots[slot] = new
+        yield from self._emit(rows, np.array(gone, np.int64), places)
+        slots = np.array(slots, np.int64)
+        self.held, self.places = rows.take(pa.array(slots)).combine_chunks(), places[slots]
+
+    def rest(self):
+        yield from self._emit(self.held, self.random.permutation(self.held.num_rows), self.places)
+
+
 def cumulative(weights: dict[str, float]) -> list[tuple[str, float]]:
     """Normalised cumulative weights in domain-name order (last forced to 1);
     domains of weight 0 are never drawn and left out."""
@@ -116,7 +210,7 @@ def _cut(slots: DataFrame, sizes: DataFrame, stopping: str, n_dom: int) -> DataF
 def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42,
                stopping: str = "first_exhausted", batch_size: int = 1,
                homogeneous: bool = False, domain: str = "domain", id_col: str = "id",
-               shuffle: bool = True, max_rounds: int = 12) -> DataFrame:
+               shuffle: bool | str = True, max_rounds: int = 12) -> DataFrame:
     """Mix per-domain rows into one seeded stream.
 
     ``weights=None`` is the unweighted round robin (slot ``k`` -> domain
@@ -127,7 +221,8 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
     weight was exhausted once (exhausted domains wrap around).  A domain of
     weight 0 is never drawn; a domain that ``weights`` does not name, and a
     name without rows, are errors.  Without ``shuffle`` rows keep the order
-    of their ids.  Returns ``slot, batch_id, domain, idx`` plus the row
+    of their ids; with ``shuffle="buffered"`` they go through
+    :func:`buffered_shuffle`.  Returns ``slot, batch_id, domain, idx`` plus the row
     columns.
     """
     if stopping not in ("first_exhausted", "all_exhausted"):
@@ -137,7 +232,9 @@ def interleave(rows: DataFrame, weights: dict[str, float] | None, seed: int = 42
     # positions are computed on (domain, id) only: the shuffle moves ids,
     # never whole rows
     keys = full.select("domain", id_col)
-    if shuffle:
+    if shuffle == "buffered":
+        base = buffered_shuffle(keys, seed, "domain", id_col).drop("moved")
+    elif shuffle:
         base = shuffle_domains(keys, seed, "domain", id_col)
     else:
         # one range sort of all ids: no task holds a whole domain

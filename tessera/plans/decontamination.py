@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import dedup
 from ..session import stage_path, table
 from ..sources import sinks
+from ..streaming import near
 from .registry import register
 from .sqlgen import simhash_ctes
 
@@ -134,3 +135,30 @@ def clean_written(spark, sf_dir):
     told = spark.read.json(f"{base}/report").select("doc_id", "line_no").distinct()
     return found.unionByName(told.groupBy(F.lit(None).cast("string").alias("line_md5"), F.lit(True).alias("reported"))
                              .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("near_dup_stream", ops=("ST1", "F5", "F7", "J6"), oracle=f"""
+WITH {simhash_ctes('d', 'documents', ['doc_id'], "coalesce(text, '')")},
+c AS (SELECT fp, count(*) AS n FROM d_fp GROUP BY fp)
+SELECT fp AS fp_l, fp AS fp_r, 0::BIGINT AS distance, n - 1 AS n_links FROM c WHERE n > 1
+UNION ALL
+SELECT a.fp, b.fp, bit_count(xor(a.fp, b.fp))::BIGINT, 1
+FROM c a JOIN c b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 2
+""")
+def near_dup_stream(spark, sf_dir):
+    """``documents`` as a stream, a document a second in order of the ids:
+    links counted for each pair of fingerprints within two bits, and for
+    each fingerprint with copies."""
+    docs = _docs(spark, sf_dir)
+    # a pattern, because a stream's plain path must be a folder and the table may be one file
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]") \
+        .withColumn("ts", F.timestamp_seconds("doc_id"))
+    links = near.near_duplicates_stream(stream, "doc_id", horizon=100 * 365 * 86_400.0)
+    out = stage_path(spark, "near_dup_stream")
+    query = (links.writeStream.format("parquet").option("path", f"{out}/links")
+             .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return (spark.read.schema(links.schema).parquet(f"{out}/links")
+            .groupBy(F.least("fp", "earlier_fp").alias("fp_l"), F.greatest("fp", "earlier_fp").alias("fp_r"),
+                     F.col("distance").cast("long").alias("distance"))
+            .agg(F.count(F.lit(1)).alias("n_links")))

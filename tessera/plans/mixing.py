@@ -128,6 +128,12 @@ def device_batches(spark, sf_dir):
                        "pos_in_batch", "device")
 
 
+@register("buffered_shuffle", ops=("M10",))
+def buffered_shuffle(spark, sf_dir):
+    """Every document's place after the buffered shuffle of its domain."""
+    return mixing.buffered_shuffle(_rows(spark, sf_dir), SEED).select("domain", F.col("id").alias("doc_id"), "idx", "moved")
+
+
 @register("domain_report", ops=("A5", "A6", "T5"), oracle="""
 SELECT source AS domain, count(*) AS size, 1.0 / (SELECT count(DISTINCT source) FROM documents) AS weight
 FROM documents GROUP BY source
