@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .search import Dot, cell_topk, float_type, pack, rerank, top_k
+from ..session import cut_lineage, join_small
+from .search import BROADCAST_QUERY_BYTES, BoundedDot, Dot, cell_topk, float_type, knn, pack, rerank, top_k
 
 #: Most vectors that a codebook or a rotation is fitted on.
 FIT_ROWS = 65_536
@@ -76,6 +77,57 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> float:
     return hit / max(1, exact.count())
 
 
+# ------------------------------------------------------------------ exact, with bounds
+
+def bounded_search(queries: DataFrame, corpus: DataFrame, k: int, score_function: str = "dot",
+                   ignore_identical: bool = False, n_centres: int = 128, fit_rows: int = 16_384,
+                   broadcast_bytes: int = BROADCAST_QUERY_BYTES,
+                   observation: Observation | None = None) -> DataFrame:
+    """Exact top-k (the rows of :func:`tessera.operators.search.knn`, ties
+    included) without working out every product.  Documents are parted by the
+    nearest of ``n_centres`` centres where they are read; a part is skipped
+    for the queries whose k-th score is above what the part can reach at most
+    (see ``_BoundedTopK``).  The k-th score starts from each query's exact
+    top-k among at most ``fit_rows`` documents, those whose ids hash lowest,
+    on which the centres are fitted too: the sample only decides how early
+    parts are skipped, never which rows come out.  No shuffle of documents.
+
+    Vectors must be finite.  Data without clusters and of one length skips
+    little and costs a product with each centre more.  ``observation``: see
+    :func:`tessera.operators.search.top_k`; ``products`` over ``queries *
+    documents`` is the part that was not skipped."""
+    cosine = score_function == "cos_sim"
+    sample = cut_lineage(corpus.where(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+                         .orderBy(F.xxhash64("doc_id")).limit(fit_rows), "bound_sample")
+    x = fit_sample(sample, fit_rows)
+    if not len(x):
+        return knn(queries, corpus, k, score_function, ignore_identical, observation=observation)
+    if cosine:
+        x = Dot(normalize=True).docs([r.tobytes() for r in x])
+    kind = float_type(queries, "embedding")
+    first = knn(queries, sample, k, score_function, ignore_identical, broadcast_bytes=broadcast_bytes) \
+        .where(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("floor"))
+    # a document comes again with its scores worked out in other tiles
+    slack = 1e-9 * (1 if cosine else float(np.linalg.norm(x, axis=1).max()) + 1)
+    started = join_small(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding"), first,
+                         "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = np.array(batch.column(1).to_pylist(), dtype=kind)
+                low = batch.column(2).to_numpy() - slack * (1 + np.linalg.norm(v.astype(np.float64), axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([f.tobytes() + r.tobytes() for f, r in zip(low.astype("<f8"), v)], pa.binary()),
+                     pa.array(np.zeros(batch.num_rows, np.int64))], names=["id", "payload", "grp"])
+
+    packed = started.select(F.col("query_id").cast("long").alias("id"), "embedding", "floor") \
+        .mapInArrow(run, "id long, payload binary, grp long")
+    scorer = BoundedDot(kmeans(x, n_centres), kind, float_type(corpus, "embedding"), cosine)
+    return top_k(packed, pack(corpus, "doc_id", "embedding"), k, scorer, ignore_identical, None, broadcast_bytes,
+                 observation).select("query_id", "doc_id", "score", "rank")
+
+
 # ------------------------------------------------------------------ scalar codes
 
 def sq_ranges(corpus: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -6,12 +6,13 @@ materialising all same-label pairs."""
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import metrics as M
-from ..operators import mining, search
-from ..session import table
+from ..operators import ann, mining, search
+from ..session import stage_path, table
 from .registry import register
 
 EVERY = 50
@@ -73,6 +74,26 @@ def knn_blocked(spark, sf_dir):
                            ignore_identical=True, broadcast_bytes=1 << 10))
 
 
+@register("knn_bounded", ops=("V1", "J8", "W1"), oracle=f"""
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ({_run_sql(_DOT, K_RUN)})
+""")
+def knn_bounded(spark, sf_dir):
+    return _out(ann.bounded_search(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, ignore_identical=True))
+
+
+@register("knn_observed", ops=("A20", "V1", "K6"), oracle="""
+SELECT count(*) FILTER (vec_id % 50 = 0)::BIGINT AS queries, count(embedding)::BIGINT AS documents,
+       (count(*) FILTER (vec_id % 50 = 0) * count(embedding))::BIGINT AS products FROM embeddings
+""")
+def knn_observed(spark, sf_dir):
+    """What a search over all vectors did, observed in the run itself."""
+    seen = Observation("knn")
+    run = search.knn(_queries(spark, sf_dir), _corpus(spark, sf_dir), K_RUN, observation=seen)
+    run.write.mode("overwrite").parquet(stage_path(spark, "knn_observed"))
+    return spark.createDataFrame([tuple(int(seen.get[c]) for c in ("queries", "documents", "products"))],
+                                 "queries long, documents long, products long")
+
+
 _HAM = ("list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: "
         "CASE WHEN (q.embedding[i] > 0) <> (d.embedding[i] > 0) THEN 1 ELSE 0 END))")
 _SIGNDOT = ("list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: "
