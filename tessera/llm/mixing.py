@@ -93,7 +93,9 @@ def systematic_mix(docs: DataFrame, seed: int = 0, weights=(5, 2, 1), max_ratio:
 
 
 def _key(id_col, source, size, text_hash):
-    return F.concat_ws("|", id_col.cast("string"), source, size.cast("string"),
+    # a null id or source keeps its place: concat_ws would skip it
+    return F.concat_ws("|", F.coalesce(id_col.cast("string"), F.lit("")),
+                       F.coalesce(F.concat(F.lit("="), source), F.lit("")), size.cast("string"),
                        text_hash.cast("string"))
 
 

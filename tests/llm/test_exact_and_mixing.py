@@ -104,6 +104,14 @@ def test_mixing_edge_rows(docs):
     assert all(r.taken == 0 for r in got if r["size"] == 0)
 
 
+def test_mixed_documents_tells_null_ids_from_null_sources(docs):
+    """Same words under id null, source "1" and under id 1, source null."""
+    df = docs([(None, "x y", "1"), (1, "x y", None), (2, "z", "1"), (3, "x y z", None)])
+    mix = {(r.doc_id, r.source): r.copies for r in mixing.systematic_mix(df).collect() if r.copies}
+    out = mixing.mixed_documents(df).groupBy("doc_id", "source").count().collect()
+    assert {(r.doc_id, r.source): r["count"] for r in out} == mix and len(mix) >= 3
+
+
 def _best_padding(lengths, k):
     """Least padded size with k buckets, by trying all boundaries."""
     from itertools import combinations
