@@ -2,9 +2,12 @@
 before them.
 
 Fingerprints within ``k`` bits share one of the block keys of
-:func:`tessera.functions.simhash.block_keys`.  The stream is keyed by block
-key; the state of a key is the list of distinct fingerprints seen under it,
-with the first row of each and the latest event time.  A new fingerprint is
+:func:`tessera.functions.simhash.block_keys`.  The stream is keyed by a hash
+of the block key (``buckets`` of them, since a call of the state function
+costs more than the few rows of one key); the state holds, for each block key,
+the distinct fingerprints seen under it, with the first row of each and the
+latest event time.  A micro-batch rewrites the buckets it touches, so
+``buckets`` should grow with the fingerprints of the horizon.  A new fingerprint is
 compared with that list only, and a pair is reported by the first key that
 both share, so every pair comes out once and no second stateful step is
 needed.
@@ -21,7 +24,6 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,24 +36,28 @@ from .jobs import event_time
 # Keys over which finished links are spread on their way past the state.
 LINK_KEYS = 4096
 
-_SEEN = "fps array<long>, ids array<{id}>, first array<long>, last array<long>"
+# Groups of block keys that share a state; fixed for the life of a checkpoint.
+BUCKETS = 1 << 14
+
+_SEEN = "combos array<int>, keys array<long>, fps array<long>, ids array<{id}>, last array<long>"
 _LINKS = "id {id}, earlier_id {id}, fp long, earlier_fp long, distance int"
 
 
-def _first_keys(a: np.ndarray, b: int, k: int, n_blocks: int) -> np.ndarray:
-    """Number of the first block combination on which ``a``'s fingerprints,
-    all within ``k`` bits of ``b``, agree with it.  Combinations are numbered
-    in lexicographic order, so it is the one of the first equal blocks."""
+def _first_combo(k: int, n_blocks: int):
+    """Function of two fingerprints within ``k`` bits: number of the first
+    block combination on which they agree.  Combinations are numbered in
+    lexicographic order, so it is the one of the first equal blocks."""
     number = {c: i for i, c in enumerate(combinations(range(n_blocks), n_blocks - k))}
-    differ = a.view(np.uint64) ^ np.int64(b).view(np.uint64)
-    equal = np.stack([(differ >> np.uint64(s)) & np.uint64((1 << w) - 1) == 0
-                      for s, w in block_bounds(n_blocks)], axis=1)
-    return np.array([number[tuple(np.flatnonzero(e)[:n_blocks - k].tolist())] for e in equal], np.int64)
+    masks = [((1 << w) - 1) << s for s, w in block_bounds(n_blocks)]
+
+    def first(a: int, b: int) -> int:
+        return number[tuple([i for i, m in enumerate(masks) if not (a ^ b) & m][:n_blocks - k])]
+    return first
 
 
 def near_duplicates_stream(stream: DataFrame, id_col: str = "id", text_col: str = "text", ts: str = "ts",
                            watermark: str = "1 hour", horizon: float = 7 * 86_400.0, k: int = 2,
-                           n_blocks: int | None = None) -> DataFrame:
+                           n_blocks: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Links between the rows of a stream whose texts' SimHashes are at most
     ``k`` bits apart: ``id, earlier_id, fp, earlier_fp, distance``.
 
@@ -64,8 +70,8 @@ def near_duplicates_stream(stream: DataFrame, id_col: str = "id", text_col: str
     says of the same rows at once.  Of rows in one micro-batch the one with
     the smaller (``ts``, id) is earlier.  Rows whose event times lie within
     ``horizon`` seconds always meet; a fingerprint that was not seen for
-    ``horizon`` seconds before the watermark is forgotten, and a key without
-    fingerprints leaves the state.  Rows later than the watermark are
+    ``horizon`` seconds before the watermark is forgotten, and a bucket
+    without fingerprints leaves the state.  Rows later than the watermark are
     dropped by Spark.  Null texts count as empty, and all empty texts are
     copies of each other; rows without an id or an event time link with
     nothing.  Columns other than the three named are not read.
@@ -92,43 +98,43 @@ def near_duplicates_stream(stream: DataFrame, id_col: str = "id", text_col: str
                              rest.assign(earlier=to, until=rest["at"], copy=True)])[
                 ["id", "fp", "at", "until", "ts", "earlier", "copy"]]
 
+    first_combo = _first_combo(k, n_blocks)
+
     def meet(key, frames, state):
-        combo = key[0]
-        if combo < 0:  # links found where the rows were read
+        if key[0] < 0:  # links found where the rows were read
             for f in frames:
                 yield pd.DataFrame({"id": f["id"], "earlier_id": f["earlier"], "fp": f["fp"],
                                     "earlier_fp": f["fp"], "distance": 0})[columns]
             return
-        fps, ids, first, last = ([list(x) for x in state.get] if state.exists else ([], [], [], []))
+        seen: dict[tuple, dict[int, list]] = {}
+        if state.exists:
+            for combo, block, f, i, last in zip(*state.get):
+                seen.setdefault((combo, block), {})[f] = [i, last]
         out = []
         if not state.hasTimedOut:
-            rows = pd.concat(list(frames)).sort_values(["at", "id"], kind="stable")
-            place = {f: i for i, f in enumerate(fps)}
-            for i, f, at, until in zip(rows["id"].tolist(), rows["fp"].tolist(), rows["at"].tolist(),
-                                       rows["until"].tolist()):
-                known = place.get(f)
+            rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ("at", "id", "fp", "until", "combo", "key")))]
+            for at, i, f, until, combo, block in sorted(rows):
+                have = seen.setdefault((combo, block), {})
+                known = have.get(f)
                 if known is not None:
-                    last[known] = max(last[known], until)
+                    known[1] = max(known[1], until)
                     if combo == 0:  # copies agree on the first combination
-                        out.append((i, ids[known], f, f, 0))
+                        out.append((i, known[0], f, f, 0))
                     continue
-                if fps:
-                    have = np.array(fps, np.int64)
-                    apart = np.bitwise_count(have.view(np.uint64) ^ np.int64(f).view(np.uint64))
-                    near = np.flatnonzero(apart <= k)
-                    near = near[_first_keys(have[near], f, k, n_blocks) == combo] if len(near) else near
-                    out.extend((i, ids[j], f, fps[j], int(apart[j])) for j in near)
-                place[f] = len(fps)
-                for have, new in zip((fps, ids, first, last), (f, i, at, until)):
-                    have.append(new)
+                for g, (j, _) in have.items():
+                    apart = ((f ^ g) & (2**64 - 1)).bit_count()
+                    if apart <= k and first_combo(f, g) == combo:
+                        out.append((i, j, f, g, apart))
+                have[f] = [i, until]
         now = state.getCurrentWatermarkMs()
-        keep = [j for j in range(len(fps)) if last[j] + horizon_ms >= now]
+        keep = [(*at, f, i, last) for at, have in seen.items() for f, (i, last) in have.items() if last + horizon_ms >= now]
         if keep:
-            state.update(tuple([x[j] for j in keep] for x in (fps, ids, first, last)))
-            state.setTimeoutTimestamp(max(now, min(last[j] for j in keep) + horizon_ms) + 1)
+            state.update(tuple(list(x) for x in zip(*keep)))
+            state.setTimeoutTimestamp(max(now, min(x[4] for x in keep) + horizon_ms) + 1)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
     rows = stream.select(F.col(id_col).alias("id"), F.col(ts).cast("timestamp").alias("ts"),
                          F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
@@ -137,11 +143,12 @@ def near_duplicates_stream(stream: DataFrame, id_col: str = "id", text_col: str
                          F.unix_millis("ts").alias("at"), "ts")
     collapsed = event_time(marked.mapInPandas(
         collapse, f"id {kind}, fp long, at long, until long, ts timestamp, earlier {kind}, copy boolean"), "ts", watermark)
-    apart = F.array(F.struct(F.lit(-1).alias("combo"), F.pmod(F.xxhash64("id"), F.lit(LINK_KEYS)).alias("key")))
+    apart = F.array(F.struct(F.lit(-1).alias("combo"), F.xxhash64("id").alias("key")))
     keyed = collapsed.withColumn("bk", F.explode(
         F.when(F.col("copy"), apart).otherwise(block_keys(F.col("fp"), k, n_blocks))))
+    bucket = F.when(F.col("copy"), -1 - F.pmod("bk.key", F.lit(LINK_KEYS))).otherwise(F.pmod(F.xxhash64("bk"), F.lit(buckets)))
     return (keyed.select("id", "fp", "at", "until", "ts", "earlier", F.col("bk.combo").alias("combo"),
-                         F.col("bk.key").alias("key"))
-            .groupBy("combo", "key")
+                         F.col("bk.key").alias("key"), bucket.alias("bucket"))
+            .groupBy("bucket")
             .applyInPandasWithState(meet, _LINKS.format(id=kind), _SEEN.format(id=kind), "append",
                                     GroupStateTimeout.EventTimeTimeout))

@@ -221,6 +221,6 @@ def test_near_duplicates_are_forgotten_after_the_horizon(spark):
     got, progress = _run(spark, lambda s: near.near_duplicates_stream(s, watermark="10 minutes", horizon=3600),
                          "near_horizon", schema, parts)
     assert [(r.id, r.earlier_id, r.distance) for r in got] == [("b", "a", 0)]
-    # the first sentence's 15 keys went; c, d and e hold 15 each at most
+    # the first sentence's 15 keys went; c, d and e hold 15 buckets each at most
     assert progress[-1].stateOperators[0].numRowsTotal <= 45
     assert progress[-1].stateOperators[0].numRowsDroppedByWatermark > 0
