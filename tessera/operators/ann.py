@@ -223,7 +223,7 @@ class ProductCodes:
     centroids form one table; a document's score is the sum of its entries.
     ``rotation`` is applied to both sides first."""
 
-    second = False
+    second = bounded = False
 
     def __init__(self, query_type: str, books: list[np.ndarray], rotation: np.ndarray | None = None):
         self.float, self.books, self.rotation = Dot(query_type), books, rotation
