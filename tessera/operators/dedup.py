@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, join_small, spread
+from ..session import cut_lineage, fits_broadcast, join_small, spread
 from ..functions.simhash import (block_keys, clean_query, first_shared_combo,
                                  hamming, simhash64)
 
@@ -35,13 +35,18 @@ def near_fingerprint_pairs(left: DataFrame, right: DataFrame, k: int = 2,
     ``left``/``right`` hold one column ``fp`` of distinct fingerprints.
     Returns ``fp_l, fp_r, distance``.  With ``include_self`` a fingerprint
     present on both sides pairs with itself (distance 0).
+
+    A fingerprint has a row for each block combination, which a plan's size
+    estimate leaves out: the keys of ``right`` are broadcast only after
+    measuring them, and never when both sides are one table.
     """
     lk = left.select(F.col("fp").alias("fp_l"),
                      F.explode(block_keys(F.col("fp"), k, n_blocks)).alias("bk"))
     rk = right.select(F.col("fp").alias("fp_r"),
                       F.explode(block_keys(F.col("fp"), k, n_blocks)).alias("bk"))
+    small = left is not right and fits_broadcast(rk)
     pairs = (
-        lk.join(rk, "bk")
+        lk.join(F.broadcast(rk) if small else rk.hint("merge"), "bk")
         .where(hamming(F.col("fp_l"), F.col("fp_r")) <= k)
         # keep a pair only from the first block combination both share
         .where(F.col("bk.combo") == first_shared_combo(F.col("fp_l"), F.col("fp_r"), k, n_blocks))

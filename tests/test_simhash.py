@@ -55,3 +55,12 @@ def test_near_dup_stats_and_decontaminate(spark):
     assert sorted(r.id for r in clean.collect()) == [4, 5]
     rep = {r.id: [d.item_id for d in r.test_dups] for r in report.collect()}
     assert rep == {1: [10], 2: [10], 3: [10]}
+
+
+def test_block_keys_of_one_table_are_never_broadcast(spark):
+    """Fifteen keys a fingerprint, which the plan's size estimate leaves out."""
+    fps = spark.range(1000).select((F.col("id") * 7).alias("fp"))
+    plan = dedup.near_fingerprint_pairs(fps, fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    few = spark.range(3).select(F.col("id").alias("fp"))
+    assert "BroadcastHashJoin" in dedup.near_fingerprint_pairs(fps, few)._jdf.queryExecution().executedPlan().toString()
