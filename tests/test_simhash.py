@@ -64,3 +64,13 @@ def test_block_keys_of_one_table_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     few = spark.range(3).select(F.col("id").alias("fp"))
     assert "BroadcastHashJoin" in dedup.near_fingerprint_pairs(fps, few)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_rows_join_block_keys_without_a_broadcast(spark, monkeypatch):
+    seen = []
+    pairs = dedup.near_fingerprint_pairs
+    monkeypatch.setattr(dedup, "near_fingerprint_pairs", lambda *a, **kw: seen.append(pairs(*a, **kw)) or seen[-1])
+    df = spark.createDataFrame([(3, "the quick brown fox jumps"), (1, "the_quick brown fox jumps!"),
+                                (2, "something else entirely here"), (4, None)], "id long, text string")
+    assert sorted(r.id for r in dedup.dedup_keep(df, "id").collect()) == [1, 2]
+    assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
