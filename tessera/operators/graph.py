@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, join_small
 from .ann import FIT_ROWS, fit_sample, kmeans, nearest
-from .search import BROADCAST_QUERY_BYTES, _best, float_type, pack
+from .search import BROADCAST_QUERY_BYTES, _best, _select, float_type, pack
 
 #: Neighbours of a node; with those that name it and the next and previous
 #: node of its shard, a search sees at most 2 * DEGREE + 2 from one node.
@@ -249,13 +249,28 @@ def _adjacency(ids: np.ndarray, nbrs: list, degree: int) -> np.ndarray:
     return out
 
 
+def _reached(near: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Places that walks from ``entries`` meet which drop no node: all of them
+    open every node, so whole fronts are opened at once, for all queries."""
+    seen, front = np.zeros(len(near) + 1, bool), entries
+    seen[-1] = True  # stands for "none"
+    while len(front):
+        seen[front] = True
+        new = np.unique(near[front])
+        front = new[~seen[new]]
+    return np.flatnonzero(seen[:-1])
+
+
 def walk(q: np.ndarray, x: np.ndarray, near: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
     """(scores, places) of the best ``ef`` nodes that best-first walks of the
     queries meet; -inf and -1 where fewer were met.  Every walk opens its best
     unopened nodes until the best ``ef`` are all open."""
     rows = np.arange(len(q))[:, None]
-    seen = np.zeros((len(q), len(x) + 1), bool)
     entries = np.unique(np.linspace(0, len(x) - 1, min(ENTRIES, len(x))).astype(np.int64))
+    if ef >= len(x):
+        met = _reached(near, entries)
+        return q @ x[met].T, np.broadcast_to(met, (len(q), len(met)))
+    seen = np.zeros((len(q), len(x) + 1), bool)
     at = np.broadcast_to(entries, (len(q), len(entries)))
     seen[rows, at] = seen[:, -1] = True  # the last column stands for "none"
     score, place, opened = q @ x[entries].T, at, np.zeros(at.shape, bool)
@@ -326,8 +341,8 @@ def graph_search(queries: DataFrame, graph: NeighbourGraph, k: int, ef: int = 12
                 near = _adjacency(ids, b.column(4)[lo + n:hi].to_pylist(), graph_degree)
                 for at in range(0, n, WALKERS):
                     score, place = walk(_vectors(raw[at:at + WALKERS], q_kind), x, near, min(ef, len(ids)))
-                    order = np.lexsort((place, -score), axis=1)[:, :k]
-                    score, place = np.take_along_axis(score, order, axis=1), np.take_along_axis(place, order, axis=1)
+                    score, order = _select(score, place, k)
+                    place = np.take_along_axis(place, order, axis=1)
                     ok = (place >= 0).ravel()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(asked[at:at + WALKERS], score.shape[1])[ok]), pa.array(ids[place.ravel()[ok]]),

@@ -56,6 +56,22 @@ def test_every_node_can_be_reached(spark, emb):
     assert 0 < few.count() <= 7 * emb[0].count()
 
 
+def test_walks_that_drop_no_node_open_whole_fronts(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, q = rng.standard_normal((3000, 8)), rng.standard_normal((5, 8))
+    near = np.full((3000, 3), -1, np.int64)
+    near[:2900, 0], near[1:2900, 1] = np.roll(np.arange(2900), 1), np.arange(2899)  # a ring; the rest hangs loose
+    near[::7, 2] = rng.integers(0, 2900, len(near[::7]))
+    opened = []
+    partition = np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda *a, **kw: opened.append(1) or partition(*a, **kw))
+    score, place = graph.walk(q, x, near, 1 << 30)
+    assert len(opened) < 100  # not four nodes at a time
+    entries = {int(v) for v in np.linspace(0, 2999, graph.ENTRIES)}
+    assert set(place[0].tolist()) == set(range(2900)) | entries
+    assert np.allclose(score, np.take_along_axis(q @ x.T, place, axis=1))
+
+
 def test_adjacency_is_bounded_and_connected():
     rng = np.random.default_rng(1)
     ids = np.arange(0, 900, 3)
