@@ -2,11 +2,10 @@
 
 Different vectors are nodes; they are dealt into shards of bounded size (the
 nearest of some centroids, large cells split further) and edges stay inside a
-shard.  The graph is built by joins: the neighbours of a node, and the nodes
-that name it as a neighbour, are likely neighbours of each other, so every
-round brings each node's surroundings together, compares them with one matrix
-product and keeps the best ``degree`` neighbours of every node.  Rounds end
-when few edges change.  A search runs best-first through the shards' graphs,
+shard.  The neighbours of a node, and the nodes that name it as a neighbour,
+are likely neighbours of each other, so every round groups the nodes by shard,
+compares each node's surroundings with one matrix product and keeps the best
+``degree`` neighbours of every node.  Rounds end when few edges change.  A search runs best-first through the shards' graphs,
 many queries at a time.
 
 Inner products become distances by one more dimension that gives every
@@ -19,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +31,9 @@ from .search import BROADCAST_QUERY_BYTES, _best, _select, float_type, pack
 DEGREE = 24
 #: Nodes of a shard, which one task of a search holds.
 SHARD_ROWS = 20_000
-#: Neighbours that a surrounding offers to each of its nodes.
-OFFERS = 12
+#: Neighbours that a surrounding offers to each of its nodes, and
+#: surroundings that are compared at once.
+OFFERS, OFFERED = 12, 1024
 #: Queries that walk at once, and nodes that each opens in a step.
 WALKERS, WIDTH = 128, 4
 #: Nodes of a shard that every walk starts from.
@@ -105,91 +106,111 @@ def _dealt(nodes: DataFrame, kind: str, shard_rows: int, fit_rows: int, seed: in
     return cut_lineage(out.select("shard", "cell", "id", "payload"), "graph_nodes"), centres
 
 
-def _first_links(nodes: DataFrame, kind: str, degree: int, seed: int) -> DataFrame:
-    """``node, member``: the next nodes of the shard along a few random
-    directions."""
-    lines = 3
+_GRAPH = "shard long, cell long, id long, payload binary, nbrs array<long>, sims array<double>, fresh long"
+
+
+def _first_links(ids: np.ndarray, x: np.ndarray, degree: int, seed: int) -> np.ndarray:
+    """For each node of a shard the next ones along a few random directions, -1 for none."""
+    n, out = len(ids), []
+    for at in (x @ np.random.default_rng(seed).standard_normal((x.shape[1], 3))).T:
+        order = np.lexsort((ids, at))
+        for j in range(1, max(1, degree // 2) + 1):
+            next_ = np.full(n, -1, np.int64)
+            next_[order[:-j]] = order[j:]
+            out.append(next_)
+    return np.stack(out, axis=1)
 
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                x = _vectors(b.column(2).to_pylist(), kind)
-                at = x @ np.random.default_rng(seed).standard_normal((x.shape[1], lines))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c) for c in at.T.copy())],
-                                                 names=["shard", "id", *(f"p{t}" for t in range(lines))])
-    placed = nodes.select("shard", "id", "payload").mapInArrow(
-        run, "shard long, id long, " + ", ".join(f"p{t} double" for t in range(lines)))
-    out = None
-    for t in range(lines):
-        w = Window.partitionBy("shard").orderBy(f"p{t}", "id")
-        next_ = F.array(*[F.lead("id", j).over(w) for j in range(1, max(1, degree // 2) + 1)])
-        near = placed.select(F.col("id").alias("node"), next_.alias("next")).select("node", F.explode("next").alias("member"))
-        out = near if out is None else out.unionByName(near)
-    return out.where(F.col("member").isNotNull())
-
-
-def _offers(kind: str, longest: float):
-    """Of every node's surroundings: each member's best others."""
-    def run(batches):
-        for b in _grouped(batches):
-            cuts, ids = _starts(b.column(0).to_numpy()), b.column(1).to_numpy()
-            x = _vectors(b.column(2).to_pylist(), kind)
-            x = np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))])
-            to, best, sims = [], [], []
-            for lo, hi in zip(cuts, cuts[1:]):
-                own, first = np.unique(ids[lo:hi], return_index=True)
-                if len(own) < 2:
-                    continue
-                y = x[lo:hi][first]
-                s = y @ y.T
-                np.fill_diagonal(s, -np.inf)
-                k = min(OFFERS, len(own) - 1)
-                at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                to.append(own)
-                best.extend(own[at])
-                sims.extend(np.take_along_axis(s, at, axis=1))
-            if to:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(to)), pa.array(np.zeros(len(best), np.int32)),
-                     _lists(best, pa.int64()), _lists(sims, pa.float64())], names=["id", "old", "nbrs", "sims"])
-    return run
 
+def _mixed(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of two numbers, another one each turn."""
+    h = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) + np.uint64(turn + 1)
+    for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(c)
+    return h ^ (h >> np.uint64(31))
 
-_STATE = "id long, old int, nbrs array<long>, sims array<double>, fresh long"
+
+def _namers(ids: np.ndarray, node: np.ndarray, member: np.ndarray, degree: int, turn: int) -> np.ndarray:
+    """Nodes that name each node of a shard, -1 for none: one that very many
+    name hears a bounded part of them, another one each turn."""
+    order = np.lexsort((node, _mixed(ids[member], ids[node], turn), member))
+    node, member = node[order], member[order]
+    nth = np.arange(len(member)) - np.searchsorted(member, member)
+    out = np.full((len(ids), degree), -1, np.int64)
+    few = nth < degree
+    out[member[few], nth[few]] = node[few]
+    return out
 
 
-def _keep_best(degree: int):
-    """The best ``degree`` of all that was offered to a node and what it had;
-    ``fresh`` counts those it had not."""
+def _offers(x: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of places in ``around`` (-1 for none): every member's best
+    others, as ``to * n + other`` and products."""
+    around = np.sort(around, axis=1)
+    none = np.append(np.zeros((len(around), 1), bool), around[:, 1:] == around[:, :-1], axis=1) | (around < 0)
+    y = x[around]
+    s = y @ y.transpose(0, 2, 1)
+    s[np.broadcast_to(none[:, None, :] | none[:, :, None], s.shape)] = -np.inf
+    s[:, np.arange(s.shape[1]), np.arange(s.shape[1])] = -np.inf
+    k = min(OFFERS, s.shape[1] - 1)
+    at = np.argpartition(-s, k - 1, axis=2)[:, :, :k]
+    sims = np.take_along_axis(s, at, axis=2)
+    others = np.take_along_axis(np.broadcast_to(around[:, None, :], s.shape), at, axis=2)
+    ok = np.isfinite(sims)
+    keys, first = np.unique((around[:, :, None] * len(x) + others)[ok], return_index=True)
+    return keys, sims[ok][first]
+
+
+def _keep_best(keys: np.ndarray, sims: np.ndarray, n: int, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``degree`` of all that was offered to each node, best first."""
+    keys, first = np.unique(keys, return_index=True)
+    sims = sims[first]
+    order = np.lexsort((keys, -sims, keys // n))
+    to = keys[order] // n
+    order = order[np.arange(len(to)) - np.searchsorted(to, to) < degree]
+    return keys[order], sims[order]
+
+
+def _round(kind: str, degree: int, longest: float, index: int, seed: int):
+    """One round in each shard, whose nodes come with the neighbours they have;
+    ``fresh`` counts those that a node had not."""
     def run(batches):
         for b in _grouped(batches):
-            cuts, old = _starts(b.column(0).to_numpy()), b.column(1).to_numpy()
-            where = b.column(2).offsets.to_numpy()
-            ids, sims = b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
-            where = where - where[0]
-            node, nbrs, best, fresh = [], [], [], []
+            cuts = _starts(b.column(0).to_numpy())
             for lo, hi in zip(cuts, cuts[1:]):
-                own, first = np.unique(ids[where[lo]:where[hi]], return_index=True)
-                s = sims[where[lo]:where[hi]][first]
-                order = np.lexsort((own, -s))[:degree]
-                had = ids[where[lo]:where[lo + 1]] if old[lo] else ids[:0]
-                node.append(b.column(0)[lo].as_py())
-                nbrs.append(own[order])
-                best.append(s[order])
-                fresh.append(int((~np.isin(own[order], had)).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node), pa.array(np.ones(len(node), np.int32)), _lists(nbrs, pa.int64()),
-                 _lists(best, pa.float64()), pa.array(fresh)], names=["id", "old", "nbrs", "sims", "fresh"])
+                part, n = b.slice(lo, hi - lo), int(hi - lo)
+                ids, x = part.column(2).to_numpy(), _vectors(part.column(3).to_pylist(), kind)
+                sizes = np.zeros(n, np.int64) if not index else pc.list_value_length(part.column(4)).to_numpy()
+                node, member = np.repeat(np.arange(n), sizes), np.empty(0, np.int64)
+                if index:
+                    member = np.searchsorted(ids, part.column(4).flatten().to_numpy())
+                    links = np.full((n, degree), -1, np.int64)
+                    links[node, np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = member
+                    links = np.hstack([links, _namers(ids, node, member, degree, index)])
+                else:
+                    links = _first_links(ids, x, degree, seed)
+                around = np.hstack([links, np.arange(n)[:, None]])
+                x = np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0))])
+                had = node * n + member
+                keys, sims = had, part.column(5).flatten().to_numpy() if index else np.empty(0)
+                for at in range(0, n, OFFERED):
+                    more = _offers(x, around[at:at + OFFERED])
+                    keys, sims = _keep_best(np.concatenate([keys, more[0]]), np.concatenate([sims, more[1]]), n, degree)
+                to, ends = keys // n, np.arange(n + 1)
+                ends = np.searchsorted(to, ends).astype(np.int32)
+                fresh = np.bincount(to[~np.isin(keys, had)], minlength=n)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:4], pa.ListArray.from_arrays(ends, pa.array(ids[keys % n], pa.int64())),
+                     pa.ListArray.from_arrays(ends, pa.array(sims, pa.float64())), pa.array(fresh, pa.int64())],
+                    names=["shard", "cell", "id", "payload", "nbrs", "sims", "fresh"])
     return run
 
 
 def build_graph(corpus: DataFrame, degree: int = DEGREE, rounds: int = 8, settled: float = 0.01,
                 shard_rows: int = SHARD_ROWS, fit_rows: int = FIT_ROWS, seed: int = 42) -> NeighbourGraph:
-    """The graph of ``corpus`` (``doc_id, embedding``).  A round shuffles at
-    most ``2 * degree + 1`` vectors for each node and ``OFFERS`` (id, score)
-    pairs for each of those; it is the last when no more than ``settled`` of
-    all edges changed.  Documents with equal vectors are one node, so copies
-    do not fill each other's lists; null vectors are left out."""
+    """The graph of ``corpus`` (``doc_id, embedding``).  A round shuffles each
+    node once, its vector and at most ``degree`` neighbours, to the task of
+    its shard; it is the last when no more than ``settled`` of all edges
+    changed.  Documents with equal vectors are one node, so copies do not fill
+    each other's lists; null vectors are left out."""
     kind = float_type(corpus, "embedding")
     packed = cut_lineage(pack(corpus, "doc_id", "embedding").select(F.col("id").alias("doc_id"), "payload"), "graph_docs")
     nodes = packed.groupBy("payload").agg(F.min("doc_id").alias("id")).select("id", "payload")
@@ -203,29 +224,17 @@ def build_graph(corpus: DataFrame, degree: int = DEGREE, rounds: int = 8, settle
                 yield pa.RecordBatch.from_arrays([pa.array([(x * x).sum(1).max()])], names=["s"])
     size = nodes.select("payload").mapInArrow(square, "s double").agg(F.max("s"), F.count(F.lit(1))).first()
     longest, n = size[0] or 0.0, nodes.count()
-    own = nodes.select(F.col("id").alias("node"), F.col("id").alias("member"))
-    vectors = nodes.select(F.col("id").alias("member"), "payload")
-    links, state, changed = _first_links(nodes, kind, degree, seed), None, []
+    state = nodes.select("shard", "cell", "id", "payload", F.lit(None).cast("array<long>").alias("nbrs"),
+                         F.lit(None).cast("array<double>").alias("sims"))
+    changed = []
     for index in range(rounds if n else 0):
-        around = links.unionByName(own).join(vectors, "member").select("node", "member", "payload")
-        found = around.repartition("node").sortWithinPartitions("node").mapInArrow(
-            _offers(kind, longest), "id long, old int, nbrs array<long>, sims array<double>")
-        if state is not None:
-            found = found.unionByName(state.select("id", "old", "nbrs", "sims"))
-        state = cut_lineage(found.repartition("id").sortWithinPartitions("id", F.desc("old"))
-                            .mapInArrow(_keep_best(degree), _STATE), "graph_edges")
+        state = cut_lineage(state.select("shard", "cell", "id", "payload", "nbrs", "sims")
+                            .repartition("shard").sortWithinPartitions("shard", "id")
+                            .mapInArrow(_round(kind, degree, longest, index, seed), _GRAPH), "graph_edges")
         changed.append(state.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0])
         if changed[-1] <= settled * n * degree:
             break
-        out = state.select(F.col("id").alias("node"), F.explode("nbrs").alias("member"))
-        # a node that very many name hears a bounded, changing part of them
-        turn = Window.partitionBy("node").orderBy(F.xxhash64("node", "member", F.lit(index)), "member")
-        back = out.select(F.col("member").alias("node"), F.col("node").alias("member")) \
-            .withColumn("r", F.row_number().over(turn)).where(F.col("r") <= degree).drop("r")
-        links = out.unionByName(back)
-    edges = state.select("id", "nbrs") if state is not None else nodes.select("id", F.array().cast("array<long>").alias("nbrs"))
-    return NeighbourGraph(cut_lineage(nodes.join(edges, "id", "left").select("shard", "cell", "id", "payload", "nbrs"), "graph"),
-                          members, kind, degree, centres, changed)
+    return NeighbourGraph(state.select("shard", "cell", "id", "payload", "nbrs"), members, kind, degree, centres, changed)
 
 
 def _adjacency(ids: np.ndarray, nbrs: list, degree: int) -> np.ndarray:

@@ -56,6 +56,21 @@ def test_every_node_can_be_reached(spark, emb):
     assert 0 < few.count() <= 7 * emb[0].count()
 
 
+def test_a_round_shuffles_each_node_once(spark, monkeypatch):
+    plans, write = [], graph.cut_lineage
+
+    def noted(df, name):
+        if name == "graph_edges":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+    monkeypatch.setattr(graph, "cut_lineage", noted)
+    built = graph.build_graph(_clustered(spark, 900), rounds=3)
+    assert len(plans) == len(built.changed) > 1
+    assert all(p.count("RepartitionByExpression") == 1 and "Join" not in p and "Generate" not in p for p in plans)
+    for r in built.nodes.collect():
+        assert r.id not in r.nbrs and len(set(r.nbrs)) == len(r.nbrs) == graph.DEGREE
+
+
 def test_walks_that_drop_no_node_open_whole_fronts(monkeypatch):
     rng = np.random.default_rng(3)
     x, q = rng.standard_normal((3000, 8)), rng.standard_normal((5, 8))
