@@ -158,3 +158,21 @@ def test_hot_cells_split_without_changing_results(spark):
     # same neighbours and ranks; scores equal up to the order of summation
     assert one.keys() == many.keys() and len(one) == 500 * 5
     assert all(abs(one[x] - many[x]) < 1e-12 for x in one)
+
+
+def test_fixed_codes_score_and_rank_every_pair(spark):
+    from tessera.plans.registry import all_queries
+    run = all_queries()["knn_pq_fixed"].build(spark, SF001).collect()
+    e = spark.read.parquet(f"{SF001}/embeddings.parquet")
+    n, asked = e.count(), e.where("vec_id % 50 = 0").count()
+    assert len({(r.query_id, r.doc_id) for r in run}) == len(run) == n * asked
+    assert {r["rank"] for r in run} == set(range(1, n + 1))
+
+
+def test_all_scores_of_broadcast_and_of_sliced_documents(spark):
+    q, c = (search.pack(df, i, "embedding") for df, i in zip(_emb(spark), ("query_id", "doc_id")))
+    key = lambda r: (r.query_id, r["rank"], r.doc_id, round(r.score, 9))
+    want = sorted(map(key, search.top_k(q, c, 10_000, search.Dot("<f4", "<f4")).collect()))
+    for size in (search.BROADCAST_QUERY_BYTES, 20_000):
+        assert sorted(map(key, search.all_scores(q, c, search.Dot("<f4", "<f4"), size).collect())) == want
+    assert search.all_scores(q, c.limit(0), search.Dot()).collect() == []
