@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, join_small
@@ -257,10 +257,25 @@ class ProductCodes:
 
 def pq_books(x: np.ndarray, n_sub: int, n_bits: int, seed: int = 42) -> list[np.ndarray]:
     """A codebook of up to ``2**n_bits`` centroids for each of ``n_sub``
-    equal pieces of the dimensions."""
+    equal pieces of the dimensions.  With a session the pieces are fitted by
+    its tasks, one each."""
     if x.shape[1] % n_sub:
         raise ValueError("dimension must be divisible by the number of sub-vectors")
-    return [kmeans(part, 2 ** n_bits, seed + m) for m, part in enumerate(np.split(x, n_sub, axis=1))]
+    parts = np.split(x, n_sub, axis=1)
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return [kmeans(part, 2 ** n_bits, seed + m) for m, part in enumerate(parts)]
+    shared = spark.sparkContext.broadcast([np.ascontiguousarray(part) for part in parts])
+
+    def fit(batches):
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                book = kmeans(shared.value[m], 2 ** n_bits, seed + m)
+                yield pa.RecordBatch.from_arrays([pa.array([m]), pa.array([book.tobytes()], pa.binary())], names=["m", "book"])
+
+    books = spark.range(0, n_sub, 1, n_sub).mapInArrow(fit, "m long, book binary").orderBy("m").collect()
+    shared.unpersist()
+    return [np.frombuffer(bytes(r["book"])).reshape(-1, x.shape[1] // n_sub) for r in books]
 
 
 def learned_rotation(x: np.ndarray, n_sub: int, n_bits: int, out_dim: int, rounds: int = 8,

@@ -190,3 +190,13 @@ def test_blocks_of_queries_pass_each_slice_of_one_corpus(spark):
         assert _as_lists(got) == _brute(spark, 5, ignore=True)
     plan = search.knn(q, c, 5, broadcast_bytes=1024)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1  # the queries', none of the documents
+
+
+def test_codebooks_are_fitted_by_tasks_as_by_one(spark, monkeypatch):
+    import os
+    x = np.random.default_rng(5).standard_normal((500, 12))
+    want = [ann.kmeans(part, 8, 42 + m) for m, part in enumerate(np.split(x, 3, axis=1))]
+    for a, b in zip(ann.pq_books(x, 3, 3), want, strict=True):
+        assert np.array_equal(a, b)
+    monkeypatch.setattr(ann, "kmeans", lambda x, k, seed: np.full((1, x.shape[1]), float(os.getpid())))
+    assert all((b != os.getpid()).all() for b in ann.pq_books(x, 3, 3))  # the driver fits none
