@@ -3,7 +3,6 @@ and answer containment of ``benchmark`` items inside ``documents``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import qa
@@ -82,10 +81,8 @@ def accuracy_at_k(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     order = F.md5(F.concat(F.col("query_id").cast("string"), F.lit("|"), F.col("doc_id").cast("string")).cast("binary"))
-    ranked = Window.partitionBy("query_id").orderBy(order, "doc_id")
     # the stated query set (benchmark items) against all documents
-    run = (b.select("query_id").join(d.select("doc_id")).withColumn("rank", F.row_number().over(ranked))
-           .where(F.col("rank") <= max(ks)))
+    run = answers.seeded_run(b, d, order, max(ks))
     w = b.select("query_id", qa.words(F.col("text")).alias("w"))
     ans = w.select("query_id", F.array_join(F.slice("w", 1, 8), " ").alias("answer"))
     acc = answers.top_k_accuracy(run, answers.answer_hits(run, d, ans), ks, b)

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import answers
 from tessera.operators.answers import contained_answers
 
 
@@ -46,3 +47,24 @@ def test_no_gram_rows_in_the_plan(spark):
     p, a = _tables(spark, [(1, "a b c", 0)], [(1, "b c", 0)])
     plan = contained_answers(p, a)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_first_passages_by_hash_without_ranking_all_pairs(spark, monkeypatch):
+    import hashlib
+    sizes, write = {}, answers.cut_lineage
+    monkeypatch.setattr(answers, "cut_lineage", lambda df, name: sizes.setdefault(name, write(df, name)))
+    b = spark.createDataFrame([(i,) for i in range(5)], "query_id long")
+    d = spark.range(4000).withColumnRenamed("id", "doc_id")
+    order = F.md5(F.concat(F.col("query_id").cast("string"), F.lit("|"), F.col("doc_id").cast("string")).cast("binary"))
+    got = {(r.query_id, r["rank"]): r.doc_id for r in answers.seeded_run(b, d, order, 20).collect()}
+    for q in range(5):
+        want = sorted(range(4000), key=lambda x: hashlib.md5(f"{q}|{x}".encode()).hexdigest())[:20]
+        assert [got[q, i] for i in range(1, 21)] == want
+    assert len(got) == 100 and sizes["low_pairs"].count() < 1000
+    # hashes that are not spread: the bound is raised, the rows stay right
+    sizes.clear()
+    late = F.concat(F.lit("7"), order)
+    assert {(r.query_id, r["rank"]): r.doc_id for r in answers.seeded_run(b, d, late, 20).collect()} == got
+    sizes.clear()
+    few = answers.seeded_run(b, d.limit(7), order, 20)
+    assert few.count() == 35
