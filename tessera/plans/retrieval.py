@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import metrics as M
 from ..operators import ann, mining, search
-from ..session import stage_path, table
+from ..session import join_small, stage_path, table
 from .registry import register
 
 EVERY = 50
@@ -230,7 +230,7 @@ def rank_metrics_qrels(spark, sf_dir):
     lab = _emb(spark, sf_dir).select("vec_id", "label")
     q = lab.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
     d = lab.select(F.col("vec_id").alias("doc_id"), "label")
-    qrels = q.join(d, "label").where("query_id <> doc_id").select(
+    qrels = join_small(d, q, "label").where("query_id <> doc_id").select(
         "query_id", "doc_id", (F.col("doc_id") % 2 + 1).alias("rel"))
     pq = M.per_query(M.judge(run, qrels), M.query_base_from_qrels(qrels, [K_RUN]), [K_RUN])
     return pq.select("query_id", *[F.round(f"{m}_{K_RUN}", 6).alias(m) for m in ("ndcg", "map", "recall")])

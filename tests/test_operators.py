@@ -247,3 +247,26 @@ def test_words_lower_case_each_token_and_untokenize(spark):
     a = spark.createDataFrame([(7, "ΟΔΟΣ"), (8, " \t"), (9, "y x"), (10, None)], "item_id long, text string")
     assert sorted(map(str, contained_answers(p, a).collect())) == sorted(
         ["Row(doc_id=1, item_id=7, all_passages=False)", "Row(doc_id=None, item_id=8, all_passages=True)"])
+
+
+def test_judgements_are_counted_by_grade_and_met_by_the_run_before_a_shuffle(spark):
+    from tessera.operators import metrics as M
+    rows = [(q, d, d % 4) for q in (1, 2) for d in range(40)] + [(2, 7, 3), (None, 5, 1), (3, 1, None), (4, 1, 0)]
+    qrels = spark.createDataFrame(rows, "query_id long, doc_id long, rel long")
+    ks = [1, 3, 12, 100]
+    base = M.query_base_from_qrels(qrels, ks)
+    plan = base._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan.split("Aggregate", 2)[2].split("\n")[0] and "row_number" not in plan
+    got = {r.query_id: r for r in base.collect()}
+    assert set(got) == {1, 2}
+    for q in (1, 2):
+        grades = sorted((r for a, _, r in rows if a == q and r), reverse=True)
+        assert got[q].n_rel == len(grades)
+        for k in ks:
+            want = sum((2 ** g - 1) / math.log2(i + 2) for i, g in enumerate(grades[:k]))
+            assert abs(got[q][f"idcg_{k}"] - want) < 1e-9
+    run = spark.createDataFrame([(1, 3, 1), (2, 7, 1), (2, 99, 2), (9, 1, 1)], "query_id long, doc_id long, rank long")
+    judged = M.judge(run, qrels)
+    assert "LeftSemi" in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.query_id, r.doc_id, r.rel) for r in judged.collect()) == [
+        (1, 3, 3), (2, 7, 3), (2, 7, 3), (2, 99, 0), (9, 1, 0)]
