@@ -6,7 +6,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +20,32 @@ TOKEN_PATTERN = r"([\p{L}\p{N}\p{M}]+)|([^\p{Z}\p{C}])"
 SENTINEL = "\u0001"
 
 
-@F.pandas_udf(T.StringType())
-def nfd(texts: pd.Series) -> pd.Series:
-    """Unicode canonical decomposition (no Spark built-in; a tiny per-row
-    C-library call inside an Arrow batch)."""
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t))
+#: Characters of a batch that are Python strings at once, about.
+TEXT_BYTES = 1 << 20
+
+
+def normalized(texts: pa.Array, form: str) -> pa.Array:
+    """Unicode normalisation of an Arrow batch (no Spark built-in; a tiny
+    per-row C-library call).  Texts become Python strings a few at a time, so
+    a task holds the batch and its result, whatever the texts' lengths."""
+    done, lo = [], 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while lo < len(texts):
+        start = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + TEXT_BYTES, side="right")))
+        part = texts.slice(lo, hi - lo)
+        if not pc.all(pc.string_is_ascii(part)).as_py() and part.null_count < len(part):
+            part = pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in part.to_pylist()],
+                            texts.type)
+        done.append(part)
+        lo = hi
+    return pa.concat_arrays(done) if done else texts
+
+
+@F.arrow_udf(T.StringType())
+def nfd(texts: pa.Array) -> pa.Array:
+    """Unicode canonical decomposition."""
+    return normalized(texts, "NFD")
 
 
 def tokens(text: Column) -> Column:

@@ -94,3 +94,22 @@ def test_encoded_texts_are_placed_without_a_single_task(spark, monkeypatch):
     texts = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
     want = sorted((-len(r.text), str(r.item_id)) for r in texts)
     assert got == {i: k for k, (_, i) in enumerate(want)}
+
+
+def test_normalised_texts_are_strings_a_few_at_a_time(monkeypatch):
+    import unicodedata
+
+    import pyarrow as pa
+    from tessera.functions import qa
+    texts = ["caf\u00e9 " * 50, None, "plain", "", "e\u0301", "\uac00" * 100] * 40
+    held, real = [], unicodedata.normalize
+    monkeypatch.setattr(qa, "TEXT_BYTES", 2000)
+    monkeypatch.setattr(qa, "pa", type("P", (), {
+        "array": staticmethod(lambda x, t: held.append(sum(len(v or "") for v in x)) or pa.array(x, t)),
+        "concat_arrays": staticmethod(pa.concat_arrays)}))
+    for form in ("NFD", "NFC"):
+        want = [t if t is None else real(form, t) for t in texts]
+        assert qa.normalized(pa.array(texts), form).to_pylist() == want
+        assert qa.normalized(pa.array(texts, pa.large_string()).slice(3, 50), form).to_pylist() == want[3:53]
+    assert max(held) < 2500
+    assert qa.normalized(pa.array([], pa.string()), "NFD").to_pylist() == []
