@@ -61,7 +61,10 @@ def near_duplicate_stats(df: DataFrame, id_col: str, text_col: str = "text",
                          k: int = 2, n_blocks: int | None = None) -> DataFrame:
     """Per row: its fingerprint, how many *other* rows lie within ``k`` bits
     (``n_dups``) and the smallest id within ``k`` bits, itself included
-    (``rep_id``).  ``rep_id == id`` marks the row a dedup pass keeps."""
+    (``rep_id``).  ``rep_id == id`` marks the row a dedup pass keeps.
+
+    Both joins are by tables that grow with the rows but are written so small
+    that they would pass for broadcast: they join by merge, past the driver."""
     rows = cut_lineage(fingerprint(df.select(id_col, text_col), text_col)
                        .select(id_col, "fp"), "fingerprints")
     # one row per distinct fingerprint (partial aggregation collapses copies);
@@ -71,22 +74,23 @@ def near_duplicate_stats(df: DataFrame, id_col: str, text_col: str = "text",
     fps = per_fp.select("fp")
     pairs = near_fingerprint_pairs(fps, fps, k, n_blocks, include_self=True)
     hood = (
-        pairs.join(per_fp.withColumnRenamed("fp", "fp_r"), "fp_r")
+        pairs.join(per_fp.withColumnRenamed("fp", "fp_r").hint("merge"), "fp_r")
         .groupBy(F.col("fp_l").alias("fp"))
         .agg(F.sum("n").alias("n_hood"), F.min("min_id").alias("rep_id"))
     )
     return (
-        rows.join(hood, "fp")
+        rows.join(hood.hint("merge"), "fp")
         .select(F.col(id_col), F.col("fp").alias("fingerprint"),
                 (F.col("n_hood") - 1).alias("n_dups"), F.col("rep_id"))
     )
 
 
 def dedup_keep(df: DataFrame, id_col: str, text_col: str = "text", k: int = 2) -> DataFrame:
-    """Rows whose near-duplicate neighbourhood has no smaller id."""
+    """Rows whose near-duplicate neighbourhood has no smaller id.  Most ids
+    are kept, so they join by merge and are never broadcast."""
     stats = near_duplicate_stats(df, id_col, text_col, k)
     keep = stats.where(F.col("rep_id") == F.col(id_col)).select(id_col)
-    return df.join(keep, id_col, "left_semi")
+    return df.join(keep.hint("merge"), id_col, "left_semi")
 
 
 def split_lines(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -74,3 +74,17 @@ def test_kept_rows_join_block_keys_without_a_broadcast(spark, monkeypatch):
                                 (2, "something else entirely here"), (4, None)], "id long, text string")
     assert sorted(r.id for r in dedup.dedup_keep(df, "id").collect()) == [1, 2]
     assert "BroadcastHashJoin" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_fingerprints_and_kept_ids_are_never_broadcast(spark):
+    """These tables grow with the rows, however few bytes their files take."""
+    df = spark.createDataFrame([(3, "the quick brown fox jumps"), (1, "the_quick brown fox jumps!"),
+                                (2, "something else entirely here"), (2, "something else entirely here"),
+                                (4, None), (None, "a third text of its own")], "id long, text string")
+    stats, kept = dedup.near_duplicate_stats(df, "id").select("id", "n_dups", "rep_id"), dedup.dedup_keep(df, "id")
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in stats.collect()), key=key) == sorted(
+        [(1, 1, 1), (3, 1, 1), (2, 1, 2), (2, 1, 2), (None, 0, None)], key=key)
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 2]
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (stats, kept)):
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
