@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,28 @@ def test_codebooks_are_fitted_by_tasks_as_by_one(spark, monkeypatch):
         assert np.array_equal(a, b)
     monkeypatch.setattr(ann, "kmeans", lambda x, k, seed: np.full((1, x.shape[1]), float(os.getpid())))
     assert all((b != os.getpid()).all() for b in ann.pq_books(x, 3, 3))  # the driver fits none
+
+
+@pytest.mark.parametrize("held", [1, search.PAIRS_HELD])
+def test_all_scores_come_by_runs_of_ranks_in_few_bytes(spark, tmp_path, monkeypatch, held):
+    monkeypatch.setattr(search, "PAIRS_HELD", held)
+    x = np.random.default_rng(5).integers(-3, 4, size=(5003, 6)).astype(float)  # many ties, sums without rounding
+    n, asked = len(x), 96
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(asked)], "query_id long, embedding array<double>") \
+        .coalesce(1).repartition(spark.sparkContext.defaultParallelism)
+    found = search.all_scores(search.pack(q, "query_id", "embedding"), search.pack(d, "doc_id", "embedding"), search.Dot())
+    found.write.parquet(str(tmp_path / "all"))
+    got = spark.read.parquet(str(tmp_path / "all")).toPandas().sort_values(["query_id", "rank"])
+    s = x[:asked] @ x.T
+    best = np.argsort(-s, axis=1, kind="stable")
+    assert len(got) == asked * n
+    assert (got["query_id"].to_numpy() == np.repeat(np.arange(asked), n)).all()
+    assert (got["rank"].to_numpy() == np.tile(np.arange(1, n + 1), asked)).all()
+    assert (got["doc_id"].to_numpy() == best.ravel()).all()
+    assert (got["score"].to_numpy() == np.take_along_axis(s, best, axis=1).ravel()).all()
+    if held > 1:
+        files = [pq.ParquetFile(f).metadata for f in (tmp_path / "all").glob("*.parquet")]
+        chunks = [m.row_group(g).column(3) for m in files for g in range(m.num_row_groups)]
+        assert {c.path_in_schema for c in chunks} == {"rank"}
+        assert sum(c.total_compressed_size for c in chunks) < asked * n  # 4 bytes a row, query by query
